@@ -22,9 +22,14 @@ def _pct(cond: Column) -> Column:
     return F.avg(F.when(cond, 1.0).otherwise(0.0)) * 100
 
 
+def _is_text(df: DataFrame, c: str) -> bool:
+    return isinstance(c, str) and c in df.columns and df.schema[c].dataType.simpleString() == "string"
+
+
 def scores_only(df: DataFrame, score: str, coerce: bool = False) -> DataFrame:
-    """CL4: keep rows with a usable score, as column ``score``."""
-    s = numeric_or_null(score) if coerce else as_col(score).cast("double")
+    """CL4: keep rows with a usable score, as column ``score``. Text columns are always
+    coerced (guarded parse); numeric ones are only widened to double."""
+    s = numeric_or_null(score) if (coerce or _is_text(df, score)) else as_col(score).cast("double")
     return df.withColumn("score", s).where(F.col("score").isNotNull() & ~F.isnan("score"))
 
 
@@ -35,7 +40,7 @@ def kpi(df: DataFrame, score: str, klass: str | None, pass_mark: float = L.PASS_
 
     Mean and pass rate are over the rows whose score parses; row count over all rows.
     """
-    s = numeric_or_null(score)
+    s = numeric_or_null(score) if _is_text(df, score) else as_col(score).cast("double")
     distinct = (F.lit(1).cast("bigint") if klass is None else
                 (F.approx_count_distinct(klass) if approx_distinct else F.count_distinct(klass)))
     return df.agg(
