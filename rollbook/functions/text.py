@@ -49,6 +49,14 @@ def numeric_or_null(c) -> Column:
     return clean_number(as_col(c).cast("string"))
 
 
+def as_number(df, c) -> Column:
+    """A score column as double: text is parsed with the guarded rule (CL2), numeric
+    columns are only widened, so the fast path never round-trips through strings."""
+    if isinstance(c, str) and c in df.columns and df.schema[c].dataType.simpleString() != "string":
+        return F.col(c).cast("double")
+    return numeric_or_null(c)
+
+
 # ---------------------------------------------------------------- CL1 / CL5 / CL6 / CL7
 ID_PATTERN = r"^[0-9]{10}$"
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions import labels as L
-from rollbook.functions.text import as_col, numeric_or_null, utrim
+from rollbook.functions.text import as_col, as_number, numeric_or_null, utrim
 
 # Medal tiers for ranks 1, 2, 3.
 MEDALS = ("gold", "silver", "bronze")
@@ -61,7 +61,7 @@ def class_equals(df: DataFrame, klass: str, value: str, trimmed: bool = True) ->
 
 def min_score(df: DataFrame, score: str, threshold: float) -> DataFrame:
     """PF5: score (coerced) at least ``threshold``."""
-    return df.where(numeric_or_null(score) >= threshold)
+    return df.where(as_number(df, score) >= threshold)
 
 
 def low_credit(df: DataFrame, credits: str, year: str, max_credits: float = 50,
@@ -84,7 +84,7 @@ def top_k(df: DataFrame, score: str, order_key: Sequence[str], k: int = TOP_K,
     Usable scores only. The rank is numbered on the k rows that survive the top-k, so the
     window runs on k rows, never on the table.
     """
-    s = numeric_or_null(score)
+    s = as_number(df, score)
     d = df.withColumn("_score", s).where(F.col("_score").isNotNull())
     if where is not None:
         d = d.where(where)
@@ -115,7 +115,7 @@ def sort_listing(df: DataFrame, sort_by: str, roles: dict[str, str], tiebreak: S
     unique tie-break. Spark's ascending default is nulls first, so the null order is explicit."""
     col = roles[sort_by]
     if sort_by == "score":
-        key = numeric_or_null(col).desc_nulls_last()
+        key = as_number(df, col).desc_nulls_last()
     else:
         key = F.col(col).asc_nulls_last()
     return df.orderBy(key, *[F.asc(c) for c in tiebreak])
@@ -177,6 +177,7 @@ def listing_projection(df: DataFrame, preferences: Sequence[tuple[Sequence[str],
     """CS3: for each output label pick the first available source column of its candidate
     list (or the last occurrence when a name repeats) and rename it to the display label."""
     names = df.columns
+    positional = df.toDF(*[f"_c{i}" for i in range(len(names))])  # repeated headers: go by position
     out = []
     for candidates, label in preferences:
         chosen = None
@@ -186,5 +187,5 @@ def listing_projection(df: DataFrame, preferences: Sequence[tuple[Sequence[str],
                 chosen = hits[-1] if last_wins else hits[0]
                 break
         if chosen is not None:
-            out.append(F.col(f"`{names[chosen]}`").alias(label))
-    return df.select(*out)
+            out.append(F.col(f"_c{chosen}").alias(label))
+    return positional.select(*out)
