@@ -100,7 +100,7 @@ DATE_FORMATS = ("d/M/yyyy", "M/d/yyyy", "yyyy-M-d", "d-M-yyyy", "yyyy/M/d")
 def parse_date(c, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """SF1: first format that fits, else null. Invalid dates (31/02) and 2-digit years fail."""
     t = utrim(c)
-    return F.coalesce(*[F.try_to_date(t, F.lit(fmt)) for fmt in formats])
+    return F.coalesce(*[F.try_to_date(t, fmt) for fmt in formats])
 
 
 # ---------------------------------------------------------------- SF3 / SF4

@@ -182,13 +182,13 @@ def classify_inputs(inputs: DataFrame, value: str = "input_value", order: str =
             .withColumn("key", normalize_input(F.col("kind"), F.col(value))))
 
 
-def unpivot_roles(target: DataFrame, roles: dict[str, Sequence[tuple[str, Column]]], row_ord: str,
+def unpivot_roles(target: DataFrame, roles: dict[str, Sequence[tuple[str, Column | str]]], row_ord: str,
                   payload: Sequence[str]) -> DataFrame:
     """Target rows as ``(kind, key, col_ord, row_ord, field, payload...)``, one row per role column."""
     items = []
     for kind, cols in roles.items():
         for i, (field, c) in enumerate(cols):
-            items.append(F.struct(F.lit(kind).alias("kind"), normalize_target(kind, c).alias("key"),
+            items.append(F.struct(F.lit(kind).alias("kind"), normalize_target(kind, as_col(c)).alias("key"),
                                   F.lit(i).alias("col_ord"), F.lit(field).alias("field")))
     return (target.select(F.explode(F.array(*items)).alias("_u"), F.col(row_ord).alias("row_ord"), *payload)
             .select("_u.*", "row_ord", *payload).where(F.col("key").isNotNull()))
