@@ -83,3 +83,36 @@ def item_sets(items: DataFrame, order: list[str]) -> DataFrame:
     return (items.groupBy("kind", "item").agg(first.alias("_first"), F.count(F.lit(1)).alias("n"))
             .select("kind", "item", *[F.col(f"_first.{c}").alias(f"first_{c}") for c in order],
                     F.col("n").cast("bigint").alias("n")))
+
+
+# Header keywords of an uploaded lookup list (lower case).
+HEADER_WORDS = ("họ tên", "mssv", "name", "student")
+
+
+def sniff_lookup_lines(lines: DataFrame, file: str = "file", line_no: str = "line_no",
+                       line: str = "line") -> DataFrame:
+    """SC6: turn the lines of uploaded lookup lists into inputs.
+
+    A line holding a header keyword is skipped wherever it occurs. After the first header
+    of its file, a line with a comma is split, blank parts dropped, and the second part
+    is taken when it is an id (all digits, 6 or more), else the first part; any other line
+    is taken whole. "After the first header" comes from one partial aggregate per file
+    (the first header position) joined back on the file, not from a window over the file.
+    """
+    ln = F.col(line)
+    low = F.lower(ln)
+    is_header = F.lit(False)
+    for w in HEADER_WORDS:
+        is_header = is_header | low.contains(w)
+    flagged = lines.withColumn("_hdr", is_header)
+    first_hdr = (flagged.where("_hdr").groupBy(file)
+                 .agg(F.min(line_no).alias("_first_hdr")))
+    j = flagged.join(first_hdr, file, "left")
+    parts = F.filter(F.transform(F.split(ln, ","), lambda p: utrim(p)), lambda p: p != "")
+    pick = (F.when(F.size(parts) >= 2,
+                   F.when(parts[1].rlike("^[0-9]{6,}$"), parts[1]).otherwise(parts[0]))
+            .when(F.size(parts) == 1, parts[0]))
+    seen = F.col("_first_hdr").isNotNull() & (F.col(line_no) > F.col("_first_hdr"))
+    value = F.when(ln.contains(",") & seen, pick).otherwise(ln)
+    return (j.where(~F.col("_hdr")).select(file, line_no, value.alias("input_value"))
+            .where(F.col("input_value").isNotNull()))
