@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from rollbook.functions import extract as X
 from rollbook.operators import extraction as EX
 from rollbook.plans.registry import register
-from rollbook.session import read_table
+from rollbook.session import read_table, spread
 
 
 def doc_lines(spark, sf):
-    d = read_table(spark, sf, "documents")
+    d = spread(read_table(spark, sf, "documents"))
     return (EX.text_to_lines(d, "text", ["doc_id"])
             .select(F.lit("doc").alias("src"), F.col("doc_id").alias("rec_id"),
                     F.col("line_no").cast("bigint").alias("line_no"), "line"))
@@ -44,7 +44,7 @@ def lines(spark, sf):
                      F.lit(0).cast("bigint").alias("line_no"), F.initcap("p_name").alias("line"))
     dates = o.select(F.lit("orders").alias("src"), F.col("o_orderkey").alias("rec_id"),
                      F.lit(0).cast("bigint").alias("line_no"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("line"))
-    return doc_lines(spark, sf).unionByName(cust).unionByName(parts).unionByName(dates)
+    return spread(doc_lines(spark, sf).unionByName(cust).unionByName(parts).unionByName(dates))
 
 
 TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"

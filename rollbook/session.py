@@ -19,6 +19,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.master(master)
     builder = (builder
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -57,3 +58,20 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def spread(df, factor: int = 2):
+    """Give CPU-heavy per-row work (regular expressions over whole texts) at least
+    ``factor`` x the cluster's parallelism in partitions.
+
+    Small inputs arrive as one file and one row group, i.e. one task; big inputs already
+    have many splits and are left alone, so the round-robin shuffle only happens where
+    the scan itself would leave cores idle. The decision reads plan metadata only.
+    """
+    spark = df.sparkSession
+    try:
+        target = spark.sparkContext.defaultParallelism * factor
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access (Spark Connect): leave it to AQE
+        return df
+    return df.repartition(target) if current < target else df
