@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.similarity import bigram_tokens, length_band, min_shared_bigrams, similarity_ratio
 from rollbook.functions.text import utrim
+from rollbook.session import cut_lineage
 
 FUZZY_THRESHOLD = 0.85
 PAIR_THRESHOLD = 0.6
@@ -99,8 +100,8 @@ def fuzzy_candidates(inputs: DataFrame, targets: DataFrame, threshold: float = F
     b = targets.select("s").distinct().withColumn("len", F.length("s")).where(F.col("len") >= 2)
     all_tokens = (a.select(F.explode(bigram_tokens(F.col("s"))).alias("token"))
                   .unionByName(b.select(F.explode(bigram_tokens(F.col("s"))).alias("token"))))
-    freq = all_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
-    small = freq.count() <= broadcast_limit  # one scalar: the vocabulary size decides the join
+    freq = cut_lineage(all_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
+    small = freq.count() <= broadcast_limit  # the vocabulary size decides the join strategy
     pa = _prefix_tokens(a, freq, threshold, small).withColumnRenamed("s", "a")
     pb = _prefix_tokens(b, freq, threshold, small).withColumnRenamed("s", "b")
     pairs = pa.join(pb, "token", "inner").select("a", "b").distinct()
@@ -147,14 +148,23 @@ def resolve(*phases: DataFrame) -> DataFrame:
 def match_extracted(items: DataFrame, records: DataFrame, fuzzy: bool = True,
                     threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """JN3-JN6 on extracted ``(kind, item, input_order)`` rows (kinds ``mssv`` and ``names``)."""
+    phases = match_phases(items, records, fuzzy, threshold)
+    return resolve(*phases)
+
+
+def match_phases(items: DataFrame, records: DataFrame, fuzzy: bool = True,
+                 threshold: float = FUZZY_THRESHOLD) -> list[DataFrame]:
+    """JN3, JN4 (and JN5) results. Inputs, records and each phase feed several later
+    branches, so they are checkpointed once instead of re-scanned per branch."""
+    items = cut_lineage(items.select("kind", "item", "input_order"))
+    records = cut_lineage(records)
     ids = items.where(F.col("kind") == "mssv").select("item", "input_order")
     names = items.where(F.col("kind") == "names").select("item", "input_order")
-    p1 = match_ids(ids, records)
-    p2 = match_exact_names(names, records, p1)
+    p1 = cut_lineage(match_ids(ids, records))
+    p2 = cut_lineage(match_exact_names(names, records, p1))
     if not fuzzy:
-        return resolve(p1, p2)
-    p3 = match_fuzzy_names(names, records, p1, p2, threshold)
-    return resolve(p1, p2, p3)
+        return [p1, p2]
+    return [p1, p2, match_fuzzy_names(names, records, p1, p2, threshold)]
 
 
 def match_totals(items: DataFrame, matches: DataFrame) -> DataFrame:

@@ -156,11 +156,26 @@ def pages_for(n: int, size: int = PAGE_SIZE) -> int:
 
 # ---------------------------------------------------------------- TK7
 def first_per(df: DataFrame, partition: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """TK7: first row per partition key. Partitioned window: one shuffle on the key."""
+    """TK7: first row per partition key, by a partitioned window (any order expression)."""
     w = Window.partitionBy(*partition).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
+def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
+    """TK7 as an aggregate: per key, the row that is first under ``order`` (a list of
+    ``(numeric column, ascending)``; ties fall to the remaining columns).
+
+    ``min_by`` over the whole row combines map-side (partial aggregation), so a key that
+    holds a third of the table is reduced in every partition before the shuffle instead of
+    being sorted in one task as a window would.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    ordering = F.struct(*[(F.col(c) if asc else -F.col(c)).alias(f"o{i}") for i, (c, asc) in enumerate(order)])
+    row = F.struct(*[F.col(f"`{c}`") for c in rest])
+    return (df.groupBy(*keys).agg(F.min_by(row, ordering).alias("_row"))
+            .select(*keys, *[F.col("_row")[c].alias(c) for c in rest]))
+
+
 # ---------------------------------------------------------------- TK9
 def mixed_sort_keys(value, descending: bool = False) -> list[Column]:
     """TK9: numbers first (numerically), then text; a total order unlike the UI comparator."""

@@ -134,10 +134,9 @@ def outliers(df: DataFrame, score: str, k: float = 1.5, flag_share: float = 5.0,
     sc = scores_only(df, score)
     q = (F.percentile_approx("score", [0.25, 0.75], 10000) if approx
          else F.percentile("score", F.array(F.lit(0.25), F.lit(0.75))))
-    bounds = sc.agg(q.alias("q")).select(
-        (F.col("q")[0] - k * (F.col("q")[1] - F.col("q")[0])).alias("lo"),
-        (F.col("q")[1] + k * (F.col("q")[1] - F.col("q")[0])).alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    quart = sc.agg(q.alias("q")).select("q").scalar()  # one subquery, evaluated once
+    lo = quart[0] - F.lit(k) * (quart[1] - quart[0])
+    hi = quart[1] + F.lit(k) * (quart[1] - quart[0])
     out = sc.agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when((F.col("score") < lo) | (F.col("score") > hi), 1)).alias("outlier_count"),

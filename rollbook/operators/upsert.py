@@ -55,14 +55,14 @@ def classify_import(existing: DataFrame, batch: DataFrame, key: str, order: str,
         ok = ok & _present(c)
     flagged = batch.withColumn("_ok", ok)
     known = existing.select(key).distinct().withColumn("_known", F.lit(True))
-    w = Window.partitionBy(key).orderBy(F.asc(order))
-    valid = flagged.where("_ok").withColumn("_rn", F.row_number().over(w))
-    valid = valid.join(known, key, "left")
+    valid = flagged.where("_ok")
+    first = valid.groupBy(key).agg(F.min(order).alias("_first"))  # partial aggregate: hot keys combine
+    valid = valid.join(first, key, "inner").join(known, key, "left")
     status = (F.when(F.col("_known").isNotNull() & F.lit(skip_existing), F.lit(STATUS_EXISTING))
-              .when(F.col("_rn") > 1, F.lit(STATUS_DUPLICATE))
+              .when(F.col(order) > F.col("_first"), F.lit(STATUS_DUPLICATE))
               .otherwise(F.lit(STATUS_IMPORTED)))
     rejected = flagged.where(~F.col("_ok")).drop("_ok").withColumn("status", F.lit(STATUS_REJECTED))
-    return valid.withColumn("status", status).drop("_ok", "_rn", "_known").unionByName(rejected)
+    return valid.withColumn("status", status).drop("_ok", "_first", "_known").unionByName(rejected)
 
 
 def import_counts(classified: DataFrame) -> DataFrame:
@@ -79,23 +79,29 @@ def apply_import(existing: DataFrame, classified: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- SO4
 def upsert(current: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
     """SO4: keyed upsert, last row wins (incoming after current; within a batch, the larger
-    ``order``). One shuffle on the key; a hot key only costs its own rows."""
+    numeric ``order``). One aggregate on the key with map-side combine, so a key repeated
+    across a third of the rows is collapsed before the shuffle."""
+    from rollbook.operators.ranking import first_by_key
+
     tagged = (current.withColumn("_batch", F.lit(0)).unionByName(incoming.withColumn("_batch", F.lit(1)),
                                                                  allowMissingColumns=True))
-    w = Window.partitionBy(key).orderBy(F.desc("_batch"), F.desc(order))
-    return tagged.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_batch")
+    cols = [c for c in tagged.columns if c != "_batch"]
+    out = first_by_key(tagged, [key], [("_batch", False), (order, False)])
+    return out.select(*cols)
 
 
 # ---------------------------------------------------------------- SO6
 def dedupe_by_key(df: DataFrame, id_col: str, name_col: str, order: Sequence[str]) -> DataFrame:
     """SO6: one row per ``mssv_<id>`` or else ``name_<name>``; rows with neither are dropped;
-    the first row in ``order`` wins."""
+    the first row in ``order`` (numeric columns, ascending) wins; aggregated map-side."""
     idt, nm = utrim(id_col), utrim(name_col)
     k = F.coalesce(F.when(idt != "", F.concat(F.lit("mssv_"), idt)),
                    F.when(nm != "", F.concat(F.lit("name_"), nm)))
-    w = Window.partitionBy("_dedupe_key").orderBy(*order)
-    return (df.withColumn("_dedupe_key", k).where(F.col("_dedupe_key").isNotNull())
-            .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"))
+    from rollbook.operators.ranking import first_by_key
+
+    keyed = df.withColumn("_dedupe_key", k).where(F.col("_dedupe_key").isNotNull())
+    out = first_by_key(keyed, ["_dedupe_key"], [(c, True) for c in order])
+    return out.select(*df.columns, "_dedupe_key")
 
 
 # ---------------------------------------------------------------- SO7

@@ -98,12 +98,7 @@ def jn6_resolve_exact(spark, sf):
 
 @register("jn5_fuzzy_name", "JN5 SF13 UD1")
 def jn5_fuzzy_name(spark, sf):
-    items = compare_inputs(spark, sf)
-    recs = part_records(spark, sf)
-    p1 = M.match_ids(items.where("kind = 'mssv'"), recs)
-    names = items.where("kind = 'names'").select("item", "input_order")
-    p2 = M.match_exact_names(names, recs, p1)
-    return rounded(M.match_fuzzy_names(names, recs, p1, p2))
+    return rounded(M.match_phases(compare_inputs(spark, sf), part_records(spark, sf))[2])
 
 
 @register("jn9_compare_end_to_end", "JN9 JN3 JN4 JN5 JN6 SF7")
@@ -114,7 +109,8 @@ def jn9_compare_end_to_end(spark, sf):
 
 @register("jn9_compare_totals", "JN9")
 def jn9_compare_totals(spark, sf):
-    items = compare_inputs(spark, sf)
+    from rollbook.session import cut_lineage
+    items = cut_lineage(compare_inputs(spark, sf))
     return M.match_totals(items, M.match_extracted(items, part_records(spark, sf)))
 
 

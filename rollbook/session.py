@@ -75,3 +75,10 @@ def spread(df, factor: int = 2):
     except Exception:  # noqa: BLE001 - no RDD access (Spark Connect): leave it to AQE
         return df
     return df.repartition(target) if current < target else df
+
+
+def cut_lineage(df):
+    """Materialise a frame that several branches read, with a *reliable* checkpoint in the
+    shared ``spark.checkpoint.dir`` (survives executor loss; never a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
