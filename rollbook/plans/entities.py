@@ -88,7 +88,7 @@ def jn4_match_exact_name(spark, sf):
     return M.match_exact_names(items.where("kind = 'names'").select("item", "input_order"), recs, p1)
 
 
-@register("jn6_resolve_exact", "JN6", SQL_COMPARE + """
+@register("jn6_resolve_exact", "JN6 UD4", SQL_COMPARE + """
 SELECT student_id, row_ord, input_value, input_order, match_score, match_type FROM (
   SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY match_score DESC, input_order) AS rn
   FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2)) WHERE rn = 1""")

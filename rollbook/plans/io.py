@@ -250,7 +250,7 @@ def cl1_valid_keys(spark, sf):
     return rounded(p.where(TX.is_valid_key("key_text")).drop("num_text"))
 
 
-@register("cl2_clean_numbers", "CL2 CL3 CL5 CL6", SQL_PLANTED + """
+@register("cl2_clean_numbers", "CL2 CL3 CL5 CL6 UD2", SQL_PLANTED + """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 6) AS l_extendedprice,
   CASE WHEN regexp_full_match(regexp_replace(num_text, '^\\s+|\\s+$', '', 'g'),
                               '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')

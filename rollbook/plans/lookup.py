@@ -119,7 +119,7 @@ def typed_matches(spark, sf):
     return SR.typed_lookup(lookup_inputs(spark, sf), lookup_targets(spark, sf), ROLES, "c_custkey", ["c_name"])
 
 
-@register("sr3_batch_lookup", "SR3 TK7 SF4 SR4 SR5 SR6 SR7", SQL_FIRST_HIT + "SELECT * FROM matches")
+@register("sr3_batch_lookup", "SR3 TK7 SF4 SR4 SR5 SR6 SR7 UD4", SQL_FIRST_HIT + "SELECT * FROM matches")
 def sr3_batch_lookup(spark, sf):
     return typed_matches(spark, sf)
 
