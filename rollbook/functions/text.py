@@ -97,10 +97,28 @@ def full_name(first, last, null_safe: bool = True) -> Column:
 DATE_FORMATS = ("d/M/yyyy", "M/d/yyyy", "yyyy-M-d", "d-M-yyyy", "yyyy/M/d")
 
 
+def _date_shape(fmt: str) -> str:
+    """The digit shape a format can parse (1-2 digit day/month, 4-digit year)."""
+    parts = []
+    for ch in fmt:
+        if ch in "dM":
+            if not parts or parts[-1] != "[0-9]{1,2}":
+                parts.append("[0-9]{1,2}")
+        elif ch == "y":
+            if not parts or parts[-1] != "[0-9]{4}":
+                parts.append("[0-9]{4}")
+        else:
+            parts.append("\\" + ch if ch in "/-." else ch)
+    return "^" + "".join(parts) + "$"
+
+
 def parse_date(c, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """SF1: first format that fits, else null. Invalid dates (31/02) and 2-digit years fail."""
+    """SF1: first format that fits, else null. Invalid dates (31/02) and 2-digit years fail.
+
+    Each format is only tried on text of its digit shape: a failed parse is costly inside
+    the JVM's date parser, and most values of a mixed column are not dates at all."""
     t = utrim(c)
-    return F.coalesce(*[F.try_to_date(t, fmt) for fmt in formats])
+    return F.coalesce(*[F.when(t.rlike(_date_shape(fmt)), F.try_to_date(t, fmt)) for fmt in formats])
 
 
 # ---------------------------------------------------------------- SF3 / SF4

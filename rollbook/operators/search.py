@@ -174,12 +174,19 @@ def normalize_target(kind: str, c: Column) -> Column:
     return F.lower(v)
 
 
+NO_KEY = "\u0000"  # never a target key: stands for "unparseable" so the key is never NULL
+
+
 def classify_inputs(inputs: DataFrame, value: str = "input_value", order: str = "input_order") -> DataFrame:
-    """SF4 on a lookup list: blank lines drop out, each input gets ``kind`` and ``key``."""
+    """SF4 on a lookup list: blank lines drop out, each input gets ``kind`` and ``key``.
+
+    The key is non-nullable on purpose: a nullable computed join key makes the optimizer
+    infer an ``isnotnull`` filter and push it below the projection, which evaluates the
+    whole classification a second time per row."""
     v = utrim(value)
     return (inputs.where(v != "")
             .withColumn("kind", input_kind(value))
-            .withColumn("key", normalize_input(F.col("kind"), F.col(value))))
+            .withColumn("key", F.coalesce(normalize_input(F.col("kind"), F.col(value)), F.lit(NO_KEY))))
 
 
 def unpivot_roles(target: DataFrame, roles: dict[str, Sequence[tuple[str, Column | str]]], row_ord: str,
@@ -203,7 +210,9 @@ def typed_lookup(inputs: DataFrame, target: DataFrame, roles: dict[str, Sequence
     The target is reduced to its first row per ``(kind, key)`` by ``min(struct(col_ord,
     row_ord, ...))``, a partial aggregate, before joining, so hot keys never fan out.
     """
-    ins = classify_inputs(inputs, value, order).where(F.col("key").isNotNull())
+    from rollbook.session import spread
+
+    ins = classify_inputs(spread(inputs), value, order)  # inner join drops NULL keys
     u = unpivot_roles(target, roles, row_ord, payload)
     first = (u.groupBy("kind", "key")
              .agg(F.min(F.struct("col_ord", "row_ord", "field", *payload)).alias("_hit"))
@@ -223,14 +232,17 @@ def lookup_all_hits(inputs: DataFrame, target: DataFrame, kind: str, cols: Seque
     SR6 (class) and SR7 (date) return every hit; SR4 (id) keeps the first row per id column
     (``first_per_column=True``); SR5 (name) keeps the first row.
     """
-    ins = (classify_inputs(inputs, value, order).where(F.col("kind") == kind)
-           .select(order, value, "key"))
-    u = unpivot_roles(target, {kind: cols}, row_ord, payload).drop("kind")
+    from rollbook.session import spread
+
+    # the kind is part of the join key rather than a filter on the inputs: a filter on a
+    # computed column is pushed below the projection and would classify every row twice
+    ins = classify_inputs(spread(inputs), value, order).select(order, value, "kind", "key")
+    u = unpivot_roles(target, {kind: cols}, row_ord, payload)
     if first_per_column:
-        u = (u.groupBy("key", "col_ord")
+        u = (u.groupBy("kind", "key", "col_ord")
              .agg(F.min(F.struct("row_ord", "field", *payload)).alias("_hit"))
-             .select("key", "col_ord", "_hit.*"))
-    out = ins.join(u, "key", "inner")
+             .select("kind", "key", "col_ord", "_hit.*"))
+    out = ins.join(u, ["kind", "key"], "inner")
     return out.select(F.col(order).alias("input_order"), F.col(value).alias("input_value"),
                       F.col("field").alias("match_field"), "col_ord", "row_ord", *payload)
 
