@@ -69,8 +69,9 @@ def is_name_line(line, max_len: int = 50, tech_words=TECH_WORDS) -> Column:
     """SF5: 2-5 words, no digit, length 5..max_len, looks like a person's name, no technical word."""
     ln = as_col(line)
     ws = words(ln)
-    shape = ((F.size(ws) >= 2) & (F.size(ws) <= 5) & ~has_digit(ln)
-             & (F.length(ln) >= 5) & (F.length(ln) <= max_len))
+    # cheapest tests first: And short-circuits, so long lines never reach the split
+    shape = ((F.length(ln) >= 5) & (F.length(ln) <= max_len) & ~has_digit(ln)
+             & (F.size(ws) >= 2) & (F.size(ws) <= 5))
     lower = F.lower(ln)
     vi_chars = lower.rlike(f"[{VI_LOWER}]")
     proper = F.forall(ws, _proper_case_word)
@@ -88,8 +89,8 @@ def is_compare_name_line(line) -> Column:
     """
     ln = as_col(line)
     ws = words(ln)
-    return ((F.size(ws) >= 2) & (F.size(ws) <= 5) & ~has_digit(ln)
-            & (F.length(ln) >= 5) & (F.length(ln) <= 40)
+    return ((F.length(ln) >= 5) & (F.length(ln) <= 40) & ~has_digit(ln)
+            & (F.size(ws) >= 2) & (F.size(ws) <= 5)
             & ~F.exists(ws, lambda w: F.lower(w).isin(*TECH_WORDS_SHORT)))
 
 

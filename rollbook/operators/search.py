@@ -28,6 +28,18 @@ REASON_CLASS_PART = "Lớp chứa: "
 SEARCH_TYPES = ("all", "mssv", "name", "class")
 
 
+def keep_scored(df: DataFrame, result: Column, keep) -> DataFrame:
+    """Add the fields of ``result`` (a struct) and keep rows where ``keep(result)`` holds,
+    evaluating the (expensive) result once per row.
+
+    ``withColumn(score).where(score > t)`` lets the optimizer push the filter below the
+    projection with the score expression substituted, i.e. compute it twice. Filtering
+    inside a one-element array and exploding it is opaque to that rewrite.
+    """
+    kept = df.select("*", F.explode(F.filter(F.array(result), keep)).alias("_kept"))
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns], "_kept.*")
+
+
 def _norm(c) -> Column:
     """``str(v).strip().lower()`` with missing and ``nan`` as NULL."""
     v = F.lower(utrim(as_col(c).cast("string")))
@@ -73,9 +85,8 @@ def scored_search(df: DataFrame, query: str, id_cols: Sequence[str], name: Colum
                                   .otherwise(F.concat(F.lit(REASON_CLASS_PART), raw))))
     if not parts:
         parts, reasons = [F.lit(None).cast("double")], [F.lit(None).cast("string")]
-    score = F.greatest(*parts, F.lit(0.0)) if len(parts) > 0 else F.lit(0.0)
-    return (df.withColumn("match_score", score)
-            .where(F.col("match_score") > keep_above)
+    score = F.greatest(*parts, F.lit(0.0))
+    return (keep_scored(df, F.struct(score.alias("match_score")), lambda m: m["match_score"] > keep_above)
             .withColumn("match_details", F.array_compact(F.array(*reasons)))
             .orderBy(*order))
 
@@ -115,10 +126,8 @@ def simple_search(df: DataFrame, query: str, columns: Sequence[str], id_cols: Se
         return df.limit(0).withColumn("match_score", F.lit(None).cast("double")) \
                  .withColumn("match_field", F.lit(None).cast("string"))
     best = F.array_max(_simple_scores(query, columns, id_cols, name_cols))
-    return (df.withColumn("_best", best)
-            .where(F.col("_best.score") >= keep_at_least)
-            .withColumn("match_score", F.col("_best.score"))
-            .withColumn("match_field", F.col("_best.field")).drop("_best")
+    m = F.struct(best["score"].alias("match_score"), best["field"].alias("match_field"))
+    return (keep_scored(df, m, lambda x: x["match_score"] >= keep_at_least)
             .orderBy(F.desc("match_score"), *order))
 
 
@@ -142,8 +151,9 @@ def multi_line_search(df: DataFrame, lines: Sequence[str], columns: Sequence[str
                                         b.field.alias("field"), F.lit(ln).alias("line"))))
     if not per_line:
         return df.limit(0)
-    first = F.array_min(F.array_compact(F.array(*per_line)))
-    hits = df.withColumn("_m", first).where(F.col("_m").isNotNull()).withColumn("_key", key)
+    hits = (df.select("*", F.explode(F.array_compact(F.array(F.array_min(F.array_compact(F.array(*per_line))))))
+                      .alias("_m"))
+            .withColumn("_key", key))
     w = Window.partitionBy("_key").orderBy(F.col("_m.line_order"), F.col("_m.neg_score"), *order)
     return (hits.where(F.col("_key").isNotNull())
             .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
