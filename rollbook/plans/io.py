@@ -135,7 +135,8 @@ def sk3_split_load(spark, sf):
     wide = st.select(F.col("ma_sinh_vien").cast("string").alias("ma_sinh_vien"), "ho_dem", "ten", "lop")
     root = scratch_path(spark, "sk3")
     paths = SK.write_tables(wide, root)
-    return spark.read.parquet(paths["students"]).select("ma_sinh_vien", "ho_dem", "ten", "lop", "khoa")
+    back = SK.read_partitioned(spark, paths["students"], ["khoa"])
+    return back.select("ma_sinh_vien", "ho_dem", "ten", "lop", "khoa")
 
 
 @register("sk4_json_records", "SK4")

@@ -47,7 +47,7 @@ def st2_stream_ingest(spark, sf):
     base = CH.current(spark, sf).withColumn("clerk", F.lit(None).cast("string")) \
              .select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "clerk", "ord")
     src = _incoming_from(_stream(spark, sf, "orders"))
-    _, root = ST.ingest_stream(spark, src, "o_orderkey", base, required=["clerk"])
+    _, root = ST.ingest_stream(spark, src, "o_orderkey", base, required=["clerk"], order="ord")
     return rounded(spark.read.parquet(root).drop("batch"))
 
 

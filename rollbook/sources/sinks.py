@@ -85,6 +85,17 @@ def write_tables(wide: DataFrame, root: str, cohort_width: int | None = 2) -> di
     return paths
 
 
+def read_partitioned(spark, path: str, text_partitions: list[str]) -> DataFrame:
+    """Read a partitioned table keeping the named partition columns as text (cohort ``05``
+    must not come back as the number 5)."""
+    from pyspark.sql import types as T
+
+    inferred = spark.read.parquet(path).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in text_partitions else f
+                           for f in inferred.fields])
+    return spark.read.schema(schema).parquet(path)
+
+
 def json_records(df: DataFrame, keep_nulls: bool = True) -> DataFrame:
     """SK4: each row as one JSON object text (nulls written as ``null`` by default)."""
     opts = {"ignoreNullFields": "false"} if keep_nulls else {}

@@ -2,15 +2,16 @@
 
 * ST1 ``kpi_stream``: continuously refreshed per-class metrics (complete mode). Only
   aggregates with bounded state are used (count, sums, min, max); exact distinct counts
-  are not allowed on a stream, so the distinct-user count is the sketch.
-* ST2 ``ingest_stream``: drop-folder ingest; normalise, de-duplicate, skip known keys and
-  append through ``foreachBatch``. Each micro-batch writes its own ``batch=<id>``
-  partition in overwrite mode, so a replayed batch (after a failure) rewrites the same
-  files instead of appending twice.
+  are refused on a stream (use ``approx_count_distinct`` there).
+* ST2 ``ingest_stream``: drop-folder ingest; normalise, de-duplicate each micro-batch,
+  skip known keys and append through ``foreachBatch``. Each micro-batch writes its own
+  ``batch=<id>`` partition in overwrite mode, so a replayed batch (after a failure)
+  rewrites the same files instead of appending twice.
 * ST3 ``change_log_stream``: previous and new value per key from an update feed with
   ``applyInPandasWithState``; the state per key is one row (the last value). Within a
   micro-batch the rows of a key are ordered by time; across micro-batches arrival order
-  defines "previous".
+  defines "previous". A key's rows of one micro-batch are handled together, so the trigger
+  size (``maxFilesPerTrigger``) bounds the work of a hot key per call.
 
 All checkpoints and outputs live under the session's ``spark.checkpoint.dir``.
 """
@@ -71,15 +72,21 @@ def kpi_stream(spark: SparkSession, source: DataFrame, klass: str, score: str, p
 
 
 # ---------------------------------------------------------------- ST2
+BROADCAST_KEYS = 5_000_000  # a micro-batch's distinct keys are broadcast below this count
+
+
 def ingest_stream(spark: SparkSession, source: DataFrame, key: str, base: DataFrame,
-                  required: Sequence[str] = (), out_root: str | None = None,
+                  required: Sequence[str] = (), order: str | None = None, out_root: str | None = None,
                   checkpoint: str | None = None, available_now: bool = True):
     """ST2: append new rows (required fields present, key not known yet) to a table.
 
-    ``base`` is written once as ``batch=base``; every micro-batch is de-duplicated on the
-    key, anti-joined with everything written before it and written as ``batch=<id>``.
+    ``base`` is written once as ``batch=base``. There is no streaming de-duplication state
+    (it would keep every key ever seen): each micro-batch is de-duplicated on its own (first
+    row by ``order``), its keys are looked up in the table written so far, and the new rows
+    are written as ``batch=<id>`` in overwrite mode, so a replayed batch is idempotent.
     """
     from rollbook.functions.text import utrim
+    from rollbook.operators.ranking import first_by_key
 
     out_root = out_root or scratch_path(spark, "st2-table")
     checkpoint = checkpoint or scratch_path(spark, "st2-ckpt")
@@ -87,13 +94,19 @@ def ingest_stream(spark: SparkSession, source: DataFrame, key: str, base: DataFr
     cleaned = source
     for c in required:
         cleaned = cleaned.where(F.coalesce(utrim(c) != "", F.lit(False)))
-    cleaned = cleaned.dropDuplicates([key])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         tag = f"b{batch_id:012d}"
-        known = (spark.read.parquet(out_root).where(F.col("batch") != tag).select(key).distinct())
-        new = batch.join(known, key, "left_anti")
+        batch = (first_by_key(batch, [key], [(order, True)]) if order else batch.dropDuplicates([key]))
+        batch = batch.persist()
+        keys = batch.select(key).distinct()
+        table = spark.read.parquet(out_root).where(F.col("batch") != tag).select(key)
+        # only the table rows whose key occurs in this batch: a semi join against the
+        # batch's keys (broadcast when their counted size allows) instead of a full shuffle
+        known = table.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, "left_semi")
+        new = batch.join(known.distinct(), key, "left_anti")
         new.write.mode("overwrite").parquet(f"{out_root}/batch={tag}")
+        batch.unpersist()
 
     w = cleaned.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     q = w.trigger(availableNow=True).start() if available_now else w.start()
