@@ -234,19 +234,29 @@ def typed_lookup(inputs: DataFrame, target: DataFrame, roles: dict[str, Sequence
     ).orderBy("input_order")
 
 
+def distinct_inputs(inputs: DataFrame, value: str = "input_value", order: str = "input_order") -> DataFrame:
+    """SO5 on a lookup list: each distinct (trimmed) value once, at its first position."""
+    t = utrim(value)
+    return (inputs.where(t != "").groupBy(t.alias("_v"))
+            .agg(F.min(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("_f"))
+            .select(F.col("_f.o").alias(order), F.col("_f.v").alias(value)))
+
+
 def lookup_all_hits(inputs: DataFrame, target: DataFrame, kind: str, cols: Sequence[tuple[str, Column]],
                     row_ord: str, payload: Sequence[str], first_per_column: bool = False,
                     value: str = "input_value", order: str = "input_order") -> DataFrame:
     """SR4-SR7 individually: inputs of one kind against that kind's columns.
 
     SR6 (class) and SR7 (date) return every hit; SR4 (id) keeps the first row per id column
-    (``first_per_column=True``); SR5 (name) keeps the first row.
+    (``first_per_column=True``); SR5 (name) keeps the first row. Inputs are de-duplicated
+    first, so a value repeated by many inputs does not repeat its (possibly large) hit list.
     """
     from rollbook.session import spread
 
     # the kind is part of the join key rather than a filter on the inputs: a filter on a
     # computed column is pushed below the projection and would classify every row twice
-    ins = classify_inputs(spread(inputs), value, order).select(order, value, "kind", "key")
+    ins = classify_inputs(spread(distinct_inputs(inputs, value, order)), value, order) \
+        .select(order, value, "kind", "key")
     u = unpivot_roles(target, {kind: cols}, row_ord, payload)
     if first_per_column:
         u = (u.groupBy("kind", "key", "col_ord")

@@ -9,6 +9,8 @@ are spelled in SQL (``SQL_*``) so the DuckDB oracle reads exactly the same rows.
   cumulative  <- orders with status 'F' from 2000-07-01: gpa4 = o_totalprice / 125000,
                  note = o_orderpriority, credits = floor(o_totalprice / 5000),
                  year of study = year(o_orderdate) - 1997
+  Score tables are keyed by student like the upsert (SO4) keys them: the latest order
+  (highest order key) per customer is the current record.
   gradebook   <- lineitem: class l_suppkey, score10 = l_quantity / 5, gpa4 = l_quantity / 12.5
   roster      <- part: id p_partkey, name p_name, class p_brand, score10 = p_size / 5
 """
@@ -42,35 +44,46 @@ SQL_STUDENTS = """students AS (
   FROM customer)"""
 
 
+def _latest_per_student(df: DataFrame, ref: str) -> DataFrame:
+    from rollbook.operators.ranking import first_by_key
+    return first_by_key(df, ["ma_sinh_vien"], [(ref, False)]).select(*df.columns)
+
+
 def semester(spark: SparkSession, sf: str) -> DataFrame:
     o = read_table(spark, sf, "orders")
-    return (o.where((F.col("o_orderstatus") == "P") & (F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz")))
-            .select(F.col("o_custkey").alias("ma_sinh_vien"),
-                    (F.col("o_totalprice") / F.lit(50000.0)).alias("diem_10"),
-                    F.col("o_orderkey").alias("sem_ref")))
+    return _latest_per_student(
+        o.where((F.col("o_orderstatus") == "P") & (F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz")))
+        .select(F.col("o_custkey").alias("ma_sinh_vien"),
+                (F.col("o_totalprice") / F.lit(50000.0)).alias("diem_10"),
+                F.col("o_orderkey").alias("sem_ref")), "sem_ref")
 
 
 SQL_SEMESTER = """semester AS (
-  SELECT o_custkey AS ma_sinh_vien, o_totalprice / CAST(50000 AS DOUBLE) AS diem_10, o_orderkey AS sem_ref
-  FROM orders WHERE o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '2001-01-01')"""
+  SELECT ma_sinh_vien, diem_10, sem_ref FROM (
+    SELECT o_custkey AS ma_sinh_vien, o_totalprice / CAST(50000 AS DOUBLE) AS diem_10, o_orderkey AS sem_ref,
+           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn
+    FROM orders WHERE o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '2001-01-01') WHERE rn = 1)"""
 
 
 def cumulative(spark: SparkSession, sf: str) -> DataFrame:
     o = read_table(spark, sf, "orders")
-    return (o.where((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") >= F.lit("2000-07-01").cast("timestamp_ntz")))
-            .select(F.col("o_custkey").alias("ma_sinh_vien"),
-                    (F.col("o_totalprice") / F.lit(125000.0)).alias("diem_4_tich_luy"),
-                    F.col("o_orderpriority").alias("ghi_chu"),
-                    F.floor(F.col("o_totalprice") / F.lit(5000.0)).cast("bigint").alias("so_tc_tich_luy"),
-                    (F.year("o_orderdate") - F.lit(1997)).cast("bigint").alias("nam_thu"),
-                    F.col("o_orderkey").alias("cum_ref")))
+    return _latest_per_student(
+        o.where((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") >= F.lit("2000-07-01").cast("timestamp_ntz")))
+        .select(F.col("o_custkey").alias("ma_sinh_vien"),
+                (F.col("o_totalprice") / F.lit(125000.0)).alias("diem_4_tich_luy"),
+                F.col("o_orderpriority").alias("ghi_chu"),
+                F.floor(F.col("o_totalprice") / F.lit(5000.0)).cast("bigint").alias("so_tc_tich_luy"),
+                (F.year("o_orderdate") - F.lit(1997)).cast("bigint").alias("nam_thu"),
+                F.col("o_orderkey").alias("cum_ref")), "cum_ref")
 
 
 SQL_CUMULATIVE = """cumulative AS (
-  SELECT o_custkey AS ma_sinh_vien, o_totalprice / CAST(125000 AS DOUBLE) AS diem_4_tich_luy,
-         o_orderpriority AS ghi_chu, CAST(floor(o_totalprice / CAST(5000 AS DOUBLE)) AS BIGINT) AS so_tc_tich_luy,
-         CAST(year(o_orderdate) - 1997 AS BIGINT) AS nam_thu, o_orderkey AS cum_ref
-  FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '2000-07-01')"""
+  SELECT ma_sinh_vien, diem_4_tich_luy, ghi_chu, so_tc_tich_luy, nam_thu, cum_ref FROM (
+    SELECT o_custkey AS ma_sinh_vien, o_totalprice / CAST(125000 AS DOUBLE) AS diem_4_tich_luy,
+           o_orderpriority AS ghi_chu, CAST(floor(o_totalprice / CAST(5000 AS DOUBLE)) AS BIGINT) AS so_tc_tich_luy,
+           CAST(year(o_orderdate) - 1997 AS BIGINT) AS nam_thu, o_orderkey AS cum_ref,
+           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn
+    FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '2000-07-01') WHERE rn = 1)"""
 
 
 def gradebook(spark: SparkSession, sf: str) -> DataFrame:

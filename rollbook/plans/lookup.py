@@ -132,12 +132,20 @@ def sr8_coverage(spark, sf):
     return SR.coverage(lookup_inputs(spark, sf), typed_matches(spark, sf))
 
 
+SQL_DISTINCT_KEYED = SQL_KEYED.replace(
+    "cls AS (SELECT input_order, input_value, " + TRIM.format('input_value') + " AS t FROM inputs),",
+    "dins AS (SELECT arg_min(input_order, input_order) AS input_order, arg_min(input_value, input_order) AS input_value"
+    " FROM inputs WHERE " + TRIM.format('input_value') + " <> '' GROUP BY " + TRIM.format('input_value') + "),\n"
+    "cls AS (SELECT input_order, input_value, " + TRIM.format('input_value') + " AS t FROM dins),")
+
+
 def _by_kind(kind_sql: str, first: bool) -> str:
     hits = f"(SELECT * FROM tgt WHERE kind = '{kind_sql}' AND key IS NOT NULL)"
     if first:
         hits = (f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, col_ord ORDER BY row_ord) AS rn "
                 f"FROM {hits}) WHERE rn = 1)")
-    return SQL_KEYED + f"""
+    assert SQL_DISTINCT_KEYED != SQL_KEYED
+    return SQL_DISTINCT_KEYED + f"""
 SELECT k.input_order, k.input_value, h.field AS match_field, h.col_ord, h.row_ord, h.c_name
 FROM keyed k JOIN {hits} h ON k.key = h.key WHERE k.kind = '{kind_sql}'"""
 

@@ -4,8 +4,10 @@ Canonical frames (see FIXTURES.md):
   students    (ma_sinh_vien, ho_dem, ten, lop, ...)
   semester    (ma_sinh_vien, diem_10, ...)
   cumulative  (ma_sinh_vien, diem_4_tich_luy, ghi_chu, so_tc_tich_luy, nam_thu, ...)
-The score tables may hold several rows per student (nothing keys them), so the star join
-fans out exactly like the SQL view it mirrors.
+The star join expects score tables keyed by student (one current row each, as the upsert
+SO4 leaves them; ``keyed`` below does it for raw tables). On unkeyed tables a student with
+m semester and n cumulative rows would come out m*n times, which for a hot key is an
+all-pairs blow-up; keying first keeps the view 1:1:1.
 """
 
 from __future__ import annotations
@@ -20,6 +22,12 @@ KEY = "ma_sinh_vien"
 GPA = "diem_4_tich_luy"
 
 
+def keyed(scores: DataFrame, order: str) -> DataFrame:
+    """One current row per student: the highest ``order`` (an aggregate, combined map-side)."""
+    from rollbook.operators.ranking import first_by_key
+    return first_by_key(scores, [KEY], [(order, False)]).select(*scores.columns)
+
+
 def student_summary(students: DataFrame, semester: DataFrame, cumulative: DataFrame,
                     warning_pattern: str = f"%{L.STATUS_WARNING}%",
                     withdrawn_pattern: str = f"%{L.STATUS_WITHDRAWN}%") -> DataFrame:
