@@ -102,9 +102,17 @@ def fuzzy_candidates(inputs: DataFrame, targets: DataFrame, threshold: float = F
                   .unionByName(b.select(F.explode(bigram_tokens(F.col("s"))).alias("token"))))
     freq = cut_lineage(all_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
     small = freq.count() <= broadcast_limit  # the vocabulary size decides the join strategy
-    pa = _prefix_tokens(a, freq, threshold, small).withColumnRenamed("s", "a")
-    pb = _prefix_tokens(b, freq, threshold, small).withColumnRenamed("s", "b")
-    pairs = pa.join(pb, "token", "inner").select("a", "b").distinct()
+    t = float(threshold)
+    lo_f, hi_f = t / (2 - t), (2 - t) / t
+    # inputs: every prefix token once per partner length inside the length band, so the
+    # join key (token, partner length) only ever pairs strings that can reach the ratio
+    pa = (_prefix_tokens(a, freq, threshold, small).join(a.select("s", "len"), "s")
+          .select(F.col("s").alias("a"), "token",
+                  F.explode(F.sequence(F.ceil(F.col("len") * F.lit(lo_f) - F.lit(1e-9)).cast("int"),
+                                       F.floor(F.col("len") * F.lit(hi_f) + F.lit(1e-9)).cast("int"))).alias("lb")))
+    pb = (_prefix_tokens(b, freq, threshold, small).join(b.select("s", "len"), "s")
+          .select(F.col("s").alias("b"), "token", F.col("len").cast("int").alias("lb")))
+    pairs = pa.join(pb, ["token", "lb"], "inner").select("a", "b").distinct()
     return (pairs.withColumn("la", F.length("a")).withColumn("lb", F.length("b"))
             .where(length_band("la", "lb", threshold)).select("a", "b"))
 

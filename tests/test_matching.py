@@ -81,3 +81,29 @@ def test_pair_score(spark):
     out = [r.match_type for r in M.pair_score(pairs, "i", "id", "n").collect()]
     assert out == ["mssv_exact", "name_fuzzy", "no_match"]
     assert F is not None
+
+
+def test_jn5_on_tables_matches_brute_force(spark):
+    from conftest import SF_SMALL
+    from rollbook.plans import entities as EN
+
+    items = [(r.kind, r.item, r.input_order) for r in EN.compare_inputs(spark, SF_SMALL).collect()]
+    recs = [(r.row_ord, r.student_id, r.full_name) for r in EN.part_records(spark, SF_SMALL).collect()]
+    id_hits = {i for k, i, _ in items if k == "mssv"} & {sid for _, sid, _ in recs}
+    eligible = sorted((ro, name) for ro, sid, name in recs if sid not in id_hits)
+    names = {n for _, n in eligible}
+    want = {}
+    for kind, item, order in items:
+        q = item.strip().lower()
+        if kind != "names" or q in names:
+            continue
+        best = None
+        for ro, name in eligible:
+            r = ratio_py(q, name)
+            if r >= 0.85 and (best is None or r > best[0]):
+                best = (r, ro)
+        if best:
+            want[item] = (round(best[0], 6), best[1])
+    got = {r.input_value: (round(r.match_score, 6), r.row_ord)
+           for r in EN.jn5_fuzzy_name(spark, SF_SMALL).collect()}
+    assert got == want and want
