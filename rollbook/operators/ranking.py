@@ -24,10 +24,6 @@ SEARCH_CAP = 100
 TOP_K = 10
 
 
-def _ordered(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
-    return df.orderBy(*keys)
-
-
 # ---------------------------------------------------------------- PF2 / PF3 / TK8
 def text_search(df: DataFrame, query: str, columns: Sequence[str] | None = None,
                 order: Sequence[str] = (), cap: int | None = SEARCH_CAP, regex: bool = False) -> DataFrame:

@@ -17,11 +17,6 @@ from rollbook.functions import labels as L
 from rollbook.functions.text import as_col, numeric_or_null
 
 
-def _pct(cond: Column) -> Column:
-    """Share of rows (in %) meeting ``cond``; null-free because ``cond`` is on a non-null score."""
-    return F.avg(F.when(cond, 1.0).otherwise(0.0)) * 100
-
-
 def _is_text(df: DataFrame, c: str) -> bool:
     return isinstance(c, str) and c in df.columns and df.schema[c].dataType.simpleString() == "string"
 

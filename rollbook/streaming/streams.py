@@ -55,8 +55,10 @@ def kpi_aggregate(df: DataFrame, klass: str, score: str, pass_mark: float) -> Da
 
 
 def kpi_stream(spark: SparkSession, source: DataFrame, klass: str, score: str, pass_mark: float,
-               out_path: str | None = None, checkpoint: str | None = None, available_now: bool = True):
-    """ST1: run the metrics over a stream; each trigger rewrites the snapshot at ``out_path``."""
+               out_path: str | None = None, checkpoint: str | None = None, available_now: bool = True,
+               refresh_seconds: int = 30):
+    """ST1: run the metrics over a stream; each trigger rewrites the snapshot at ``out_path``.
+    Running continuously it refreshes every ``refresh_seconds`` (the dashboard's 30 s poll)."""
     out_path = out_path or scratch_path(spark, "st1-out")
     checkpoint = checkpoint or scratch_path(spark, "st1-ckpt")
     agg = kpi_aggregate(source, klass, score, pass_mark)
@@ -65,7 +67,8 @@ def kpi_stream(spark: SparkSession, source: DataFrame, klass: str, score: str, p
         batch.write.mode("overwrite").parquet(out_path)
 
     w = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
-    q = w.trigger(availableNow=True).start() if available_now else w.start()
+    q = (w.trigger(availableNow=True).start() if available_now
+         else w.trigger(processingTime=f"{refresh_seconds} seconds").start())
     if available_now:
         drain(q)
     return q, out_path
