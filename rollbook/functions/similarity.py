@@ -25,14 +25,30 @@ def ratio_py(a: str | None, b: str | None) -> float | None:
     return SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio_py(x, y) for x, y in zip(a, b)], dtype="float64")
+def _make_ratio_udf():
+    """The Arrow-batched UDF, built from a closure so it is shipped to the Python workers by
+    value (it needs only the standard library and pandas there, not this package)."""
+
+    def ratio_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher as _SM
+
+        import pandas as _pd
+
+        return _pd.Series([None if x is None or y is None else _SM(None, x, y).ratio() for x, y in zip(a, b)],
+                          dtype="float64")
+
+    return F.pandas_udf(ratio_batch, T.DoubleType())
+
+
+_RATIO_UDF = None
 
 
 def similarity_ratio(a, b) -> Column:
     """SF13 over two string columns (null if either is null)."""
-    return _ratio_udf(as_col(a), as_col(b))
+    global _RATIO_UDF
+    if _RATIO_UDF is None:
+        _RATIO_UDF = _make_ratio_udf()
+    return _RATIO_UDF(as_col(a), as_col(b))
 
 
 def length_band(len_a, len_b, threshold: float) -> Column:
