@@ -46,10 +46,11 @@ def widen_union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- SO3
 def classify_import(existing: DataFrame, batch: DataFrame, key: str, order: str,
-                    required: Sequence[str], skip_existing: bool = True) -> DataFrame:
+                    required: Sequence[str], skip_duplicates: bool = True) -> DataFrame:
     """SO3: status of every row of an import batch: rejected (a required field missing),
     skipped because the key exists, skipped because an earlier row of the same batch had
-    the key (the table grows while importing), else imported."""
+    the key (the table grows while importing), else imported. With ``skip_duplicates``
+    off there is no key check at all and every complete row is imported."""
     ok = F.lit(True)
     for c in required:
         ok = ok & _present(c)
@@ -58,7 +59,8 @@ def classify_import(existing: DataFrame, batch: DataFrame, key: str, order: str,
     valid = flagged.where("_ok")
     first = valid.groupBy(key).agg(F.min(order).alias("_first"))  # partial aggregate: hot keys combine
     valid = valid.join(first, key, "inner").join(known, key, "left")
-    status = (F.when(F.col("_known").isNotNull() & F.lit(skip_existing), F.lit(STATUS_EXISTING))
+    status = (F.when(F.lit(not skip_duplicates), F.lit(STATUS_IMPORTED))
+              .when(F.col("_known").isNotNull(), F.lit(STATUS_EXISTING))
               .when(F.col(order) > F.col("_first"), F.lit(STATUS_DUPLICATE))
               .otherwise(F.lit(STATUS_IMPORTED)))
     rejected = flagged.where(~F.col("_ok")).drop("_ok").withColumn("status", F.lit(STATUS_REJECTED))

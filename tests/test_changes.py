@@ -24,6 +24,9 @@ def test_batch_duplicate_second_skipped(spark):
                                   "k string, name string, ord long")
     st = {r.ord: r.status for r in U.classify_import(cur, batch, "k", "ord", ["k", "name"]).collect()}
     assert st == {1: "imported", 2: "skipped_duplicate", 3: "skipped_existing", 4: "rejected"}
+    loose = {r.ord: r.status for r in U.classify_import(cur, batch, "k", "ord", ["k", "name"],
+                                                         skip_duplicates=False).collect()}
+    assert loose == {1: "imported", 2: "imported", 3: "imported", 4: "rejected"}
 
 
 def test_dedupe_by_key(spark):
