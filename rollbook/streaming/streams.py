@@ -30,12 +30,18 @@ from rollbook.session import scratch_path
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType,
-                max_files_per_trigger: int | None = None) -> DataFrame:
-    """A parquet file stream over ``folder``, restricted to files named ``name``."""
+                max_files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
+    """A file stream over ``folder``, restricted to files matching ``name`` (a glob).
+
+    ``fmt="csv"`` reads a drop folder of uploads: header line, explicit schema (bound by
+    position), PERMISSIVE mode, UTF-8."""
     r = spark.readStream.schema(schema).option("pathGlobFilter", name)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(folder)
+    if fmt == "csv":
+        return (r.option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
+                .option("encoding", "UTF-8").csv(folder))
+    return r.format(fmt).load(folder)
 
 
 def drain(query) -> None:

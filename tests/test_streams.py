@@ -38,3 +38,24 @@ def test_ingest_stream_skips_known_keys(spark):
     table = spark.read.parquet(root)
     assert table.count() == orders.count()
     assert table.select("o_orderkey").distinct().count() == orders.count()
+
+
+def test_csv_drop_folder_ingest(spark):
+    import os
+    import tempfile
+
+    from pyspark.sql import types as T
+
+    drop = tempfile.mkdtemp()
+    for i, body in enumerate(["mssv,ho_ten\n2001200001,An\n2001200002,Binh\n",
+                              "mssv,ho_ten\n2001200002,Binh again\n2001200003,\n2001200004,Dung\n"]):
+        with open(os.path.join(drop, f"upload{i}.csv"), "w", encoding="utf-8") as f:
+            f.write(body)
+    with open(os.path.join(drop, "notes.txt"), "w") as f:
+        f.write("ignored")
+    schema = T.StructType([T.StructField("mssv", T.StringType()), T.StructField("ho_ten", T.StringType())])
+    base = spark.createDataFrame([("2001200001", "An")], schema)
+    src = ST.file_stream(spark, drop, "*.csv", schema, max_files_per_trigger=1, fmt="csv")
+    _, root = ST.ingest_stream(spark, src, "mssv", base, required=["ho_ten"])
+    got = sorted((r.mssv, r.ho_ten) for r in spark.read.parquet(root).collect())
+    assert got == [("2001200001", "An"), ("2001200002", "Binh"), ("2001200004", "Dung")]
