@@ -86,9 +86,9 @@ def scored_search(df: DataFrame, query: str, id_cols: Sequence[str], name: Colum
     if not parts:
         parts, reasons = [F.lit(None).cast("double")], [F.lit(None).cast("string")]
     score = F.greatest(*parts, F.lit(0.0))
-    return (keep_scored(df, F.struct(score.alias("match_score")), lambda m: m["match_score"] > keep_above)
-            .withColumn("match_details", F.array_compact(F.array(*reasons)))
-            .orderBy(*order))
+    out = (keep_scored(df, F.struct(score.alias("match_score")), lambda m: m["match_score"] > keep_above)
+           .withColumn("match_details", F.array_compact(F.array(*reasons))))
+    return out.orderBy(*order) if order else out
 
 
 # ---------------------------------------------------------------- SR2
