@@ -4,6 +4,7 @@ import math
 import random
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from rollbook.operators import stats as S
 
@@ -57,3 +58,14 @@ def test_outliers(spark):
     df = spark.createDataFrame([(float(v),) for v in [1, 2, 2, 3, 3, 3, 4, 4, 5, 40]], "s double")
     r = S.outliers(df, "s").first()
     assert r.outlier_count == 1 and r.outlier_flag
+
+
+def test_approx_paths_close_to_exact(spark):
+    rnd = random.Random(9)
+    vals = [rnd.uniform(0, 10) for _ in range(5000)]
+    df = spark.createDataFrame([(v,) for v in vals], "s double")
+    exact = S.describe_scores(df, "s").first()
+    approx = S.describe_scores(df, "s", approx=True).first()
+    assert abs(exact.q1 - approx.q1) < 0.05 and abs(exact.q3 - approx.q3) < 0.05
+    k = S.kpi(df.withColumn("c", (F.col("s") * 100).cast("int")), "s", "c", approx_distinct=True).first()
+    assert abs(k.total_classes - 1001) < 60
