@@ -27,7 +27,6 @@ from rollbook.session import cut_lineage
 
 FUZZY_THRESHOLD = 0.85
 PAIR_THRESHOLD = 0.6
-BROADCAST_TOKENS = 2_000_000  # vocabulary rows under which the token-frequency table is broadcast
 
 TYPE_ID = "mssv_exact"
 TYPE_NAME = "name_exact_combined"
@@ -69,14 +68,13 @@ def match_exact_names(names: DataFrame, records: DataFrame, exclude: DataFrame)
 
 
 # ---------------------------------------------------------------- JN5
-def _prefix_tokens(strings: DataFrame, freq: DataFrame, threshold: float, broadcast_freq: bool) -> DataFrame:
+def _prefix_tokens(strings: DataFrame, freq: DataFrame, threshold: float) -> DataFrame:
     """Each string's rarest ``|tokens| - o_min + 1`` bigram tokens (o_min: the least overlap
     any partner inside the length band must have)."""
     t = threshold
     band = t / (2 - t)
     toks = strings.select("s", "len", F.explode(bigram_tokens(F.col("s"))).alias("token"))
-    f = F.broadcast(freq) if broadcast_freq else freq
-    ranked = toks.join(f, "token", "inner")
+    ranked = toks.join(freq, "token", "inner")
     # o_min(len) = min_shared_bigrams(len + ceil(len * band), t), computed in SQL terms
     t_min = F.col("len") + F.ceil(F.col("len") * F.lit(band) - F.lit(1e-9))
     o_min = F.greatest(F.ceil((F.lit(1.5 * t - 1.0) * t_min - F.lit(1.0)) - F.lit(1e-9)), F.lit(0))
@@ -86,8 +84,7 @@ def _prefix_tokens(strings: DataFrame, freq: DataFrame, threshold: float, broadc
             .where(F.col("_rk") <= n_tok - o_min + 1).select("s", "token"))
 
 
-def fuzzy_candidates(inputs: DataFrame, targets: DataFrame, threshold: float = FUZZY_THRESHOLD,
-                     broadcast_limit: int = BROADCAST_TOKENS) -> DataFrame:
+def fuzzy_candidates(inputs: DataFrame, targets: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """Distinct ``(a, b)`` string pairs that can reach ``ratio(a, b) >= threshold``.
 
     ``inputs``/``targets`` hold a column ``s`` of distinct strings. Lossless for thresholds
@@ -100,17 +97,18 @@ def fuzzy_candidates(inputs: DataFrame, targets: DataFrame, threshold: float = F
     b = targets.select("s").distinct().withColumn("len", F.length("s")).where(F.col("len") >= 2)
     all_tokens = (a.select(F.explode(bigram_tokens(F.col("s"))).alias("token"))
                   .unionByName(b.select(F.explode(bigram_tokens(F.col("s"))).alias("token"))))
-    freq = cut_lineage(all_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
-    small = freq.count() <= broadcast_limit  # the vocabulary size decides the join strategy
+    # the vocabulary of distinct strings' bigrams: AQE sees its real size at run time and
+    # broadcasts it when small; nothing is forced either way
+    freq = all_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
     t = float(threshold)
     lo_f, hi_f = t / (2 - t), (2 - t) / t
     # inputs: every prefix token once per partner length inside the length band, so the
     # join key (token, partner length) only ever pairs strings that can reach the ratio
-    pa = (_prefix_tokens(a, freq, threshold, small).join(a.select("s", "len"), "s")
+    pa = (_prefix_tokens(a, freq, threshold).join(a.select("s", "len"), "s")
           .select(F.col("s").alias("a"), "token",
                   F.explode(F.sequence(F.ceil(F.col("len") * F.lit(lo_f) - F.lit(1e-9)).cast("int"),
                                        F.floor(F.col("len") * F.lit(hi_f) + F.lit(1e-9)).cast("int"))).alias("lb")))
-    pb = (_prefix_tokens(b, freq, threshold, small).join(b.select("s", "len"), "s")
+    pb = (_prefix_tokens(b, freq, threshold).join(b.select("s", "len"), "s")
           .select(F.col("s").alias("b"), "token", F.col("len").cast("int").alias("lb")))
     pairs = pa.join(pb, ["token", "lb"], "inner").select("a", "b").distinct()
     return (pairs.withColumn("la", F.length("a")).withColumn("lb", F.length("b"))
@@ -162,14 +160,15 @@ def match_extracted(items: DataFrame, records: DataFrame, fuzzy: bool = True,
 
 def match_phases(items: DataFrame, records: DataFrame, fuzzy: bool = True,
                  threshold: float = FUZZY_THRESHOLD) -> list[DataFrame]:
-    """JN3, JN4 (and JN5) results. Inputs, records and each phase feed several later
-    branches, so they are checkpointed once instead of re-scanned per branch."""
+    """JN3, JN4 (and JN5) results. Inputs and records feed every later branch, so they are
+    checkpointed once instead of re-scanned per branch; the phase results are short joins
+    over those checkpoints and are recomputed where reused."""
     items = cut_lineage(items.select("kind", "item", "input_order"))
     records = cut_lineage(records)
     ids = items.where(F.col("kind") == "mssv").select("item", "input_order")
     names = items.where(F.col("kind") == "names").select("item", "input_order")
-    p1 = cut_lineage(match_ids(ids, records))
-    p2 = cut_lineage(match_exact_names(names, records, p1))
+    p1 = match_ids(ids, records)
+    p2 = match_exact_names(names, records, p1)
     if not fuzzy:
         return [p1, p2]
     return [p1, p2, match_fuzzy_names(names, records, p1, p2, threshold)]
