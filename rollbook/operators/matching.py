@@ -143,12 +143,13 @@ def match_fuzzy_names(names: DataFrame, records: DataFrame, exclude: DataFrame,
 def resolve(*phases: DataFrame) -> DataFrame:
     """JN6: one row per record: best score, then the earliest input. Each input matched at
     most one record in its phase, so the result never exceeds the number of inputs."""
+    from rollbook.operators.ranking import first_by_key
+
     u = phases[0]
     for p in phases[1:]:
         u = u.unionByName(p)
-    w = Window.partitionBy("student_id").orderBy(F.desc("match_score"), F.asc("input_order"))
-    return (u.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-            .orderBy(F.desc("match_score"), F.asc("input_order")))
+    best = first_by_key(u, ["student_id"], [("match_score", False), ("input_order", True)]).select(*u.columns)
+    return best.orderBy(F.desc("match_score"), F.asc("input_order"))
 
 
 def match_extracted(items: DataFrame, records: DataFrame, fuzzy: bool = True,

@@ -151,15 +151,19 @@ def multi_line_search(df: DataFrame, lines: Sequence[str], columns: Sequence[str
                                         b.field.alias("field"), F.lit(ln).alias("line"))))
     if not per_line:
         return df.limit(0)
+    from rollbook.operators.ranking import first_by_key
+
     hits = (df.select("*", F.explode(F.array_compact(F.array(F.array_min(F.array_compact(F.array(*per_line))))))
                       .alias("_m"))
-            .withColumn("_key", key))
-    w = Window.partitionBy("_key").orderBy(F.col("_m.line_order"), F.col("_m.neg_score"), *order)
-    return (hits.where(F.col("_key").isNotNull())
-            .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
-            .select(*df.columns, F.col("_m.line").alias("input_value"),
-                    (-F.col("_m.neg_score")).alias("match_score"), F.col("_m.field").alias("match_field"),
-                    F.col("_m.line_order").alias("line_order")))
+            .select(*[F.col(f"`{c}`") for c in df.columns], key.alias("_key"),
+                    F.col("_m.line_order").alias("line_order"), F.col("_m.neg_score").alias("_neg_score"),
+                    F.col("_m.field").alias("match_field"), F.col("_m.line").alias("input_value"))
+            .where(F.col("_key").isNotNull()))
+    # one row per record key: first line, best score, then original order (an aggregate,
+    # so a key repeated across many rows is combined map-side)
+    first = first_by_key(hits, ["_key"], [("line_order", True), ("_neg_score", True)] + [(c, True) for c in order])
+    return first.select(*df.columns, "input_value", (-F.col("_neg_score")).alias("match_score"),
+                        "match_field", "line_order")
 
 
 # ---------------------------------------------------------------- SR3 - SR8
