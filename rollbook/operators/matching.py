@@ -122,8 +122,8 @@ def best_fuzzy(inputs: DataFrame, targets: DataFrame, threshold: float = FUZZY_T
     cand = fuzzy_candidates(inputs, first_row, threshold)
     scored = (cand.withColumn("score", similarity_ratio("a", "b")).where(F.col("score") >= threshold)
               .join(first_row.withColumnRenamed("s", "b"), "b", "inner"))
-    w = Window.partitionBy("a").orderBy(F.desc("score"), F.asc("row_ord"))
-    return scored.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    from rollbook.operators.ranking import first_by_key
+    return first_by_key(scored, ["a"], [("score", False), ("row_ord", True)]).select(*scored.columns)
 
 
 def match_fuzzy_names(names: DataFrame, records: DataFrame, exclude: DataFrame, exact: DataFrame,
