@@ -108,28 +108,30 @@ def dedupe_by_key(df: DataFrame, id_col: str, name_col: str, order: Sequence[str
 
 # ---------------------------------------------------------------- SO7
 def change_log(df: DataFrame, key: str, ts: str, value: str, tiebreak: Sequence[str] = (),
-               bucket_seconds: int = 3600) -> DataFrame:
+               segments: int | None = None) -> DataFrame:
     """SO7: one log row per update of ``value``: key, ``UPDATE``, old value, new value, time.
 
     Every update is logged, also one to the same value. The previous value is a ``lag``
-    over time per key, computed so that a key holding a third of all rows does not land in
-    one task: rows are split into (key, time bucket) segments, ``lag`` runs inside each
-    segment, and the first row of a segment takes the last value of the key's previous
-    non-empty segment from a small per-segment aggregate. The join back is on the same
-    (key, bucket) partitioning the window already produced.
+    over time per key, computed so that no key lands in one task however hot it is: the
+    rows are range-partitioned on (key, time) into ``segments`` ranges (Spark samples the
+    bounds, so a key holding a third of all rows is cut into many ranges), ``lag`` runs
+    inside each (key, range) segment, and the first row of a segment takes the last value
+    of the key's previous segment from a small per-segment aggregate. Exact for any skew.
     """
-    bucket = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds)).cast("bigint")
-    d = df.withColumn("_bucket", bucket)
-    w = Window.partitionBy(key, "_bucket").orderBy(F.asc(ts), *[F.asc(c) for c in tiebreak])
+    spark = df.sparkSession
+    n = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order_cols = [ts, *tiebreak]
+    d = df.repartitionByRange(n, key, *order_cols).withColumn("_seg", F.spark_partition_id())
+    w = Window.partitionBy(key, "_seg").orderBy(*[F.asc(c) for c in order_cols])
     rows = (d.withColumn("_prev", F.lag(value).over(w))
             .withColumn("_first", F.row_number().over(w) == 1))
-    last_key = F.struct(F.col(ts), *[F.col(c) for c in tiebreak])
-    ws = Window.partitionBy(key).orderBy("_bucket")
-    seg = (d.groupBy(key, "_bucket").agg(F.max_by(F.col(value), last_key).alias("_last"))
+    last_key = F.struct(*[F.col(c) for c in order_cols])
+    ws = Window.partitionBy(key).orderBy("_seg")
+    seg = (d.groupBy(key, "_seg").agg(F.max_by(F.col(value), last_key).alias("_last"))
            .withColumn("_seg_prev", F.lag("_last").over(ws))
            .withColumn("_earlier", F.lag(F.lit(1)).over(ws).isNotNull())
-           .select(key, "_bucket", "_seg_prev", "_earlier"))
-    j = rows.join(seg, [key, "_bucket"], "left")
+           .select(key, "_seg", "_seg_prev", "_earlier"))
+    j = rows.join(seg, [key, "_seg"], "left")
     old = F.when(F.col("_first"), F.col("_seg_prev")).otherwise(F.col("_prev"))
     return j.where(~F.col("_first") | F.col("_earlier")).select(
         F.col(key), F.lit("UPDATE").alias("change_type"), old.alias("old_value"),
