@@ -93,13 +93,15 @@ def fuzzy_candidates(inputs: DataFrame, targets: DataFrame, threshold: float = F
     """
     if min_shared_bigrams(4, threshold) < 1:
         raise ValueError("blocking is only lossless for thresholds above 2/3")
-    a = inputs.select("s").distinct().withColumn("len", F.length("s")).where(F.col("len") >= 2)
-    b = targets.select("s").distinct().withColumn("len", F.length("s")).where(F.col("len") >= 2)
+    # each side's distinct strings and the bigram vocabulary are read by several branches
+    # below, so they are materialised once (reliable checkpoints) instead of recomputed
+    a = cut_lineage(inputs.select("s").distinct().withColumn("len", F.length("s")).where(F.col("len") >= 2))
+    b = cut_lineage(targets.select("s").distinct().withColumn("len", F.length("s")).where(F.col("len") >= 2))
     all_tokens = (a.select(F.explode(bigram_tokens(F.col("s"))).alias("token"))
                   .unionByName(b.select(F.explode(bigram_tokens(F.col("s"))).alias("token"))))
-    # the vocabulary of distinct strings' bigrams: AQE sees its real size at run time and
-    # broadcasts it when small; nothing is forced either way
-    freq = all_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    # the vocabulary of the distinct strings' bigrams; AQE sees its real size at run time
+    # and broadcasts it only when small
+    freq = cut_lineage(all_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
     t = float(threshold)
     lo_f, hi_f = t / (2 - t), (2 - t) / t
     # inputs: every prefix token once per partner length inside the length band, so the
@@ -161,15 +163,14 @@ def match_extracted(items: DataFrame, records: DataFrame, fuzzy: bool = True,
 
 def match_phases(items: DataFrame, records: DataFrame, fuzzy: bool = True,
                  threshold: float = FUZZY_THRESHOLD) -> list[DataFrame]:
-    """JN3, JN4 (and JN5) results. Inputs and records feed every later branch, so they are
-    checkpointed once instead of re-scanned per branch; the phase results are short joins
-    over those checkpoints and are recomputed where reused."""
+    """JN3, JN4 (and JN5) results. Inputs, records and the exact phases feed several later
+    branches, so each is checkpointed once instead of recomputed per branch."""
     items = cut_lineage(items.select("kind", "item", "input_order"))
     records = cut_lineage(records)
     ids = items.where(F.col("kind") == "mssv").select("item", "input_order")
     names = items.where(F.col("kind") == "names").select("item", "input_order")
-    p1 = match_ids(ids, records)
-    p2 = match_exact_names(names, records, p1)
+    p1 = cut_lineage(match_ids(ids, records))
+    p2 = cut_lineage(match_exact_names(names, records, p1))
     if not fuzzy:
         return [p1, p2]
     return [p1, p2, match_fuzzy_names(names, records, p1, p2, threshold)]
