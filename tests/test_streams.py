@@ -49,8 +49,10 @@ def test_csv_drop_folder_ingest(spark):
     drop = tempfile.mkdtemp()
     for i, body in enumerate(["mssv,ho_ten\n2001200001,An\n2001200002,Binh\n",
                               "mssv,ho_ten\n2001200002,Binh again\n2001200003,\n2001200004,Dung\n"]):
-        with open(os.path.join(drop, f"upload{i}.csv"), "w", encoding="utf-8") as f:
+        path = os.path.join(drop, f"upload{i}.csv")
+        with open(path, "w", encoding="utf-8") as f:
             f.write(body)
+        os.utime(path, (1_700_000_000 + 60 * i, 1_700_000_000 + 60 * i))  # arrival order = file order
     with open(os.path.join(drop, "notes.txt"), "w") as f:
         f.write("ignored")
     schema = T.StructType([T.StructField("mssv", T.StringType()), T.StructField("ho_ten", T.StringType())])
