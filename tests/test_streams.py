@@ -61,3 +61,29 @@ def test_csv_drop_folder_ingest(spark):
     _, root = ST.ingest_stream(spark, src, "mssv", base, required=["ho_ten"])
     got = sorted((r.mssv, r.ho_ten) for r in spark.read.parquet(root).collect())
     assert got == [("2001200001", "An"), ("2001200002", "Binh"), ("2001200004", "Dung")]
+
+
+def test_change_log_state_carries_across_batches(spark):
+    import os
+    import tempfile
+    from datetime import datetime, timedelta
+
+    drop = tempfile.mkdtemp()
+    t0 = datetime(2024, 1, 1)
+    first = [(i, i % 3, t0 + timedelta(minutes=i), float(i)) for i in range(12)]
+    second = [(100 + i, i % 3, t0 + timedelta(days=1, minutes=i), float(50 + i)) for i in range(9)]
+    schema = "event_id long, user_id long, ts timestamp_ntz, value double"
+    for k, rows in enumerate([first, second]):
+        path = os.path.join(drop, f"part{k}")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+        for f in os.listdir(path):
+            os.utime(os.path.join(path, f), (1_700_000_000 + 60 * k, 1_700_000_000 + 60 * k))
+    src = (spark.readStream.schema(spark.createDataFrame(first, schema).schema)
+           .option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(drop))
+    q, out = ST.change_log_stream(spark, src, "user_id", "ts", "value", ["event_id"])
+    assert sum(1 for p in q.recentProgress if p["numInputRows"] > 0) == 2  # really two micro-batches
+    got = sorted((r.user_id, r.event_id, r.old_value, r.new_value) for r in spark.read.parquet(out).collect())
+    both = spark.createDataFrame(first + second, schema)
+    want = sorted((r.user_id, r.event_id, r.old_value, r.new_value)
+                  for r in U.change_log(both, "user_id", "ts", "value", ["event_id"]).collect())
+    assert got == want and len(got) == 21 - 3
