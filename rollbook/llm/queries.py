@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rollbook.llm.bpe import bpe_round_trip
 from rollbook.llm.common import documents
 from rollbook.llm.decontam import contamination
+from rollbook.llm.secrets import BASE_RULES, VENDOR_RULES, find_secrets
 from rollbook.llm.simple8b import token_files
 from rollbook.session import read_table
 
@@ -64,3 +65,39 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_OP5_ASSIGN = BASE_RULES[0].pattern.replace("'", "''")
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+raw AS (
+  SELECT doc_id, 0 AS rank, 'assign' AS kind, 6 AS least, string_split_regex(text, '{_OP5_ASSIGN}') AS g,
+         regexp_extract_all(text, '{_OP5_ASSIGN}') AS h, regexp_extract_all(text, '{_OP5_ASSIGN}', 2) AS p FROM d
+  UNION ALL SELECT doc_id, 1, 'access', 20, string_split_regex(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'),
+         regexp_extract_all(text, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT doc_id, 2, 'hex', 24, string_split_regex(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'),
+         regexp_extract_all(text, '[0-9a-f]+') FROM d),
+vendor AS (
+  {" UNION ALL ".join(f"SELECT doc_id, {3 + k} AS rank, '{r.kind}' AS kind, 0 AS least, string_split_regex(text, '{r.pattern}') AS g, regexp_extract_all(text, '{r.pattern}') AS h, regexp_extract_all(text, '{r.pattern}') AS p FROM d" for k, r in enumerate(VENDOR_RULES))}),
+each AS (
+  SELECT doc_id, rank, kind, least, len(g[k]) AS gap, len(h[k]) AS hit, len(p[k]) AS part, k
+  FROM (SELECT *, unnest(range(1, len(h) + 1)) AS k FROM (SELECT * FROM raw UNION ALL SELECT * FROM vendor))),
+placed AS (
+  SELECT *, sum(gap + hit) OVER (PARTITION BY doc_id, rank ORDER BY k ROWS UNBOUNDED PRECEDING) AS stop FROM each),
+kept AS (SELECT doc_id, rank, kind, CAST(stop - hit AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM placed WHERE part >= least),
+named AS (SELECT doc_id, rank, kind, start, concat(kind, ':', start, ':', stop) AS s FROM kept)
+SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access,
+       count(*) FILTER (WHERE rank = 2) AS n_hex,
+       sha256(coalesce(string_agg(s, ',' ORDER BY start, rank) FILTER (WHERE rank <= 2), '')) AS base_sha256,
+       coalesce(string_agg(s, ',' ORDER BY start, rank), '') AS spans
+FROM d LEFT JOIN named USING (doc_id) GROUP BY doc_id"""
+
+
+@query("op5_secrets", OP5_SQL)
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text(base), 256).alias("base_sha256"),
+                        text(F.col("spans")).alias("spans"))
