@@ -13,7 +13,10 @@ from rollbook.llm.common import documents
 from rollbook.llm.decontam import contamination
 from rollbook.llm.langid import fit, held_out, predict
 from rollbook.llm.neardup import near_duplicates
+from rollbook.llm.quality import fit as fit_field
+from rollbook.llm.quality import quality
 from rollbook.llm.secrets import BASE_RULES, VENDOR_RULES, find_secrets
+from rollbook.llm.sharding import shard
 from rollbook.llm.simple8b import token_files
 from rollbook.session import read_table
 
@@ -135,3 +138,15 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = predict(docs, fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_line_quality")
+def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality(docs, fit_field(docs, read_table(spark, sf_dir, "labels")))
+
+
+@query("op10_sharding")
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(documents(spark, sf_dir), shards=40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
