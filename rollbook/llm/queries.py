@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.llm.bpe import bpe_round_trip
-from rollbook.llm.common import documents
+from rollbook.llm.common import documents, stored
 from rollbook.llm.decontam import contamination
 from rollbook.llm.langid import fit, held_out, predict
+from rollbook.llm.licenses import find_licenses
 from rollbook.llm.neardup import near_duplicates
 from rollbook.llm.quality import fit as fit_field
 from rollbook.llm.quality import quality
 from rollbook.llm.secrets import BASE_RULES, VENDOR_RULES, find_secrets
 from rollbook.llm.sharding import shard
 from rollbook.llm.simple8b import token_files
+from rollbook.llm.warc import Tree, audit, heights, leaves, warc_records
 from rollbook.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +152,46 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir), shards=40).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+@query("op6_licenses")
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(documents(spark, sf_dir)).select("doc_id", "first_line", "last_line", "license", F.round("saving", 6).alias("saving"), "differences")
+
+
+OP7_SQL = r"""
+WITH rec AS (
+  SELECT page_id, page_id // 256 AS file_no,
+         concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:md5:', md5(concat(page_id, ' ', url)), '>',
+                chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ', strlen(html),
+                chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)) AS record FROM pages),
+h AS (SELECT page_id, file_no, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest FROM rec),
+leaf AS (
+  SELECT *, row_number() OVER w - 1 AS idx, CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+         count(*) OVER (PARTITION BY file_no) AS n
+  FROM h WINDOW w AS (PARTITION BY file_no ORDER BY page_id)),
+l1 AS (SELECT file_no, idx // 16 AS up, sha256('node:' || string_agg(sha256(concat_ws(':', 'leaf', "offset", length, digest)), '' ORDER BY idx)) AS hash
+       FROM leaf GROUP BY ALL),
+root AS (SELECT file_no, sha256('node:' || string_agg(hash, '' ORDER BY up)) AS file_root FROM l1 GROUP BY file_no)
+SELECT page_id, file_no, idx, "offset", length, digest, file_root,
+       CASE WHEN md5('file' || file_no)[1] = '0' AND idx >= n - 3 THEN 'missing'
+            WHEN md5(CAST(page_id AS VARCHAR))[1:2] IN ('00', '01', '02', '03', '04') THEN 'changed' ELSE 'intact' END AS verdict
+FROM leaf JOIN root USING (file_no)"""
+
+
+@query("op7_warc_fixity", OP7_SQL)
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages audited against a replica with damage at places that hashes of ids choose: flipped
+    bytes, records overwritten by zeros, and files that lack their last three records."""
+    records = warc_records(read_table(spark, sf_dir, "pages"))
+    primary = stored(leaves(records), "leaves")
+    lot = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
+    harmed = records.withColumn("record", F.when(lot.isin("00", "01", "02"), F.overlay("record", F.lit(b"\x7f"), F.lit(60), F.lit(1))).when(
+        lot.isin("03", "04"), F.unhex(F.repeat(F.lit("00"), F.octet_length("record")))).otherwise(F.col("record")))
+    sizes = primary.groupBy("file_no").agg(F.count("*").alias("n")).select(F.col("file_no").alias("s"), "n")
+    cut = F.substring(F.md5(F.concat(F.lit("file"), F.col("file_no").cast("string")).cast("binary")), 1, 1) == "0"
+    replica = leaves(harmed).join(sizes, F.col("file_no") == F.col("s")).where(~(cut & (F.col("idx") >= F.col("n") - 3))).drop("s", "n")
+    found = audit(primary, stored(replica, "replica")).select(F.col("file_no").alias("f"), F.col("idx").alias("i"), "verdict")
+    roots = Tree(primary, *heights(primary)).file_roots().select(F.col("file_no").alias("r"), F.col("hash").alias("file_root"))
+    return primary.join(found, (F.col("file_no") == F.col("f")) & (F.col("idx") == F.col("i")), "left").join(roots, F.col("file_no") == F.col("r")).select(
+        "page_id", "file_no", "idx", "offset", "length", "digest", "file_root", F.coalesce("verdict", F.lit("intact")).alias("verdict"))
