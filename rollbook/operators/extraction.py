@@ -45,12 +45,15 @@ def mixed_items(line) -> Column:
 def extract_items(lines: DataFrame, line: str = "line") -> DataFrame:
     """SF6: per line, the whole line under the first rule that fits, or else the mixed
     parse; long form ``(..., kind, item, via_rule)``."""
-    kind = line_rule_kind(F.col(line))
-    items = F.when(kind.isNotNull(), F.array(F.struct(kind.alias("kind"), F.col(line).alias("item")))) \
-             .otherwise(mixed_items(F.col(line)))
-    return (lines.withColumn("_items", items).withColumn("via_rule", kind.isNotNull())
-            .select(*[c for c in lines.columns], "via_rule", F.explode("_items").alias("_it"))
-            .select(*lines.columns, F.col("_it.kind").alias("kind"), F.col("_it.item").alias("item"), "via_rule"))
+    ln = F.col(line)
+    whole = lambda kind: F.array(F.struct(F.lit(kind).alias("kind"), ln.alias("item"), F.lit(True).alias("via_rule")))
+    # one chain, exploded as an expression: a column of its own would be inferred non-empty below
+    # the projection, which parses every line a second time
+    items = (F.when(X.is_pure_id(ln), whole(KIND_ID)).when(X.is_name_line(ln), whole(KIND_NAME))
+             .when(X.is_class_line(ln), whole(KIND_CLASS)).when(X.is_date_line(ln), whole(KIND_DATE))
+             .otherwise(F.transform(mixed_items(ln), lambda x: F.struct(x["kind"].alias("kind"), x["item"].alias("item"), F.lit(False).alias("via_rule")))))
+    return (lines.select(*lines.columns, F.explode(items).alias("_it"))
+            .select(*lines.columns, F.col("_it.kind").alias("kind"), F.col("_it.item").alias("item"), F.col("_it.via_rule").alias("via_rule")))
 
 
 def mixed_parse(lines: DataFrame, line: str = "line") -> DataFrame:

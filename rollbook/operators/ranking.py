@@ -26,9 +26,12 @@ TOP_K = 10
 
 # ---------------------------------------------------------------- PF2 / PF3 / TK8
 def text_search(df: DataFrame, query: str, columns: Sequence[str] | None = None,
-                order: Sequence[str] = (), cap: int | None = SEARCH_CAP, regex: bool = False) -> DataFrame:
+                order: Sequence[str] = (), cap: int | None = None, regex: bool = False) -> DataFrame:
     """PF2/PF3: case-insensitive containment over the given (default: all string) columns;
-    the first ``cap`` rows in ``order``. ``regex=True`` treats the query as a pattern."""
+    all of them, or the first ``cap`` rows in ``order``, which a cap needs. ``regex=True`` treats the
+    query as a pattern."""
+    if cap is not None and not order:
+        raise ValueError("a cap needs an order: which rows are the first?")
     cols = list(columns) if columns else [f.name for f in df.schema.fields
                                           if f.dataType.simpleString() == "string"]
     q = query.strip().lower()
@@ -39,7 +42,7 @@ def text_search(df: DataFrame, query: str, columns: Sequence[str] | None = None,
     out = df.where(cond)
     if order:
         out = out.orderBy(*order)
-    return out.limit(cap) if cap else out
+    return out.limit(cap) if cap is not None else out
 
 
 def keyword_search(df: DataFrame, query: str, keyword_columns: Sequence[str],
@@ -151,25 +154,45 @@ def pages_for(n: int, size: int = PAGE_SIZE) -> int:
 
 
 # ---------------------------------------------------------------- TK7
-def first_per(df: DataFrame, partition: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """TK7: first row per partition key, by a partitioned window (any order expression)."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-
-
 def first_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
     """TK7 as an aggregate: per key, the row that is first under ``order`` (a list of
-    ``(numeric column, ascending)``; ties fall to the remaining columns).
+    ``(column, ascending)`` of any orderable type; NULLs come last either way). Ties on all of them
+    fall to the remaining columns, so the result does not depend on the order of arrival.
 
-    ``min_by`` over the whole row combines map-side (partial aggregation), so a key that
+    ``min_by``/``max_by`` over the whole row combine map-side (partial aggregation), so a key that
     holds a third of the table is reduced in every partition before the shuffle instead of
     being sorted in one task as a window would.
     """
     rest = [c for c in df.columns if c not in keys]
-    ordering = F.struct(*[(F.col(c) if asc else -F.col(c)).alias(f"o{i}") for i, (c, asc) in enumerate(order)])
     row = F.struct(*[F.col(f"`{c}`") for c in rest])
-    return (df.groupBy(*keys).agg(F.min_by(row, ordering).alias("_row"))
-            .select(*keys, *[F.col("_row")[c].alias(c) for c in rest]))
+    orderable = [f.name for f in df.schema.fields if f.name in rest and f.dataType.typeName() not in ("map", "variant")]
+    ties = [c for c in orderable if c not in [o for o, _ in order]]
+    if order and not any(asc for _, asc in order):  # all descending: the greatest, a NULL being least
+        keep = F.max_by(row, F.struct(*[x for i, (c, _) in enumerate(order) for x in (F.col(f"`{c}`").isNotNull().alias(f"n{i}"), F.col(f"`{c}`").alias(f"o{i}"))],
+                                      *[F.col(f"`{c}`").alias(f"t{i}") for i, c in enumerate(ties)]))
+    else:
+        keep = F.min_by(row, F.struct(*[x for i, (c, asc) in enumerate(order) for x in (
+            F.col(f"`{c}`").isNull().alias(f"n{i}"), (F.col(f"`{c}`") if asc else _reversed(df, c)).alias(f"o{i}"))],
+            *[F.col(f"`{c}`").alias(f"t{i}") for i, c in enumerate(ties)]))
+    return df.groupBy(*keys).agg(keep.alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+
+
+def _reversed(df: DataFrame, name: str) -> Column:
+    """A value whose ascending order is the column's descending order."""
+    c, kind = F.col(f"`{name}`"), df.schema[name].dataType.typeName()
+    if kind in ("byte", "short", "integer", "long"):
+        return F.bitwise_not(c)  # never overflows
+    if kind in ("float", "double", "decimal"):
+        return -c
+    if kind == "boolean":
+        return ~c
+    if kind == "date":
+        return -F.unix_date(c)
+    if kind == "timestamp":
+        return F.bitwise_not(F.unix_micros(c))
+    if kind == "timestamp_ntz":  # a fixed zone maps it one to one
+        return F.bitwise_not(F.unix_micros(F.to_utc_timestamp(c, "UTC")))
+    raise ValueError(f"{name} ({kind}) can't be descending beside an ascending column; order by all columns in one direction")
 
 
 # ---------------------------------------------------------------- TK9

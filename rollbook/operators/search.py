@@ -224,10 +224,10 @@ def typed_lookup(inputs: DataFrame, target: DataFrame, roles: dict[str, Sequence
     The target is reduced to its first row per ``(kind, key)`` by ``min(struct(col_ord,
     row_ord, ...))``, a partial aggregate, before joining, so hot keys never fan out.
     """
-    from rollbook.session import spread
-
-    ins = classify_inputs(spread(inputs), value, order)  # inner join drops NULL keys
-    u = unpivot_roles(target, roles, row_ord, payload)
+    ins = classify_inputs(inputs, value, order)  # inner join drops NULL keys
+    # only what the inputs ask for is reduced: the whole target is neither sorted nor shuffled for few inputs
+    asked = ins.select("kind", "key").where(F.col("key").isNotNull()).distinct()
+    u = unpivot_roles(target, roles, row_ord, payload).join(asked, ["kind", "key"], "left_semi")
     first = (u.groupBy("kind", "key")
              .agg(F.min(F.struct("col_ord", "row_ord", "field", *payload)).alias("_hit"))
              .select("kind", "key", "_hit.*"))
@@ -239,11 +239,12 @@ def typed_lookup(inputs: DataFrame, target: DataFrame, roles: dict[str, Sequence
 
 
 def distinct_inputs(inputs: DataFrame, value: str = "input_value", order: str = "input_order") -> DataFrame:
-    """SO5 on a lookup list: each distinct (trimmed) value once, at its first position."""
+    """SO5 on a lookup list: each distinct (trimmed) value once, at its first position, with the
+    number of inputs that give it."""
     t = utrim(value)
     return (inputs.where(t != "").groupBy(t.alias("_v"))
-            .agg(F.min(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("_f"))
-            .select(F.col("_f.o").alias(order), F.col("_f.v").alias(value)))
+            .agg(F.min(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("_f"), F.count(F.lit(1)).alias("n_inputs"))
+            .select(F.col("_f.o").alias(order), F.col("_f.v").alias(value), F.col("n_inputs").cast("bigint").alias("n_inputs")))
 
 
 def lookup_all_hits(inputs: DataFrame, target: DataFrame, kind: str, cols: Sequence[tuple[str, Column]],
@@ -252,22 +253,21 @@ def lookup_all_hits(inputs: DataFrame, target: DataFrame, kind: str, cols: Seque
     """SR4-SR7 individually: inputs of one kind against that kind's columns.
 
     SR6 (class) and SR7 (date) return every hit; SR4 (id) keeps the first row per id column
-    (``first_per_column=True``); SR5 (name) keeps the first row. Inputs are de-duplicated
-    first, so a value repeated by many inputs does not repeat its (possibly large) hit list.
+    (``first_per_column=True``); SR5 (name) keeps the first row. One row per distinct value and
+    hit, with ``n_inputs``, the number of inputs that give the value: a value repeated by many inputs
+    does not repeat its (possibly large) hit list.
     """
-    from rollbook.session import spread
-
     # the kind is part of the join key rather than a filter on the inputs: a filter on a
     # computed column is pushed below the projection and would classify every row twice
-    ins = classify_inputs(spread(distinct_inputs(inputs, value, order)), value, order) \
-        .select(order, value, "kind", "key")
+    ins = classify_inputs(distinct_inputs(inputs, value, order), value, order) \
+        .select(order, value, "n_inputs", "kind", "key")
     u = unpivot_roles(target, {kind: cols}, row_ord, payload)
     if first_per_column:
         u = (u.groupBy("kind", "key", "col_ord")
              .agg(F.min(F.struct("row_ord", "field", *payload)).alias("_hit"))
              .select("kind", "key", "col_ord", "_hit.*"))
     out = ins.join(u, ["kind", "key"], "inner")
-    return out.select(F.col(order).alias("input_order"), F.col(value).alias("input_value"),
+    return out.select(F.col(order).alias("input_order"), F.col(value).alias("input_value"), "n_inputs",
                       F.col("field").alias("match_field"), "col_ord", "row_ord", *payload)
 
 

@@ -31,12 +31,17 @@ def anti_existing(incoming: DataFrame, existing: DataFrame, key: str) -> DataFra
 
 
 # ---------------------------------------------------------------- SO1 / SO2
-def append_checked(existing: DataFrame, incoming: DataFrame, key: str, required: Sequence[str]) -> DataFrame:
-    """SO1: append incoming rows that have every required field and a key not present yet."""
+def append_checked(existing: DataFrame, incoming: DataFrame, key: str, required: Sequence[str],
+                   order: Sequence[str] = ()) -> DataFrame:
+    """SO1: append incoming rows that have every required field and a key not present yet. Of rows
+    that give a new key several times, the first in ``order`` is appended."""
+    from rollbook.operators.ranking import first_by_key
+
     ok = incoming
     for c in required:
         ok = ok.where(_present(c))
-    return existing.unionByName(anti_existing(ok, existing, key), allowMissingColumns=True)
+    new = first_by_key(anti_existing(ok, existing, key), [key], [(c, True) for c in order]).select(*incoming.columns)
+    return existing.unionByName(new, allowMissingColumns=True)
 
 
 def widen_union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -45,26 +50,32 @@ def widen_union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- SO3
-def classify_import(existing: DataFrame, batch: DataFrame, key: str, order: str,
+def classify_import(existing: DataFrame, batch: DataFrame, key: str, order: Sequence[str],
                     required: Sequence[str], skip_duplicates: bool = True) -> DataFrame:
     """SO3: status of every row of an import batch: rejected (a required field missing),
     skipped because the key exists, skipped because an earlier row of the same batch had
     the key (the table grows while importing), else imported. With ``skip_duplicates``
-    off there is no key check at all and every complete row is imported."""
+    off there is no key check at all and every complete row is imported.
+
+    "Earlier" is by the columns of ``order`` (NULL last), then by all other columns; of rows that
+    are equal throughout, one is imported."""
     ok = F.lit(True)
     for c in required:
         ok = ok & _present(c)
     flagged = batch.withColumn("_ok", ok)
     known = existing.select(key).distinct().withColumn("_known", F.lit(True))
-    valid = flagged.where("_ok")
-    first = valid.groupBy(key).agg(F.min(order).alias("_first"))  # partial aggregate: hot keys combine
-    valid = valid.join(first, key, "inner").join(known, key, "left")
+    ranked = [x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"o{i}"))]
+    place = F.struct(*ranked, *[F.col(c).alias(f"t{i}") for i, c in enumerate(batch.columns) if c not in order])
+    # equal rows are counted, then numbered again: a total order without a window over a hot key
+    valid = flagged.where("_ok").groupBy(*flagged.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_place", place)
+    first = valid.groupBy(key).agg(F.min("_place").alias("_first"))  # partial aggregate: hot keys combine
+    valid = valid.join(first, key, "inner").join(known, key, "left").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
     status = (F.when(F.lit(not skip_duplicates), F.lit(STATUS_IMPORTED))
               .when(F.col("_known").isNotNull(), F.lit(STATUS_EXISTING))
-              .when(F.col(order) > F.col("_first"), F.lit(STATUS_DUPLICATE))
+              .when((F.col("_place") > F.col("_first")) | (F.col("_nth") > 1), F.lit(STATUS_DUPLICATE))
               .otherwise(F.lit(STATUS_IMPORTED)))
     rejected = flagged.where(~F.col("_ok")).drop("_ok").withColumn("status", F.lit(STATUS_REJECTED))
-    return valid.withColumn("status", status).drop("_ok", "_first", "_known").unionByName(rejected)
+    return valid.withColumn("status", status).select(*batch.columns, "status").unionByName(rejected)
 
 
 def import_counts(classified: DataFrame) -> DataFrame:
@@ -72,16 +83,10 @@ def import_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("status").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-def apply_import(existing: DataFrame, classified: DataFrame) -> DataFrame:
-    """SO3: the table after the import (existing rows plus the imported ones)."""
-    return existing.unionByName(classified.where(F.col("status") == STATUS_IMPORTED).drop("status"),
-                                allowMissingColumns=True)
-
-
 # ---------------------------------------------------------------- SO4
 def upsert(current: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
     """SO4: keyed upsert, last row wins (incoming after current; within a batch, the larger
-    numeric ``order``). One aggregate on the key with map-side combine, so a key repeated
+    ``order``, NULL being least). One aggregate on the key with map-side combine, so a key repeated
     across a third of the rows is collapsed before the shuffle."""
     from rollbook.operators.ranking import first_by_key
 
@@ -95,7 +100,7 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, order: str) -> Dat
 # ---------------------------------------------------------------- SO6
 def dedupe_by_key(df: DataFrame, id_col: str, name_col: str, order: Sequence[str]) -> DataFrame:
     """SO6: one row per ``mssv_<id>`` or else ``name_<name>``; rows with neither are dropped;
-    the first row in ``order`` (numeric columns, ascending) wins; aggregated map-side."""
+    the first row in ``order`` (ascending) wins; aggregated map-side."""
     idt, nm = utrim(id_col), utrim(name_col)
     k = F.coalesce(F.when(idt != "", F.concat(F.lit("mssv_"), idt)),
                    F.when(nm != "", F.concat(F.lit("name_"), nm)))
@@ -108,7 +113,7 @@ def dedupe_by_key(df: DataFrame, id_col: str, name_col: str, order: Sequence[str
 
 # ---------------------------------------------------------------- SO7
 def change_log(df: DataFrame, key: str, ts: str, value: str, tiebreak: Sequence[str] = (),
-               segments: int | None = None) -> DataFrame:
+               segments: int | None = None, lead: Sequence[str] = ()) -> DataFrame:
     """SO7: one log row per update of ``value``: key, ``UPDATE``, old value, new value, time.
 
     Every update is logged, also one to the same value. The previous value is a ``lag``
@@ -117,11 +122,16 @@ def change_log(df: DataFrame, key: str, ts: str, value: str, tiebreak: Sequence[
     bounds, so a key holding a third of all rows is cut into many ranges), ``lag`` runs
     inside each (key, range) segment, and the first row of a segment takes the last value
     of the key's previous segment from a small per-segment aggregate. Exact for any skew.
+
+    The bounds are sampled anew whenever a range exchange runs, so the segment numbers are fixed
+    once by a reliable checkpoint, and both branches read those. ``lead`` orders before ``ts``.
     """
+    from rollbook.session import cut_lineage
+
     spark = df.sparkSession
     n = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order_cols = [ts, *tiebreak]
-    d = df.repartitionByRange(n, key, *order_cols).withColumn("_seg", F.spark_partition_id())
+    order_cols = [*lead, ts, *tiebreak]
+    d = cut_lineage(df.repartitionByRange(n, key, *order_cols).withColumn("_seg", F.spark_partition_id()))
     w = Window.partitionBy(key, "_seg").orderBy(*[F.asc(c) for c in order_cols])
     rows = (d.withColumn("_prev", F.lag(value).over(w))
             .withColumn("_first", F.row_number().over(w) == 1))
@@ -136,10 +146,3 @@ def change_log(df: DataFrame, key: str, ts: str, value: str, tiebreak: Sequence[
     return j.where(~F.col("_first") | F.col("_earlier")).select(
         F.col(key), F.lit("UPDATE").alias("change_type"), old.alias("old_value"),
         F.col(value).alias("new_value"), F.col(ts).alias("change_date"), *tiebreak)
-
-
-def change_log_snapshots(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
-    """SO7, snapshot form: every key present in both snapshots was updated; log old/new."""
-    o = old.select(key, F.col(value).alias("old_value"))
-    n = new.select(key, F.col(value).alias("new_value"))
-    return o.join(n, key, "inner").select(key, F.lit("UPDATE").alias("change_type"), "old_value", "new_value")

@@ -54,16 +54,6 @@ def jn8_new_orders(spark, sf):
     return rounded(U.anti_existing(incoming(spark, sf), current(spark, sf), KEY))
 
 
-@register("so1_append_checked", "SO1 JN8", SQL_SPLIT + """
-SELECT o_orderkey, o_custkey, round(o_totalprice, 6) AS o_totalprice, o_orderstatus, o_orderpriority,
-       NULL::VARCHAR AS clerk, ord FROM cur
-UNION ALL
-SELECT o_orderkey, o_custkey, round(o_totalprice, 6), o_orderstatus, o_orderpriority, clerk, ord FROM inc
-WHERE regexp_replace(clerk, '^\\s+|\\s+$', '', 'g') <> '' AND o_orderkey NOT IN (SELECT o_orderkey FROM cur)""")
-def so1_append_checked(spark, sf):
-    return rounded(U.append_checked(current(spark, sf), incoming(spark, sf), KEY, [KEY, "clerk"]))
-
-
 @register("so2_widening_union", "SO2", SQL_SPLIT + """
 SELECT o_orderkey, o_orderstatus, NULL::DOUBLE AS o_totalprice FROM cur
 UNION ALL SELECT o_orderkey, NULL::VARCHAR, round(o_totalprice, 6) FROM inc""")
@@ -73,18 +63,22 @@ def so2_widening_union(spark, sf):
 
 
 def import_batch(spark, sf):
-    inc = incoming(spark, sf)
-    resent = (inc.where(F.col("o_orderpriority") == "2-HIGH")
-              .withColumn("ord", F.col("ord") + F.lit(1_000_000_000_000)))
-    return inc.unionByName(resent)
+    """Incoming rows, some sent again later, some twice at once, some without an order."""
+    inc = incoming(spark, sf).withColumn("resend", F.lit(0))
+    again = inc.where(F.col("o_orderpriority") == "2-HIGH").withColumn("resend", F.lit(1))
+    twice = inc.where(F.col("o_orderpriority") == "3-MEDIUM")
+    unordered = inc.where(F.col("o_orderpriority") == "5-LOW").withColumn("ord", F.lit(None).cast("bigint")) \
+                   .withColumn("o_totalprice", F.lit(-1.0))
+    return inc.unionByName(again).unionByName(twice).unionByName(unordered)
 
 
 SQL_IMPORT = SQL_SPLIT + """,
-batch AS (SELECT * FROM inc UNION ALL
-          SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority, clerk, ord + 1000000000000
-          FROM inc WHERE o_orderpriority = '2-HIGH'),
+batch AS (SELECT *, 0 AS resend FROM inc UNION ALL SELECT *, 1 FROM inc WHERE o_orderpriority = '2-HIGH'
+          UNION ALL SELECT *, 0 FROM inc WHERE o_orderpriority = '3-MEDIUM'
+          UNION ALL SELECT o_orderkey, o_custkey, -1.0::DOUBLE, o_orderstatus, o_orderpriority, clerk, NULL, 0
+          FROM inc WHERE o_orderpriority = '5-LOW'),
 flag AS (SELECT *, regexp_replace(clerk, '^\\s+|\\s+$', '', 'g') <> '' AND o_orderkey IS NOT NULL AS ok FROM batch),
-valid AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY ord) AS rn FROM flag WHERE ok),
+valid AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY resend, ord NULLS LAST) AS rn FROM flag WHERE ok),
 status AS (
   SELECT *, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM cur) THEN 'skipped_existing'
                  WHEN rn > 1 THEN 'skipped_duplicate' ELSE 'imported' END AS status FROM valid
@@ -92,21 +86,31 @@ status AS (
 """
 
 
+@register("so1_append_checked", "SO1 JN8", SQL_IMPORT + """
+SELECT o_orderkey, o_custkey, round(o_totalprice, 6) AS o_totalprice, o_orderstatus, o_orderpriority,
+       NULL::VARCHAR AS clerk, ord FROM cur
+UNION ALL
+SELECT o_orderkey, o_custkey, round(o_totalprice, 6), o_orderstatus, o_orderpriority, clerk, ord FROM status
+WHERE status = 'imported'""")
+def so1_append_checked(spark, sf):
+    return rounded(U.append_checked(current(spark, sf), import_batch(spark, sf), KEY, [KEY, "clerk"], ["resend", "ord"]).drop("resend"))
+
+
 @register("so3_import_counts", "SO3 CS5", SQL_IMPORT + "SELECT status, count(*) AS n FROM status GROUP BY status")
 def so3_import_counts(spark, sf):
-    cls = U.classify_import(current(spark, sf), import_batch(spark, sf), KEY, "ord", [KEY, "clerk"])
+    cls = U.classify_import(current(spark, sf), import_batch(spark, sf), KEY, ["resend", "ord"], [KEY, "clerk"])
     return U.import_counts(cls)
 
 
-@register("so4_upsert", "SO4", SQL_SPLIT + """,
+@register("so4_upsert", "SO4", SQL_IMPORT + """,
 tagged AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority, NULL::VARCHAR AS clerk, ord,
                   0 AS batch FROM cur
-           UNION ALL SELECT *, 1 FROM inc)
+           UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority, clerk, ord, 1 FROM batch)
 SELECT o_orderkey, o_custkey, round(o_totalprice, 6) AS o_totalprice, o_orderstatus, o_orderpriority, clerk, ord
-FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY batch DESC, ord DESC) AS rn FROM tagged)
+FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY batch DESC, ord DESC NULLS LAST) AS rn FROM tagged)
 WHERE rn = 1""")
 def so4_upsert(spark, sf):
-    return rounded(U.upsert(current(spark, sf), incoming(spark, sf), KEY, "ord"))
+    return rounded(U.upsert(current(spark, sf), import_batch(spark, sf).drop("resend"), KEY, "ord"))
 
 
 def people(spark, sf):

@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from rollbook.operators import extraction as EX
 from rollbook.operators import matching as M
-from rollbook.plans.registry import register, rounded
+from rollbook.plans.registry import padded, register, rounded
 from rollbook.session import read_table
 
 
 def compare_lines(spark, sf):
     p = read_table(spark, sf, "part")
     size, name = F.col("p_size"), F.col("p_name")
-    line = (F.when(size <= 10, F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
+    line = (F.when(size <= 10, padded(F.col("p_partkey"), 6))
             .when(size <= 20, F.expr("substring(p_name, 1, length(p_name) - 1)"))
             .when(size <= 30, name)
             .when(size <= 40, F.concat(name, F.lit(" x")))
@@ -44,12 +44,12 @@ def part_records(spark, sf):
     return M.records_view(
         p.select("p_partkey", F.substring_index("p_name", " ", 1).alias("ho_dem"),
                  F.expr("substring(p_name, length(substring_index(p_name, ' ', 1)) + 2)").alias("ten")),
-        F.lpad(F.col("p_partkey").cast("string"), 6, "0"), "ho_dem", "ten", "p_partkey")
+        padded(F.col("p_partkey"), 6), "ho_dem", "ten", "p_partkey")
 
 
 SQL_COMPARE = """WITH lines AS (
   SELECT p_partkey AS rec_id,
-    CASE WHEN p_size <= 10 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0')
+    CASE WHEN p_size <= 10 THEN lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(length(CAST(p_partkey AS VARCHAR)), 6) AS INTEGER), '0')
          WHEN p_size <= 20 THEN substring(p_name, 1, length(p_name) - 1)
          WHEN p_size <= 30 THEN p_name
          WHEN p_size <= 40 THEN p_name || ' x'
@@ -60,7 +60,7 @@ items AS (SELECT CASE WHEN regexp_full_match(line, '[0-9]{6,10}') THEN 'mssv' EL
              OR (len(string_split_regex(line, '\\s+')) BETWEEN 2 AND 5 AND NOT regexp_matches(line, '\\d')
                  AND length(line) BETWEEN 5 AND 40)),
 inputs AS (SELECT kind, item, min(rec_id) AS input_order FROM items GROUP BY kind, item),
-recs AS (SELECT p_partkey AS row_ord, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS student_id,
+recs AS (SELECT p_partkey AS row_ord, lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(length(CAST(p_partkey AS VARCHAR)), 6) AS INTEGER), '0') AS student_id,
                 lower(p_name) AS full_name FROM part),
 p1 AS (SELECT r.student_id, r.row_ord, i.item AS input_value, i.input_order, 1.0::DOUBLE AS match_score,
               'mssv_exact' AS match_type
@@ -117,7 +117,7 @@ def jn9_compare_totals(spark, sf):
 @register("jn7_pair_score", "JN7 SF13")
 def jn7_pair_score(spark, sf):
     p = read_table(spark, sf, "part")
-    pairs = p.select("p_partkey", F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("rid"), "p_name",
+    pairs = p.select("p_partkey", padded(F.col("p_partkey"), 6).alias("rid"), "p_name",
                      F.expr("substring(p_name, 1, length(p_name) - 1)").alias("input_text"))
     return rounded(M.pair_score(pairs, "input_text", "rid", "p_name"))
 

@@ -15,7 +15,7 @@ from rollbook.operators import ranking as R
 from rollbook.operators import search as SR
 from rollbook.plans import bindings as B
 from rollbook.plans import views as V
-from rollbook.plans.registry import register, rounded
+from rollbook.plans.registry import padded, register, rounded
 from rollbook.session import read_table, scratch_path
 from rollbook.sources import files as FS
 from rollbook.sources import schema as SC
@@ -72,18 +72,28 @@ def sc4_text_files(spark, sf):
     return FS.read_lines(spark, path).select("line")
 
 
-@register("sc7_ingest_audit", "SC7")
+@register("sc7_ingest_audit", "SC7", """
+SELECT CAST(sum(rows) AS BIGINT) AS rows, max(5) AS columns, true AS dated, true AS sized FROM (SELECT count(*) AS rows FROM customer)""")
 def sc7_ingest_audit(spark, sf):
-    df = FS.read_csv(spark, _customer_csv(spark, sf), CUSTOMER_SCHEMA)
-    return FS.ingest_audit(df)
+    """Totals of the audit over all files (their names and number are Spark's choice)."""
+    audit = FS.ingest_audit(FS.read_csv(spark, _customer_csv(spark, sf), CUSTOMER_SCHEMA))
+    return audit.agg(F.sum("rows").cast("bigint").alias("rows"), F.max("columns").alias("columns"),
+                     F.min(F.col("modified").isNotNull()).alias("dated"), F.min(F.col("file_size") > 0).alias("sized"))
 
 
-@register("sc8_ingest_guard", "SC8")
+@register("sc8_ingest_guard", "SC8", """
+SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment, NULL::VARCHAR AS reason, NULL::BIGINT AS rows FROM customer
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'extension', count(*) FROM customer""")
 def sc8_ingest_guard(spark, sf):
-    path = _customer_csv(spark, sf)
-    df = FS.read_csv(spark, path, CUSTOMER_SCHEMA)
-    accepted, rejected = FS.guarded(df, max_bytes=64 * 1024)
-    return accepted.drop(FS.CORRUPT).withColumn("file_name", F.col("_metadata.file_name"))
+    """The rows of accepted files, and a row per reason with the rows of the files rejected for it: the
+    customers once more under an extension that is not allowed. The size limit is the documented one."""
+    path = scratch_path(spark, "sc8")
+    c = read_table(spark, sf, "customer").select(*CUSTOMER_SCHEMA.fieldNames())
+    c.write.option("header", True).option("maxRecordsPerFile", 100_000).csv(f"{path}/good")
+    c.write.option("header", True).option("extension", "exe").csv(f"{path}/bad")
+    accepted, rejected = FS.guarded(FS.read_csv(spark, [f"{path}/good", f"{path}/bad"], CUSTOMER_SCHEMA))
+    left = rejected.groupBy("reason").agg(F.sum("rows").cast("bigint").alias("rows"))
+    return rounded(accepted.drop(FS.CORRUPT).unionByName(left, allowMissingColumns=True))
 
 
 @register("sk1_export_results", "SK1 CL7", B.with_ctes(B.SQL_STUDENTS, B.SQL_CUMULATIVE) + """
@@ -128,21 +138,57 @@ def sk2_match_export(spark, sf):
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-@register("sk3_split_load", "SK3 SO4", B.with_ctes(B.SQL_STUDENTS) + """
-SELECT CAST(ma_sinh_vien AS VARCHAR) AS ma_sinh_vien, ho_dem, ten, lop, substring(lop, 1, 2) AS khoa FROM students""")
-def sk3_split_load(spark, sf):
-    st = B.students(spark, sf)
-    wide = st.select(F.col("ma_sinh_vien").cast("string").alias("ma_sinh_vien"), "ho_dem", "ten", "lop")
-    root = scratch_path(spark, "sk3")
-    paths = SK.write_tables(wide, root)
-    back = SK.read_partitioned(spark, paths["students"], ["khoa"])
-    return back.select("ma_sinh_vien", "ho_dem", "ten", "lop", "khoa")
+# The wide grade file's 26 columns from customer, each in Spark's and DuckDB's spelling.
+_WIDE = {"stt": ("c_custkey", "c_custkey"), "ma_sinh_vien": ("lpad(c_custkey, greatest(length(c_custkey), 10), '0')",
+         "lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(length(CAST(c_custkey AS VARCHAR)), 10) AS INTEGER), '0')"),
+         "ho_dem": ("substring_index(c_name, '#', 1)", "split_part(c_name, '#', 1)"), "ten": ("substring_index(c_name, '#', -1)", "split_part(c_name, '#', 2)"),
+         "lop": ("c_mktsegment", "c_mktsegment"),
+         "ngay_sinh": ("date_format(date_add(DATE '1995-01-01', CAST(c_custkey % 3650 AS INT)), 'dd/MM/yyyy')", "DATE '1995-01-01' + CAST(c_custkey % 3650 AS INTEGER)")}
+
 
+def _wide_expr(i: int, c: str) -> tuple[str, str]:
+    if c in _WIDE:
+        return _WIDE[c]
+    if c in SC.INT_COLUMNS:
+        return (f"c_custkey % {i + 7}",) * 2
+    if c in SC.DOUBLE_COLUMNS:
+        return f"(c_custkey % 1000) / {float(i)}D", f"(c_custkey % 1000) / CAST({i} AS DOUBLE)"
+    return f"concat('t{i} ', c_mktsegment)", f"concat('t{i} ', c_mktsegment)"
 
-@register("sk4_json_records", "SK4")
+
+def _sk3_sql() -> str:
+    cols = []
+    for i, c in enumerate(SC.WIDE_COLUMNS):
+        e = _wide_expr(i, c)[1]
+        cols.append(f"CAST({e} AS BIGINT) AS {c}" if c in SC.INT_COLUMNS else f"round({e}, 6) AS {c}" if c in SC.DOUBLE_COLUMNS else
+                    f"strftime({e}, '%Y-%m-%d') AS {c}" if c == "ngay_sinh" else f"{e} AS {c}")
+    return f"SELECT {', '.join(cols)}, substring(c_mktsegment, 1, 2) AS khoa FROM customer"
+
+
+@register("sk3_split_load", "SK3 SC1 CL1 CL2 SO4", _sk3_sql())
+def sk3_split_load(spark, sf):
+    """The wide file as CSV, read as text, invalid keys dropped, typed, written as the three tables, and
+    all of them read back and joined: every one of the 26 columns."""
+    path = scratch_path(spark, "sk3-csv")
+    read_table(spark, sf, "customer").selectExpr(*[f"{_wide_expr(i, c)[0]} AS {c}" for i, c in enumerate(SC.WIDE_COLUMNS)]) \
+        .write.option("header", True).csv(path)
+    text = FS.read_csv(spark, path, SC.WIDE_TEXT_SCHEMA).drop(FS.CORRUPT)
+    paths = SK.write_tables(SC.type_wide(text.where(TX.is_valid_key("ma_sinh_vien"))), scratch_path(spark, "sk3"))
+    st = SK.read_partitioned(spark, paths["students"], ["khoa"])
+    joined = st.join(spark.read.parquet(paths["semester_scores"]), "ma_sinh_vien").join(spark.read.parquet(paths["cumulative_scores"]), "ma_sinh_vien")
+    return rounded(joined.withColumn("ngay_sinh", F.date_format("ngay_sinh", "yyyy-MM-dd")).select(*SC.WIDE_COLUMNS, "khoa"))
+
+
+@register("sk4_json_records", "SK4", B.with_ctes(B.SQL_ROSTER) + """
+SELECT ma_sinh_vien, CASE WHEN diem_10 > 5 THEN ho_ten END AS ho_ten, lop, xep_loai, round(diem_10, 6) AS diem_10, diem_10 <= 5 AS null_kept FROM roster""")
 def sk4_json_records(spark, sf):
-    top = R.top_k(B.roster(spark, sf), "diem_10", ["ma_sinh_vien"], 10)
-    return SK.json_records(top)
+    """Every record written as a line of JSON, NULLs kept, and its fields parsed back from the files."""
+    r = B.roster(spark, sf).withColumn("ho_ten", F.when(F.col("diem_10") > 5, F.col("ho_ten")))
+    path = scratch_path(spark, "sk4")
+    SK.json_records(r).write.text(path)
+    lines = spark.read.text(path)
+    back = lines.select("value", F.from_json("value", r.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")).alias("r"))
+    return rounded(back.select("r.*", F.col("value").contains('"ho_ten":null').alias("null_kept")))
 
 
 # ---------------------------------------------------------------- schema resolution
@@ -219,7 +265,7 @@ def _planted(spark, sf):
     """Key and number columns cast to text with junk planted by line number."""
     li = read_table(spark, sf, "lineitem")
     n = F.col("l_linenumber")
-    key10 = F.lpad(F.col("l_orderkey").cast("string"), 10, "0")
+    key10 = padded(F.col("l_orderkey"), 10)
     key = (F.when(n == 1, key10).when(n == 2, F.concat(F.lit(" "), key10)).when(n == 3, F.concat(key10, F.lit(".0")))
            .when(n == 4, F.lit(None)).when(n == 5, F.substring(key10, 2, 9)).otherwise(key10))
     q = F.col("l_quantity")
@@ -231,11 +277,11 @@ def _planted(spark, sf):
 
 
 SQL_PLANTED = """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
-  CASE l_linenumber WHEN 1 THEN lpad(CAST(l_orderkey AS VARCHAR), 10, '0')
-       WHEN 2 THEN ' ' || lpad(CAST(l_orderkey AS VARCHAR), 10, '0')
-       WHEN 3 THEN lpad(CAST(l_orderkey AS VARCHAR), 10, '0') || '.0'
-       WHEN 4 THEN NULL WHEN 5 THEN substring(lpad(CAST(l_orderkey AS VARCHAR), 10, '0'), 2, 9)
-       ELSE lpad(CAST(l_orderkey AS VARCHAR), 10, '0') END AS key_text,
+  CASE l_linenumber WHEN 1 THEN lpad(CAST(l_orderkey AS VARCHAR), CAST(greatest(length(CAST(l_orderkey AS VARCHAR)), 10) AS INTEGER), '0')
+       WHEN 2 THEN ' ' || lpad(CAST(l_orderkey AS VARCHAR), CAST(greatest(length(CAST(l_orderkey AS VARCHAR)), 10) AS INTEGER), '0')
+       WHEN 3 THEN lpad(CAST(l_orderkey AS VARCHAR), CAST(greatest(length(CAST(l_orderkey AS VARCHAR)), 10) AS INTEGER), '0') || '.0'
+       WHEN 4 THEN NULL WHEN 5 THEN substring(lpad(CAST(l_orderkey AS VARCHAR), CAST(greatest(length(CAST(l_orderkey AS VARCHAR)), 10) AS INTEGER), '0'), 2, 9)
+       ELSE lpad(CAST(l_orderkey AS VARCHAR), CAST(greatest(length(CAST(l_orderkey AS VARCHAR)), 10) AS INTEGER), '0') END AS key_text,
   CASE l_linenumber WHEN 1 THEN CAST(l_quantity AS VARCHAR) WHEN 2 THEN ' ' || CAST(l_quantity AS VARCHAR) || ' '
        WHEN 3 THEN '' WHEN 4 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || 'd' WHEN 5 THEN '8,5'
        WHEN 6 THEN '1e3' ELSE 'NaN' END AS num_text

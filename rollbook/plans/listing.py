@@ -3,11 +3,13 @@ TK1, TK2, TK4-TK9, CS3, VW5)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rollbook.operators import ranking as R
 from rollbook.plans import bindings as B
 from rollbook.plans.registry import register, rounded
+from rollbook.session import cut_lineage
 
 SQL_ROSTER = B.with_ctes(B.SQL_ROSTER)
 ROSTER_COLS = "ma_sinh_vien, ho_ten, lop, xep_loai, round(diem_10, 6) AS diem_10"
@@ -23,6 +25,17 @@ def _medal_sql(rank: str) -> str:
             f"WHEN {rank} = 3 THEN 'bronze' END")
 
 
+def _placed(ordered):
+    """The whole sorted frame with each row's place, from 1: a global sort's partitions follow each
+    other, so a row's place is its number in its partition and the rows of the ones before."""
+    fixed = cut_lineage(ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()))
+    sizes = fixed.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"), F.min("_mono").alias("_low"))
+    before = sizes.select("_pid", "_low", F.coalesce(F.sum("n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per partition
+    return fixed.join(F.broadcast(before), "_pid").withColumn("place", F.col("_before") + F.col("_mono") - F.col("_low") + 1).drop(
+        "_pid", "_mono", "_low", "_before")
+
+
 @register("tk1_top10", "TK1 TK6", SQL_ROSTER + f"""
 SELECT ma_sinh_vien, ho_ten, lop, round(diem_10, 6) AS score,
        row_number() OVER (ORDER BY diem_10 DESC, ma_sinh_vien) AS rank,
@@ -43,11 +56,10 @@ def tk2_bottom10(spark, sf):
     return rounded(t.select("ma_sinh_vien", "ho_ten", "lop", "score", F.col("rank").cast("bigint").alias("rank")))
 
 
-@register("tk4_sort_by_score_page", "TK4 TK5 TK10", SQL_ROSTER + f"""
-SELECT {ROSTER_COLS} FROM roster ORDER BY diem_10 DESC NULLS LAST, ma_sinh_vien LIMIT 20""")
-def tk4_sort_by_score_page(spark, sf):
-    sorted_ = R.sort_listing(roster(spark, sf), "score", ROLES, ["ma_sinh_vien"])
-    return rounded(sorted_.limit(R.PAGE_SIZE))
+@register("tk4_sort_by_score", "TK4 TK10", SQL_ROSTER + f"""
+SELECT {ROSTER_COLS}, row_number() OVER (ORDER BY diem_10 DESC NULLS LAST, ma_sinh_vien) AS place FROM roster""")
+def tk4_sort_by_score(spark, sf):
+    return rounded(_placed(R.sort_listing(roster(spark, sf), "score", ROLES, ["ma_sinh_vien"])))
 
 
 @register("tk4_sort_by_name_page2", "TK4 TK5", SQL_ROSTER + f"""
@@ -84,11 +96,11 @@ def _mixed(spark, sf):
 @register("tk9_mixed_sort", "TK9", """
 WITH m AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN p_name ELSE CAST(p_retailprice AS VARCHAR) END AS mixed
            FROM part)
-SELECT p_partkey, mixed FROM m
-ORDER BY (TRY_CAST(mixed AS DOUBLE) IS NULL), TRY_CAST(mixed AS DOUBLE), mixed, p_partkey LIMIT 20""")
+SELECT p_partkey, mixed, row_number() OVER (
+  ORDER BY (TRY_CAST(mixed AS DOUBLE) IS NULL), TRY_CAST(mixed AS DOUBLE), mixed, p_partkey) AS place FROM m""")
 def tk9_mixed_sort(spark, sf):
     m = _mixed(spark, sf)
-    return m.orderBy(*R.mixed_sort_keys("mixed"), F.asc("p_partkey")).limit(R.PAGE_SIZE)
+    return _placed(m.orderBy(*R.mixed_sort_keys("mixed"), F.asc("p_partkey")))
 
 
 @register("pf2_text_search", "PF2 TK8", SQL_ROSTER + f"""

@@ -24,7 +24,7 @@ SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_sam
 FROM events GROUP BY event_type""")
 def st1_stream_kpi(spark, sf):
     _, out = ST.kpi_stream(spark, _stream(spark, sf, "events"), "event_type", "value", PASS_VALUE)
-    return rounded(spark.read.parquet(out))
+    return rounded(ST.latest_snapshot(spark, out))
 
 
 def _incoming_from(df):
@@ -48,7 +48,7 @@ def st2_stream_ingest(spark, sf):
              .select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "clerk", "ord")
     src = _incoming_from(_stream(spark, sf, "orders"))
     _, root = ST.ingest_stream(spark, src, "o_orderkey", base, required=["clerk"], order="ord")
-    return rounded(spark.read.parquet(root).drop("batch"))
+    return rounded(spark.read.parquet(root).drop("batch", "bucket"))
 
 
 @register("st3_stream_change_log", "ST3 SO7", """
@@ -60,4 +60,4 @@ SELECT user_id, 'UPDATE' AS change_type, round(old_value, 6) AS old_value, round
 WHERE rn > 1""")
 def st3_stream_change_log(spark, sf):
     _, out = ST.change_log_stream(spark, _stream(spark, sf, "events"), "user_id", "ts", "value", ["event_id"])
-    return rounded(spark.read.parquet(out))
+    return rounded(spark.read.parquet(out).drop("batch"))

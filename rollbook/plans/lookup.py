@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.text import DATE_FORMATS, input_kind, parse_date
 from rollbook.operators import search as SR
-from rollbook.plans.registry import register
+from rollbook.plans.registry import padded, register
 from rollbook.session import read_table
 
 
@@ -27,8 +27,8 @@ def lookup_inputs(spark, sf):
     cust = F.col("o_custkey").cast("string")
     seg = (F.when(F.col("o_orderstatus") == "F", "FUR").when(F.col("o_orderstatus") == "O", "HOU")
            .otherwise("MAC"))
-    v = (F.when(pr == "1-URGENT", F.lpad(cust, 10, "0"))
-         .when(pr == "2-HIGH", F.concat(F.lit("Customer#"), F.lpad(cust, 9, "0")))
+    v = (F.when(pr == "1-URGENT", padded(cust, 10))
+         .when(pr == "2-HIGH", F.concat(F.lit("Customer#"), padded(cust, 9)))
          .when(pr == "3-MEDIUM", F.concat(F.month("o_orderdate").cast("string"), seg))
          .when(pr == "4-NOT SPECIFIED", F.date_format("o_orderdate", "d/M/yyyy"))
          .otherwise(F.concat(F.lit("  Nobody "), F.col("o_orderkey").cast("string"))))
@@ -38,8 +38,8 @@ def lookup_inputs(spark, sf):
 SQL_INPUTS = """WITH inputs AS (
   SELECT o_orderkey AS input_order,
     CASE o_orderpriority
-      WHEN '1-URGENT' THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0')
-      WHEN '2-HIGH' THEN 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')
+      WHEN '1-URGENT' THEN lpad(CAST(o_custkey AS VARCHAR), CAST(greatest(length(CAST(o_custkey AS VARCHAR)), 10) AS INTEGER), '0')
+      WHEN '2-HIGH' THEN 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), CAST(greatest(length(CAST(o_custkey AS VARCHAR)), 9) AS INTEGER), '0')
       WHEN '3-MEDIUM' THEN CAST(month(o_orderdate) AS VARCHAR) ||
            CASE o_orderstatus WHEN 'F' THEN 'FUR' WHEN 'O' THEN 'HOU' ELSE 'MAC' END
       WHEN '4-NOT SPECIFIED' THEN strftime(o_orderdate, '%-d/%-m/%Y')
@@ -51,7 +51,7 @@ def lookup_targets(spark, sf):
     c = read_table(spark, sf, "customer")
     return c.select(
         "c_custkey", "c_name",
-        F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("ma"),
+        padded(F.col("c_custkey"), 10).alias("ma"),
         F.concat(F.col("c_nationkey").cast("string"), F.substring("c_mktsegment", 1, 3)).alias("lop"),
         F.date_format(F.date_add(F.lit("1995-01-01").cast("date"), F.col("c_custkey").cast("int")), "dd/MM/yyyy")
         .alias("ngay_sinh"))
@@ -94,7 +94,7 @@ kinded AS (SELECT input_order, input_value, t, {sql_kind('t')} AS kind FROM cls
 keyed AS (SELECT input_order, input_value, kind,
     CASE WHEN kind = 'mssv' THEN t WHEN kind = 'date' THEN strftime({sql_parse_date('t')}, '%Y-%m-%d')
          ELSE lower(t) END AS key FROM kinded),
-tgt0 AS (SELECT c_custkey, c_name, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS ma,
+tgt0 AS (SELECT c_custkey, c_name, lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(length(CAST(c_custkey AS VARCHAR)), 10) AS INTEGER), '0') AS ma,
     CAST(c_nationkey AS VARCHAR) || substring(c_mktsegment, 1, 3) AS lop,
     strftime(DATE '1995-01-01' + CAST(c_custkey AS INTEGER), '%d/%m/%Y') AS ngay_sinh FROM customer),
 tgt AS (
@@ -134,9 +134,11 @@ def sr8_coverage(spark, sf):
 
 SQL_DISTINCT_KEYED = SQL_KEYED.replace(
     "cls AS (SELECT input_order, input_value, " + TRIM.format('input_value') + " AS t FROM inputs),",
-    "dins AS (SELECT arg_min(input_order, input_order) AS input_order, arg_min(input_value, input_order) AS input_value"
+    "dins AS (SELECT arg_min(input_order, input_order) AS input_order, arg_min(input_value, input_order) AS input_value, count(*) AS n_inputs"
     " FROM inputs WHERE " + TRIM.format('input_value') + " <> '' GROUP BY " + TRIM.format('input_value') + "),\n"
-    "cls AS (SELECT input_order, input_value, " + TRIM.format('input_value') + " AS t FROM dins),")
+    "cls AS (SELECT input_order, input_value, n_inputs, " + TRIM.format('input_value') + " AS t FROM dins),").replace(
+    "kinded AS (SELECT input_order, input_value, t,", "kinded AS (SELECT input_order, input_value, n_inputs, t,").replace(
+    "keyed AS (SELECT input_order, input_value, kind,", "keyed AS (SELECT input_order, input_value, n_inputs, kind,")
 
 
 def _by_kind(kind_sql: str, first: bool) -> str:
@@ -146,7 +148,7 @@ def _by_kind(kind_sql: str, first: bool) -> str:
                 f"FROM {hits}) WHERE rn = 1)")
     assert SQL_DISTINCT_KEYED != SQL_KEYED
     return SQL_DISTINCT_KEYED + f"""
-SELECT k.input_order, k.input_value, h.field AS match_field, h.col_ord, h.row_ord, h.c_name
+SELECT k.input_order, k.input_value, k.n_inputs, h.field AS match_field, h.col_ord, h.row_ord, h.c_name
 FROM keyed k JOIN {hits} h ON k.key = h.key WHERE k.kind = '{kind_sql}'"""
 
 

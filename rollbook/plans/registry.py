@@ -30,6 +30,12 @@ def register(name: str, operators: str, sql: str | None = None):
     return deco
 
 
+def padded(c, width: int):
+    """An id as text with leading zeros; a longer one stays whole (a plain ``lpad`` would cut it)."""
+    text = c.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+
+
 def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
     """Round every double column (summation order differs between engines)."""
     cols = []

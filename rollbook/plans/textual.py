@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from rollbook.functions import extract as X
 from rollbook.operators import extraction as EX
-from rollbook.plans.registry import register
-from rollbook.session import read_table, spread
+from rollbook.plans.registry import padded, register
+from rollbook.session import read_table
 
 
 def doc_lines(spark, sf):
-    d = spread(read_table(spark, sf, "documents"))
+    d = read_table(spark, sf, "documents")
     return (EX.text_to_lines(d, "text", ["doc_id"])
             .select(F.lit("doc").alias("src"), F.col("doc_id").alias("rec_id"),
                     F.col("line_no").cast("bigint").alias("line_no"), "line"))
@@ -35,8 +35,8 @@ def lines(spark, sf):
     o = read_table(spark, sf, "orders")
     key = F.col("c_custkey").cast("string")
     cust = c.select(F.lit("customer").alias("src"), F.col("c_custkey").alias("rec_id"), F.explode(F.array(
-        F.struct(F.lit(0).cast("bigint").alias("line_no"), F.concat_ws(" ", "c_name", F.lpad(key, 10, "0")).alias("line")),
-        F.struct(F.lit(1).cast("bigint").alias("line_no"), F.concat(F.lit("20"), F.lpad(key, 6, "0")).alias("line")),
+        F.struct(F.lit(0).cast("bigint").alias("line_no"), F.concat_ws(" ", "c_name", padded(key, 10)).alias("line")),
+        F.struct(F.lit(1).cast("bigint").alias("line_no"), F.concat(F.lit("20"), padded(key, 6)).alias("line")),
         F.struct(F.lit(2).cast("bigint").alias("line_no"),
                  F.concat(F.col("c_nationkey").cast("string"), F.substring("c_mktsegment", 1, 3)).alias("line")),
     )).alias("l")).select("src", "rec_id", "l.line_no", "l.line")
@@ -44,7 +44,7 @@ def lines(spark, sf):
                      F.lit(0).cast("bigint").alias("line_no"), F.initcap("p_name").alias("line"))
     dates = o.select(F.lit("orders").alias("src"), F.col("o_orderkey").alias("rec_id"),
                      F.lit(0).cast("bigint").alias("line_no"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("line"))
-    return spread(doc_lines(spark, sf).unionByName(cust).unionByName(parts).unionByName(dates))
+    return doc_lines(spark, sf).unionByName(cust).unionByName(parts).unionByName(dates)
 
 
 TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -57,9 +57,9 @@ doc_lines AS (SELECT 'doc' AS src, doc_id AS rec_id, CAST(i - 1 AS BIGINT) AS li
 SQL_LINES = SQL_DOC_LINES + """,
 lines AS (
   SELECT * FROM doc_lines
-  UNION ALL SELECT 'customer', c_custkey, CAST(0 AS BIGINT), c_name || ' ' || lpad(CAST(c_custkey AS VARCHAR), 10, '0')
+  UNION ALL SELECT 'customer', c_custkey, CAST(0 AS BIGINT), c_name || ' ' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(length(CAST(c_custkey AS VARCHAR)), 10) AS INTEGER), '0')
             FROM customer
-  UNION ALL SELECT 'customer', c_custkey, CAST(1 AS BIGINT), '20' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') FROM customer
+  UNION ALL SELECT 'customer', c_custkey, CAST(1 AS BIGINT), '20' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(length(CAST(c_custkey AS VARCHAR)), 6) AS INTEGER), '0') FROM customer
   UNION ALL SELECT 'customer', c_custkey, CAST(2 AS BIGINT), CAST(c_nationkey AS VARCHAR) || substring(c_mktsegment, 1, 3)
             FROM customer
   UNION ALL SELECT 'part', p_partkey, CAST(0 AS BIGINT),
@@ -222,7 +222,7 @@ def upload_lines(spark, sf):
     body_line = (F.when(seg == "HOUSEHOLD", F.concat_ws(",", "c_name", "c_mktsegment"))
                  .when(seg == "MACHINERY", F.col("c_name"))
                  .when(seg == "AUTOMOBILE", F.concat(F.lit(","), F.col("c_name"), F.lit(", ,")))
-                 .otherwise(F.concat(F.col("c_name"), F.lit(", "), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))))
+                 .otherwise(F.concat(F.col("c_name"), F.lit(", "), padded(F.col("c_custkey"), 8))))
     body = c.select(F.col("c_nationkey").cast("int").alias("file"),
                     (F.col("c_custkey") + 1).cast("bigint").alias("line_no"), body_line.alias("line"))
     return head.unionByName(body)
@@ -234,7 +234,7 @@ SQL_UPLOAD = """WITH up AS (
   UNION ALL SELECT c_nationkey, CAST(c_custkey + 1 AS BIGINT),
     CASE c_mktsegment WHEN 'HOUSEHOLD' THEN c_name || ',' || c_mktsegment WHEN 'MACHINERY' THEN c_name
          WHEN 'AUTOMOBILE' THEN ',' || c_name || ', ,'
-         ELSE c_name || ', ' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END FROM customer),
+         ELSE c_name || ', ' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(length(CAST(c_custkey AS VARCHAR)), 8) AS INTEGER), '0') END FROM customer),
 flag AS (SELECT *, (contains(lower(line), 'họ tên') OR contains(lower(line), 'mssv') OR contains(lower(line), 'name')
                     OR contains(lower(line), 'student')) AS hdr FROM up),
 fh AS (SELECT file, min(line_no) AS first_hdr FROM flag WHERE hdr GROUP BY file),
@@ -255,10 +255,11 @@ def sc6_lookup_upload(spark, sf):
 
 
 @register("so5_upload_dedupe", "SO5 SC6", SQL_UPLOAD + """
-SELECT input_value, min(CAST(file AS BIGINT) * 100000000 + line_no) AS first_pos, count(*) AS n
-FROM vals WHERE input_value IS NOT NULL GROUP BY input_value""")
+SELECT input_value, p.file AS first_file, p.line_no AS first_line, n FROM (SELECT input_value, min(struct_pack(file := CAST(file AS BIGINT), line_no := line_no)) AS p, count(*) AS n
+FROM vals WHERE input_value IS NOT NULL GROUP BY input_value)""")
 def so5_upload_dedupe(spark, sf):
     v = EX.sniff_lookup_lines(upload_lines(spark, sf))
     return (v.groupBy("input_value").agg(
-        F.min(F.col("file").cast("bigint") * 100000000 + F.col("line_no")).alias("first_pos"),
-        F.count(F.lit(1)).cast("bigint").alias("n")))
+        F.min(F.struct(F.col("file").cast("bigint").alias("file"), "line_no")).alias("p"),
+        F.count(F.lit(1)).cast("bigint").alias("n"))
+        .select("input_value", F.col("p.file").alias("first_file"), F.col("p.line_no").alias("first_line"), "n"))

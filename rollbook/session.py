@@ -33,9 +33,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder, setting a local one only when unset."""
+    """Return the shared folder named by ``spark.checkpoint.dir``.
+
+    A cluster must name one: executors could not read what another machine's own disk
+    holds. Only where driver and executors are one process (``local[...]``, as in tests) is an unset
+    folder replaced by a temporary one.
+    """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share (master is {master!r})")
         path = tempfile.mkdtemp(prefix="rollbook-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     try:
@@ -60,23 +68,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def spread(df, factor: int = 2):
-    """Give CPU-heavy per-row work (regular expressions over whole texts) at least
-    ``factor`` x the cluster's parallelism in partitions.
-
-    Small inputs arrive as one file and one row group, i.e. one task; big inputs already
-    have many splits and are left alone, so the round-robin shuffle only happens where
-    the scan itself would leave cores idle. The decision reads plan metadata only.
-    """
-    spark = df.sparkSession
-    try:
-        target = spark.sparkContext.defaultParallelism * factor
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (Spark Connect): leave it to AQE
-        return df
-    return df.repartition(target) if current < target else df
-
-
 def cut_lineage(df):
     """Materialise a frame that several branches read, with a *reliable* checkpoint in the
     shared ``spark.checkpoint.dir`` (survives executor loss; never a local checkpoint)."""

@@ -25,9 +25,9 @@ WIDE_COLUMNS = (
     "diem_10_tich_luy", "diem_4_tich_luy", "diem_chu_tich_luy", "xep_loai_tich_luy", "xep_hang",
     "nam_thu", "so_tc_tich_luy", "diem_ren_luyen_tich_luy", "xep_loai_ren_luyen_tich_luy", "ghi_chu",
 )
-_INT = {"stt", "so_mh_dang_ky", "so_tc_dang_ky", "so_mh_dat", "diem_ren_luyen", "nam_thu",
-        "so_tc_tich_luy", "diem_ren_luyen_tich_luy"}
-_DBL = {"diem_10", "diem_4", "diem_10_tich_luy", "diem_4_tich_luy"}
+INT_COLUMNS = {"stt", "so_mh_dang_ky", "so_tc_dang_ky", "so_mh_dat", "diem_ren_luyen", "nam_thu",
+               "so_tc_tich_luy", "diem_ren_luyen_tich_luy"}
+DOUBLE_COLUMNS = {"diem_10", "diem_4", "diem_10_tich_luy", "diem_4_tich_luy"}
 
 # Every column is read as text (ids keep their leading zeros); typing happens in ``type_wide``.
 WIDE_TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in WIDE_COLUMNS])
@@ -49,9 +49,9 @@ def type_wide(df: DataFrame) -> DataFrame:
     for c in WIDE_COLUMNS:
         if c not in df.columns:
             continue
-        if c in _INT:
+        if c in INT_COLUMNS:
             cols.append(clean_number(c).cast("bigint").alias(c))
-        elif c in _DBL:
+        elif c in DOUBLE_COLUMNS:
             cols.append(clean_number(c).alias(c))
         elif c == "ngay_sinh":
             cols.append(parse_date(c).alias(c))

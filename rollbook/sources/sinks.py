@@ -38,8 +38,12 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
 def global_row_number(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
     """A 1-based running number under a total order without a single-partition window:
     range-partition on the order, number rows inside each partition, and add the row
-    count of all earlier partitions (a table with one row per partition, broadcast)."""
-    ranged = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+    count of all earlier partitions (a table with one row per partition, broadcast). The
+    partition numbers are fixed by a reliable checkpoint: the sampled bounds, and so the numbers,
+    would differ if the exchange ran twice."""
+    from rollbook.session import cut_lineage
+
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
     local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
     sizes = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn("_offset", F.coalesce(

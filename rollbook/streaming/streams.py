@@ -7,24 +7,21 @@
   skip known keys and append through ``foreachBatch``. Each micro-batch writes its own
   ``batch=<id>`` partition in overwrite mode, so a replayed batch (after a failure)
   rewrites the same files instead of appending twice.
-* ST3 ``change_log_stream``: previous and new value per key from an update feed with
-  ``applyInPandasWithState``; the state per key is one row (the last value). Within a
-  micro-batch the rows of a key are ordered by time; across micro-batches arrival order
-  defines "previous". A key's rows of one micro-batch are handled together, so the trigger
-  size (``maxFilesPerTrigger``) bounds the work of a hot key per call.
+* ST3 ``change_log_stream``: previous and new value per key from an update feed: every
+  micro-batch is logged by the batch operator, with a keyed table of last values ahead of
+  it. Within a micro-batch the rows of a key are ordered by time; across micro-batches arrival
+  order defines "previous".
 
 All checkpoints and outputs live under the session's ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rollbook.session import scratch_path
 
@@ -63,14 +60,15 @@ def kpi_aggregate(df: DataFrame, klass: str, score: str, pass_mark: float) -> Da
 def kpi_stream(spark: SparkSession, source: DataFrame, klass: str, score: str, pass_mark: float,
                out_path: str | None = None, checkpoint: str | None = None, available_now: bool = True,
                refresh_seconds: int = 30):
-    """ST1: run the metrics over a stream; each trigger rewrites the snapshot at ``out_path``.
-    Running continuously it refreshes every ``refresh_seconds`` (the dashboard's 30 s poll)."""
+    """ST1: run the metrics over a stream; each trigger adds the snapshot ``batch=<id>`` at
+    ``out_path``, and :func:`latest_snapshot` reads the newest complete one, so a reader never sees
+    half a snapshot. Running continuously it refreshes every ``refresh_seconds`` (the dashboard's 30 s poll)."""
     out_path = out_path or scratch_path(spark, "st1-out")
     checkpoint = checkpoint or scratch_path(spark, "st1-ckpt")
     agg = kpi_aggregate(source, klass, score, pass_mark)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id:012d}")
 
     w = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     q = (w.trigger(availableNow=True).start() if available_now
@@ -80,8 +78,15 @@ def kpi_stream(spark: SparkSession, source: DataFrame, klass: str, score: str, p
     return q, out_path
 
 
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest snapshot under ``path``: files appear in it only when its write is committed."""
+    table = spark.read.option("basePath", path).parquet(path)
+    newest = table.select("batch").distinct().agg(F.max("batch")).first()[0]
+    return table.where(F.col("batch") == newest).drop("batch")
+
+
 # ---------------------------------------------------------------- ST2
-BROADCAST_KEYS = 5_000_000  # a micro-batch's distinct keys are broadcast below this count
+KEY_BUCKETS = 64
 
 
 def ingest_stream(spark: SparkSession, source: DataFrame, key: str, base: DataFrame,
@@ -92,14 +97,16 @@ def ingest_stream(spark: SparkSession, source: DataFrame, key: str, base: DataFr
     ``base`` is written once as ``batch=base``. There is no streaming de-duplication state
     (it would keep every key ever seen): each micro-batch is de-duplicated on its own (first
     row by ``order``), its keys are looked up in the table written so far, and the new rows
-    are written as ``batch=<id>`` in overwrite mode, so a replayed batch is idempotent.
+    are written as ``batch=<id>`` in overwrite mode, so a replayed batch is idempotent. The table
+    is partitioned by a hash of the key as well, so a batch reads the ``bucket``s of its own keys only.
     """
     from rollbook.functions.text import utrim
     from rollbook.operators.ranking import first_by_key
 
     out_root = out_root or scratch_path(spark, "st2-table")
     checkpoint = checkpoint or scratch_path(spark, "st2-ckpt")
-    base.write.mode("overwrite").parquet(f"{out_root}/batch=base")
+    bucket = F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+    base.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{out_root}/batch=base")
     cleaned = source
     for c in required:
         cleaned = cleaned.where(F.coalesce(utrim(c) != "", F.lit(False)))
@@ -107,14 +114,12 @@ def ingest_stream(spark: SparkSession, source: DataFrame, key: str, base: DataFr
     def write(batch: DataFrame, batch_id: int) -> None:
         tag = f"b{batch_id:012d}"
         batch = (first_by_key(batch, [key], [(order, True)]) if order else batch.dropDuplicates([key]))
-        batch = batch.persist()
-        keys = batch.select(key).distinct()
-        table = spark.read.parquet(out_root).where(F.col("batch") != tag).select(key)
-        # only the table rows whose key occurs in this batch: a semi join against the
-        # batch's keys (broadcast when their counted size allows) instead of a full shuffle
-        known = table.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, "left_semi")
-        new = batch.join(known.distinct(), key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{out_root}/batch={tag}")
+        batch = batch.withColumn("bucket", bucket).persist()
+        mine = [r[0] for r in batch.select("bucket").distinct().collect()]  # KEY_BUCKETS numbers at most
+        table = spark.read.option("basePath", out_root).parquet(out_root)
+        known = table.where((F.col("batch") != tag) & F.col("bucket").isin(mine)).select(key, "bucket")
+        new = batch.join(known, [key, "bucket"], "left_anti")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{out_root}/batch={tag}")
         batch.unpersist()
 
     w = cleaned.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
@@ -125,46 +130,37 @@ def ingest_stream(spark: SparkSession, source: DataFrame, key: str, base: DataFr
 
 
 # ---------------------------------------------------------------- ST3
-def _change_fn(key: str, ts: str, value: str, tiebreak: Sequence[str]):
-    order = [ts, *tiebreak]
-
-    def fn(k, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="stable")
-        prev = batch[value].shift(1)
-        has_prev = pd.Series([True] * len(batch), index=batch.index)
-        if state.exists:
-            prev.iloc[0] = state.get[0]
-        else:
-            has_prev.iloc[0] = False
-        out = pd.DataFrame({key: batch[key], "change_type": "UPDATE", "old_value": prev,
-                            "new_value": batch[value], "change_date": batch[ts]})
-        for c in tiebreak:
-            out[c] = batch[c]
-        state.update((float(batch[value].iloc[-1]),))
-        yield out[has_prev.values]
-
-    return fn
-
-
 def change_log_stream(spark: SparkSession, source: DataFrame, key: str, ts: str, value: str,
                       tiebreak: Sequence[str] = (), out_path: str | None = None,
                       checkpoint: str | None = None, available_now: bool = True):
-    """ST3: stream of ``(key, UPDATE, old_value, new_value, change_date)`` rows."""
+    """ST3: stream of ``(key, UPDATE, old_value, new_value, change_date)`` rows, under
+    ``<out_path>/log``; the last value of each key after every batch is under ``<out_path>/last``.
+
+    Each micro-batch is logged like SO7, with the last values of the batch before it ahead of
+    its rows, so a key that fills the whole batch is spread over many tasks. Both tables are written as
+    ``batch=<id>`` in overwrite mode: a replayed batch reads the same predecessor and writes the same rows.
+    """
+    from rollbook.operators.upsert import change_log
+
     out_path = out_path or scratch_path(spark, "st3-out")
     checkpoint = checkpoint or scratch_path(spark, "st3-ckpt")
-    fields = [source.schema[key], T.StructField("change_type", T.StringType()),
-              T.StructField("old_value", T.DoubleType()), T.StructField("new_value", T.DoubleType()),
-              T.StructField("change_date", source.schema[ts].dataType)]
-    fields += [source.schema[c] for c in tiebreak]
-    out_schema = T.StructType(fields)
-    state_schema = T.StructType([T.StructField("last_value", T.DoubleType())])
-    logged = (source.select(key, ts, F.col(value).cast("double").alias(value), *tiebreak)
-              .groupBy(key)
-              .applyInPandasWithState(_change_fn(key, ts, value, tiebreak), out_schema, state_schema,
-                                      "append", GroupStateTimeout.NoTimeout))
-    w = (logged.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint).option("path", out_path))
+    order = [ts, *tiebreak]
+    rows = source.select(key, ts, F.col(value).cast("double").alias(value), *tiebreak)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        both = batch.withColumn("_new", F.lit(1))
+        if batch_id:
+            last = spark.read.parquet(f"{out_path}/last/batch={batch_id - 1:012d}")
+            both = both.unionByName(last.withColumn("_new", F.lit(0)))
+        both = both.persist()
+        log = change_log(both, key, ts, value, tiebreak, lead=["_new"])
+        log.write.mode("overwrite").parquet(f"{out_path}/log/batch={batch_id:012d}")
+        now = both.groupBy(key).agg(F.max_by(F.struct(value, *order), F.struct("_new", *order)).alias("_l"))
+        now.select(key, "_l.*").write.mode("overwrite").parquet(f"{out_path}/last/batch={batch_id:012d}")
+        both.unpersist()
+
+    w = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     q = w.trigger(availableNow=True).start() if available_now else w.start()
     if available_now:
         drain(q)
-    return q, out_path
+    return q, f"{out_path}/log"

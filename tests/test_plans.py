@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from rollbook.operators import extraction as EX
 from rollbook.operators import search as SR
-from rollbook.session import spread
 
 
 def _optimized(df):
@@ -18,11 +18,10 @@ def test_search_score_is_not_pushed_into_a_filter(spark):
     assert not any("greatest" in ln for ln in filters), plan
 
 
-def test_spread_only_when_partitions_are_short(spark):
-    small = spark.range(10).coalesce(1)
-    assert spread(small).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
-    many = spark.range(0, 1000, 1, spark.sparkContext.defaultParallelism * 4)
-    assert spread(many).rdd.getNumPartitions() == many.rdd.getNumPartitions()
+def test_line_rules_are_evaluated_once(spark):
+    lines = spark.createDataFrame([(1, "2001200001 Nguyen Van An 14DHTH01")], "k long, line string")
+    plan = _optimized(EX.extract_items(lines))
+    assert not any("Filter" in ln and "rlike" in ln.lower() for ln in plan.split("\n")), plan
 
 
 def test_lookup_key_is_not_nullable(spark):

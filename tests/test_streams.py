@@ -16,7 +16,7 @@ def _events_stream(spark):
 
 def test_kpi_stream_equals_batch(spark):
     _, out = ST.kpi_stream(spark, _events_stream(spark), "event_type", "value", 10.0)
-    got = {r.event_type: (r.n, round(r.mean, 9)) for r in spark.read.parquet(out).collect()}
+    got = {r.event_type: (r.n, round(r.mean, 9)) for r in ST.latest_snapshot(spark, out).collect()}
     batch = ST.kpi_aggregate(read_table(spark, SF_SMALL, "events"), "event_type", "value", 10.0)
     assert got == {r.event_type: (r.n, round(r.mean, 9)) for r in batch.collect()}
 
