@@ -72,6 +72,11 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def fold(text: str) -> bytes:
+    """What is compressed: case and the width of white space say nothing about the license."""
+    return " ".join(text.lower().split()).encode()
+
+
 def telling(word: str) -> bool:
     return word in TELLING or word[0].isdigit()
 
@@ -84,11 +89,11 @@ class Notices:
         self.words = [words_of(t) for _, t in notices]
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.given = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
-            t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in notices]
+            fold(t), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in notices]
 
     def rank(self, block: str) -> list[tuple[float, int]]:
         """(share of compressed bytes that the notice saves, notice), the largest first."""
-        raw = block.encode()
+        raw = fold(block)
         alone = len(self.plain.compress(raw))
         return sorted(((1 - len(c.compress(raw)) / alone, k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
 
