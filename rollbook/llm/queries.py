@@ -192,6 +192,6 @@ def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.substring(F.md5(F.concat(F.lit("file"), F.col("file_no").cast("string")).cast("binary")), 1, 1) == "0"
     replica = leaves(harmed).join(sizes, F.col("file_no") == F.col("s")).where(~(cut & (F.col("idx") >= F.col("n") - 3))).drop("s", "n")
     found = audit(primary, stored(replica, "replica")).select(F.col("file_no").alias("f"), F.col("idx").alias("i"), "verdict")
-    roots = Tree(primary, *heights(primary)).file_roots().select(F.col("file_no").alias("r"), F.col("hash").alias("file_root"))
+    roots = Tree(primary, heights(primary)[0], 0).file_roots().select(F.col("file_no").alias("r"), F.col("hash").alias("file_root"))
     return primary.join(found, (F.col("file_no") == F.col("f")) & (F.col("idx") == F.col("i")), "left").join(roots, F.col("file_no") == F.col("r")).select(
         "page_id", "file_no", "idx", "offset", "length", "digest", "file_root", F.coalesce("verdict", F.lit("intact")).alias("verdict"))

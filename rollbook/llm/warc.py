@@ -57,18 +57,19 @@ def _parent(nodes: DataFrame, keys: list[str], index: str) -> DataFrame:
 
 
 class Tree:
-    """A replica's levels: within files from the leaves up to the file roots, then over files."""
+    """A replica's levels: within files from the leaves up to the file roots, then over files. Each is a
+    table, a ``FANOUT``-th of the one below."""
 
     def __init__(self, leaf_table: DataFrame, height: int, span: int) -> None:
         level = leaf_table.select("file_no", "idx", leaf_hash().alias("hash"))
         self.inner = [level]
         for _ in range(height):
-            level = _parent(level, ["file_no"], "idx")
+            level = stored(_parent(level, ["file_no"], "idx"), "nodes")
             self.inner.append(level)
         level = level.select("file_no", "hash")
         self.outer = [level]
         for _ in range(span):
-            level = _parent(level, [], "file_no")
+            level = stored(_parent(level, [], "file_no"), "nodes")
             self.outer.append(level)
 
     def file_roots(self) -> DataFrame:
@@ -111,10 +112,10 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     verdict (changed, missing, extra), and the digests on both sides."""
     high, wide = heights(primary, replica)
     a, b = Tree(primary, high, wide), Tree(replica, high, wide)
-    marked = _differ(a.outer[-1], b.outer[-1], ["file_no"])
+    marked = stored(_differ(a.outer[-1], b.outer[-1], ["file_no"]), "marked")
     for k in range(wide - 1, -1, -1):
-        marked = _differ(_below(a.outer[k], marked, [], "file_no"), _below(b.outer[k], marked, [], "file_no"), ["file_no"])
-    marked = stored(marked.select("file_no", F.lit(0).cast("bigint").alias("idx")), "marked")
+        marked = stored(_differ(_below(a.outer[k], marked, [], "file_no"), _below(b.outer[k], marked, [], "file_no"), ["file_no"]), "marked")
+    marked = marked.select("file_no", F.lit(0).cast("bigint").alias("idx"))
     for k in range(high - 1, -1, -1):
         marked = stored(_differ(_below(a.inner[k], marked, ["file_no"], "idx"), _below(b.inner[k], marked, ["file_no"], "idx"), ["file_no", "idx"]), "marked")
     m = marked.select(F.col("file_no").alias("f"), F.col("idx").alias("i"))
