@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions import labels as L
@@ -78,45 +78,66 @@ def score_histogram(df: DataFrame, score: str, edges: Sequence[float] = L.SCORE_
 
 
 # ---------------------------------------------------------------- AG5 - AG9
-def _moments(s: Column, approx: bool):
-    quart = (F.percentile_approx(s, [0.25, 0.5, 0.75], 10000) if approx
-             else F.percentile(s, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    return [
-        F.count(s).alias("n"),
-        F.avg(s).alias("mean"),
-        F.mode(s, deterministic=True).alias("mode"),
-        F.stddev_samp(s).alias("std_dev"),
-        F.var_samp(s).alias("variance"),
-        F.min(s).alias("min"),
-        F.max(s).alias("max"),
-        quart.alias("_q"),
-        F.skewness(s).alias("_skew_pop"),
+def score_moments(df: DataFrame, score: str) -> DataFrame:
+    """AG5, AG7, AG8: what one aggregate of bounded state gives: count, mean, spread, range, coefficient of
+    variation, skewness (third central moment over the *sample* std cubed), pass and excellent rates."""
+    s = F.col("score")
+    row = scores_only(df, score).agg(
+        F.count(s).alias("n"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("std_dev"), F.var_samp(s).alias("variance"),
+        F.min(s).alias("min"), F.max(s).alias("max"), F.skewness(s).alias("_skew_pop"),
         F.avg(F.when(s >= L.PASS_MARK, 100.0).otherwise(0.0)).alias("pass_rate"),
-        F.avg(F.when(s >= L.EXCELLENT_MARK, 100.0).otherwise(0.0)).alias("excellent_rate"),
-    ]
+        F.avg(F.when(s >= L.EXCELLENT_MARK, 100.0).otherwise(0.0)).alias("excellent_rate"))
+    n = F.col("n").cast("double")
+    return row.select(
+        F.col("n").cast("bigint").alias("n"), "mean", "std_dev", "variance", "min", "max", (F.col("max") - F.col("min")).alias("range"),
+        F.when(F.col("mean") != 0, F.col("std_dev") / F.col("mean") * 100).otherwise(0.0).alias("coefficient_variation"),
+        # population skewness rescaled to the sample std: g1 * ((n-1)/n)^1.5
+        F.when(F.col("std_dev") > 0, F.col("_skew_pop") * F.pow((n - 1) / n, 1.5)).otherwise(0.0).alias("skewness"),
+        "pass_rate", "excellent_rate")
 
 
-def describe_scores(df: DataFrame, score: str, approx: bool = False) -> DataFrame:
-    """AG5-AG8 in one aggregation: basic stats, quartiles (linear interpolation), IQR,
-    coefficient of variation, skewness (third central moment over the *sample* std cubed),
-    pass and excellent rates."""
+def quantile_row(df: DataFrame, score: str, shares: Sequence[float] = (0.25, 0.5, 0.75), approx: bool = False) -> DataFrame:
+    """AG6 and the mode: one row with ``mode`` (the smallest of the most frequent) and ``q`` (an array,
+    linear interpolation).
+
+    Values are counted first, by a shuffle on the value; the counts are range-partitioned, and a running count
+    (inside each partition, behind the sum of the partitions before) says which values hold the wanted
+    ranks. So no task ever holds all distinct values, even if every score is another. ``approx`` replaces
+    the ranks by a bounded sketch.
+    """
+    from rollbook.session import cut_lineage
+
     sc = scores_only(df, score)
-    s = F.col("score")
-    row = sc.agg(*_moments(s, approx))
-    n = F.col("n").cast("double")
+    counts = sc.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    # the partition numbers are fixed once; sampled bounds may differ when an exchange runs again
+    fixed = cut_lineage(counts.repartitionByRange("score").withColumn("_pid", F.spark_partition_id()))
+    mode = fixed.orderBy(F.desc("n"), F.asc("score")).limit(1).select("score").scalar()
+    if approx:
+        return sc.agg(mode.alias("mode"), F.percentile_approx("score", list(shares), 10000).alias("q"))
+    every = Window.orderBy("_pid")  # a row per partition
+    sizes = fixed.groupBy("_pid").agg(F.sum("n").alias("_size")).select(
+        "_pid", F.coalesce(F.sum("_size").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_size").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
+    inside = F.sum("n").over(Window.partitionBy("_pid").orderBy("score"))
+    placed = fixed.withColumn("_inside", inside).join(F.broadcast(sizes), "_pid").withColumn("_upto", F.col("_before") + F.col("_inside"))
+    rank = lambda q: F.lit(float(q)) * (F.col("_total") - 1)
+    at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("score")))
+    ends = placed.agg(F.max("_total").alias("_total"), *[x for i, q in enumerate(shares) for x in (
+        at(F.floor(rank(q))).alias(f"lo{i}"), at(F.ceil(rank(q))).alias(f"hi{i}"))])
+    return ends.select(mode.alias("mode"), F.array(*[
+        F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (rank(q) - F.floor(rank(q))) for i, q in enumerate(shares)]).alias("q"))
+
+
+def describe_scores(df: DataFrame, score: str, approx: bool = False) -> DataFrame:
+    """AG5-AG8: basic stats, quartiles (linear interpolation), IQR, coefficient of variation, skewness, pass and
+    excellent rates, in one row."""
+    ranks = quantile_row(df, score, approx=approx).select(F.struct("mode", "q").alias("r")).scalar()
+    row = score_moments(df, score).withColumn("_r", ranks)
+    q = F.col("_r.q")
     return row.select(
-        F.col("n").cast("bigint").alias("n"), "mean",
-        F.col("_q")[1].alias("median"), "mode", "std_dev", "variance", "min", "max",
-        (F.col("max") - F.col("min")).alias("range"),
-        F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q2"), F.col("_q")[2].alias("q3"),
-        (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"),
-        F.when(F.col("mean") != 0, F.col("std_dev") / F.col("mean") * 100).otherwise(0.0)
-        .alias("coefficient_variation"),
-        # population skewness rescaled to the sample std: g1 * ((n-1)/n)^1.5
-        F.when(F.col("std_dev") > 0, F.col("_skew_pop") * F.pow((n - 1) / n, 1.5)).otherwise(0.0)
-        .alias("skewness"),
-        "pass_rate", "excellent_rate",
-    )
+        "n", "mean", q[1].alias("median"), F.col("_r.mode").alias("mode"), "std_dev", "variance", "min", "max", "range",
+        q[0].alias("q1"), q[1].alias("q2"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr"),
+        "coefficient_variation", "skewness", "pass_rate", "excellent_rate")
 
 
 def outliers(df: DataFrame, score: str, k: float = 1.5, flag_share: float = 5.0,
@@ -127,9 +148,7 @@ def outliers(df: DataFrame, score: str, k: float = 1.5, flag_share: float = 5.0,
     then one conditional count.
     """
     sc = scores_only(df, score)
-    q = (F.percentile_approx("score", [0.25, 0.75], 10000) if approx
-         else F.percentile("score", F.array(F.lit(0.25), F.lit(0.75))))
-    quart = sc.agg(q.alias("q")).select("q").scalar()  # one subquery, evaluated once
+    quart = quantile_row(df, score, (0.25, 0.75), approx).select("q").scalar()  # one subquery, evaluated once
     lo = quart[0] - F.lit(k) * (quart[1] - quart[0])
     hi = quart[1] + F.lit(k) * (quart[1] - quart[0])
     out = sc.agg(
@@ -143,6 +162,22 @@ def outliers(df: DataFrame, score: str, k: float = 1.5, flag_share: float = 5.0,
         (share > flag_share).alias("outlier_flag"), "lower_bound", "upper_bound")
 
 
+def statistics_document(df: DataFrame, score: str, edges: Sequence[float], bin_labels: Sequence[str], approx: bool = False) -> DataFrame:
+    """VW4: the whole statistics report as rows (section, name, value): basic statistics, quartiles, rates, outliers
+    and the grade distribution (count and share of every bin)."""
+    one = lambda section, row, names: row.select(F.explode(F.array(*[
+        F.struct(F.lit(section).alias("section"), F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")).select("x.*")
+    stats = describe_scores(df, score, approx)
+    out = one("basic", stats, ["n", "mean", "median", "mode", "std_dev", "variance", "min", "max", "range"])
+    out = out.unionByName(one("quartiles", stats, ["q1", "q2", "q3", "iqr"]))
+    out = out.unionByName(one("advanced", stats, ["coefficient_variation", "skewness", "pass_rate", "excellent_rate"]))
+    out = out.unionByName(one("outliers", outliers(df, score, approx=approx), ["outlier_count", "outlier_percentage"]))
+    bins = score_histogram(df, score, edges, bin_labels)
+    for n in ("count", "percentage"):
+        out = out.unionByName(bins.select(F.lit(f"distribution_{n}").alias("section"), F.col("label").alias("name"), F.col(n).cast("double").alias("value")))
+    return out
+
+
 # ---------------------------------------------------------------- AG10 / AG19 / AG18 / AG20
 def class_analysis(df: DataFrame, klass: str, score: str, approx: bool = False,
                    coerce: bool = False) -> DataFrame:
@@ -247,19 +282,24 @@ def distinct_values(df: DataFrame, key: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- RU1 / RU2
-# Rule texts (type, title, priority).
-RULE_LOW_PASS = ("warning", "Tỷ lệ qua môn thấp", "high")
-RULE_SPREAD = ("info", "Sự phân tán điểm cao", "medium")
-RULE_LOW_MEAN = ("error", "Điểm trung bình thấp", "high")
-RULE_HIGH_MEAN = ("success", "Chất lượng học tập tốt", "low")
-RULE_WEAK_CLASS = ("warning", "Lớp {} cần hỗ trợ", "medium")
-RULE_STRONG_CLASS = ("success", "Lớp {} xuất sắc", "low")
-
-
-def _rule(cond: Column, rule: tuple[str, str, str], order: int, value: Column,
-          title: Column | None = None) -> Column:
+# Rule texts (type, title, priority, message); %s is the class or the value.
+RULE_LOW_PASS = ("warning", "Tỷ lệ qua môn thấp", "high",
+                 "Chỉ có %.1f%% sinh viên đạt điểm qua môn. Cần có biện pháp hỗ trợ học tập.")
+RULE_SPREAD = ("info", "Sự phân tán điểm cao", "medium",
+               "Độ lệch chuẩn %.2f cho thấy sự chênh lệch lớn giữa sinh viên. Cần phân loại và hỗ trợ theo nhóm.")
+RULE_LOW_MEAN = ("error", "Điểm trung bình thấp", "high",
+                 "Điểm trung bình %.2f dưới mức qua môn. Cần xem xét lại phương pháp giảng dạy.")
+RULE_HIGH_MEAN = ("success", "Chất lượng học tập tốt", "low", "Điểm trung bình %.2f ở mức cao. Cần duy trì và phát huy.")
+RULE_WEAK_CLASS = ("warning", "Lớp {} cần hỗ trợ", "medium", "Lớp %s có điểm trung bình %.2f, thấp hơn đáng kể so với mức chung.")
+RULE_STRONG_CLASS = ("success", "Lớp {} xuất sắc", "low", "Lớp %s đạt điểm trung bình %.2f, có thể làm mô hình cho các lớp khác.")
+
+
+def _rule(cond: Column, rule: tuple[str, str, str, str], order: int, value: Column,
+          title: Column | None = None, klass: Column | None = None) -> Column:
+    args = [value] if klass is None else [klass, value]
     return F.when(cond, F.struct(F.lit(order).alias("rule_order"), F.lit(rule[0]).alias("type"),
                                  (title if title is not None else F.lit(rule[1])).alias("title"),
+                                 F.format_string(rule[3], *args).alias("message"),
                                  F.lit(rule[2]).alias("priority"), value.alias("value")))
 
 
@@ -289,8 +329,8 @@ def class_rules(df: DataFrame, klass: str, score: str) -> DataFrame:
     rules = F.array(
         _rule((F.col("class_count") > 1) & (F.col("worst_mean") < F.col("mean") - F.col("std")),
               RULE_WEAK_CLASS, 1, F.col("worst_mean"),
-              F.format_string(RULE_WEAK_CLASS[1].replace("{}", "%s"), worst)),
+              F.format_string(RULE_WEAK_CLASS[1].replace("{}", "%s"), worst), worst),
         _rule((F.col("class_count") > 1) & (F.col("best_mean") > F.col("mean") + F.col("std")),
               RULE_STRONG_CLASS, 2, F.col("best_mean"),
-              F.format_string(RULE_STRONG_CLASS[1].replace("{}", "%s"), best)))
+              F.format_string(RULE_STRONG_CLASS[1].replace("{}", "%s"), best), best))
     return row.select(F.explode(F.array_compact(rules)).alias("r")).select("r.*")

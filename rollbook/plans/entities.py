@@ -122,7 +122,9 @@ def jn7_pair_score(spark, sf):
     return rounded(M.pair_score(pairs, "input_text", "rid", "p_name"))
 
 
-@register("sf13_similarity_ratio", "SF13 UD1")
+@register("sf13_similarity_ratio", "SF13 UD1", """
+SELECT p_partkey, p_name, p_name || ' x' AS other, round(2 * length(p_name) / CAST(2 * length(p_name) + 2 AS DOUBLE), 6) AS ratio,
+       round(2 * length(p_name) / CAST(2 * length(p_name) + 2 AS DOUBLE), 6) AS ratio_reversed FROM part""")
 def sf13_similarity_ratio(spark, sf):
     from rollbook.functions.similarity import similarity_ratio
     p = read_table(spark, sf, "part")
