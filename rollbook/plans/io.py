@@ -329,9 +329,13 @@ def cl7_full_names(spark, sf):
 @register("sf14_display_text", "SF14 CL6 SK2", """
 SELECT c_custkey, CAST(CAST(round((c_acctbal / CAST(10000 AS DOUBLE)) * 100) AS BIGINT) AS VARCHAR) || '%' AS pct,
        CASE WHEN c_acctbal = floor(c_acctbal) THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR)
-            ELSE CAST(c_acctbal AS VARCHAR) END AS shown
-FROM customer""")
+            ELSE CAST(c_acctbal AS VARCHAR) END AS shown,
+       CASE WHEN b < 1024 THEN CAST(b AS VARCHAR) || ' B' WHEN b < 1048576 THEN format('{:.1f} KB', b / CAST(1024 AS DOUBLE))
+            ELSE format('{:.1f} MB', b / CAST(1048576 AS DOUBLE)) END AS size,
+       strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(c_custkey), '%d/%m/%Y %H:%M') AS stamp
+FROM (SELECT *, c_custkey * c_custkey * 7 AS b FROM customer)""")
 def sf14_display_text(spark, sf):
     c = read_table(spark, sf, "customer")
     return c.select("c_custkey", TX.percent_text(F.col("c_acctbal") / F.lit(10000.0)).alias("pct"),
-                    TX.display_value("c_acctbal").alias("shown"))
+                    TX.display_value("c_acctbal").alias("shown"), TX.size_text(F.col("c_custkey") * F.col("c_custkey") * 7).alias("size"),
+                    TX.stamp_text(F.timestamp_seconds(F.lit(1704067200) + F.col("c_custkey") * 60).cast("timestamp_ntz")).alias("stamp"))

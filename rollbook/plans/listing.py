@@ -6,10 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rollbook.functions.text import full_name, id_text
 from rollbook.operators import ranking as R
+from rollbook.operators import stats as ST
 from rollbook.plans import bindings as B
 from rollbook.plans.registry import register, rounded
-from rollbook.session import cut_lineage
+from rollbook.session import cut_lineage, read_table
 
 SQL_ROSTER = B.with_ctes(B.SQL_ROSTER)
 ROSTER_COLS = "ma_sinh_vien, ho_ten, lop, xep_loai, round(diem_10, 6) AS diem_10"
@@ -149,10 +151,36 @@ def cs3_listing_projection(spark, sf):
     return rounded(R.listing_projection(wide, prefs))
 
 
-@register("vw5_paged_listing", "VW5 PF3 TK4 TK5", SQL_ROSTER + f"""
-SELECT {ROSTER_COLS} FROM roster WHERE contains(lower(ho_ten), 'widget')
-ORDER BY diem_10 DESC NULLS LAST, ma_sinh_vien LIMIT 20""")
+_SQL_LISTING = """WITH r AS (
+  SELECT p_partkey, split_part(p_name, ' ', 1) AS ho_dem, substring(p_name, length(split_part(p_name, ' ', 1)) + 2) AS ten, p_brand AS lop,
+         p_type AS xep_loai, p_size / CAST(5 AS DOUBLE) AS diem_10 FROM part),
+hits AS (SELECT * FROM r WHERE contains(lower(trim(concat_ws(' ', ho_dem, ten))), 'widget') AND lop = 'Brand#15'),
+pg AS (SELECT *, row_number() OVER (ORDER BY diem_10 DESC NULLS LAST, p_partkey) AS place FROM hits
+       ORDER BY diem_10 DESC NULLS LAST, p_partkey LIMIT 20)
+"""
+
+
+@register("vw5_paged_listing", "VW5 PF3 PF4 TK4 TK5 CS3 CL5 CL7 AG16", _SQL_LISTING + """
+SELECT 'row' AS section, place, CAST(p_partkey AS VARCHAR) AS mssv, trim(concat_ws(' ', ho_dem, ten)) AS ho_ten, lop, round(diem_10, 6) AS diem,
+       xep_loai, NULL::BIGINT AS filtered_count, NULL::BIGINT AS total_count, NULL::BIGINT AS page_count FROM pg
+UNION ALL SELECT 'class', NULL, NULL, NULL, lop, NULL, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT lop FROM r WHERE lop IS NOT NULL)
+UNION ALL SELECT 'pages', NULL, NULL, NULL, NULL, NULL, NULL, (SELECT count(*) FROM hits), (SELECT count(*) FROM r),
+       CAST(ceil((SELECT count(*) FROM hits) / 20.0) AS BIGINT)""")
 def vw5_paged_listing(spark, sf):
-    r = roster(spark, sf)
-    hits = R.keyword_search(r, "widget", ["ho_ten"])
-    return rounded(R.page(hits, [F.col("diem_10").desc_nulls_last(), F.asc("ma_sinh_vien")], 1))
+    """The whole listing report: the page's rows in display columns (ids without ``.0``, names joined), the classes
+    to choose from, and the counts, after a search and a class filter."""
+    p = read_table(spark, sf, "part")
+    r = p.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".0")).alias("ma_sinh_vien"), "p_partkey",
+                 F.substring_index("p_name", " ", 1).alias("ho_dem"), F.expr("substring(p_name, length(substring_index(p_name, ' ', 1)) + 2)").alias("ten"),
+                 F.col("p_brand").alias("lop"), F.col("p_type").alias("xep_loai"), (F.col("p_size") / F.lit(5.0)).alias("diem_10")) \
+         .withColumn("ho_ten", full_name("ho_dem", "ten"))
+    hits = R.class_equals(R.keyword_search(r, "widget", ["ho_ten"]), "lop", "Brand#15")
+    order = [F.col("diem_10").desc_nulls_last(), F.asc("p_partkey")]
+    shown = R.page(hits, order, 1).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))  # one page
+    shown = R.listing_projection(shown.withColumn("ma_sinh_vien", id_text("ma_sinh_vien")), [
+        (["place"], "place"), (["Mã sinh viên", "ma_sinh_vien"], "mssv"), (["Họ và tên", "ho_ten"], "ho_ten"), (["Lớp", "lop"], "lop"),
+        (["Điểm 10", "diem_10"], "diem"), (["Xếp loại", "xep_loai"], "xep_loai")]).withColumn("section", F.lit("row"))
+    classes = ST.distinct_values(r, "lop").withColumn("section", F.lit("class"))
+    pages = R.page_info(hits, r).withColumn("section", F.lit("pages"))
+    out = shown.unionByName(classes, allowMissingColumns=True).unionByName(pages, allowMissingColumns=True)
+    return rounded(out.select("section", "place", "mssv", "ho_ten", "lop", "diem", "xep_loai", "filtered_count", "total_count", "page_count"))
