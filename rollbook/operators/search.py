@@ -132,29 +132,50 @@ def simple_search(df: DataFrame, query: str, columns: Sequence[str], id_cols: Se
 
 
 # ---------------------------------------------------------------- SR9 / SO6
+def _inside(text: Column):
+    """The predicate that a word stands in ``text``."""
+    return lambda word: text.contains(word)
+
+
 def multi_line_search(df: DataFrame, lines: Sequence[str], columns: Sequence[str], id_cols: Sequence[str],
                       name_cols: Sequence[str], key: Column, order: Sequence[str],
                       keep_at_least: float = 0.5) -> DataFrame:
     """SR9: SR2 for every query line, one result per record key.
 
-    All lines are scored in one projection (the line list is a handful of parameters, not
-    data), so there is no join at all; a record matched by several lines keeps the first
-    line, then the best score. Records sharing a key keep the first in that order (one
-    shuffle on the key, matched rows only).
+    Each column is trimmed and lower-cased once; the lines (parameters, not data) are one array
+    that a single expression walks, so the plan grows with the columns but not with the lines, and there
+    is no join at all. A record matched by several lines keeps the first line, then the best
+    score. Records sharing a key keep the first in that order (one shuffle on the key, matched
+    rows only).
     """
-    lines = [ln.strip() for ln in lines if ln.strip()]
-    per_line = []
-    for i, ln in enumerate(lines):
-        b = F.array_max(_simple_scores(ln, columns, id_cols, name_cols))
-        per_line.append(F.when(b.score >= keep_at_least,
-                               F.struct(F.lit(i).alias("line_order"), (-b.score).alias("neg_score"),
-                                        b.field.alias("field"), F.lit(ln).alias("line"))))
-    if not per_line:
-        return df.limit(0)
     from rollbook.operators.ranking import first_by_key
 
-    hits = (df.select("*", F.explode(F.array_compact(F.array(F.array_min(F.array_compact(F.array(*per_line))))))
-                      .alias("_m"))
+    lines = [ln.strip() for ln in lines if ln.strip()]
+    if not lines:
+        return df.limit(0)
+    asked = F.array(*[F.struct(F.lit(i).alias("line_order"), F.lit(ln).alias("line"), F.lit(ln.lower()).alias("low"),
+                               F.lit(ln.isdigit() and ln.isascii() and 6 <= len(ln) <= 10).alias("is_id"),
+                               F.array(*[F.lit(w) for w in ln.lower().split()]).alias("words")) for i, ln in enumerate(lines)])
+    cleaned = df.select("*", F.array(*[F.lower(utrim(as_col(c).cast("string"))) for c in columns]).alias("_norm"))
+
+    def best(line: Column) -> Column:
+        low, items = line["low"], []
+        for i, c in enumerate(columns):
+            v = F.col("_norm")[i]
+            if c in name_cols:
+                score = (F.when(v == low, 0.95).when(v.contains(low) | low.contains(v), 0.8)
+                         .when(F.forall(line["words"], _inside(v)), 0.7))
+            else:
+                score = F.when(v == low, 0.6).when(v.contains(low), 0.5)
+            if c in id_cols:
+                score = F.when(line["is_id"], F.when(v == low, 1.0).when(v.contains(low), 0.9)).otherwise(score)
+            items.append(F.struct(F.coalesce(score, F.lit(0.0)).alias("score"), F.lit(-i).alias("neg_ord"), F.lit(c).alias("field")))
+        return F.array_max(F.array(*items))
+
+    scored = F.transform(asked, lambda ln: F.struct(ln["line_order"].alias("line_order"), ln["line"].alias("line"), best(ln).alias("b")))
+    kept = F.transform(F.filter(scored, lambda x: x["b"]["score"] >= keep_at_least), lambda x: F.struct(
+        x["line_order"].alias("line_order"), (-x["b"]["score"]).alias("neg_score"), x["b"]["field"].alias("field"), x["line"].alias("line")))
+    hits = (cleaned.select("*", F.explode(F.slice(F.array_sort(kept), 1, 1)).alias("_m"))
             .select(*[F.col(f"`{c}`") for c in df.columns], key.alias("_key"),
                     F.col("_m.line_order").alias("line_order"), F.col("_m.neg_score").alias("_neg_score"),
                     F.col("_m.field").alias("match_field"), F.col("_m.line").alias("input_value"))

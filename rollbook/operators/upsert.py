@@ -50,7 +50,7 @@ def widen_union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- SO3
-def classify_import(existing: DataFrame, batch: DataFrame, key: str, order: Sequence[str],
+def classify_import(existing: DataFrame, batch: DataFrame, key: str, order: str | Sequence[str],
                     required: Sequence[str], skip_duplicates: bool = True) -> DataFrame:
     """SO3: status of every row of an import batch: rejected (a required field missing),
     skipped because the key exists, skipped because an earlier row of the same batch had
@@ -59,6 +59,7 @@ def classify_import(existing: DataFrame, batch: DataFrame, key: str, order: Sequ
 
     "Earlier" is by the columns of ``order`` (NULL last), then by all other columns; of rows that
     are equal throughout, one is imported."""
+    order = [order] if isinstance(order, str) else list(order)
     ok = F.lit(True)
     for c in required:
         ok = ok & _present(c)
