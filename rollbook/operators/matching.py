@@ -113,8 +113,11 @@ def fuzzy_candidates(inputs: DataFrame, targets: DataFrame, threshold: float = F
     pb = (_prefix_tokens(b, freq, threshold).join(b.select("s", "len"), "s")
           .select(F.col("s").alias("b"), "token", F.col("len").cast("int").alias("lb")))
     pairs = pa.join(pb, ["token", "lb"], "inner").select("a", "b").distinct()
+    # the whole bigram overlap that the ratio needs, counted natively, before any Python runs
+    shared = F.size(F.array_intersect(bigram_tokens(F.col("a")), bigram_tokens(F.col("b"))))
+    need = F.ceil(F.lit(1.5 * t - 1.0) * (F.col("la") + F.col("lb")) - F.lit(1.0) - F.lit(1e-9))
     return (pairs.withColumn("la", F.length("a")).withColumn("lb", F.length("b"))
-            .where(length_band("la", "lb", threshold)).select("a", "b"))
+            .where(length_band("la", "lb", threshold)).where(shared >= need).select("a", "b"))
 
 
 def best_fuzzy(inputs: DataFrame, targets: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
