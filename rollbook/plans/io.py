@@ -72,6 +72,22 @@ def sc4_text_files(spark, sf):
     return FS.read_lines(spark, path).select("line")
 
 
+@register("sc4_line_numbers", "SC4", """
+SELECT CAST(sum(len(text) - len(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines, true AS numbered_once FROM documents""")
+def sc4_line_numbers(spark, sf):
+    """Lines of all files by their last line numbers (a mark ends each file), and that no number is given twice."""
+    path = scratch_path(spark, "docs-text")
+    docs = read_table(spark, sf, "documents").select("text")
+    parts = docs.withColumn("p", F.spark_partition_id()).withColumn("last", F.lit(0))
+    ends = parts.select("p").distinct().select(F.lit("end of file 7f3a").alias("text"), "p", F.lit(1).alias("last"))
+    both = parts.unionByName(ends).repartition("p").sortWithinPartitions("p", "last")
+    both.select("text").write.text(path)
+    lines = FS.read_lines(spark, path)
+    files = lines.groupBy("file").agg(F.max("line_no").alias("last"), F.count(F.lit(1)).alias("n"), F.countDistinct("line_no").alias("d"),
+                                      F.sum((F.col("line") == "end of file 7f3a").cast("int")).alias("marks"))
+    return files.agg(F.sum(F.col("last") - F.col("marks")).cast("bigint").alias("lines"), F.min(F.col("n") == F.col("d")).alias("numbered_once"))
+
+
 @register("sc7_ingest_audit", "SC7", """
 SELECT CAST(sum(rows) AS BIGINT) AS rows, max(5) AS columns, true AS dated, true AS sized FROM (SELECT count(*) AS rows FROM customer)""")
 def sc7_ingest_audit(spark, sf):

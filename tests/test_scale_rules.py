@@ -12,6 +12,7 @@ from rollbook.operators import ranking as R
 from rollbook.operators import stats as S
 from rollbook.operators import upsert as U
 from rollbook.plans.registry import padded
+from rollbook.sources import files as FS
 from rollbook.sources import sinks as SK
 from rollbook.streaming import streams as ST
 
@@ -116,3 +117,15 @@ def test_change_log_stream_hot_key_and_replay(spark, tmp_path):
     src = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(drop)
     ST.change_log_stream(spark, src, "k", "ts", "v", ["e"], out, ckpt)
     assert read() == want
+
+
+def test_line_numbers_across_splits(spark, tmp_path):
+    lines = [("" if k % 7 == 0 else f" line {k} ") for k in range(1, 5001)]
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {(r.file[-5:], r.line_no, r.line) for r in FS.read_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {(n, k, v.strip()) for n in ("a.txt", "b.txt") for k, v in enumerate(lines, 1) if v.strip()}
