@@ -10,11 +10,15 @@ such a key, wherever the error is. ``m`` is the smallest number for which a pair
 threshold exceeds the distance with a probability below ``MISS``; pairs above it do so less often.
 
 Sets that share a key are compared in full, and linked if 100 * intersection >= threshold * union.
-Members of a key's group are compared with one leader; once a group's members are in one component,
-nothing more is to be learned from it. While they are not, another member leads, and when few
-comparisons between different components are left, all of them are made. So a group of many
-near copies costs one comparison each, no pair of different components goes unseen, and
-nothing is sampled or capped.
+Two things that every set carries spare most of these comparisons without losing a link: its size, and a
+bit map of the parities of its hashed shingles, as two sets differ in at least as many shingles as their
+bit maps differ in bits.
+
+Members of a key's group are compared with one leader first; members that fall into one component
+need no more. Where a group keeps members of different components, those are compared with each
+other; while these comparisons are too many for the corpus (``CHECKS_PER_NODE``), another
+member leads first. So a group of many near copies costs one comparison each, no pair of different components
+goes unseen, and nothing is sampled or capped.
 
 Defined results: texts without words have an empty set and are linked with nothing; texts with fewer
 words than a shingle have one shingle, all their words; NULL is without words. Rows that repeat a
@@ -31,7 +35,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.common import keyed_text, ship, stored
@@ -40,8 +44,10 @@ from rollbook.llm.flat import U64, chunks, lower_ascii, mix64, span_hashes, text
 
 VALUES = 72
 MISS = 1e-6
-#: Leaders are followed by all comparisons left once these are at most so many for each node.
-PAIRS_PER_NODE = 4
+#: Groups get another leader while the comparisons left are more than so many for each node.
+CHECKS_PER_NODE = 2000
+#: 64-bit words of a set's bit map.
+MAP_WORDS = 16
 _rng = np.random.Generator(np.random.PCG64(7))
 _SEEDS = _rng.integers(0, 2**63, 512, dtype=np.uint64)
 _FACTORS = _rng.integers(0, 2**63, 512, dtype=np.uint64) * U64(2) + U64(1)
@@ -93,6 +99,15 @@ def signatures(sets: list[np.ndarray], values: int) -> np.ndarray:
     return out
 
 
+def parity_maps(sets: list[np.ndarray]) -> np.ndarray:
+    """Bit maps of sets, a row of ``MAP_WORDS`` words each: bit i is the parity of the shingles hashed to i."""
+    out = np.zeros((len(sets), MAP_WORDS), np.int64)
+    for k, s in enumerate(sets):
+        odd = np.bincount((s >> U64(20)).astype(np.int64) % (64 * MAP_WORDS), minlength=64 * MAP_WORDS) & 1
+        out[k] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return out
+
+
 def chunk_keys(sig: np.ndarray, m: int) -> np.ndarray:
     """Every position's chunk without that position, as a 64-bit key: (rows, values)."""
     values = sig.shape[1]
@@ -103,7 +118,7 @@ def chunk_keys(sig: np.ndarray, m: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, width: int, values: int) -> DataFrame:
-    """(doc_id, n_shingles, fp, sig): the set's size, digest and signature (NULL for the empty set)."""
+    """(doc_id, n_shingles, fp, sig, bits): the set's size, digest, signature and bit map (NULL for the empty set)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = text_bytes(batch.column(1))
@@ -112,30 +127,31 @@ def _sketches(docs: DataFrame, width: int, values: int) -> DataFrame:
                 sets = shingle_sets(buf[part[0]:part[-1]], part - part[0], width)
                 full = [s for s in sets if len(s)]
                 sig = iter(signatures(full, values)) if full else iter(())
+                bits = iter(parity_maps(full).tolist())
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    ["doc_id", "n_shingles", "fp", "sig"])
+                    pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([next(bits) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "fp", "sig", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, fp binary, sig binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, fp binary, sig binary, bits array<bigint>")
 
 
 def _keys(nodes: DataFrame, m: int, values: int) -> DataFrame:
-    """(key, node, size): ``values`` rows for each node."""
+    """(key, node): ``values`` rows for each node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 b = batch.slice(lo, 2000)
-                sig = np.frombuffer(text_bytes(b.column(2))[0], np.uint16).reshape(b.num_rows, values)
+                sig = np.frombuffer(text_bytes(b.column(1))[0], np.uint16).reshape(b.num_rows, values)
                 who = np.repeat(np.arange(b.num_rows), values)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(chunk_keys(sig, m).ravel().astype(np.int64)), b.column(0).take(pa.array(who)),
-                    b.column(1).take(pa.array(who))], ["key", "node", "size"])
+                    pa.array(chunk_keys(sig, m).ravel().astype(np.int64)), b.column(0).take(pa.array(who))], ["key", "node"])
 
     kind = nodes.schema["node"].dataType.simpleString()
-    return nodes.select("node", "size", "sig").mapInArrow(run, f"key bigint, node {kind}, size bigint")
+    return nodes.select("node", "sig").mapInArrow(run, f"key bigint, node {kind}")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -169,7 +185,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, values
     member = stored(full.select("doc_id", "fp").join(named, "fp").select("doc_id", "node", "fp").distinct(), "members")
     nodes = full.join(member.where("doc_id = node").select(F.col("node"), F.col("fp").alias("node_fp")),
                       (F.col("doc_id") == F.col("node")) & (F.col("fp") == F.col("node_fp"))).select(
-        "node", F.col("n_shingles").alias("size"), "sig").dropDuplicates(["node"])
+        "node", F.col("n_shingles").alias("size"), "sig", *[F.col("bits")[i].alias(f"w{i}") for i in range(MAP_WORDS)]).dropDuplicates(["node"])
     nodes = stored(nodes, "nodes")
     # rows that repeat an id with other texts belong together
     ids = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select(F.col("doc_id").alias("r_id"), "a")
@@ -178,7 +194,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, values
     # groups of nodes that share a key; a key of one node says nothing
     keys = _keys(nodes, m, values)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1").select(F.col("key").alias("g"), "lead")
-    groups = stored(keys.join(shared, F.col("key") == F.col("g")).select("key", "node", "size", "lead"), "groups")
+    seen = ["size", *[f"w{i}" for i in range(MAP_WORDS)]]
+    traits = nodes.select(F.col("node").alias("t"), *seen)
+    groups = stored(keys.join(shared, F.col("key") == F.col("g")).select("key", "node", "lead").join(traits, F.col("node") == F.col("t")).select(
+        "key", "node", "lead", *seen), "groups")
     concerned = groups.select(F.col("node").alias("c")).distinct()
     text = base.join(concerned, F.col("doc_id") == F.col("c"), "left_semi")
     # of rows that repeat an id, the one whose set the node stands for
@@ -193,36 +212,42 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, values
         return pairs.join(right, F.col("b") == F.col("b_")).join(left, F.col("a") == F.col("a_")).where(
             100 * both >= threshold * (F.col("nx") + F.col("ny") - both)).select("a", "b")
 
-    near = lambda p, q: (100 * F.least(p, q) >= threshold * F.greatest(p, q))  # noqa: E731  sizes allow the similarity
+    def near(p: str, q: str):
+        """The sizes and bit maps of two groups' rows allow the similarity."""
+        n, k = F.col(f"{p}size"), F.col(f"{q}size")
+        apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{p}w{i}").bitwiseXOR(F.col(f"{q}w{i}"))) for i in range(MAP_WORDS)])
+        return (100 * F.least(n, k) >= threshold * F.greatest(n, k)) & (apart * (100 + threshold) <= (100 - threshold) * (n + k))
+
+    def led(rows: DataFrame, other: Column) -> DataFrame:
+        """(a, b): each group's leader with the members that may be similar to it and fulfil ``other``."""
+        head = rows.where("node = lead").select(F.col("key").alias("g"), *[F.col(c).alias(f"l_{c}") for c in rows.columns if c != "key"])
+        return rows.where("node <> lead").join(head, (F.col("key") == F.col("g")) & other & near("", "l_")).select(
+            F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
 
-    lead = groups.where("node = lead").select(F.col("key").alias("g"), F.col("size").alias("lead_size")).distinct()
-    pairs = groups.where("node <> lead").join(lead, F.col("key") == F.col("g")).where(near(F.col("size"), F.col("lead_size"))).select(
-        F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links = links.unionByName(similar(pairs))
-    rest = groups.where("node <> lead").select("key", "node", "size")
+    links = links.unionByName(similar(led(groups, F.lit(True))))
+    rest = groups.where("node <> lead").drop("lead")
     component = stored(connected(links), "components")
     total = nodes.count()
     while True:
         comp = component.select(F.col("node").alias("c"), "component")
-        rest = rest.join(comp, F.col("node") == F.col("c"), "left").select("key", "node", "size", F.coalesce("component", "node").alias("comp"))
-        open_ = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("lead"),
-                                        F.count("*").alias("n")).where("lo <> hi").select(F.col("key").alias("g"), "lead", "n")
-        rest = stored(rest.join(open_, F.col("key") == F.col("g")).select("key", "node", "size", "comp", "lead", "n"), "groups")
-        # comparisons left, at most: each member with every other of its group
-        left = rest.agg(F.sum(F.col("n") - 1)).first()[0]
+        rest = rest.join(comp, F.col("node") == F.col("c"), "left").select("key", "node", *seen, F.coalesce("component", "node").alias("comp"))
+        parts = rest.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+        open_ = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts"),
+                                         F.min("first").alias("lead")).where("parts > 1").select(F.col("key").alias("g"), "n", "same", "lead")
+        open_ = stored(open_, "open")
+        left = open_.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0]
         if not left:
             break
-        if left / 2 <= PAIRS_PER_NODE * total:
-            one, two = rest.alias("p"), rest.alias("q")
-            pairs = one.join(two, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.comp") != F.col("q.comp"))
-                             & near(F.col("p.size"), F.col("q.size"))).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-            component = stored(connected(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(similar(pairs))), "components")
+        rest = stored(rest.join(open_.select("g", "lead"), F.col("key") == F.col("g")).select("key", "node", "comp", "lead", *seen), "groups")
+        known = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        if left <= CHECKS_PER_NODE * total:
+            two = rest.select(*[F.col(c).alias(f"q_{c}") for c in rest.columns])
+            pairs = rest.join(two, (F.col("key") == F.col("q_key")) & (F.col("node") < F.col("q_node")) & (F.col("comp") != F.col("q_comp"))
+                              & near("", "q_")).select(F.col("node").alias("a"), F.col("q_node").alias("b")).distinct()
+            component = stored(connected(known.unionByName(similar(pairs))), "components")
             break
-        lead = rest.where("node = lead").select(F.col("key").alias("g"), F.col("size").alias("lead_size"), F.col("comp").alias("lead_comp"))
-        pairs = rest.where("node <> lead").join(lead, F.col("key") == F.col("g")).where(
-            (F.col("comp") != F.col("lead_comp")) & near(F.col("size"), F.col("lead_size"))).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        component = stored(connected(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(similar(pairs))), "components")
-        rest = rest.where("node <> lead").select("key", "node", "size")
+        component = stored(connected(known.unionByName(similar(led(rest, F.col("comp") != F.col("l_comp"))))), "components")
+        rest = rest.where("node <> lead").drop("lead", "comp")
 
     comp = component.select(F.col("node").alias("c"), "component")
     placed = member.groupBy("doc_id").agg(F.min("node").alias("node")).join(comp, F.col("node") == F.col("c"), "left").select(

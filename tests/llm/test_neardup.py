@@ -80,8 +80,8 @@ def test_awkward_rows(spark, no_docs):
 
 def test_leaders_first_then_all_comparisons(spark, monkeypatch):
     """Groups that one leader does not settle end in the same components, however the rest is compared."""
-    for pairs in (0.0, 1e9):
-        monkeypatch.setattr(N, "PAIRS_PER_NODE", pairs)
+    for checks in (0.0, 1e9):
+        monkeypatch.setattr(N, "CHECKS_PER_NODE", checks)
         check(spark, make_rows(3, bases=4, copies=25, length=40), 85, 3)
 
 
@@ -99,6 +99,15 @@ def test_pigeonhole():
             assert set(one.tolist()) & set(two.tolist())
 
 
+def test_bit_maps_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        common = rng.integers(0, 2**63, rng.integers(1, 3000)).astype(np.uint64)
+        a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**63, rng.integers(0, 400)).astype(np.uint64)])) for _ in range(2))
+        one, two = N.parity_maps([a, b])
+        assert np.bitwise_count(one ^ two).sum() <= len(np.setxor1d(a, b))
+
+
 def test_signature_recall():
     """Far fewer pairs at the threshold are missed than the bound allows to see."""
     rng = np.random.default_rng(2)
