@@ -18,7 +18,8 @@ PACKAGE_DIR = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python workers (once per context).
 
-    The sources travel with ``addPyFile``, so no executor needs a checkout of its own.
+    The sources travel with ``addPyFile``, so no executor needs a checkout of its own; the archive is only
+    read by the driver, which serves it to them.
     """
     sc = spark.sparkContext
     if getattr(sc, "_rollbook_shipped", False):
@@ -36,7 +37,7 @@ def ship(spark: SparkSession) -> None:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to a fresh table in the shared folder and read it back: cuts the lineage,
-    and a lost executor costs only the tasks it was running."""
+    and a lost executor costs only the tasks it was running. Such tables stay until the folder is cleared."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

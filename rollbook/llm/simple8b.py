@@ -118,20 +118,15 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unpack(words: np.ndarray, n: int, block_at: np.ndarray | None = None) -> np.ndarray:
-    """The ``n`` values of packed words. An escaped value's raw word could look like a selector:
-    with ``block_at`` each block's escapes are found from its start, without it from the first word."""
+    """The ``n`` values of packed words; ``block_at`` has the first word of each block (without it, one block)."""
     words = np.asarray(words, U64)
     if not n:
         return np.zeros(0, U64)
     sel = (words >> U64(60)).astype(np.int64)
     head = np.ones(len(words), bool)
-    if (sel == ESCAPE).any():
-        starts = set((block_at if block_at is not None else np.zeros(1, np.int64)).tolist())
-        raw = False
-        for k in np.flatnonzero(sel == ESCAPE).tolist():  # rare: ids of over 60 bits
-            if head[k] or k in starts:
-                head[min(k + 1, len(words) - 1)] = k + 1 >= len(words)
-        del raw
+    for k in np.flatnonzero(sel == ESCAPE).tolist():  # rare: the word behind an escape is a value, whatever its high bits
+        if head[k]:
+            head[k + 1] = False
     place = np.flatnonzero(head)
     s = sel[place]
     took = np.append(COUNTS, [1, 1])[s]
