@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.text import as_col
 
-# The Vietnamese letters with diacritics, lower case, grouped by base letter.
-VI_LOWER = ("àáảãạăằắẳẵặâầấẩẫậ" "đ" "èéẻẽẹêềếểễệ" "ìíỉĩị"
-            "òóỏõọôồốổỗộơờớởỡợ" "ùúủũụưừứửữự" "ỳýỷỹỵ")
+# The Vietnamese letters with diacritics, lower case.
+VI_LOWER = "àáâãèéêìíòóôõùúăđĩũơưăạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵýỷỹ"
 VI_UPPER = VI_LOWER.upper()
 # The four letters treated as "common Vietnamese" in the name test.
 VI_COMMON = "ăôưđ"

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rollbook.functions import labels as L
 from rollbook.operators import stats as S
 from rollbook.plans import bindings as B
 from rollbook.plans import views as V
@@ -15,6 +16,15 @@ CLASS_PATTERN = "%BUILD%"
 SUPPLIER_PATTERN = "%7%"
 
 
+def sql_bands(gpa: str) -> str:
+    """Counts of the grade bands of class views: between one mark and the next above."""
+    marks = [L.BAND_EXCELLENT, L.BAND_GOOD, L.BAND_FAIR, L.BAND_AVERAGE]
+    names = ["sv_xuat_sac", "sv_gioi", "sv_kha", "sv_trung_binh", "sv_yeu_kem"]
+    tests = [" AND ".join([f"{gpa} >= {low}"] * (low is not None) + [f"{gpa} < {high}"] * (high is not None))
+             for low, high in zip([*marks, None], [None, *marks])]
+    return ", ".join(f"count(CASE WHEN {t} THEN 1 END) AS {n}" for t, n in zip(tests, names))
+
+
 def summary(spark, sf):
     return V.student_summary(B.students(spark, sf), B.semester(spark, sf), B.cumulative(spark, sf),
                              B.WARNING_PATTERN, B.WITHDRAWN_PATTERN)
@@ -57,12 +67,7 @@ def vw2_high_gpa_class(spark, sf):
 
 
 @register("vw3_class_statistics", "VW3 AG11", SQL_SUMMARY + """
-SELECT lop, count(*) AS so_luong_sv,
-  count(CASE WHEN diem_4_tich_luy >= 3.6 THEN 1 END) AS sv_xuat_sac,
-  count(CASE WHEN diem_4_tich_luy >= 3.2 AND diem_4_tich_luy < 3.6 THEN 1 END) AS sv_gioi,
-  count(CASE WHEN diem_4_tich_luy >= 2.5 AND diem_4_tich_luy < 3.2 THEN 1 END) AS sv_kha,
-  count(CASE WHEN diem_4_tich_luy >= 2.0 AND diem_4_tich_luy < 2.5 THEN 1 END) AS sv_trung_binh,
-  count(CASE WHEN diem_4_tich_luy < 2.0 THEN 1 END) AS sv_yeu_kem,
+SELECT lop, count(*) AS so_luong_sv, """ + sql_bands("diem_4_tich_luy") + """,
   round(avg(diem_4_tich_luy), 6) AS diem_tb_lop, round(max(diem_4_tich_luy), 6) AS diem_cao_nhat,
   round(min(diem_4_tich_luy), 6) AS diem_thap_nhat
 FROM summary WHERE diem_4_tich_luy IS NOT NULL GROUP BY lop""")
@@ -106,12 +111,7 @@ SQL_GRADEBOOK = B.with_ctes(B.SQL_GRADEBOOK)
 
 
 @register("ag11_class_bands", "AG11", SQL_GRADEBOOK + """
-SELECT lop, count(*) AS so_luong_sv,
-  count(CASE WHEN gpa4 >= 3.6 THEN 1 END) AS sv_xuat_sac,
-  count(CASE WHEN gpa4 >= 3.2 AND gpa4 < 3.6 THEN 1 END) AS sv_gioi,
-  count(CASE WHEN gpa4 >= 2.5 AND gpa4 < 3.2 THEN 1 END) AS sv_kha,
-  count(CASE WHEN gpa4 >= 2.0 AND gpa4 < 2.5 THEN 1 END) AS sv_trung_binh,
-  count(CASE WHEN gpa4 < 2.0 THEN 1 END) AS sv_yeu_kem,
+SELECT lop, count(*) AS so_luong_sv, """ + sql_bands("gpa4") + """,
   round(avg(gpa4), 6) AS diem_tb_lop, round(max(gpa4), 6) AS diem_cao_nhat, round(min(gpa4), 6) AS diem_thap_nhat
 FROM gradebook WHERE gpa4 IS NOT NULL GROUP BY lop""")
 def ag11_class_bands(spark, sf):
@@ -131,12 +131,7 @@ def ag12_cohort_stats(spark, sf):
 
 
 @register("ag13_class_distribution", "AG13", SQL_GRADEBOOK + """
-SELECT lop, count(*) AS so_luong_sv,
-  count(CASE WHEN gpa4 >= 3.6 THEN 1 END) AS sv_xuat_sac,
-  count(CASE WHEN gpa4 >= 3.2 AND gpa4 < 3.6 THEN 1 END) AS sv_gioi,
-  count(CASE WHEN gpa4 >= 2.5 AND gpa4 < 3.2 THEN 1 END) AS sv_kha,
-  count(CASE WHEN gpa4 >= 2.0 AND gpa4 < 2.5 THEN 1 END) AS sv_trung_binh,
-  count(CASE WHEN gpa4 < 2.0 THEN 1 END) AS sv_yeu_kem,
+SELECT lop, count(*) AS so_luong_sv, """ + sql_bands("gpa4") + """,
   round(avg(gpa4), 2) AS diem_tb_lop, round(max(gpa4), 2) AS diem_cao_nhat
 FROM gradebook WHERE gpa4 IS NOT NULL AND CAST(lop AS VARCHAR) ILIKE '%7%' GROUP BY lop""")
 def ag13_class_distribution(spark, sf):
