@@ -1,6 +1,7 @@
 """Registered queries: entity matching (JN3-JN7, JN9, SF13/UD1).
 
-Compare-input lines come from ``part`` (one line per part, its shape picked by size):
+Compare-input lines come from two sources, typed text and an upload that repeats a part of it; both are
+derived from ``part`` (one line per part, its shape picked by size):
   size  1-10 -> the part id as 6 digits              (id)
   size 11-20 -> the name without its last letter      (fuzzy)
   size 21-30 -> the name as is                        (exact)
@@ -29,8 +30,9 @@ def compare_lines(spark, sf):
             .when(size <= 30, name)
             .when(size <= 40, F.concat(name, F.lit(" x")))
             .otherwise(F.concat(F.lit("qq "), F.col("p_type"))))
-    return p.select(F.lit("part").alias("src"), F.col("p_partkey").alias("rec_id"),
-                    F.lit(0).cast("bigint").alias("line_no"), line.alias("line"))
+    typed = p.select(F.lit("typed").alias("src"), F.col("p_partkey").alias("rec_id"), F.lit(0).cast("bigint").alias("line_no"), line.alias("line"))
+    upload = typed.join(p.where("p_size % 5 = 0").select(F.col("p_partkey").alias("rec_id")), "rec_id", "left_semi").withColumn("src", F.lit("file"))
+    return upload.select(*typed.columns).unionByName(typed)
 
 
 def compare_inputs(spark, sf):
@@ -47,19 +49,20 @@ def part_records(spark, sf):
         padded(F.col("p_partkey"), 6), "ho_dem", "ten", "p_partkey")
 
 
-SQL_COMPARE = """WITH lines AS (
-  SELECT p_partkey AS rec_id,
+SQL_COMPARE = """WITH typed AS (
+  SELECT p_partkey AS rec_id, p_size,
     CASE WHEN p_size <= 10 THEN lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(length(CAST(p_partkey AS VARCHAR)), 6) AS INTEGER), '0')
          WHEN p_size <= 20 THEN substring(p_name, 1, length(p_name) - 1)
          WHEN p_size <= 30 THEN p_name
          WHEN p_size <= 40 THEN p_name || ' x'
          ELSE 'qq ' || p_type END AS line FROM part),
+lines AS (SELECT 'typed' AS src, rec_id, line FROM typed UNION ALL SELECT 'file', rec_id, line FROM typed WHERE p_size % 5 = 0),
 items AS (SELECT CASE WHEN regexp_full_match(line, '[0-9]{6,10}') THEN 'mssv' ELSE 'names' END AS kind,
-                 line AS item, rec_id FROM lines
+                 line AS item, src, rec_id FROM lines
           WHERE regexp_full_match(line, '[0-9]{6,10}')
              OR (len(string_split_regex(line, '\\s+')) BETWEEN 2 AND 5 AND NOT regexp_matches(line, '\\d')
                  AND length(line) BETWEEN 5 AND 40)),
-inputs AS (SELECT kind, item, min(rec_id) AS input_order FROM items GROUP BY kind, item),
+inputs AS (SELECT kind, item, min(struct_pack(src := src, rec_id := rec_id)).rec_id AS input_order FROM items GROUP BY kind, item),
 recs AS (SELECT p_partkey AS row_ord, lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(length(CAST(p_partkey AS VARCHAR)), 6) AS INTEGER), '0') AS student_id,
                 lower(p_name) AS full_name FROM part),
 p1 AS (SELECT r.student_id, r.row_ord, i.item AS input_value, i.input_order, 1.0::DOUBLE AS match_score,
