@@ -179,18 +179,39 @@ def statistics_document(df: DataFrame, score: str, edges: Sequence[float], bin_l
 
 
 # ---------------------------------------------------------------- AG10 / AG19 / AG18 / AG20
+def class_medians(sc: DataFrame, klass: str) -> DataFrame:
+    """(class, median): like :func:`quantile_row` for every class, the values range-partitioned on (class,
+    score), so that a class with a third of all rows is spread over many tasks."""
+    from rollbook.session import cut_lineage
+
+    counts = sc.groupBy(klass, "score").agg(F.count(F.lit(1)).alias("n"))
+    fixed = cut_lineage(counts.repartitionByRange(klass, "score").withColumn("_pid", F.spark_partition_id()))
+    parts = Window.partitionBy(klass).orderBy("_pid")  # a row per class and partition
+    sizes = fixed.groupBy(klass, "_pid").agg(F.sum("n").alias("_size")).select(
+        klass, "_pid", F.coalesce(F.sum("_size").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_size").over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
+    inside = F.sum("n").over(Window.partitionBy(klass, "_pid").orderBy("score"))
+    placed = fixed.withColumn("_inside", inside).join(sizes, [klass, "_pid"])
+    upto, mid = F.col("_before") + F.col("_inside"), F.lit(0.5) * (F.col("_total") - 1)
+    at = lambda r: F.min(F.when(upto > r, F.col("score")))
+    return placed.groupBy(klass).agg(((at(F.floor(mid)) + at(F.ceil(mid))) / 2).alias("median"))
+
+
 def class_analysis(df: DataFrame, klass: str, score: str, approx: bool = False,
                    coerce: bool = False) -> DataFrame:
     """AG10: per class n, mean, median, std (null for one row), min, max, pass and excellent
     rates; classes without a usable score are dropped; best mean first."""
     sc = scores_only(df.where(F.col(klass).isNotNull()), score, coerce=coerce)
     s = F.col("score")
-    med = F.percentile_approx(s, 0.5, 10000) if approx else F.median(s)
-    return (sc.groupBy(klass).agg(
-        F.count(s).alias("student_count"), F.avg(s).alias("mean"), med.alias("median"),
+    sketch = [F.percentile_approx(s, 0.5, 10000).alias("median")] if approx else []
+    out = sc.groupBy(klass).agg(
+        F.count(s).alias("student_count"), F.avg(s).alias("mean"), *sketch,
         F.stddev_samp(s).alias("std_dev"), F.min(s).alias("min"), F.max(s).alias("max"),
         F.avg(F.when(s >= L.PASS_MARK, 100.0).otherwise(0.0)).alias("pass_rate"),
         F.avg(F.when(s >= L.EXCELLENT_MARK, 100.0).otherwise(0.0)).alias("excellent_rate"))
+    if not approx:
+        out = out.join(class_medians(sc, klass), klass)
+    return (out.select(klass, "student_count", "mean", "median", "std_dev", "min", "max", "pass_rate", "excellent_rate")
         .orderBy(F.desc("mean"), F.asc(klass)))
 
 
