@@ -182,7 +182,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, values
     full = sketch.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
     # equal sets: one node, named by its smallest id
     named = full.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    member = stored(full.select("doc_id", "fp").join(named, "fp").select("doc_id", "node", "fp").distinct(), "members")
+    # equal rows go before the join, so that nothing behind it holds together the rows of a digest that very
+    # many rows share, and Spark may split them
+    member = stored(full.select("doc_id", "fp").distinct().join(named, "fp").select("doc_id", "node", "fp"), "members")
     nodes = full.join(member.where("doc_id = node").select(F.col("node"), F.col("fp").alias("node_fp")),
                       (F.col("doc_id") == F.col("node")) & (F.col("fp") == F.col("node_fp"))).select(
         "node", F.col("n_shingles").alias("size"), "sig", *[F.col("bits")[i].alias(f"w{i}") for i in range(MAP_WORDS)]).dropDuplicates(["node"])
