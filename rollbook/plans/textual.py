@@ -44,7 +44,10 @@ def lines(spark, sf):
                      F.lit(0).cast("bigint").alias("line_no"), F.initcap("p_name").alias("line"))
     dates = o.select(F.lit("orders").alias("src"), F.col("o_orderkey").alias("rec_id"),
                      F.lit(0).cast("bigint").alias("line_no"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("line"))
-    return doc_lines(spark, sf).unionByName(cust).unionByName(parts).unionByName(dates)
+    # parsing a line costs far more than moving it: lines are always dealt out by their key, so neither a
+    # long text nor a table in one file leaves the regular expressions to one task
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return doc_lines(spark, sf).unionByName(cust).unionByName(parts).unionByName(dates).repartition(n, "rec_id", "line_no")
 
 
 TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
