@@ -12,7 +12,7 @@ from rollbook.llm.bpe import bpe_round_trip
 from rollbook.llm.common import documents, stored
 from rollbook.llm.decontam import contamination
 from rollbook.llm.langid import fit, held_out, predict
-from rollbook.llm.licenses import find_licenses
+from rollbook.llm.licenses import find_notices
 from rollbook.llm.neardup import near_duplicates
 from rollbook.llm.quality import fit as fit_field
 from rollbook.llm.quality import quality
@@ -156,7 +156,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_licenses")
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_licenses(documents(spark, sf_dir)).select("doc_id", "first_line", "last_line", "license", F.round("saving", 6).alias("saving"), "differences")
+    return find_notices(documents(spark, sf_dir)).select("doc_id", "first_line", "last_line", "license", F.round("saving", 6).alias("saving"), "differences")
 
 
 OP7_SQL = r"""

@@ -1,7 +1,9 @@
 """License notices: known notices, near misses, runs of lines, and the whole table against a plain loop."""
 
 import re
+import textwrap
 
+import pytest
 from llm_fixtures import SF_SMALL, edge_docs, no_docs  # noqa: F401
 
 from rollbook.llm import licenses as C
@@ -44,3 +46,24 @@ def test_whole_table(spark, edge_docs, no_docs):
     got = sorted((str(r["doc_id"]), r["first_line"], r["last_line"], str(r["license"]), str(r["saving"]), r["differences"]) for r in C.find_licenses(docs).collect())
     assert got == want and len(got) > 7
     assert C.find_licenses(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("width", [72, 80])
+@pytest.mark.parametrize("sign", ["", "# ", " * "])
+def test_wrapped_notices(spark, width, sign):
+    """Every notice is found whole on its lines, wrapped inside a longer text."""
+    rows, want = [], []
+    for k, (name, notice) in enumerate(C.NOTICES):
+        before, behind = "Some words stand before it in the paragraph.", "More words come behind it there."
+        body = textwrap.wrap(f"{before} {notice} {behind}", width - len(sign), break_long_words=False, break_on_hyphens=False)
+        text = "\n".join((sign + x).rstrip() if x else "" for x in ["Title", "", *body, "", "The last line."])
+        rows.append((k, text))
+        ends = [0]
+        for x in body:
+            ends.append(ends[-1] + len(C.words_of(x)))
+        a = len(C.words_of(before))
+        z = a + len(C.words_of(notice)) - 1
+        want.append((k, 2 + next(i for i, e in enumerate(ends[1:]) if a < e), 2 + next(i for i, e in enumerate(ends[1:]) if z < e), name, ""))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["first_line"], r["last_line"], r["license"], r["differences"]) for r in C.find_notices(docs).collect() if r["license"])
+    assert got == want
