@@ -72,7 +72,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int) -> list[np.nd
     words = span_hashes(buf, starts, ends)
     n = len(words)
     rolled = np.zeros(n, U64)
-    for j in range(width):  # the shingle that begins at each word
+    for j in range(min(width, n)):  # the shingle that begins at each word; a chunk may have fewer words than one
         rolled[:n - j] = mix64(rolled[:n - j] * U64(0x9E3779B97F4A7C15) + words[j:])
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):

@@ -78,6 +78,21 @@ def test_awkward_rows(spark, no_docs):
     assert N.near_duplicates(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("width", [3, 5])
+def test_chunks_of_fewer_words_than_a_shingle(spark, width):
+    """A short document may be alone in its chunk, batch or partition."""
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in range(7)]
+    for t in texts:
+        buf = np.frombuffer(t.encode(), np.uint8)
+        (one,) = N.shingle_sets(buf, np.array([0, len(buf)]), width)
+        assert len(one) == len(shingles(t, width))
+    rows = [(k, t) for k, t in enumerate(texts)] + [(10 + k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id bigint, text string")
+    assert docs.rdd.glom().map(len).collect() == [1] * len(rows)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in N.near_duplicates(docs, 80, width).collect())
+    assert got == brute(rows, 80, width)
+
+
 def test_leaders_first_then_all_comparisons(spark, monkeypatch):
     """Groups that one leader does not settle end in the same components, however the rest is compared."""
     for checks in (0.0, 1e9):
