@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollbook.llm import queries_structure
 from rollbook.llm.bpe import bpe_round_trip
 from rollbook.llm.common import documents, stored
 from rollbook.llm.decontam import contamination
@@ -195,3 +196,7 @@ def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = Tree(primary, heights(primary)[0], 0).file_roots().select(F.col("file_no").alias("r"), F.col("hash").alias("file_root"))
     return primary.join(found, (F.col("file_no") == F.col("f")) & (F.col("idx") == F.col("i")), "left").join(roots, F.col("file_no") == F.col("r")).select(
         "page_id", "file_no", "idx", "offset", "length", "digest", "file_root", F.coalesce("verdict", F.lit("intact")).alias("verdict"))
+
+
+QUERIES.update(queries_structure.QUERIES)
+ORACLE_SQL.update(queries_structure.ORACLE_SQL)
