@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from rollbook.llm.common import documents
 from rollbook.llm.manifest import prove, row_manifest
+from rollbook.llm.repair import repair_all
+from rollbook.session import read_table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -77,3 +79,23 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_r
 
 QUERIES["op11_merkle_manifest"] = op11_merkle_manifest
 ORACLE_SQL["op11_merkle_manifest"] = OP11_SQL
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows damaged at places that a hash of conversation and turn chooses: 0 dropped, 1 emptied, 2 without its sentence ends,
+    3 repeated, 4 of role user. NULLs are one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    lot = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), lot.alias("lot")).where("lot <> 0")
+    text = F.when(F.col("lot") == 1, "").when(F.col("lot") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("lot") == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", F.when(F.col("lot") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+                       F.explode(F.sequence(F.lit(1), copies))).drop("col")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    return repair_all(damaged(conversations), conversations)
+
+
+QUERIES["op12_conversation_repair"] = op12_conversation_repair
