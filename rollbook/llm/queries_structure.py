@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.llm.common import documents
 from rollbook.llm.manifest import prove, row_manifest
+from rollbook.llm.pagetext import extract, fit
 from rollbook.llm.repair import repair_all
 from rollbook.session import read_table
 
@@ -99,3 +100,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_conversation_repair"] = op12_conversation_repair
+
+
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return extract(pages, fit(pages))
+
+
+QUERIES["op13_page_text"] = op13_page_text
