@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 from llm_fixtures import SF_SMALL
 from pyspark.sql import functions as F
@@ -175,3 +176,11 @@ def test_empty_and_very_long(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = R.repair(df.withColumn("turn", F.col("turn"))).collect()
     assert [(r["audit"], r["cost"], r["truncated"]) for r in got] == [("KK", 1, 1)]
+
+
+def test_sql_agrees_on_awkward_rows():
+    rows = sample(25, 3)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", [r[:4] for r in rows])
+    assert sorted(con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({Q.OP12_SQL})").fetchall(), key=repr) == expected(rows)
