@@ -353,7 +353,9 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Label
     """Train on the ``sample`` pages with the least hash of their html; more of the same page count once."""
     html = F.col(f"`{html_col}`").cast("string")
     some = pages.select(F.xxhash64(html).alias("h"), F.substring(html, 1, TRAIN_CHARS).alias("html")).where(F.length(F.trim("html")) > 0)
-    rows = some.groupBy("h").agg(F.min("html").alias("html")).orderBy("h").limit(sample).collect()
+    # hashes first: every task sends its least ones to the driver, so they must be small
+    least = [r["h"] for r in some.select("h").distinct().orderBy("h").limit(sample).collect()]
+    rows = some.where(F.col("h").isin(least)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
     return train(training_set([r["html"] for r in rows]))
 
 
