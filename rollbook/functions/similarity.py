@@ -1,5 +1,4 @@
-"""SF13 / UD1: the longest-matching-blocks similarity ratio, and the bigram tokens used to
-block the fuzzy join (section 4.3 of the survey).
+"""SF13 / UD1: the longest-matching-blocks similarity ratio, and the grams and bounds that block the fuzzy join.
 
 The ratio is ``2*M / (len(a) + len(b))`` where ``M`` is the size of the matching blocks
 found by ``difflib.SequenceMatcher(None, a, b)``. It is not symmetric. It is the only
@@ -55,29 +54,42 @@ def length_band(len_a, len_b, threshold: float) -> Column:
     """Lossless: ratio >= t needs len(a)*t/(2-t) <= len(b) <= len(a)*(2-t)/t."""
     la, lb = as_col(len_a).cast("double"), as_col(len_b).cast("double")
     t = float(threshold)
-    return (lb >= la * (t / (2 - t))) & (lb <= la * ((2 - t) / t))
+    return (lb >= la * (t / (2 - t)) - 1e-9) & (lb <= la * ((2 - t) / t) + 1e-9)
 
 
-def min_shared_bigrams(total_len: float, threshold: float) -> int:
-    """Lower bound on the shared bigrams (as multisets) of two strings of total length T
-    whose ratio is at least t.
+def shared_bound(q: int, threshold: float) -> tuple[float, float]:
+    """(slope, intercept): two strings of total length T whose ratio is at least t share at least
+    ``slope * T + intercept`` grams of q characters (as multisets, in matching blocks).
 
     M >= t*T/2 matched characters lie in B matching blocks; two neighbouring blocks are
     separated by at least one unmatched character, so B <= (T - 2M) + 1, and a block of
-    length k holds k-1 bigrams that the other string holds too. Hence the shared count is
-    at least M - B >= (1.5*t - 1)*T - 1. The bound is useless (<= 0) for t <= 2/3.
+    length k holds at least k - q + 1 grams that the other string holds too. Hence the shared count is
+    at least M - (q - 1) * B >= (t/2 - (q - 1) * (1 - t)) * T - (q - 1).
     """
-    bound = (1.5 * threshold - 1.0) * total_len - 1.0
-    return max(0, math.ceil(bound - 1e-9))
+    return threshold / 2 - (q - 1) * (1 - threshold), -(q - 1.0)
 
 
-def bigram_tokens(s) -> Column:
-    """Bigrams of a string, each tagged with its occurrence number (``ab#1``, ``ab#2``),
-    so that the set overlap of two token arrays is the multiset overlap of their bigrams."""
+def min_shared(q: int, total_len: float, threshold: float) -> int:
+    """The least number of shared grams (``shared_bound``), 0 where the bound says nothing."""
+    slope, base = shared_bound(q, threshold)
+    return max(0, math.ceil(slope * total_len + base - 1e-9))
+
+
+def grams(s, q: int) -> Column:
+    """The grams of q characters, in order."""
     c = as_col(s)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))),
-                        lambda i: F.substring(c, i, 2))
-    grams = F.filter(grams, lambda g: F.length(g) == 2)
-    return F.transform(grams, lambda g, i: F.concat(
-        g, F.lit("#"),
-        F.size(F.filter(F.slice(grams, 1, i + 1), lambda h: h == g)).cast("string")))
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (q - 1), F.lit(1))), lambda i: F.substring(c, i, q))
+    return F.filter(every, lambda g: F.length(g) == q)
+
+
+def tagged(of: str) -> Column:
+    """The grams of column ``of`` (an array that is materialised, as every one is compared with every other) as
+    ``array<struct<token, pos>>``. A token is a gram and its occurrence number (``ab#1``, ``ab#2``), so that the set overlap of two token arrays
+    is the multiset overlap of their grams. ``pos`` is the gram's place, or NULL if the string holds the gram more than once: then
+    a tag says nothing about places."""
+    c = F.col(of)
+    same = lambda part, g: F.size(F.filter(part, lambda h: h == g))
+    entry = lambda g, nth, pos: F.struct(F.concat(g, F.lit("#"), nth.cast("string")).alias("token"), pos.alias("pos"))
+    plain = F.transform(c, lambda g, i: entry(g, F.lit(1), i))
+    return F.when(F.size(F.array_distinct(c)) == F.size(c), plain).otherwise(
+        F.transform(c, lambda g, i: entry(g, same(F.slice(c, 1, i + 1), g), F.when(same(c, g) == 1, i))))

@@ -7,21 +7,24 @@ Phases (each a join, no per-row loop):
        earliest record on ties;
   JN6  one result per record (best score, then earliest input).
 
-The fuzzy phase is a *lossless* blocked join. The ratio ``2M/T`` bounds the number of
-bigrams two strings must share (``rollbook.functions.similarity.min_shared_bigrams``), so
-by the prefix-filtering principle each string only needs to index its rarest
-``|tokens| - o + 1`` bigram tokens: a pair that can reach the threshold shares at least
-one of them. Rare tokens first keeps frequent bigrams out of the join, so no key fans
-out; the candidate pairs are then cut by the (lossless) length band before the ratio
-UDF runs, once per distinct pair of strings.
+The fuzzy phase is a *lossless* blocked join. The ratio bounds the number of grams that two strings must
+share (``rollbook.functions.similarity.shared_bound``): o of them. With each string's grams in one global order, rarest first, the
+first two shared ones are among its first ``n - o + 2`` (prefix filtering), so a pair that can reach the threshold
+shares a *pair* of prefix grams, and that pair is the join key. Long strings use three characters a gram, shorter ones two, the shortest
+single grams of two; which one depends on the input's length alone, and a target is indexed for all that inputs
+of its length band use. Candidates also pass the length band and a position bound: matched characters stand at most
+``max(la, lb) - t * (la + lb) / 2`` places apart. Keys that very many targets share are split over tasks. What is
+left is cut by the whole gram overlap, counted natively, before the ratio UDF runs, once per distinct pair of strings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions.similarity import bigram_tokens, length_band, min_shared_bigrams, similarity_ratio
+from rollbook.functions.similarity import grams, length_band, min_shared, shared_bound, similarity_ratio, tagged
 from rollbook.functions.text import utrim
 from rollbook.session import cut_lineage
 
@@ -68,56 +71,104 @@ def match_exact_names(names: DataFrame, records: DataFrame, exclude: DataFrame)
 
 
 # ---------------------------------------------------------------- JN5
-def _prefix_tokens(strings: DataFrame, freq: DataFrame, threshold: float) -> DataFrame:
-    """Each string's rarest ``|tokens| - o_min + 1`` bigram tokens (o_min: the least overlap
-    any partner inside the length band must have)."""
-    t = threshold
-    band = t / (2 - t)
-    toks = strings.select("s", "len", F.explode(bigram_tokens(F.col("s"))).alias("token"))
-    ranked = toks.join(freq, "token", "inner")
-    # o_min(len) = min_shared_bigrams(len + ceil(len * band), t), computed in SQL terms
-    t_min = F.col("len") + F.ceil(F.col("len") * F.lit(band) - F.lit(1e-9))
-    o_min = F.greatest(F.ceil((F.lit(1.5 * t - 1.0) * t_min - F.lit(1.0)) - F.lit(1e-9)), F.lit(0))
-    w = Window.partitionBy("s").orderBy(F.asc("freq"), F.asc("token"))
-    n_tok = F.greatest(F.col("len") - 1, F.lit(0))
-    return (ranked.withColumn("_rk", F.row_number().over(w))
-            .where(F.col("_rk") <= n_tok - o_min + 1).select("s", "token"))
+#: Targets of one key that a task joins; keys with more are split.
+HOT_KEY = 2000
+
+
+def _fewest(q: int, threshold: float, length) -> F.Column:
+    """The grams of q characters that a string of this length shares at least with any partner inside the length band."""
+    slope, base = shared_bound(q, threshold)
+    total = length + F.ceil(length * F.lit(threshold / (2 - threshold)) - F.lit(1e-9))
+    return F.greatest(F.ceil(F.lit(slope) * total + F.lit(base) - F.lit(1e-9)), F.lit(0)).cast("int")
+
+
+#: (characters of a gram, grams of a key), the most selective first.
+SCHEMES = ((3, 2), (2, 2), (2, 1))
+
+
+def _scheme(length, threshold: float) -> F.Column:
+    """Index into SCHEMES of the first whose bound holds for inputs of this length; it does for longer ones too."""
+    out = F.lit(len(SCHEMES) - 1)
+    for k in range(len(SCHEMES) - 2, -1, -1):
+        q, ways = SCHEMES[k]
+        out = F.when(_fewest(q, threshold, length) >= ways, F.lit(k)).otherwise(out)
+    return out
+
+
+def _keys(strings: DataFrame, freq: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(s, len, key, p1, p2): the keys of strings under SCHEMES[k], with the places of their grams."""
+    q, ways = SCHEMES[k]
+    toks = strings.select("s", "len", F.explode(f"t{q}").alias("g")).select("s", "len", "g.token", "g.pos")
+    # all grams of a string, rarest first; their number is the string's length
+    ranked = (toks.join(freq, "token").groupBy("s", "len")
+              .agg(F.sort_array(F.collect_list(F.struct("freq", "token", "pos"))).alias("g")))
+    o = F.greatest(_fewest(q, threshold, F.col("len")), F.lit(ways))
+    head = ranked.select("s", "len", F.slice("g", F.lit(1), F.greatest(F.size("g") - o + F.lit(ways), F.lit(0))).alias("g"))
+    if ways == 1:
+        return head.select("s", "len", F.explode("g").alias("x")).select("s", "len", F.xxhash64("x.token").alias("key"), F.col("x.pos").alias("p1"), F.lit(None).cast("int").alias("p2"))
+    pairs = F.flatten(F.transform("g", lambda x, i: F.transform(
+        F.slice("g", i + 2, F.size("g")), lambda y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), x["pos"].alias("p1"), y["pos"].alias("p2")))))
+    return head.where(F.size("g") > 1).select("s", "len", F.explode(pairs).alias("x")).select("s", "len", "x.key", "x.p1", "x.p2")
+
+
+def _with_tokens(strings: DataFrame) -> DataFrame:
+    """Strings with their tagged grams of two and three characters."""
+    plain = cut_lineage(strings.withColumn("g2", grams("s", 2)).withColumn("g3", grams("s", 3)))
+    return cut_lineage(plain.withColumn("t2", tagged("g2")).withColumn("t3", tagged("g3")).drop("g2", "g3"))
+
+
+def _split_hot(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Give both sides a part number: targets of a key that more than HOT_KEY of them have are dealt over parts, inputs of it go to each."""
+    hot = right.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KEY).select("key", F.ceil(F.col("n") / HOT_KEY).cast("int").alias("parts"))
+    hot = cut_lineage(hot)
+    if hot.isEmpty():
+        return left.withColumn("part", F.lit(0)), right.withColumn("part", F.lit(0))
+    count = F.coalesce("parts", F.lit(1))
+    left = left.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), count - 1))).drop("parts")
+    return left, right.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("s"), count).cast("int")).drop("parts")
 
 
 def fuzzy_candidates(inputs: DataFrame, targets: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """Distinct ``(a, b)`` string pairs that can reach ``ratio(a, b) >= threshold``.
 
-    ``inputs``/``targets`` hold a column ``s`` of distinct strings. Lossless for thresholds
-    above 2/3 (the shared-bigram bound is positive there); below that only the length band
-    is lossless, so no blocking is attempted and a ``ValueError`` is raised.
+    ``inputs``/``targets`` hold a column ``s``; strings of one character are left out, NULL too. Lossless for thresholds
+    above 5/6, where even two strings of two characters need a shared gram; a ``ValueError`` below.
     """
-    if min_shared_bigrams(4, threshold) < 1:
-        raise ValueError("blocking is only lossless for thresholds above 2/3")
-    # each side's distinct strings and the bigram vocabulary are read by several branches
-    # below, so they are materialised once (reliable checkpoints) instead of recomputed
-    a = cut_lineage(inputs.select("s").distinct().withColumn("len", F.length("s")).where(F.col("len") >= 2))
-    b = cut_lineage(targets.select("s").distinct().withColumn("len", F.length("s")).where(F.col("len") >= 2))
-    all_tokens = (a.select(F.explode(bigram_tokens(F.col("s"))).alias("token"))
-                  .unionByName(b.select(F.explode(bigram_tokens(F.col("s"))).alias("token"))))
-    # the vocabulary of the distinct strings' bigrams; AQE sees its real size at run time
-    # and broadcasts it only when small
-    freq = cut_lineage(all_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
+    if min_shared(2, 4, threshold) < 1:
+        raise ValueError("blocking is only lossless for thresholds above 5/6")
     t = float(threshold)
-    lo_f, hi_f = t / (2 - t), (2 - t) / t
-    # inputs: every prefix token once per partner length inside the length band, so the
-    # join key (token, partner length) only ever pairs strings that can reach the ratio
-    pa = (_prefix_tokens(a, freq, threshold).join(a.select("s", "len"), "s")
-          .select(F.col("s").alias("a"), "token",
-                  F.explode(F.sequence(F.ceil(F.col("len") * F.lit(lo_f) - F.lit(1e-9)).cast("int"),
-                                       F.floor(F.col("len") * F.lit(hi_f) + F.lit(1e-9)).cast("int"))).alias("lb")))
-    pb = (_prefix_tokens(b, freq, threshold).join(b.select("s", "len"), "s")
-          .select(F.col("s").alias("b"), "token", F.col("len").cast("int").alias("lb")))
-    pairs = pa.join(pb, ["token", "lb"], "inner").select("a", "b").distinct()
+    low, high = t / (2 - t), (2 - t) / t
+    length = F.length("s")
+    # each side's distinct strings and the gram vocabulary are read by several branches
+    # below, so they are materialised once (reliable checkpoints) instead of recomputed
+    a = inputs.select("s").distinct().withColumn("len", length).where("len >= 2").withColumn("scheme", _scheme(F.col("len"), t))
+    b = targets.select("s").distinct().withColumn("len", length).where("len >= 2")
+    # inputs of the band go from the length whose scheme is the least selective to the longest
+    b = b.withColumn("last", _scheme(F.ceil(F.col("len") * low - 1e-9).cast("int"), t)).withColumn("first", _scheme(F.floor(F.col("len") * high + 1e-9).cast("int"), t))
+    a, b = _with_tokens(a), _with_tokens(b)
+    found = []
+    for k, (q, _) in enumerate(SCHEMES):
+        mine, theirs = a.where(F.col("scheme") == k), b.where((F.col("first") <= k) & (F.col("last") >= k))
+        tokens = [side.select(F.explode(F.col(f"t{q}")["token"]).alias("token")) for side in (mine, theirs)]
+        # AQE sees the vocabulary's real size at run time and broadcasts it only when small
+        freq = cut_lineage(tokens[0].unionByName(tokens[1]).groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
+        if mine.isEmpty() or theirs.isEmpty():
+            continue
+        left, right = _split_hot(cut_lineage(_keys(mine, freq, k, t)), cut_lineage(_keys(theirs, freq, k, t)))
+        left = left.select("key", "part", F.col("s").alias("a"), F.col("len").alias("la"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
+        right = right.select("key", "part", F.col("s").alias("b"), F.col("len").alias("lb"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
+        reach = F.floor(F.greatest("la", "lb") - F.lit(t / 2) * (F.col("la") + F.col("lb")) + 1e-9)
+        near = lambda x, y: F.coalesce(F.abs(F.col(x) - F.col(y)) <= reach, F.lit(True))
+        found.append(left.join(right, ["key", "part"]).where(length_band("la", "lb", t) & near("a1", "b1") & near("a2", "b2")).select("a", "b"))
+    if not found:
+        return a.sparkSession.createDataFrame([], "a string, b string")
+    pairs = cut_lineage(reduce(DataFrame.unionByName, found).distinct())
     # the whole bigram overlap that the ratio needs, counted natively, before any Python runs
-    shared = F.size(F.array_intersect(bigram_tokens(F.col("a")), bigram_tokens(F.col("b"))))
-    need = F.ceil(F.lit(1.5 * t - 1.0) * (F.col("la") + F.col("lb")) - F.lit(1.0) - F.lit(1e-9))
-    return (pairs.withColumn("la", F.length("a")).withColumn("lb", F.length("b"))
-            .where(length_band("la", "lb", threshold)).where(shared >= need).select("a", "b"))
+    tokens = lambda side, name: side.select(F.col("s").alias(name), F.col("t2")["token"].alias(f"t{name}"))
+    slope, base = shared_bound(2, t)
+    need = F.ceil(F.lit(slope) * (F.length("a") + F.length("b")) + F.lit(base) - F.lit(1e-9))
+    both = pairs.join(tokens(a, "a"), "a").join(tokens(b, "b"), "b")
+    return both.where(F.size(F.array_intersect("ta", "tb")) >= need).select("a", "b")
 
 
 def best_fuzzy(inputs: DataFrame, targets: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
@@ -128,6 +179,7 @@ def best_fuzzy(inputs: DataFrame, targets: DataFrame, threshold: float = FUZZY_T
     scored = (cand.withColumn("score", similarity_ratio("a", "b")).where(F.col("score") >= threshold)
               .join(first_row.withColumnRenamed("s", "b"), "b", "inner"))
     from rollbook.operators.ranking import first_by_key
+
     return first_by_key(scored, ["a"], [("score", False), ("row_ord", True)]).select(*scored.columns)
 
 
@@ -198,18 +250,3 @@ def pair_score(pairs: DataFrame, input_col: str, id_col: str, name_col: str,
     kind = (F.when(inp == rid, F.lit("mssv_exact")).when(ratio >= threshold, F.lit("name_fuzzy"))
             .otherwise(F.lit("no_match")))
     return pairs.withColumn("match_score", score).withColumn("match_type", kind)
-
-
-def brute_force_best(inputs: list[str], targets: list[tuple[str, int]], threshold: float) -> dict:
-    """Reference implementation for tests: best target per input by exhaustive scoring."""
-    from rollbook.functions.similarity import ratio_py
-    out = {}
-    for a in inputs:
-        best = None
-        for s, ro in targets:
-            r = ratio_py(a, s)
-            if r >= threshold and (best is None or r > best[0] or (r == best[0] and ro < best[2])):
-                best = (r, s, ro)
-        if best:
-            out[a] = best
-    return out

@@ -68,8 +68,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def cut_lineage(df):
-    """Materialise a frame that several branches read, with a *reliable* checkpoint in the
-    shared ``spark.checkpoint.dir`` (survives executor loss; never a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "frame"):
+    """Materialise a frame that several branches read, as a table in the shared ``spark.checkpoint.dir`` (survives executor
+    loss). Unlike ``checkpoint()`` it is computed once, and its size is known to the plans that read it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ import string
 
 from pyspark.sql import functions as F
 
-from rollbook.functions.similarity import min_shared_bigrams, ratio_py
+from rollbook.functions.similarity import min_shared, ratio_py
 from rollbook.operators import matching as M
 
 
@@ -24,6 +24,71 @@ def _edit(rnd, s):
     return s[:i] + s[i + 1:] if op == "d" else (s[:i] + c + s[i:] if op == "i" else s[:i] + c + s[i + 1:])
 
 
+def brute_force_best(inputs, targets, threshold):
+    """Best target per input by exhaustive scoring."""
+    out = {}
+    for a in inputs:
+        best = None
+        for s, ro in targets:
+            r = ratio_py(a, s)
+            if r >= threshold and (best is None or r > best[0] or (r == best[0] and ro < best[2])):
+                best = (r, s, ro)
+        if best:
+            out[a] = best
+    return out
+
+
+def test_bounds_hold_on_random_strings():
+    """Shared grams and places of matched characters, against the matching blocks themselves."""
+    from collections import Counter
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(2)
+    for _ in range(3000):
+        a = "".join(rnd.choice("abc ") for _ in range(rnd.randint(2, 30)))
+        b = a
+        for _ in range(rnd.randint(0, 4)):
+            b = _edit(rnd, b) if b else b
+        if len(b) < 2 or (ratio := ratio_py(a, b)) < 0.7:
+            continue
+        for q in (2, 3):
+            grams = lambda s: Counter(s[k:k + q] for k in range(len(s) - q + 1))
+            assert sum((grams(a) & grams(b)).values()) >= min_shared(q, len(a) + len(b), ratio)
+        reach = max(len(a), len(b)) - ratio / 2 * (len(a) + len(b)) + 1e-9
+        assert all(abs(m.a - m.b) <= reach for m in SequenceMatcher(None, a, b).get_matching_blocks()[:-1])
+
+
+def test_candidates_of_all_lengths(spark):
+    """Short, repetitive and long strings: every scheme, places that repeat, and keys that are split."""
+    rnd = random.Random(8)
+    make = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
+    targets = sorted({make(n, letters) for n in range(2, 26) for letters in ("ab", "abcdefgh") for _ in range(6)} | {"nguyen " + make(6, "abc") for _ in range(60)})
+    inputs = sorted({e for s in targets for e in (s, _edit(rnd, s), _edit(rnd, _edit(rnd, s) or "x")) if len(e) >= 2})
+    kept, M.HOT_KEY = M.HOT_KEY, 3
+    try:
+        for t in (0.85, 0.95):
+            cand = {(r.a, r.b) for r in M.fuzzy_candidates(spark.createDataFrame([(s,) for s in inputs], "s string"),
+                                                           spark.createDataFrame([(s,) for s in targets] + [(None,)], "s string"), t).collect()}
+            need = {(x, y) for x in inputs for y in targets if ratio_py(x, y) >= t}
+            assert need <= cand
+    finally:
+        M.HOT_KEY = kept
+
+
+def test_candidates_grow_no_faster_than_names(spark):
+    """Ten times the names: about ten times the candidates."""
+    from rollbook.plans import entities as EN
+
+    counts = []
+    for sf in ("sf0.001", "sf0.01"):
+        path = f"/root/testdata/{sf}"
+        items = EN.compare_inputs(spark, path).where("kind = 'names'").select(F.lower("item").alias("s"))
+        names = EN.person_records(spark, path).select(F.col("full_name").alias("s"))
+        counts.append((names.count(), M.fuzzy_candidates(items, names).count()))
+    (n0, c0), (n1, c1) = counts
+    assert c1 / c0 < 1.3 * n1 / n0
+
+
 def test_candidates_are_lossless(spark):
     rnd = random.Random(11)
     targets = sorted(set(_names(rnd, 150)))
@@ -44,13 +109,13 @@ def test_best_fuzzy_matches_brute_force(spark):
     got = {r.a: (round(r.score, 12), r.row_ord) for r in
            M.best_fuzzy(spark.createDataFrame([(s,) for s in inputs], "s string"),
                         spark.createDataFrame(rows, "s string, row_ord long")).collect()}
-    want = {a: (round(v[0], 12), v[2]) for a, v in M.brute_force_best(inputs, rows, 0.85).items()}
+    want = {a: (round(v[0], 12), v[2]) for a, v in brute_force_best(inputs, rows, 0.85).items()}
     assert got == want
 
 
 def test_bound_is_positive_only_above_two_thirds():
-    assert min_shared_bigrams(20, 0.85) >= 4
-    assert min_shared_bigrams(20, 0.6) == 0
+    assert min_shared(2, 20, 0.85) >= 4
+    assert min_shared(2, 20, 0.6) == 0
 
 
 def test_exact_phases_and_resolution(spark):
@@ -88,7 +153,7 @@ def test_jn5_on_tables_matches_brute_force(spark):
     from rollbook.plans import entities as EN
 
     items = [(r.kind, r.item, r.input_order) for r in EN.compare_inputs(spark, SF_SMALL).collect()]
-    recs = [(r.row_ord, r.student_id, r.full_name) for r in EN.part_records(spark, SF_SMALL).collect()]
+    recs = [(r.row_ord, r.student_id, r.full_name) for r in EN.person_records(spark, SF_SMALL).collect()]
     id_hits = {i for k, i, _ in items if k == "mssv"} & {sid for _, sid, _ in recs}
     eligible = sorted((ro, name) for ro, sid, name in recs if sid not in id_hits)
     names = {n for _, n in eligible}
