@@ -1,28 +1,27 @@
 """Near-duplicate documents: b-bit MinHash signatures joined by a multi-index under Hamming distance.
 
 A document's set holds its distinct word shingles. Documents with equal sets fall together
-first, by a digest of the whole set. Each remaining set gets a signature of ``k`` MinHash
-values of 16 bits; the distance of two signatures is the number of values that differ.
-The signature is split into ``m`` chunks so that two signatures within distance ``2 m - 1`` have,
+first, by a digest of the whole set: a digest is a node, its documents hang on it. Each node has a signature of ``k`` MinHash
+values of ``LANE`` bits; the distance of two signatures is the number of values that differ.
+The signature is split into ``m`` chunks, each packed into one 64-bit word, so that two signatures within distance ``2 m - 1`` have,
 by the pigeonhole principle, a chunk with one error at most. Every chunk is therefore indexed once for
-each of its positions with that position left out: two chunks with one error at most share
+each of its positions with that position masked out: two chunks with one error at most share
 such a key, wherever the error is. ``m`` is the smallest number for which a pair at the similarity
 threshold exceeds the distance with a probability below ``MISS``; pairs above it do so less often.
 
-Sets that share a key are compared in full, and linked if 100 * intersection >= threshold * union.
-Two things that every set carries spare most of these comparisons without losing a link: its size, and a
-bit map of the parities of its hashed shingles, as two sets differ in at least as many shingles as their
-bit maps differ in bits.
+Pairs that share a key are compared in full, and linked if 100 * intersection >= threshold * union, after what every node carries
+has spared most of that without losing a link: the distance of the signatures, the sizes, and a
+bit map of the parities of hashed shingles, as two sets differ in at least as many shingles as their bit maps differ in bits.
 
-Members of a key's group are compared with one leader first; members that fall into one component
-need no more. Where a group keeps members of different components, those are compared with each
-other; while these comparisons are too many for the corpus (``CHECKS_PER_NODE``), another
-member leads first. So a group of many near copies costs one comparison each, no pair of different components
-goes unseen, and nothing is sampled or capped.
+The work has a fixed number of rounds. In each of ``LEADER_ROUNDS`` the members of a key's group are compared with one of them;
+members that fall into one component need no more. Then all pairs of different components that share a key are
+looked at once, under the first chunk they agree in, by a join that tests signatures, sizes and bit maps as it goes; groups of more than ``BLOCK`` are cut into blocks
+and their pairs of blocks dealt over tasks. What passes is compared in full: for ``THIN_ROUNDS`` one pair for each node, so that members of one component
+drop out, then all that is left. Nothing is sampled or capped, and no pair of different components goes unseen.
 
 Defined results: texts without words have an empty set and are linked with nothing; texts with fewer
 words than a shingle have one shingle, all their words; NULL is without words. Rows that repeat a
-doc_id are in one component; rows without doc_id have no component and are kept. Other columns
+doc_id are in one component, and all texts of that id link it to others; rows without doc_id have no component and are kept. Other columns
 are ignored.
 """
 
@@ -44,15 +43,16 @@ from rollbook.llm.flat import U64, chunks, lower_ascii, mix64, span_hashes, text
 
 VALUES = 72
 MISS = 1e-6
-#: Groups get another leader while the comparisons left are more than so many for each node.
-CHECKS_PER_NODE = 2000
+#: Bits of a MinHash value, and values that a 64-bit word holds.
+LANE, LANES = 10, 6
+LEADER_ROUNDS, THIN_ROUNDS = 3, 3
+#: Members of a group that one task compares with each other.
+BLOCK = 4096
 #: 64-bit words of a set's bit map.
 MAP_WORDS = 16
 _rng = np.random.Generator(np.random.PCG64(7))
 _SEEDS = _rng.integers(0, 2**63, 512, dtype=np.uint64)
 _FACTORS = _rng.integers(0, 2**63, 512, dtype=np.uint64) * U64(2) + U64(1)
-_WEIGHTS = _rng.integers(0, 2**63, 512, dtype=np.uint64) * U64(2) + U64(1)
-_SALTS = _rng.integers(0, 2**63, 512, dtype=np.uint64)
 
 
 @functools.lru_cache
@@ -88,14 +88,21 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int) -> list[np.nd
     return out
 
 
-def signatures(sets: list[np.ndarray], values: int) -> np.ndarray:
-    """16-bit MinHash values of non-empty sets, a row each."""
+def chunk_edges(values: int, m: int) -> list[tuple[int, int]]:
+    """(first value, values) of each chunk."""
+    chunk = np.arange(values) * m // values
+    return [(int((chunk < j).sum()), int((chunk == j).sum())) for j in range(m)]
+
+
+def signatures(sets: list[np.ndarray], values: int, m: int) -> np.ndarray:
+    """Chunks of MinHash values of non-empty sets, packed: (rows, m) of 64-bit words, the chunk's first value lowest."""
     flat = np.concatenate(sets)
     at = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    out = np.empty((len(sets), values), np.uint16)
-    for i in range(values):
-        h = (flat ^ _SEEDS[i]) * _FACTORS[i]
-        out[:, i] = (np.minimum.reduceat(h, at) >> U64(24)).astype(np.uint16)
+    out = np.zeros((len(sets), m), np.int64)
+    for j, (first, count) in enumerate(chunk_edges(values, m)):
+        for i in range(count):
+            h = (flat ^ _SEEDS[first + i]) * _FACTORS[first + i]
+            out[:, j] |= ((np.minimum.reduceat(h, at) >> U64(24)) & U64((1 << LANE) - 1)).astype(np.int64) << (LANE * i)
     return out
 
 
@@ -108,17 +115,14 @@ def parity_maps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def chunk_keys(sig: np.ndarray, m: int) -> np.ndarray:
-    """Every position's chunk without that position, as a 64-bit key: (rows, values)."""
-    values = sig.shape[1]
-    chunk = np.arange(values) * m // values
-    terms = (sig.astype(U64) + U64(1)) * _WEIGHTS[:values]
-    sums = np.add.reduceat(terms, np.searchsorted(chunk, np.arange(m)), axis=1)
-    return mix64(sums[:, chunk] - terms + _SALTS[:values])
+def _digest(items: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
 
 
-def _sketches(docs: DataFrame, width: int, values: int) -> DataFrame:
-    """(doc_id, n_shingles, fp, sig, bits): the set's size, digest, signature and bit map (NULL for the empty set)."""
+def _sketches(docs: DataFrame, width: int, values: int, m: int) -> DataFrame:
+    """(doc_id, n_shingles, fp, c0.., w0..): the set's size, digest, signature and bit map (NULL for the empty set)."""
+    words = [f"c{j}" for j in range(m)] + [f"w{i}" for i in range(MAP_WORDS)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = text_bytes(batch.column(1))
@@ -126,36 +130,30 @@ def _sketches(docs: DataFrame, width: int, values: int) -> DataFrame:
                 part = offsets[lo:hi + 1]
                 sets = shingle_sets(buf[part[0]:part[-1]], part - part[0], width)
                 full = [s for s in sets if len(s)]
-                sig = iter(signatures(full, values)) if full else iter(())
-                bits = iter(parity_maps(full).tolist())
+                empty = np.array([not len(s) for s in sets], bool)
+                traits = np.zeros((len(sets), len(words)), np.int64)
+                if full:
+                    traits[~empty] = np.concatenate([signatures(full, values, m), parity_maps(full)], axis=1)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([next(bits) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "fp", "sig", "bits"])
+                    batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_digest, sets), pa.binary()),
+                    *[pa.array(traits[:, k], mask=empty) for k in range(len(words))]], ["doc_id", "n_shingles", "fp", *words])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, fp binary, sig binary, bits array<bigint>")
-
+    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, fp binary, " + ", ".join(f"{w} bigint" for w in words))
 
-def _keys(nodes: DataFrame, m: int, values: int) -> DataFrame:
-    """(key, node): ``values`` rows for each node."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                b = batch.slice(lo, 2000)
-                sig = np.frombuffer(text_bytes(b.column(1))[0], np.uint16).reshape(b.num_rows, values)
-                who = np.repeat(np.arange(b.num_rows), values)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(chunk_keys(sig, m).ravel().astype(np.int64)), b.column(0).take(pa.array(who))], ["key", "node"])
 
-    kind = nodes.schema["node"].dataType.simpleString()
-    return nodes.select("node", "sig").mapInArrow(run, f"key bigint, node {kind}")
+def _keys(nodes: DataFrame, values: int, m: int) -> DataFrame:
+    """(place, key, node): a row for each value, with its chunk but for that value; ``place`` is 8 * chunk + position."""
+    rows = []
+    for j, (_, count) in enumerate(chunk_edges(values, m)):
+        for i in range(count):
+            mask = ((1 << LANE) - 1) << (LANE * i)
+            rows.append(F.struct(F.lit(8 * j + i).alias("place"), F.col(f"c{j}").bitwiseAND(F.lit(~mask)).alias("key")))
+    return nodes.select("node", F.explode(F.array(*rows)).alias("k")).select("k.place", "k.key", "node")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, items): whole shingle sets."""
+    """(of, items): digests and whole shingle sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = text_bytes(batch.column(1))
@@ -164,11 +162,18 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(buf[part[0]:part[-1]], part - part[0], width)
                 edge = np.cumsum([0] + [len(s) for s in sets])
                 items = np.concatenate(sets) if sets else np.zeros(0, U64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(
-                    pa.array(edge, pa.int32()), pa.array(items.view(np.int64)))], ["node", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.ListArray.from_arrays(
+                    pa.array(edge, pa.int32()), pa.array(items.view(np.int64)))], ["of", "items"])
+
+    return docs.mapInArrow(run, "of binary, items array<bigint>")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"node {kind}, items array<bigint>")
+
+def _errors(j: int, p: str, q: str) -> Column:
+    """Values in which the chunks j of two rows differ: a lane's top bit is set where the lane is not zero."""
+    low = sum(((1 << (LANE - 1)) - 1) << (LANE * i) for i in range(LANES))
+    top = sum((1 << (LANE - 1)) << (LANE * i) for i in range(LANES))
+    x = F.col(f"{p}c{j}").bitwiseXOR(F.col(f"{q}c{j}"))
+    return F.bit_count((x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(top)))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, values: int = VALUES, id_col: str = "doc_id",
@@ -176,35 +181,30 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, values
     """One row per row of the input: doc_id, n_shingles, component_id (the smallest doc_id that
     links reach) and kept (whether that is the row's own id)."""
     ship(docs.sparkSession)
-    m = chunk_count(values, threshold)
+    m = max(chunk_count(values, threshold), -(-values // LANES))
     base = keyed_text(docs, id_col, text_col)
-    sketch = stored(_sketches(base, width, values), "sketches")
-    full = sketch.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
-    # equal sets: one node, named by its smallest id
-    named = full.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    # equal rows go before the join, so that nothing behind it holds together the rows of a digest that very
+    sketch = stored(_sketches(base, width, values, m), "sketches")
+    traits = ["size", *[f"c{j}" for j in range(m)], *[f"w{i}" for i in range(MAP_WORDS)]]
+    full = sketch.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull()).withColumnRenamed("n_shingles", "size")
+    # equal rows go before any join, so that nothing behind it holds together the rows of a digest that very
     # many rows share, and Spark may split them
-    member = stored(full.select("doc_id", "fp").distinct().join(named, "fp").select("doc_id", "node", "fp"), "members")
-    nodes = full.join(member.where("doc_id = node").select(F.col("node"), F.col("fp").alias("node_fp")),
-                      (F.col("doc_id") == F.col("node")) & (F.col("fp") == F.col("node_fp"))).select(
-        "node", F.col("n_shingles").alias("size"), "sig", *[F.col("bits")[i].alias(f"w{i}") for i in range(MAP_WORDS)]).dropDuplicates(["node"])
-    nodes = stored(nodes, "nodes")
-    # rows that repeat an id with other texts belong together
-    ids = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select(F.col("doc_id").alias("r_id"), "a")
-    links = stored(member.join(ids, F.col("doc_id") == F.col("r_id")).select("a", F.col("node").alias("b")).where("a <> b").distinct(), "links")
+    member = stored(full.select("doc_id", "fp").distinct(), "members")
+    nodes = full.groupBy("fp").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in traits])
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    named = nodes.select(F.col("fp").alias("of"), "node")
+    # digests of one id belong together
+    several = member.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select(F.col("doc_id").alias("r_id"), "a")
+    links = member.join(several, F.col("doc_id") == F.col("r_id")).where("a <> fp").select("a", "fp").distinct()
+    links = links.join(named, F.col("a") == F.col("of")).select(F.col("node").alias("a"), "fp").join(named, F.col("fp") == F.col("of")).select("a", F.col("node").alias("b"))
 
     # groups of nodes that share a key; a key of one node says nothing
-    keys = _keys(nodes, m, values)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1").select(F.col("key").alias("g"), "lead")
-    seen = ["size", *[f"w{i}" for i in range(MAP_WORDS)]]
-    traits = nodes.select(F.col("node").alias("t"), *seen)
-    groups = stored(keys.join(shared, F.col("key") == F.col("g")).select("key", "node", "lead").join(traits, F.col("node") == F.col("t")).select(
-        "key", "node", "lead", *seen), "groups")
-    concerned = groups.select(F.col("node").alias("c")).distinct()
-    text = base.join(concerned, F.col("doc_id") == F.col("c"), "left_semi")
-    # of rows that repeat an id, the one whose set the node stands for
-    sets = _sets(text, width).join(nodes.select(F.col("node").alias("c"), "size"), (F.col("node") == F.col("c")) & (F.size("items") == F.col("size")))
-    sets = stored(sets.dropDuplicates(["node"]).select("node", "items", "size"), "sets")
+    keys = _keys(nodes, values, m)
+    shared = keys.groupBy("place", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("place").alias("g_place"), F.col("key").alias("g_key"))
+    groups = stored(keys.join(shared, (F.col("place") == F.col("g_place")) & (F.col("key") == F.col("g_key"))).select("place", "key", "node"), "groups")
+    concerned = nodes.join(groups.select(F.col("node").alias("c")).distinct(), F.col("node") == F.col("c"), "left_semi").select("node", "doc", "fp", "size")
+    text = base.join(concerned.select(F.col("doc").alias("c")).distinct(), F.col("doc_id") == F.col("c"), "left_semi")
+    sets = stored(_sets(text, width).join(concerned, F.col("of") == F.col("fp")).select("node", "items", "size").dropDuplicates(["node"]), "sets")
+    known = nodes.select("node", *traits)
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Of (a, b), those whose whole sets are similar enough."""
@@ -214,49 +214,77 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, values
         return pairs.join(right, F.col("b") == F.col("b_")).join(left, F.col("a") == F.col("a_")).where(
             100 * both >= threshold * (F.col("nx") + F.col("ny") - both)).select("a", "b")
 
-    def near(p: str, q: str):
-        """The sizes and bit maps of two groups' rows allow the similarity."""
+    def near(p: str, q: str) -> Column:
+        """The signatures, sizes and bit maps of two rows allow the similarity."""
         n, k = F.col(f"{p}size"), F.col(f"{q}size")
-        apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{p}w{i}").bitwiseXOR(F.col(f"{q}w{i}"))) for i in range(MAP_WORDS)])
-        return (100 * F.least(n, k) >= threshold * F.greatest(n, k)) & (apart * (100 + threshold) <= (100 - threshold) * (n + k))
+        total = lambda terms: functools.reduce(lambda x, y: x + y, terms)
+        apart = total([F.bit_count(F.col(f"{p}w{i}").bitwiseXOR(F.col(f"{q}w{i}"))) for i in range(MAP_WORDS)])
+        return ((100 * F.least(n, k) >= threshold * F.greatest(n, k)) & (total([_errors(j, p, q) for j in range(m)]) < 2 * m)
+                & (apart * (100 + threshold) <= (100 - threshold) * (n + k)))
+
+    def prefixed(rows: DataFrame, p: str) -> DataFrame:
+        return rows.select(*[F.col(c).alias(f"{p}{c}") for c in rows.columns])
 
-    def led(rows: DataFrame, other: Column) -> DataFrame:
-        """(a, b): each group's leader with the members that may be similar to it and fulfil ``other``."""
-        head = rows.where("node = lead").select(F.col("key").alias("g"), *[F.col(c).alias(f"l_{c}") for c in rows.columns if c != "key"])
-        return rows.where("node <> lead").join(head, (F.col("key") == F.col("g")) & other & near("", "l_")).select(
-            F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    def merged(component: DataFrame, pairs: DataFrame) -> DataFrame:
+        return stored(connected(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(similar(pairs))), "components")
 
-    links = links.unionByName(similar(led(groups, F.lit(True))))
-    rest = groups.where("node <> lead").drop("lead")
     component = stored(connected(links), "components")
-    total = nodes.count()
-    while True:
+    rest, tried = groups, None
+    for r in range(LEADER_ROUNDS + 1):
         comp = component.select(F.col("node").alias("c"), "component")
-        rest = rest.join(comp, F.col("node") == F.col("c"), "left").select("key", "node", *seen, F.coalesce("component", "node").alias("comp"))
-        parts = rest.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min("node").alias("first"))
-        open_ = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts"),
-                                         F.min("first").alias("lead")).where("parts > 1").select(F.col("key").alias("g"), "n", "same", "lead")
-        open_ = stored(open_, "open")
-        left = open_.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0]
-        if not left:
+        rest = rest.select("place", "key", "node").join(comp, F.col("node") == F.col("c"), "left").select(
+            "place", "key", "node", F.coalesce("component", "node").alias("comp"))
+        heads = rest.groupBy("place", "key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), "node", "comp")).alias("h"), F.count("*").alias("n"),
+                                                 F.min("comp").alias("low"), F.max("comp").alias("high"))
+        heads = heads.where("low < high").select(F.col("place").alias("g_place"), F.col("key").alias("g_key"), F.col("h.node").alias("lead"), F.col("h.comp").alias("lead_comp"), "n")
+        rest = stored(rest.join(heads, (F.col("place") == F.col("g_place")) & (F.col("key") == F.col("g_key"))).drop("g_place", "g_key"), "open")
+        if r == LEADER_ROUNDS:
+            break
+        pairs = rest.where("comp <> lead_comp").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried.select(F.col("a").alias("t_a"), F.col("b").alias("t_b")), (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti")
+        pairs = stored(pairs, "led")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        near_pairs = pairs.join(prefixed(known, "p_"), F.col("a") == F.col("p_node")).join(prefixed(known, "q_"), F.col("b") == F.col("q_node")).where(near("p_", "q_"))
+        component = merged(component, near_pairs.select("a", "b"))
+
+    # all pairs of different components that share a key, under the first chunk with one error at most: blocks against blocks
+    rows = rest.join(known.withColumnRenamed("node", "k_node"), F.col("node") == F.col("k_node")).drop("k_node", "lead", "lead_comp")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")).withColumn("blocks", blocks)
+    lower = prefixed(rows.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))), "p_")
+    upper = prefixed(rows.withColumn("other", F.explode(F.sequence(F.lit(0), "block"))), "q_")
+    here = F.floor(F.col("p_place") / 8)
+    first = functools.reduce(lambda out, j: F.when(_errors(j, "p_", "q_") < 2, j).otherwise(out), range(m - 1, -1, -1), F.lit(-1))
+    equal = functools.reduce(lambda out, j: F.when(here == j, F.col(f"p_c{j}") == F.col(f"q_c{j}")).otherwise(out), range(m), F.lit(False))
+    once = (first == here) & (~equal | (F.col("p_place") % 8 == 0))
+    met = lower.join(upper, (F.col("p_place") == F.col("q_place")) & (F.col("p_key") == F.col("q_key")) & (F.col("p_block") == F.col("q_other"))
+                     & (F.col("p_other") == F.col("q_block")) & ((F.col("p_block") < F.col("q_block")) | (F.col("p_node") < F.col("q_node")))
+                     & (F.col("p_comp") != F.col("q_comp")) & near("p_", "q_") & once)
+    left = met.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b"))
+    left = stored(left.join(tried.select(F.col("a").alias("t_a"), F.col("b").alias("t_b")), (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti"), "met")
+    for r in range(THIN_ROUNDS + 1):
+        if left.isEmpty():
             break
-        rest = stored(rest.join(open_.select("g", "lead"), F.col("key") == F.col("g")).select("key", "node", "comp", "lead", *seen), "groups")
-        known = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        if left <= CHECKS_PER_NODE * total:
-            two = rest.select(*[F.col(c).alias(f"q_{c}") for c in rest.columns])
-            pairs = rest.join(two, (F.col("key") == F.col("q_key")) & (F.col("node") < F.col("q_node")) & (F.col("comp") != F.col("q_comp"))
-                              & near("", "q_")).select(F.col("node").alias("a"), F.col("q_node").alias("b")).distinct()
-            component = stored(connected(known.unionByName(similar(pairs))), "components")
+        if r == THIN_ROUNDS:
+            component = merged(component, left)
             break
-        component = stored(connected(known.unionByName(similar(led(rest, F.col("comp") != F.col("l_comp"))))), "components")
-        rest = rest.where("node <> lead").drop("lead", "comp")
-
-    comp = component.select(F.col("node").alias("c"), "component")
-    placed = member.groupBy("doc_id").agg(F.min("node").alias("node")).join(comp, F.col("node") == F.col("c"), "left").select(
-        F.col("doc_id").alias("m_id"), F.coalesce("component", "node").alias("of"))
-    found = sketch.select("doc_id", "n_shingles").join(placed, F.col("doc_id") == F.col("m_id"), "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("of", "doc_id").alias("component_id"),
-                        F.coalesce(F.col("of") == F.col("doc_id"), F.lit(True)).alias("kept"))
+        some = stored(left.groupBy("a").agg(F.min_by("b", F.xxhash64("a", "b")).alias("b")), "some")
+        component = merged(component, some)
+        of = lambda c, as_: component.select(F.col("node").alias(f"{c}_"), F.col("component").alias(as_))  # noqa: B023, E731
+        left = left.join(some.select(F.col("a").alias("t_a"), F.col("b").alias("t_b")), (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti")
+        left = left.join(of("a", "ca"), F.col("a") == F.col("a_"), "left").join(of("b", "cb"), F.col("b") == F.col("b_"), "left")
+        left = stored(left.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "met")
+
+    # a component's name is the smallest doc_id of its digests
+    placed = nodes.select("fp", "node", "doc").join(component.select(F.col("node").alias("c"), "component"), F.col("node") == F.col("c"), "left").select(
+        "fp", "doc", F.coalesce("component", "node").alias("component"))
+    names = placed.groupBy("component").agg(F.min("doc").alias("name")).select(F.col("component").alias("c"), "name")
+    of = placed.join(names, F.col("component") == F.col("c")).select(F.col("fp").alias("of"), "name")
+    found = member.join(of, F.col("fp") == F.col("of")).groupBy("doc_id").agg(F.min("name").alias("name")).select(F.col("doc_id").alias("m_id"), "name")
+    out = sketch.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("m_id"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"),
+                      F.coalesce(F.col("name") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = 80, width: int = 5, values: int = VALUES, id_col: str = "doc_id",

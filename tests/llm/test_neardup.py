@@ -93,25 +93,80 @@ def test_chunks_of_fewer_words_than_a_shingle(spark, width):
     assert got == brute(rows, 80, width)
 
 
-def test_leaders_first_then_all_comparisons(spark, monkeypatch):
-    """Groups that one leader does not settle end in the same components, however the rest is compared."""
-    for checks in (0.0, 1e9):
-        monkeypatch.setattr(N, "CHECKS_PER_NODE", checks)
-        check(spark, make_rows(3, bases=4, copies=25, length=40), 85, 3)
+@pytest.mark.parametrize("leaders,thin,block", [(1, 0, 3), (1, 2, 7)])
+def test_rounds_and_blocks_change_no_component(spark, monkeypatch, leaders, thin, block):
+    """Groups that a leader does not settle end in the same components, however the rest is compared."""
+    monkeypatch.setattr(N, "LEADER_ROUNDS", leaders)
+    monkeypatch.setattr(N, "THIN_ROUNDS", thin)
+    monkeypatch.setattr(N, "BLOCK", block)
+    check(spark, make_rows(3, bases=4, copies=25, length=40), 85, 3)
+
+
+def test_repeated_ids_lose_no_link(spark):
+    """Every text of an id links it, whichever of them comes first and whatever their sizes."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    near = lambda t: t + " more"
+    rows = []
+    for k, (one, two, other) in enumerate([(a, b, 1), (b, a, 1), (a, b, 9), (b, a, 9)]):  # four families of ids, told apart by their words
+        own = lambda t: " ".join(f"{w}_{k}" for w in t.split())  # noqa: B023, E731
+        rows += [(100 * k + 5, own(one)), (100 * k + 5, own(two)), (100 * k + other, own(near(b))), (100 * k + other + 1, own(near(a)))]
+    rows += [(905, a), (905, b), (909, near(b)), (909, "c " * 30), (903, "c " * 31)]
+    check(spark, rows, 85, 3)
+
+
+def test_look_alikes_that_do_not_link(spark, monkeypatch):
+    """Texts of one template, about 0.7 alike: a fixed number of rounds, hardly a set is read, each pair once, and the few that link are found."""
+    rnd = random.Random(9)
+    template, rows = [f"t{i}" for i in range(300)], []
+    for k in range(700):
+        w = list(template)
+        for at in rnd.sample(range(300), 9):
+            w[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, rows[k][1] + " end") for k in range(0, 700, 100)]
+    kept, rounds, compared = N.stored, [], []
+
+    def stored(df, name):
+        out = kept(df, name)
+        rounds.append(name)
+        if name in ("met", "led"):
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "stored", stored)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(docs, 85, 3).collect()}
+    assert {d: c for d, c in got.items() if d != c} == {1000 + k: k for k in range(0, 700, 100)}
+    assert rounds.count("open") == N.LEADER_ROUNDS + 1 and rounds.count("components") <= 2 + N.LEADER_ROUNDS + N.THIN_ROUNDS
+    assert compared[N.LEADER_ROUNDS] <= len(rows)  # of 250,000 pairs
 
 
 def test_pigeonhole():
-    """Any two signatures within the distance share a key, wherever they differ."""
+    """Any two signatures within the distance share a key, wherever they differ, and agree in a first chunk."""
     rng = np.random.default_rng(1)
     for values in (24, N.VALUES):
-        m = N.chunk_count(values, 85)
+        m = max(N.chunk_count(values, 85), -(-values // N.LANES))
+        edges = N.chunk_edges(values, m)
+        assert sum(c for _, c in edges) == values and max(c for _, c in edges) <= N.LANES
         for _ in range(200):
-            a = rng.integers(0, 2**16, values).astype(np.uint16)
+            a = rng.integers(0, 2**N.LANE, values)
             b = a.copy()
             at = rng.permutation(values)[:2 * m - 1]
-            b[at] ^= rng.integers(1, 2**16, len(at)).astype(np.uint16)
-            one, two = N.chunk_keys(np.stack([a, b]), m)
-            assert set(one.tolist()) & set(two.tolist())
+            b[at] ^= rng.integers(1, 2**N.LANE, len(at))
+            assert min(int((a[f:f + c] != b[f:f + c]).sum()) for f, c in edges) <= 1
+
+
+def test_packed_errors(spark):
+    """Differing values counted in packed chunks, against a plain count."""
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(300):
+        a = [rng.randrange(2**N.LANE) for _ in range(N.LANES)]
+        b = [x if rng.random() < 0.6 else rng.randrange(2**N.LANE) for x in a]
+        pack = lambda v: sum(x << (N.LANE * k) for k, x in enumerate(v))
+        pairs.append((pack(a), pack(b), sum(x != y for x, y in zip(a, b))))
+    df = spark.createDataFrame(pairs, "p_c0 bigint, q_c0 bigint, want int")
+    assert df.where(N._errors(0, "p_", "q_") != N.F.col("want")).count() == 0
 
 
 def test_bit_maps_never_differ_more_than_the_sets():
@@ -126,13 +181,15 @@ def test_bit_maps_never_differ_more_than_the_sets():
 def test_signature_recall():
     """Far fewer pairs at the threshold are missed than the bound allows to see."""
     rng = np.random.default_rng(2)
-    m = N.chunk_count(N.VALUES, 85)
+    m = max(N.chunk_count(N.VALUES, 85), -(-N.VALUES // N.LANES))
+    lanes = np.arange(N.LANES) * N.LANE
     missed = 0
     for _ in range(300):
         common = rng.integers(0, 2**63, 340).astype(np.uint64)
         a, b = (np.unique(np.concatenate([common, rng.integers(0, 2**63, 30).astype(np.uint64)])) for _ in range(2))
-        one, two = N.chunk_keys(N.signatures([a, b], N.VALUES), m)
-        missed += not set(one.tolist()) & set(two.tolist())
+        one, two = N.signatures([a, b], N.VALUES, m)
+        errors = ((((one ^ two)[:, None] >> lanes) & (2**N.LANE - 1)) != 0).sum(axis=1)
+        missed += errors.min() > 1
     assert missed == 0
 
 
