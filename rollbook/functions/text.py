@@ -155,16 +155,6 @@ def word_overlap(target, query: str) -> Column:
     return hits.cast("double") / F.lit(float(len(words)))
 
 
-def all_words_in(target, query: str) -> Column:
-    """SF8, all-words form: every query word occurs in the target."""
-    words = query_words(query)
-    t = as_col(target)
-    cond = F.lit(True)
-    for w in words:
-        cond = cond & t.contains(w)
-    return cond
-
-
 # ---------------------------------------------------------------- SF12 / SF14
 def percent_text(c, digits: int = 0) -> Column:
     """``NN%`` display of a 0-1 score (SK2)."""

@@ -28,14 +28,6 @@ def _tag(kind: str, arr: Column) -> Column:
     return F.transform(F.array_distinct(arr), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("item")))
 
 
-def line_rule_kind(line) -> Column:
-    """SF6: the first whole-line rule that fits (pure id, name, class, date), else NULL."""
-    return (F.when(X.is_pure_id(line), F.lit(KIND_ID))
-            .when(X.is_name_line(line), F.lit(KIND_NAME))
-            .when(X.is_class_line(line), F.lit(KIND_CLASS))
-            .when(X.is_date_line(line), F.lit(KIND_DATE)))
-
-
 def mixed_items(line) -> Column:
     """SF9: every id, capitalised name run, class and date found inside the line."""
     return F.concat(_tag(KIND_ID, X.find_ids(line)), _tag(KIND_NAME, X.find_names(line)),

@@ -9,12 +9,14 @@ fan-out.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions.text import as_col, input_kind, parse_date, utrim, word_overlap
+from rollbook.session import cut_lineage
 
 # Reason texts attached to scored-search matches (SR1).
 REASON_ID_EXACT = "MSSV khớp chính xác: "
@@ -187,6 +189,89 @@ def multi_line_search(df: DataFrame, lines: Sequence[str], columns: Sequence[str
                         "match_field", "line_order")
 
 
+#: Lengths of the grams that lines and cells are indexed by; a line uses the longest that fits into one of its words.
+GRAM_LENGTHS = (6, 3, 2, 1)
+
+
+def _words_of(text: Column) -> Column:
+    """The white-space separated words of a trimmed text, as ``multi_line_search`` splits lines."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def _grams_of(words: Column, q: Column | int) -> Column:
+    """Distinct grams of q characters inside words."""
+    q = q if isinstance(q, Column) else F.lit(q)
+    each = F.transform(words, lambda w: F.when(F.length(w) >= q, F.transform(
+        F.sequence(F.lit(1), F.length(w) - q + 1), lambda i: F.substring(w, i, q))).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.flatten(each))
+
+
+def _containing(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(s, l): texts of ``small`` with those of ``large`` that hold all their words; both have a column ``v`` of distinct texts.
+
+    An inverted index: a text that holds every word of another holds any gram of it, so each small text is looked up under one gram only, the one
+    that the fewest large texts have. Work follows the rarest grams, not the product of the sides.
+    """
+    longest = F.array_max(F.transform(_words_of(F.col("v")), F.length))
+    q = functools.reduce(lambda out, n: F.when(F.col("longest") >= n, n).otherwise(out), reversed(GRAM_LENGTHS), F.lit(1))
+    small = small.withColumn("longest", longest).where("longest > 0").withColumn("q", q).select("v", "q")
+    small = cut_lineage(small, "lines")
+    used = [r["q"] for r in small.select("q").distinct().collect()]  # of GRAM_LENGTHS
+    found = []
+    for n in used:
+        index = cut_lineage(large.select(F.col("v").alias("l"), F.explode(_grams_of(_words_of(F.col("v")), n)).alias("gram")), "grams")
+        often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        mine = small.where(F.col("q") == n).select(F.col("v").alias("s"), F.explode(_grams_of(_words_of(F.col("v")), n)).alias("gram"))
+        # a gram that no large text has rules the small one out
+        rarest = (mine.join(often, "gram", "left").groupBy("s")
+                  .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("s", "r.gram"))
+        found.append(rarest.join(index, "gram").where(F.forall(_words_of(F.col("s")), lambda w: F.col("l").contains(w))).select("s", "l"))
+    if not found:
+        return small.select(F.col("v").alias("s"), F.col("v").alias("l")).limit(0)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def search_lines(df: DataFrame, lines: DataFrame, columns: Sequence[str], id_cols: Sequence[str], name_cols: Sequence[str], key: Column,
+                 order: Sequence[str], keep_at_least: float = 0.5) -> DataFrame:
+    """SR9 with the query lines as a table ``(line_order, line)``: the results of ``multi_line_search``, for any number of lines.
+
+    Distinct cells meet distinct lines by an index of rare grams (``_containing``, both ways for names), each cell keeps its first line at its
+    best score, and rows look their cells up by equality. A blank name is part of any line, so it takes the first.
+    Lines that are NULL or blank ask nothing.
+    """
+    from rollbook.operators.ranking import first_by_key
+
+    text = utrim("line")
+    asked = cut_lineage(lines.where(text != "").groupBy(text.alias("line")).agg(F.min("line_order").alias("line_order"))
+                        .withColumn("low", F.lower("line")).withColumn("is_id", F.col("line").rlike("^[0-9]{6,10}$")), "lines")
+    names = [F.lower(utrim(as_col(c).cast("string"))) for c in columns]
+    rows = df.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in df.columns])).select(
+        "_row", key.alias("_key"), F.posexplode(F.array(*names)).alias("_at", "_v")).where(F.col("_key").isNotNull() & F.col("_v").isNotNull())
+    cells = cut_lineage(rows.select(F.col("_at").alias("at"), F.col("_v").alias("v")).distinct(), "cells")
+    is_name = F.col("at").isin([i for i, c in enumerate(columns) if c in name_cols])
+    is_id_col = F.col("at").isin([i for i, c in enumerate(columns) if c in id_cols])
+    low = asked.select(F.col("low").alias("v")).distinct()
+    pairs = _containing(low, cells.select("v").distinct()).select(F.col("s").alias("low_"), F.col("l").alias("v_"))
+    within = _containing(cells.where(is_name).select("v").distinct(), low).select(F.col("l").alias("low_"), F.col("s").alias("v_"))
+    pairs = pairs.unionByName(within).distinct()
+    first = asked.orderBy("line_order").limit(1).select("low").collect()  # what a blank name takes
+    if first:
+        blank = cells.where(is_name & (F.col("v") == "")).select(F.lit(first[0]["low"]).alias("low_"), F.col("v").alias("v_"))
+        pairs = pairs.unionByName(blank.distinct())
+    met = cells.join(pairs, F.col("v") == F.col("v_")).drop("v_").join(asked, F.col("low") == F.col("low_")).drop("low_")
+    v, line = F.col("v"), F.col("low")
+    named = F.when(v == line, 0.95).when(v.contains(line) | line.contains(v), 0.8).when(F.forall(_words_of(line), lambda w: v.contains(w)), 0.7)
+    plain = F.when(v == line, 0.6).when(v.contains(line), 0.5)
+    score = F.when(is_id_col & F.col("is_id"), F.when(v == line, 1.0).when(v.contains(line), 0.9)).when(is_name, named).otherwise(plain)
+    best = (met.withColumn("score", score).where(F.col("score") >= keep_at_least)
+            .groupBy(F.col("at").alias("_at2"), F.col("v").alias("_v2")).agg(F.min(F.struct("line_order", (-F.col("score")).alias("neg_score"), "line")).alias("_m")))
+    hits = rows.join(best, (F.col("_at") == F.col("_at2")) & (F.col("_v") == F.col("_v2"))).select(
+        "_row.*", "_key", F.col("_m.line_order").alias("line_order"), F.col("_m.neg_score").alias("_neg_score"), "_at", F.col("_m.line").alias("input_value"))
+    one = first_by_key(hits, ["_key"], [("line_order", True), ("_neg_score", True)] + [(c, True) for c in order] + [("_at", True)])
+    field = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("_at") + 1)
+    return one.select(*df.columns, "input_value", (-F.col("_neg_score")).alias("match_score"), field.alias("match_field"), "line_order")
+
+
 # ---------------------------------------------------------------- SR3 - SR8
 KINDS = ("mssv", "name", "class", "date")
 
@@ -282,7 +367,8 @@ def lookup_all_hits(inputs: DataFrame, target: DataFrame, kind: str, cols: Seque
     # computed column is pushed below the projection and would classify every row twice
     ins = classify_inputs(distinct_inputs(inputs, value, order), value, order) \
         .select(order, value, "n_inputs", "kind", "key")
-    u = unpivot_roles(target, {kind: cols}, row_ord, payload)
+    # only what the inputs ask for is reduced and shuffled, not the whole target
+    u = unpivot_roles(target, {kind: cols}, row_ord, payload).join(ins.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
     if first_per_column:
         u = (u.groupBy("kind", "key", "col_ord")
              .agg(F.min(F.struct("row_ord", "field", *payload)).alias("_hit"))

@@ -141,3 +141,38 @@ def sr9_multi_line_search(spark, sf):
                                order=["c_custkey"])
     return rounded(out.select("c_custkey", "c_name", "input_value", "match_score", "match_field",
                               F.col("line_order").cast("int").alias("line_order")))
+
+
+#: One line per order, its shape by the priority: a whole name, an id's last six digits, words of a name, upper case, or nothing there.
+_SR9_LINE = """CASE o_orderpriority WHEN '1-URGENT' THEN concat('Customer#', {padded9}) WHEN '2-HIGH' THEN right({padded9}, 6)
+  WHEN '3-MEDIUM' THEN concat(right({padded9}, 5), ' ', 'customer') WHEN '4-NOT SPECIFIED' THEN concat(' CUSTOMER#', {padded9}) ELSE concat('no such ', {padded9}) END"""
+
+
+def _sr9_table_sql():
+    low, v = "low", "v"
+    is_id = "regexp_full_match(line, '[0-9]{6,10}')"
+    words = "list_bool_and(list_transform(list_filter(string_split_regex(low, '\\s+'), lambda w: w <> ''), lambda w: contains(v, w)))"
+    name = f"CASE WHEN {v} = {low} THEN 0.95 WHEN contains({v}, {low}) OR contains({low}, {v}) THEN 0.8 WHEN {words} THEN 0.7 ELSE 0.0 END"
+    plain = f"CASE WHEN {v} = {low} THEN 0.6 WHEN contains({v}, {low}) THEN 0.5 ELSE 0.0 END"
+    ident = f"CASE WHEN {v} = {low} THEN 1.0 WHEN contains({v}, {low}) THEN 0.9 ELSE 0.0 END"
+    cells = " UNION ALL ".join(f"SELECT c_custkey, {i} AS pos, '{c}' AS field, lower({_trim_sql(c)}) AS v FROM customer" for i, c in enumerate(CUSTOMER_COLS))
+    return f"""WITH asked AS (SELECT trim(line) AS line, lower(trim(line)) AS low, min(o_orderkey) AS line_order FROM (
+  SELECT o_orderkey, {_SR9_LINE.format(padded9="lpad(CAST(o_custkey AS VARCHAR), 9, '0')")} AS line FROM orders) GROUP BY ALL),
+cells AS ({cells}),
+cell AS (SELECT DISTINCT pos, field, v FROM cells),
+scored AS (SELECT pos, field, v, line, line_order, CASE WHEN field = 'c_custkey' AND {is_id} THEN {ident} WHEN field = 'c_name' THEN {name} ELSE {plain} END AS s
+           FROM cell, asked),
+r AS (SELECT c_custkey, line, line_order, s, field, row_number() OVER (PARTITION BY c_custkey ORDER BY line_order, s DESC, pos) AS rn
+      FROM cells JOIN scored USING (pos, field, v) WHERE s >= 0.5)
+SELECT r.c_custkey, c_name, line AS input_value, round(CAST(s AS DOUBLE), 6) AS match_score, field AS match_field, line_order
+FROM r JOIN customer USING (c_custkey) WHERE rn = 1"""
+
+
+@register("sr9_search_lines", "SR9 SO6", _sr9_table_sql())
+def sr9_search_lines(spark, sf):
+    """Every order asks a line; customers are searched by all of them."""
+    o = read_table(spark, sf, "orders")
+    lines = o.select(F.col("o_orderkey").alias("line_order"), F.expr(_SR9_LINE.format(padded9="lpad(CAST(o_custkey AS STRING), greatest(9, length(CAST(o_custkey AS STRING))), '0')")).alias("line"))
+    c = read_table(spark, sf, "customer")
+    out = SR.search_lines(c, lines, CUSTOMER_COLS, ["c_custkey"], ["c_name"], key=F.concat(F.lit("mssv_"), F.col("c_custkey").cast("string")), order=["c_custkey"])
+    return rounded(out.select("c_custkey", "c_name", "input_value", "match_score", "match_field", "line_order"))

@@ -47,3 +47,26 @@ def test_simple_search_best_field(spark):
     out = SR.simple_search(students(spark), "14dhth01", ["mssv", "ho_ten", "lop"], ["mssv"], ["ho_ten"],
                            ["ord"]).collect()
     assert {(r.ord, r.match_score, r.match_field) for r in out} == {(1, 0.6, "lop"), (2, 0.6, "lop"), (3, 0.6, "lop")}
+
+
+def test_lines_as_a_table_equal_lines_as_parameters(spark):
+    """Same rows, scores, fields and lines as the walk over all lines, whatever the texts: short words, blank names, repeats, ids."""
+    import random
+
+    from rollbook.operators import search as SR
+
+    rnd = random.Random(4)
+    words = ["an", "binh", "nguyen", "phuong mai", "a", "14dhth01", "cntt", "le", "x", "2001200001", "200120", "tran thi"]
+    phrase = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 3)))
+    rows = [(k // 2, rnd.choice(["2001200001", f"20012{k:05d}", None]), rnd.choice([phrase(), phrase().upper(), "", None, " "]), rnd.choice(["14DHTH01", "CNTT", phrase()])) for k in range(80)]
+    df = spark.createDataFrame(rows, "k long, mssv string, ten string, lop string")
+    lines = [rnd.choice([phrase(), phrase(), "2001200001", "20012000", "  ", "nguyen", "An  Binh", "mai phuong", "zz"]) for _ in range(40)]
+    key = F.concat(F.lit("k"), F.col("k").cast("string"))
+    walk = SR.multi_line_search(df, lines, ["mssv", "ten", "lop"], ["mssv"], ["ten"], key, ["k", "mssv"])
+    kept = [(n, ln) for n, ln in enumerate([x for x in lines if x.strip()])]
+    table = spark.createDataFrame(kept + [(99, None), (98, " ")], "line_order int, line string")
+    joined = SR.search_lines(df, table, ["mssv", "ten", "lop"], ["mssv"], ["ten"], key, ["k", "mssv"])
+    cols = ["k", "mssv", "ten", "lop", "input_value", "match_score", "match_field", "line_order"]
+    see = lambda d: sorted(str(tuple(r[c] for c in cols)) for r in d.collect())
+    assert see(joined) == see(walk) and joined.count() > 10
+    assert SR.search_lines(df, table.limit(0), ["ten"], [], ["ten"], key, ["k"]).count() == 0
