@@ -1,9 +1,8 @@
 """Descriptive statistics, grouped bands and rule reports (AG1-AG20, RU1, RU2, VW4).
 
 Each function is one aggregation plan: partial aggregation on the map side, a single
-final merge, no collect. Exact quantiles and mode hold a value->count map per group,
-which is small for scores (few distinct values); ``approx=True`` swaps in the
-fixed-memory sketch for high-cardinality columns.
+final merge, no collect. Exact quantiles and mode count the values by a shuffle and range-partition the counts; ``approx=True`` uses
+sketches of fixed size instead, and no shuffle of values.
 """
 
 from __future__ import annotations
@@ -96,24 +95,33 @@ def score_moments(df: DataFrame, score: str) -> DataFrame:
         "pass_rate", "excellent_rate")
 
 
+#: Items that the sketch of frequent values returns, and those it keeps track of.
+MODE_KEPT, MODE_ROOM = 1000, 10000
+
+
 def quantile_row(df: DataFrame, score: str, shares: Sequence[float] = (0.25, 0.5, 0.75), approx: bool = False) -> DataFrame:
     """AG6 and the mode: one row with ``mode`` (the smallest of the most frequent) and ``q`` (an array,
     linear interpolation).
 
     Values are counted first, by a shuffle on the value; the counts are range-partitioned, and a running count
     (inside each partition, behind the sum of the partitions before) says which values hold the wanted
-    ranks. So no task ever holds all distinct values, even if every score is another. ``approx`` replaces
-    the ranks by a bounded sketch.
+    ranks. So no task ever holds all distinct values, even if every score is another. ``approx`` takes both from sketches of fixed size in one pass:
+    quantiles that are values of the column, of a rank that is off by a ten-thousandth at most, and as the mode the most frequent of the values that a sketch of frequent items
+    keeps (exact while there are fewer distinct values than it has room for).
     """
     from rollbook.session import cut_lineage
 
     sc = scores_only(df, score)
+    if approx:
+        # first of equal counts: the sketch gives (item, count) pairs
+        top = F.expr(f"approx_top_k(score, {MODE_KEPT}, {MODE_ROOM})")
+        row = sc.agg(top.alias("_t"), F.percentile_approx("score", list(shares), 10000).alias("q"))
+        best = F.array_min(F.transform("_t", lambda x: F.struct((-x["count"]).alias("n"), x["item"].alias("item"))))
+        return row.select(best["item"].alias("mode"), "q")
     counts = sc.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
     # the partition numbers are fixed once; sampled bounds may differ when an exchange runs again
     fixed = cut_lineage(counts.repartitionByRange("score").withColumn("_pid", F.spark_partition_id()))
     mode = fixed.orderBy(F.desc("n"), F.asc("score")).limit(1).select("score").scalar()
-    if approx:
-        return sc.agg(mode.alias("mode"), F.percentile_approx("score", list(shares), 10000).alias("q"))
     every = Window.orderBy("_pid")  # a row per partition
     sizes = fixed.groupBy("_pid").agg(F.sum("n").alias("_size")).select(
         "_pid", F.coalesce(F.sum("_size").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
@@ -128,10 +136,10 @@ def quantile_row(df: DataFrame, score: str, shares: Sequence[float] = (0.25, 0.5
         F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (rank(q) - F.floor(rank(q))) for i, q in enumerate(shares)]).alias("q"))
 
 
-def describe_scores(df: DataFrame, score: str, approx: bool = False) -> DataFrame:
+def describe_scores(df: DataFrame, score: str, approx: bool = False, quantiles: DataFrame | None = None) -> DataFrame:
     """AG5-AG8: basic stats, quartiles (linear interpolation), IQR, coefficient of variation, skewness, pass and
-    excellent rates, in one row."""
-    ranks = quantile_row(df, score, approx=approx).select(F.struct("mode", "q").alias("r")).scalar()
+    excellent rates, in one row. ``quantiles`` is a :func:`quantile_row` already at hand."""
+    ranks = (quantiles if quantiles is not None else quantile_row(df, score, approx=approx)).select(F.struct("mode", "q").alias("r")).scalar()
     row = score_moments(df, score).withColumn("_r", ranks)
     q = F.col("_r.q")
     return row.select(
@@ -141,16 +149,17 @@ def describe_scores(df: DataFrame, score: str, approx: bool = False) -> DataFram
 
 
 def outliers(df: DataFrame, score: str, k: float = 1.5, flag_share: float = 5.0,
-             approx: bool = False) -> DataFrame:
+             approx: bool = False, quantiles: DataFrame | None = None) -> DataFrame:
     """AG9: scores outside ``[q1 - k*iqr, q3 + k*iqr]``: count, share, flag when share > 5 %.
 
     Two passes: the quartile row, used as a scalar subquery (evaluated once, no join),
     then one conditional count.
     """
     sc = scores_only(df, score)
-    quart = quantile_row(df, score, (0.25, 0.75), approx).select("q").scalar()  # one subquery, evaluated once
-    lo = quart[0] - F.lit(k) * (quart[1] - quart[0])
-    hi = quart[1] + F.lit(k) * (quart[1] - quart[0])
+    row = quantiles if quantiles is not None else quantile_row(df, score, approx=approx)
+    quart = row.select("q").scalar()  # one subquery, evaluated once
+    lo = quart[0] - F.lit(k) * (quart[2] - quart[0])
+    hi = quart[2] + F.lit(k) * (quart[2] - quart[0])
     out = sc.agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when((F.col("score") < lo) | (F.col("score") > hi), 1)).alias("outlier_count"),
@@ -167,11 +176,14 @@ def statistics_document(df: DataFrame, score: str, edges: Sequence[float], bin_l
     and the grade distribution (count and share of every bin)."""
     one = lambda section, row, names: row.select(F.explode(F.array(*[
         F.struct(F.lit(section).alias("section"), F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")).select("x.*")
-    stats = describe_scores(df, score, approx)
+    from rollbook.session import cut_lineage
+
+    quantiles = cut_lineage(quantile_row(df, score, approx=approx), "quantiles")  # one row, for both parts
+    stats = cut_lineage(describe_scores(df, score, approx, quantiles), "stats")
     out = one("basic", stats, ["n", "mean", "median", "mode", "std_dev", "variance", "min", "max", "range"])
     out = out.unionByName(one("quartiles", stats, ["q1", "q2", "q3", "iqr"]))
     out = out.unionByName(one("advanced", stats, ["coefficient_variation", "skewness", "pass_rate", "excellent_rate"]))
-    out = out.unionByName(one("outliers", outliers(df, score, approx=approx), ["outlier_count", "outlier_percentage"]))
+    out = out.unionByName(one("outliers", outliers(df, score, quantiles=quantiles), ["outlier_count", "outlier_percentage"]))
     bins = score_histogram(df, score, edges, bin_labels)
     for n in ("count", "percentage"):
         out = out.unionByName(bins.select(F.lit(f"distribution_{n}").alias("section"), F.col("label").alias("name"), F.col(n).cast("double").alias("value")))

@@ -98,6 +98,17 @@ def upsert(current: DataFrame, incoming: DataFrame, key: str, order: str) -> Dat
     return out.select(*cols)
 
 
+def upsert_buckets(table, incoming: DataFrame, order: str) -> int:
+    """SO4 on a written table (``rollbook.sources.buckets.BucketTable``): only the buckets that the batch's keys fall into are read
+    and written, as the next version, whose number is returned."""
+    touched = table.touched(incoming)
+    current = table.read(touched)
+    merged = upsert(current if current is not None else incoming.limit(0), incoming, table.key, order)
+    version = table.next_version()
+    table.write(merged, version)
+    return version
+
+
 # ---------------------------------------------------------------- SO6
 def dedupe_by_key(df: DataFrame, id_col: str, name_col: str, order: Sequence[str]) -> DataFrame:
     """SO6: one row per ``mssv_<id>`` or else ``name_<name>``; rows with neither are dropped;
@@ -147,3 +158,26 @@ def change_log(df: DataFrame, key: str, ts: str, value: str, tiebreak: Sequence[
     return j.where(~F.col("_first") | F.col("_earlier")).select(
         F.col(key), F.lit("UPDATE").alias("change_type"), old.alias("old_value"),
         F.col(value).alias("new_value"), F.col(ts).alias("change_date"), *tiebreak)
+
+
+def snapshot_changes(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """SO7 between two snapshots of a keyed table: a row for every key inserted, updated or deleted, with the old and new ``value``.
+
+    Rows are compared by a digest of all columns (the same in both, in any order), so a key whose row was rewritten unchanged leaves no row. What
+    travels is key, digest and value; keys are expected to be unique in each snapshot, and of repeated ones the row that sorts first by digest counts.
+    """
+    from rollbook.operators.ranking import first_by_key
+
+    columns = sorted(c for c in before.columns if c != key)
+    if columns != sorted(c for c in after.columns if c != key):
+        raise ValueError("snapshots differ in their columns")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"}), 256)
+        rows = first_by_key(df.select(F.col(f"`{key}`").alias("k"), row.alias("d"), F.col(f"`{value}`").alias("v")), ["k"], [("d", True)])
+        return rows.select(F.col("k").alias(f"k_{name}"), F.col("d").alias(f"d_{name}"), F.col("v").alias(f"v_{name}"))
+
+    both = side(before, "old").join(side(after, "new"), F.col("k_old").eqNullSafe(F.col("k_new")), "full_outer")
+    kind = F.when(F.col("d_old").isNull(), "INSERT").when(F.col("d_new").isNull(), "DELETE").otherwise("UPDATE")
+    return both.where(~F.col("d_old").eqNullSafe(F.col("d_new"))).select(
+        F.coalesce("k_old", "k_new").alias(key), kind.alias("change_type"), F.col("v_old").alias("old_value"), F.col("v_new").alias("new_value"))

@@ -102,17 +102,33 @@ def so3_import_counts(spark, sf):
     return U.import_counts(cls)
 
 
-@register("so4_upsert", "SO4", SQL_IMPORT + """,
+SQL_UPSERT = SQL_IMPORT + """,
 tagged AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority, NULL::VARCHAR AS clerk, ord,
                   0 AS batch FROM cur
            UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority, clerk, ord, 1 FROM batch)
 SELECT o_orderkey, o_custkey, round(o_totalprice, 6) AS o_totalprice, o_orderstatus, o_orderpriority, clerk, ord
 FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY batch DESC, ord DESC NULLS LAST) AS rn FROM tagged)
-WHERE rn = 1""")
+WHERE rn = 1"""
+
+
+@register("so4_upsert", "SO4", SQL_UPSERT)
 def so4_upsert(spark, sf):
     return rounded(U.upsert(current(spark, sf), import_batch(spark, sf).drop("resend"), KEY, "ord"))
 
 
+@register("so4_upsert_buckets", "SO4", SQL_UPSERT)
+def so4_upsert_buckets(spark, sf):
+    """The same upsert on a written table, of which the batch's buckets alone are rewritten."""
+    from rollbook.session import scratch_path
+    from rollbook.sources.buckets import BucketTable
+
+    batch = import_batch(spark, sf).drop("resend")
+    table = BucketTable(spark, scratch_path(spark, "so4"), KEY, buckets=16)
+    table.write(U.upsert(current(spark, sf), batch.limit(0), KEY, "ord"), 0)
+    U.upsert_buckets(table, batch, "ord")
+    return rounded(table.read())
+
+
 def people(spark, sf):
     c = read_table(spark, sf, "customer").select(
         F.col("c_custkey").cast("string").alias("mssv"), F.col("c_name").alias("ho_ten"),
@@ -150,3 +166,22 @@ WHERE rn > 1""")
 def so7_change_log(spark, sf):
     ev = read_table(spark, sf, "events")
     return rounded(U.change_log(ev, "user_id", "ts", "value", ["event_id"]))
+
+
+@register("so7_snapshot_changes", "SO7", """
+WITH b AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING'),
+a AS (SELECT c_custkey, c_name, CASE WHEN c_mktsegment = 'FURNITURE' THEN c_nationkey + 1 ELSE c_nationkey END AS c_nationkey,
+             CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')
+SELECT coalesce(b.c_custkey, a.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NULL THEN 'INSERT' WHEN a.c_custkey IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS change_type,
+       round(b.c_acctbal, 6) AS old_value, round(a.c_acctbal, 6) AS new_value
+FROM b FULL JOIN a ON a.c_custkey = b.c_custkey
+WHERE b.c_custkey IS NULL OR a.c_custkey IS NULL OR a.c_nationkey <> b.c_nationkey OR a.c_acctbal <> b.c_acctbal""")
+def so7_snapshot_changes(spark, sf):
+    """Customers before and after: one segment is new, one gone, two changed, the rest rewritten as it was."""
+    c = read_table(spark, sf, "customer")
+    segment = F.col("c_mktsegment")
+    before = c.where(segment != "BUILDING").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    after = c.where(segment != "HOUSEHOLD").select(
+        "c_custkey", F.when(segment == "FURNITURE", F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")).alias("c_nationkey"), "c_name",
+        F.when(segment == "MACHINERY", F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("c_acctbal"))
+    return rounded(U.snapshot_changes(before, after, "c_custkey", "c_acctbal"))

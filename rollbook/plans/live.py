@@ -59,5 +59,39 @@ SELECT user_id, 'UPDATE' AS change_type, round(old_value, 6) AS old_value, round
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 WHERE rn > 1""")
 def st3_stream_change_log(spark, sf):
-    _, out = ST.change_log_stream(spark, _stream(spark, sf, "events"), "user_id", "ts", "value", ["event_id"])
+    _, out = ST.change_log_stream(spark, _stream(spark, sf, "events"), "user_id", "ts", "value", ["event_id"], buckets=16)
+    return rounded(spark.read.parquet(out).drop("batch"))
+
+
+@register("st1_stream_sketches", "ST1 AG2 AG6", """
+SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, true AS distinct_near, true AS quartiles_near FROM events GROUP BY event_type""")
+def st1_stream_sketches(spark, sf):
+    """Sketches of a stream, and whether their estimates lie within the stated bounds of the exact figures: distinct users within 6 % (over three
+    standard errors), quartiles between the values whose ranks are half a per cent off."""
+    _, out = ST.sketch_stream(spark, _stream(spark, sf, "events"), "event_type", "value", "user_id")
+    got = ST.read_sketches(ST.latest_snapshot(spark, out))
+    shares = [x for s in (0.25, 0.5, 0.75) for x in (s - 0.005, s + 0.005)]
+    exact = read_table(spark, sf, "events").groupBy(F.col("event_type").alias("t")).agg(
+        F.count_distinct("user_id").alias("users"), F.percentile("value", F.array(*map(F.lit, shares))).alias("ends"))
+    near = [(F.col("quantiles")[k] >= F.col("ends")[2 * k] - 1e-9) & (F.col("quantiles")[k] <= F.col("ends")[2 * k + 1] + 1e-9) for k in range(3)]
+    return rounded(got.join(exact, F.col("event_type") == F.col("t")).select(
+        "event_type", "n", "mean", (F.abs(F.col("n_distinct") - F.col("users")) <= 0.06 * F.col("users")).alias("distinct_near"), (near[0] & near[1] & near[2]).alias("quartiles_near")))
+
+
+@register("st3_stream_late_rows", "ST3 SO7", """
+SELECT user_id, 'UPDATE' AS change_type, round(old_value, 6) AS old_value, round(new_value, 6) AS new_value, change_date, event_id FROM (
+  SELECT user_id, lag(value) OVER w AS old_value, value AS new_value, ts AS change_date, event_id, row_number() OVER w AS rn
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+WHERE rn > 1""")
+def st3_stream_late_rows(spark, sf):
+    """All events, dealt over four files by a hash and streamed one file at a time, so that most rows of a batch are late for the batch before."""
+    from datetime import timedelta
+
+    from rollbook.session import scratch_path
+
+    path = scratch_path(spark, "st3-shuffled")
+    events = read_table(spark, sf, "events")
+    events.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(4))).repartition(4, "part").sortWithinPartitions("part").drop("part").write.parquet(path)
+    source = ST.file_stream(spark, path, "*.parquet", events.schema, max_files_per_trigger=1)
+    _, out = ST.change_log_stream(spark, source, "user_id", "ts", "value", ["event_id"], delay=timedelta(days=36500), buckets=16)
     return rounded(spark.read.parquet(out).drop("batch"))

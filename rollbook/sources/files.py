@@ -60,21 +60,87 @@ def read_mixed(spark: SparkSession, groups: Sequence[tuple[str, Sequence[str]]],
     return out.fillna(blank) if blank is not None else out
 
 
+def file_headers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file, header): the first line of every file, NULL for a file without lines. Of each split only those at a file's start count, so no line order
+    is needed beyond a split's own."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"))  # names only: no content is read
+    lines = (spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), "value")
+             .where("_at = 0").withColumn("_n", F.monotonically_increasing_id()))
+    first = lines.groupBy("file").agg(F.min_by("value", "_n").alias("header"))
+    plain = lambda c: F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), "^file:/*", "/")  # noqa: E731 - the two sources spell paths differently
+    return (listed.withColumn("_k", plain(F.col("file"))).join(first.select(plain(F.col("file")).alias("_k"), "header"), "_k", "left")
+            .select("file", F.regexp_replace("header", "^\ufeff|\r$", "").alias("header")))
+
+
+def read_folder(spark: SparkSession, path: str | Sequence[str], blank: str | None = "", max_forms: int = 1000) -> DataFrame:
+    """SC3 + CS1 over a folder of CSV files whose headers differ and are not known: every form of header becomes one scan of its files.
+
+    Columns are named by the role that the header resolves to (CS1: ``mssv``, ``full_name``, ``class``, ``score`` ...), others by their own text; where
+    a file repeats a name the first column of it counts. Files of all forms are unioned by name, cells that a form lacks become ``blank``, and
+    ``_file`` says where a row comes from. Files without lines give no rows. Headers are parsed as CSV; their distinct forms are what reaches the driver,
+    ``max_forms`` at most (more raise a ``ValueError``: such a folder has no headers).
+    """
+    import csv
+
+    from rollbook.sources.schema import header_role
+
+    forms = (file_headers(spark, path).where("header IS NOT NULL").groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+             .orderBy("header").limit(max_forms + 1).collect())
+    if len(forms) > max_forms:
+        raise ValueError(f"more than {max_forms} forms of headers under {path}")
+    out = None
+    for form in forms:
+        names, kept = [], []
+        for i, cell in enumerate(next(csv.reader([form["header"]]), [])):
+            name = header_role(cell) or cell.strip() or f"Column_{i + 1}"
+            names.append(f"c{i}")
+            if name.lower() not in [k.lower() for _, k in kept]:
+                kept.append((f"c{i}", name))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(form["files"])
+        rows = rows.select(F.col("_metadata.file_path").alias("_file"), *[F.col(n).alias(k) for n, k in kept])
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        return spark.createDataFrame([], "_file string")
+    return out.fillna(blank) if blank is not None else out
+
+
+def folder_audit(spark: SparkSession, path: str | Sequence[str], max_bytes: int = MAX_FILE_BYTES, extensions: Sequence[str] = ALLOWED_EXTENSIONS) -> DataFrame:
+    """SC7 with a row for every file there is: name, size, time, status (``ok``, ``empty``, ``extension``, ``size``), lines that are not blank and items
+    extracted from them (SF6). The listing reads no content; of rejected files none is read at all."""
+    from rollbook.operators.extraction import extract_items
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        F.col("path").alias("file"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
+    known = F.lower(F.regexp_extract("file_name", r"\.([^.]+)$", 1)).isin(*extensions)
+    listed = cut_lineage(listed.withColumn("status", F.when(~known, "extension").when(F.col("file_size") > max_bytes, "size").otherwise("ok")), "listing")
+    good = "{" + ",".join(f"*.{e}" for e in extensions) + "}"
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", good).text(path).select(
+        F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_size").alias("_size"), utrim("value").alias("line"))
+    lines = lines.where((F.col("_size") <= max_bytes) & (F.col("line") != ""))
+    key = lambda c: F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), "^file:/*", "/")
+    rows = lines.groupBy(key(F.col("_f")).alias("_k")).agg(F.count(F.lit(1)).alias("lines"))
+    items = extract_items(lines.select("_f", "line")).groupBy(key(F.col("_f")).alias("_k")).agg(F.count(F.lit(1)).alias("items"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    out = listed.withColumn("_k", key(F.col("file"))).join(rows, "_k", "left").join(items, "_k", "left")
+    status = F.when((F.col("status") == "ok") & F.col("lines").isNull(), "empty").otherwise(F.col("status"))
+    return out.select("file_name", "file_size", "modified", status.alias("status"), zero("lines"), zero("items"))
+
+
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """SC4: text files as trimmed, non-blank lines with file name and line number (from 1, blank
     lines counted).
 
-    Files are read in splits. Rows are numbered inside each split and moved on by the rows of the file's
-    earlier splits, which are counted in one aggregate: no file is read into one row or one task. The
-    numbers inside splits are fixed by a reliable checkpoint.
+    Files are read in splits. One pass counts each split's rows (a number a split is all that it keeps, no text), and the second numbers the
+    rows of a split on from the file's earlier splits: no file is read into one row or one task, and no text is written.
+    Both passes read the same splits, as they are planned alike.
     """
-    raw = cut_lineage(spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"),
-        F.monotonically_increasing_id().alias("_id"), utrim("value").alias("line")))
-    splits = raw.groupBy("file", "_at").agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), "value")
+    splits = cut_lineage(raw.groupBy("file", "_at").agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_n")), "splits")
     before = F.sum("_n").over(Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("file", "_at", "_low", F.coalesce(before, F.lit(0)).alias("_before"))
-    return (raw.where(F.col("line") != "").join(splits, ["file", "_at"])
+    lines = raw.select("file", "_at", "_id", utrim("value").alias("line"))
+    return (lines.where(F.col("line") != "").join(splits, ["file", "_at"])
             .select("file", (F.col("_before") + F.col("_id") - F.col("_low") + 1).alias("line_no"), "line"))
 
 

@@ -53,3 +53,13 @@ def test_change_log_matches_lag_with_hot_key(spark):
     assert got == want
     # same-value updates are logged too
     assert any(o == n for _, _, o, n in got)
+
+
+def test_snapshot_changes(spark):
+    schema = "k long, a string, v double, b int"
+    before = spark.createDataFrame([(1, "x", 1.0, None), (2, "y", 2.0, 2), (3, "z", None, 3), (4, None, 4.0, 4), (None, "n", 5.0, 5)], schema)
+    after = spark.createDataFrame([(1, "x", 1.0, None), (2, "y", 2.5, 2), (3, "z", None, 9), (5, "new", 6.0, 1), (None, "n", 5.0, 5)], schema)
+    got = sorted(tuple(r) for r in U.snapshot_changes(before, after.select("b", "v", "k", "a"), "k", "v").collect())
+    assert got == [(2, "UPDATE", 2.0, 2.5), (3, "UPDATE", None, None), (4, "DELETE", 4.0, None), (5, "INSERT", None, 6.0)]
+    hot = spark.createDataFrame([(9, f"r{k}", 1.0, 1) for k in range(500)], schema)  # a repeated key counts once
+    assert U.snapshot_changes(hot, hot.limit(0), "k", "v").count() == 1
