@@ -355,3 +355,58 @@ def sf14_display_text(spark, sf):
     return c.select("c_custkey", TX.percent_text(F.col("c_acctbal") / F.lit(10000.0)).alias("pct"),
                     TX.display_value("c_acctbal").alias("shown"), TX.size_text(F.col("c_custkey") * F.col("c_custkey") * 7).alias("size"),
                     TX.stamp_text(F.timestamp_seconds(F.lit(1704067200) + F.col("c_custkey") * 60).cast("timestamp_ntz")).alias("stamp"))
+
+
+@register("sc3_folder_of_forms", "SC3 CS1 SO2", """
+SELECT CAST(c_custkey AS VARCHAR) AS mssv, c_name AS full_name, c_mktsegment AS class, '' AS score, '' AS note FROM customer WHERE c_mktsegment <> 'BUILDING'
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, '', '', 'a, "b"' FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, '', CAST(s_acctbal AS VARCHAR), '' FROM supplier
+UNION ALL SELECT CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR), '', '' FROM nation
+UNION ALL SELECT '', p_name, '', '', '' FROM part""")
+def sc3_folder_of_forms(spark, sf):
+    """Five forms of headers in one folder, none of them named by the caller."""
+    path = scratch_path(spark, "sc3-folder")
+    write = lambda df, name: df.write.option("header", True).csv(f"{path}/{name}")
+    c = read_table(spark, sf, "customer")
+    write(c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("MSSV"), F.col("c_name").alias("Họ và tên"), F.col("c_mktsegment").alias("Lớp")), "a")
+    write(c.where("c_mktsegment = 'BUILDING'").select(F.lit('a, "b"').alias("note"), F.col("c_name").alias("Full name"), F.col("c_custkey").alias("Student ID")), "b")
+    write(read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("Mã sinh viên"), F.col("s_acctbal").alias("Điểm"), F.col("s_name").alias("Họ tên")), "c")
+    write(read_table(spark, sf, "nation").select(F.col("n_name").alias("Họ tên"), F.col("n_nationkey").alias("mssv"), F.col("n_regionkey").alias("class")), "d")
+    write(read_table(spark, sf, "part").select(F.col("p_name").alias("Full name")), "e")
+    return FS.read_folder(spark, path).select("mssv", "full_name", "class", "score", "note")
+
+
+@register("sc7_folder_audit", "SC7 SC8 SF6", """
+SELECT 'ok' AS status, 'a' AS name, true AS sized, count(*) AS lines, count(*) AS items FROM customer
+UNION ALL SELECT 'ok', 'b', true, count(*), 0 FROM supplier
+UNION ALL SELECT 'empty', 'c', false, 0, 0
+UNION ALL SELECT 'extension', 'd', true, 0, 0
+UNION ALL SELECT 'size', 'e', true, 0, 0""")
+def sc7_folder_audit(spark, sf):
+    """Ids, lines without items, an empty file, one of a kind that is not allowed, one too large: each has a row."""
+    path = scratch_path(spark, "sc7-folder")
+    put = lambda df, name, ext="txt": df.coalesce(1).write.option("extension", ext).option("header", False).csv(f"{path}/{name}") if ext != "txt" else df.coalesce(1).write.text(f"{path}/{name}")
+    ids = read_table(spark, sf, "customer").select((F.col("c_custkey") + 2000000000).cast("string").alias("value"))
+    put(ids, "a")
+    put(read_table(spark, sf, "supplier").select(F.concat(F.lit("-- "), F.col("s_suppkey").cast("string")).alias("value")), "b")
+    put(ids.limit(0), "c")
+    put(ids, "d", "exe")
+    large = ids.select(F.repeat("value", 2).alias("value"))
+    put(large.unionByName(large), "e")
+    limit = 40 * ids.count()  # bytes: lines of ids take 11, those of the last file 42 together
+    audit = FS.folder_audit(spark, path, max_bytes=limit)
+    return audit.select("status", F.when(F.col("status") == "extension", "d").when(F.col("status") == "size", "e").when(F.col("status") == "empty", "c")
+                        .when(F.col("items") > 0, "a").otherwise("b").alias("name"), (F.col("file_size") > 0).alias("sized"), "lines", "items")
+
+
+@register("pf8_ingest_ordinals", "PF8 SC1", """
+SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_ord, c_custkey, c_name || chr(10) || 'second line' AS note FROM customer""")
+def pf8_ingest_ordinals(spark, sf):
+    """Rows of several CSV files, with line breaks inside quotes, numbered in order of file and place, written for look-ups and read back."""
+    path, table = scratch_path(spark, "pf8-csv"), scratch_path(spark, "pf8-table")
+    c = read_table(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit("\nsecond line")).alias("note"))
+    c.repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey").write.option("header", True).option("quoteAll", True).csv(path)
+    schema = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("note", T.StringType())])
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).csv(path)
+    FS.write_ordinals(FS.with_ordinals(rows), table)
+    return spark.read.parquet(table).select("row_ord", "c_custkey", "note")

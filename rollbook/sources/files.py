@@ -63,7 +63,7 @@ def read_mixed(spark: SparkSession, groups: Sequence[tuple[str, Sequence[str]]],
 def file_headers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(file, header): the first line of every file, NULL for a file without lines. Of each split only those at a file's start count, so no line order
     is needed beyond a split's own."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"))  # names only: no content is read
+    listed = list_files(spark, path).select("file")
     lines = (spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), "value")
              .where("_at = 0").withColumn("_n", F.monotonically_increasing_id()))
     first = lines.groupBy("file").agg(F.min_by("value", "_n").alias("header"))
@@ -105,15 +105,31 @@ def read_folder(spark: SparkSession, path: str | Sequence[str], blank: str | Non
     return out.fillna(blank) if blank is not None else out
 
 
+def list_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file, file_name, file_size, modified) of all files under a folder, also empty ones, which Spark's own scans leave out.
+    Metadata only; names that begin with ``_`` or ``.`` are the writers' own."""
+    from datetime import datetime, timezone
+
+    found = []
+    for p in [path] if isinstance(path, str) else path:
+        root = spark._jvm.org.apache.hadoop.fs.Path(p)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+        while files.hasNext():
+            f = files.next()
+            name = f.getPath().getName()
+            if name[:1] not in "_.":
+                found.append((f.getPath().toString(), name, f.getLen(), datetime.fromtimestamp(f.getModificationTime() / 1000, timezone.utc)))
+    return spark.createDataFrame(found, "file string, file_name string, file_size long, modified timestamp")
+
+
 def folder_audit(spark: SparkSession, path: str | Sequence[str], max_bytes: int = MAX_FILE_BYTES, extensions: Sequence[str] = ALLOWED_EXTENSIONS) -> DataFrame:
     """SC7 with a row for every file there is: name, size, time, status (``ok``, ``empty``, ``extension``, ``size``), lines that are not blank and items
     extracted from them (SF6). The listing reads no content; of rejected files none is read at all."""
     from rollbook.operators.extraction import extract_items
 
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
-        F.col("path").alias("file"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
+    listed = list_files(spark, path)
     known = F.lower(F.regexp_extract("file_name", r"\.([^.]+)$", 1)).isin(*extensions)
-    listed = cut_lineage(listed.withColumn("status", F.when(~known, "extension").when(F.col("file_size") > max_bytes, "size").otherwise("ok")), "listing")
+    listed = (listed.withColumn("status", F.when(~known, "extension").when(F.col("file_size") > max_bytes, "size").otherwise("ok")))
     good = "{" + ",".join(f"*.{e}" for e in extensions) + "}"
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", good).text(path).select(
         F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_size").alias("_size"), utrim("value").alias("line"))
@@ -127,6 +143,34 @@ def folder_audit(spark: SparkSession, path: str | Sequence[str], max_bytes: int
     return out.select("file_name", "file_size", "modified", status.alias("status"), zero("lines"), zero("items"))
 
 
+#: Rows of one folder of a table written with ordinals.
+ORDINAL_BLOCK = 100_000
+
+
+def with_ordinals(df: DataFrame) -> DataFrame:
+    """PF8: the rows of a file scan with ``row_ord``, their place in the files in order of path (from 0).
+
+    One pass counts the rows of each split, the second numbers on from those counts; no data is copied and no file is read into one task. Records with
+    quoted line breaks need a scan with ``multiLine``, which takes every file as one split.
+    """
+    raw = df.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    splits = cut_lineage(raw.groupBy("_f", "_at").agg(F.min("_id").alias("_low"), F.count(F.lit(1)).alias("_n")), "splits")
+    earlier = F.sum("_n").over(Window.orderBy("_f", "_at").rowsBetween(Window.unboundedPreceding, -1))  # a row per split
+    splits = splits.select("_f", "_at", "_low", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    return raw.join(splits, ["_f", "_at"]).withColumn("row_ord", F.col("_before") + F.col("_id") - F.col("_low")).select(*df.columns, "row_ord")
+
+
+def write_ordinals(df: DataFrame, path: str, block: int = ORDINAL_BLOCK) -> None:
+    """Write rows with ``row_ord`` so that a look-up reads one folder: ``ord_block=<row_ord / block>``, sorted inside."""
+    blocks = df.withColumn("ord_block", F.floor(F.col("row_ord") / F.lit(block)))
+    blocks.repartition("ord_block").sortWithinPartitions("ord_block", "row_ord").write.partitionBy("ord_block").parquet(path)
+
+
+def row_at(spark: SparkSession, path: str, ordinal: int, block: int = ORDINAL_BLOCK) -> DataFrame:
+    """PF8: the row with this ordinal (no row beyond the last); other folders are pruned before the scan."""
+    return spark.read.parquet(path).where((F.col("ord_block") == ordinal // block) & (F.col("row_ord") == ordinal)).drop("ord_block")
+
+
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """SC4: text files as trimmed, non-blank lines with file name and line number (from 1, blank
     lines counted).

@@ -115,3 +115,65 @@ def test_write_tables_partitions_by_cohort(spark):
 def test_json_records_keep_nulls(spark):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     assert SK.json_records(df).first().json == '{"a":1,"b":null}'
+
+
+def _put(folder, name, body):
+    import os
+
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w", encoding="utf-8", newline="") as f:
+        f.write(body)
+
+
+def test_folder_of_headers_nobody_named(spark, tmp_path):
+    from rollbook.sources import files as FS
+
+    d = str(tmp_path / "in put")
+    _put(d, "a.csv", "\ufeffMSSV,Họ tên\n2001200001,An\n")
+    _put(d, "b.csv", "Lớp,mssv,mssv\r\nCNTT1,2001200002,9\r\n")
+    _put(d, "c.csv", "MSSV,Họ tên\n")
+    _put(d, "d 1.csv", "\"note, long\",Họ tên\nx,Binh\n")
+    _put(d, "e.csv", "")
+    got = sorted((r["mssv"], r["full_name"], r["class"], r["note"]) for r in FS.read_folder(spark, d).collect())
+    assert got == [("", "Binh", "", "x"), ("2001200001", "An", "", ""), ("2001200002", "", "CNTT1", "")]
+    _put(str(tmp_path / "none"), "x.csv", "")
+    assert FS.read_folder(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_audit_has_a_row_for_every_file(spark, tmp_path):
+    from rollbook.sources import files as FS
+
+    d = str(tmp_path)
+    _put(d, "good one.txt", "2001200001\n\nTran Thi Binh\n")
+    _put(d, "blank.csv", " \n\n")
+    _put(d, "empty.txt", "")
+    _put(d, "bad.exe", "2001200001\n")
+    _put(d, "large.txt", "2001200001\n" * 50)
+    got = {r["file_name"]: (r["status"], r["lines"], r["items"]) for r in FS.folder_audit(spark, d, max_bytes=400).collect()}
+    assert got == {"good one.txt": ("ok", 2, 2), "blank.csv": ("empty", 0, 0), "empty.txt": ("empty", 0, 0), "bad.exe": ("extension", 0, 0), "large.txt": ("size", 0, 0)}
+
+
+def test_ordinals_across_splits_and_pruned_lookup(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from rollbook.sources import files as FS
+
+    d = str(tmp_path / "in")
+    for k in range(3):
+        _put(d, f"{k}.csv", "id,name\n" + "".join(f"{k * 1000 + i},name {i}\n" for i in range(1000)))
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("name", T.StringType())])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = spark.read.schema(schema).option("header", True).csv(d)
+        assert rows.rdd.getNumPartitions() > 5
+        out = FS.with_ordinals(rows)
+        assert all(r["id"] == r["row_ord"] for r in out.collect())
+        FS.write_ordinals(out, str(tmp_path / "t"), block=500)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    hit = FS.row_at(spark, str(tmp_path / "t"), 1234, block=500)
+    assert [tuple(r) for r in hit.collect()] == [(1234, "name 234", 1234)]
+    plan = hit._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ord_block" in plan and FS.row_at(spark, str(tmp_path / "t"), 9999, block=500).count() == 0
