@@ -21,12 +21,12 @@ from rollbook.llm.neardup import drop_near_duplicates
 from rollbook.llm.secrets import redact_secrets
 from rollbook.session import read_table
 
-#: A text whose best language has less than this share of the probability is rejected.
-MIN_LANGUAGE_SCORE = 0.3
+#: A text whose best language has less than this share of the probability, over the learned languages and planted noise, is rejected.
+MIN_LANGUAGE_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; learned from their own labelled rows."""
+    """Documents whose language is identified; learned from their own labelled rows and planted noise. A NULL lang becomes the predicted one."""
     return keep_identified(docs, MIN_LANGUAGE_SCORE)
 
 

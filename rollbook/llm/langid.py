@@ -10,17 +10,22 @@ The network is fitted on a bounded sample: about ``PER_LANGUAGE`` rows of each l
 a hash of the row, of each a piece of ``PIECE`` characters at a hashed place. Prediction reads
 the text alone.
 
+To reject texts of no learned language, ``keep_identified`` trains a network with one class more, ``OTHER``. Its bounded material is planted
+(``noise``): sample pieces with their letters or syllables dealt anew, made-up syllable languages, other scripts, hexadecimal and base64 runs, and program text.
+
 Defined results: NULL, empty and letterless texts are ``und`` with score 0; so is every text if there was
 nothing to learn from. Rows that repeat are predicted alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +33,7 @@ from rollbook.llm.bpe import LETTER, byte_classes
 from rollbook.llm.common import keyed_text, ship
 from rollbook.llm.flat import lower_ascii, ranges, text_bytes
 
-UNKNOWN = "und"
+UNKNOWN, OTHER = "und", "?"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 16, 8
@@ -158,9 +163,52 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+#: Letters of scripts for planted texts, as (first code point, how many).
+SCRIPTS = ((0x430, 32), (0x3B1, 25), (0x3042, 80), (0x4E00, 3000), (0x627, 36), (0x5D0, 27), (0xAC00, 2000), (0x905, 50), (0xE01, 46))
+
+
+def noise(texts: list[str], count: int, seed: int = 11) -> list[str]:
+    """Planted texts that are in no language of the sample."""
+    rng, out = random.Random(seed), []
+    consonants, vowels = "bcdfghjklmnpqrstvwxz", "aeiouy"
+
+    def shuffled(piece: str) -> str:
+        letters = [c for c in piece if not c.isspace()]
+        rng.shuffle(letters)
+        left = iter(letters)
+        return "".join(c if c.isspace() else next(left) for c in piece)
+
+    def backwards(piece: str) -> str:
+        return " ".join(w[::-1] for w in piece.split(" "))
+
+    def syllables(_: str) -> str:
+        own = [rng.choice(consonants) + rng.choice(["", "", "r", "l", "h"]) + rng.choice(vowels) + rng.choice(["", "", "n", "s", "l", "r"]) for _ in range(rng.randint(8, 60))]
+        return " ".join("".join(rng.choice(own) for _ in range(rng.randint(1, 4))) for _ in range(90))
+
+    def script(_: str) -> str:
+        first, many = rng.choice(SCRIPTS)
+        own = [chr(first + rng.randrange(many)) for _ in range(rng.randint(20, 300))]
+        return " ".join("".join(rng.choice(own) for _ in range(rng.randint(1, 8))) for _ in range(60))
+
+    def digits(_: str) -> str:
+        letters = rng.choice(["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "01", "0123456789"])
+        width = rng.choice([8, 32, 40, 64, 300])
+        return rng.choice([" ", "\n", ""]).join("".join(rng.choice(letters) for _ in range(width)) for _ in range(max(1, 500 // width)))
+
+    def program(_: str) -> str:
+        names = ["".join(rng.choice(consonants + vowels) for _ in range(rng.randint(1, 9))) for _ in range(20)]
+        name = lambda: rng.choice([*names, "function", "return", "var", "if", "for", "int", "def", "self", "null", "const", "class", "import"])
+        return "".join(rng.choice([f"{name()}({name()},{name()});", f"{name()}={name()}+{rng.randrange(99)};", f"if({name()}){{return {name()}.{name()}}}", f"<{name()} {name()}='x'>", f"{name()}[{rng.randrange(9)}]&&{name()}!=="]) for _ in range(60))
+
+    makers = [shuffled, backwards, syllables, syllables, script, script, digits, program]
+    for k in range(count):
+        out.append(makers[k % len(makers)](rng.choice(texts))[:PIECE])
+    return out
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE,
-        piece: int = PIECE) -> Network | None:
-    """Train on the sample of the labelled rows that are not held out."""
+        piece: int = PIECE, with_other: bool = False) -> Network | None:
+    """Train on the sample of the labelled rows that are not held out; ``with_other`` adds the class of planted texts."""
     known = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -171,7 +219,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     at = F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.length("text") - piece, F.lit(1))).cast("int")
     rows = known.where(lot < share).select("lang", F.substring("text", at + 1, F.lit(piece)).alias("t")).collect()
     rows = sorted((r["lang"], r["t"]) for r in rows)
-    return train([t for _, t in rows], [k for k, _ in rows])
+    texts, names = [t for _, t in rows], [k for k, _ in rows]
+    if with_other and texts:
+        planted = noise(texts, -(-len(texts) // len(set(names))))
+        texts, names = texts + planted, names + [OTHER] * len(planted)
+    return train(texts, names)
 
 
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,21 +272,25 @@ def label(texts: pa.Array, net: Network | None, tables: list | None) -> tuple[li
     return [net.languages[k] if w > 0 else UNKNOWN for k, w in zip(best.tolist(), weight.tolist())], np.clip(score, 0, 1)
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose text's language is identified with at least ``min_score``, with all columns as they
-    are. Without labelled rows nothing can be told, and every row stays."""
+def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                    with_other: bool = True) -> DataFrame:
+    """The rows whose text's language is a learned one with at least ``min_score``, with all columns as they are, but that a NULL language becomes
+    the predicted one. Without labelled rows nothing can be told, and every row stays."""
     ship(docs.sparkSession)
-    net = fit(docs, id_col, text_col, lang_col)
+    net = fit(docs, id_col, text_col, lang_col, with_other=with_other)
     if net is None:
         return docs
-    at = docs.columns.index(text_col)
+    at, place = docs.columns.index(text_col), docs.columns.index(lang_col)
+    named = docs.schema[lang_col].dataType.simpleString() == "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from rollbook.llm.langid import UNKNOWN, label
+        from rollbook.llm.langid import OTHER, UNKNOWN, label
 
         tables = net.tables()
         for batch in batches:
             names, score = label(batch.column(at), net, tables)
-            yield batch.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, score.tolist())], pa.bool_()))
+            if named:
+                batch = batch.set_column(place, batch.schema.field(place), pc.coalesce(batch.column(place), pa.array(names, batch.schema.field(place).type)))
+            yield batch.filter(pa.array([n not in (OTHER, UNKNOWN) and s >= min_score for n, s in zip(names, score.tolist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
