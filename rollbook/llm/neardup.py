@@ -10,14 +10,14 @@ such a key, wherever the error is. ``m`` is the smallest number for which a pair
 threshold exceeds the distance with a probability below ``MISS``; pairs above it do so less often.
 
 Pairs that share a key are compared in full, and linked if 100 * intersection >= threshold * union, after what every node carries
-has spared most of that without losing a link: the distance of the signatures, the sizes, and a
-bit map of the parities of hashed shingles, as two sets differ in at least as many shingles as their bit maps differ in bits.
+has spared most of that without losing a link: the sizes, a
+bit map of the parities of hashed shingles, as two sets differ in at least as many shingles as their bit maps differ in bits, and the distance of the signatures.
 
 The work has a fixed number of rounds. In each of ``LEADER_ROUNDS`` the members of a key's group are compared with one of them;
-members that fall into one component need no more. Then all pairs of different components that share a key are
-looked at once, under the first chunk they agree in, by a join that tests signatures, sizes and bit maps as it goes; groups of more than ``BLOCK`` are cut into blocks
-and their pairs of blocks dealt over tasks. What passes is compared in full: for ``THIN_ROUNDS`` one pair for each node, so that members of one component
-drop out, then all that is left. Nothing is sampled or capped, and no pair of different components goes unseen.
+members that fall into one component need no more. Then all pairs of different components that share a key meet in
+a join that tests sizes and bit maps as it goes, so that only what passes becomes rows, each pair once; groups of more than ``BLOCK`` are cut into blocks
+and their pairs of blocks dealt over tasks. What passes is compared in full: where it is much, one pair for each node first, for ``THIN_ROUNDS``, so that members
+of one component drop out, then all that is left. Nothing is sampled or capped, and no pair of different components goes unseen.
 
 Defined results: texts without words have an empty set and are linked with nothing; texts with fewer
 words than a shingle have one shingle, all their words; NULL is without words. Rows that repeat a
@@ -45,7 +45,9 @@ VALUES = 72
 MISS = 1e-6
 #: Bits of a MinHash value, and values that a 64-bit word holds.
 LANE, LANES = 10, 6
-LEADER_ROUNDS, THIN_ROUNDS = 3, 3
+LEADER_ROUNDS, THIN_ROUNDS = 2, 3
+#: Pairs are thinned out where more than so many are left for each node; the result is the same either way.
+PAIRS_PER_NODE = 4
 #: Members of a group that one task compares with each other.
 BLOCK = 4096
 #: 64-bit words of a set's bit map.
@@ -184,7 +186,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, values
     m = max(chunk_count(values, threshold), -(-values // LANES))
     base = keyed_text(docs, id_col, text_col)
     sketch = stored(_sketches(base, width, values, m), "sketches")
-    traits = ["size", *[f"c{j}" for j in range(m)], *[f"w{i}" for i in range(MAP_WORDS)]]
+    chunk_words, map_words = [f"c{j}" for j in range(m)], [f"w{i}" for i in range(MAP_WORDS)]
+    traits = ["size", *chunk_words, *map_words]
     full = sketch.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull()).withColumnRenamed("n_shingles", "size")
     # equal rows go before any join, so that nothing behind it holds together the rows of a digest that very
     # many rows share, and Spark may split them
@@ -204,7 +207,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, values
     concerned = nodes.join(groups.select(F.col("node").alias("c")).distinct(), F.col("node") == F.col("c"), "left_semi").select("node", "doc", "fp", "size")
     text = base.join(concerned.select(F.col("doc").alias("c")).distinct(), F.col("doc_id") == F.col("c"), "left_semi")
     sets = stored(_sets(text, width).join(concerned, F.col("of") == F.col("fp")).select("node", "items", "size").dropDuplicates(["node"]), "sets")
-    known = nodes.select("node", *traits)
+    known = nodes.select("node", "size", *map_words)
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Of (a, b), those whose whole sets are similar enough."""
@@ -214,13 +217,19 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, values
         return pairs.join(right, F.col("b") == F.col("b_")).join(left, F.col("a") == F.col("a_")).where(
             100 * both >= threshold * (F.col("nx") + F.col("ny") - both)).select("a", "b")
 
+    total = lambda terms: functools.reduce(lambda x, y: x + y, terms)
+
     def near(p: str, q: str) -> Column:
-        """The signatures, sizes and bit maps of two rows allow the similarity."""
+        """The sizes and bit maps of two rows allow the similarity."""
         n, k = F.col(f"{p}size"), F.col(f"{q}size")
-        total = lambda terms: functools.reduce(lambda x, y: x + y, terms)
         apart = total([F.bit_count(F.col(f"{p}w{i}").bitwiseXOR(F.col(f"{q}w{i}"))) for i in range(MAP_WORDS)])
-        return ((100 * F.least(n, k) >= threshold * F.greatest(n, k)) & (total([_errors(j, p, q) for j in range(m)]) < 2 * m)
-                & (apart * (100 + threshold) <= (100 - threshold) * (n + k)))
+        return (100 * F.least(n, k) >= threshold * F.greatest(n, k)) & (apart * (100 + threshold) <= (100 - threshold) * (n + k))
+
+    def within(pairs: DataFrame) -> DataFrame:
+        """Of distinct (a, b), those whose signatures are within the distance that the keys stand for."""
+        both = pairs.join(prefixed(nodes.select("node", *chunk_words), "p_"), F.col("a") == F.col("p_node")).join(
+            prefixed(nodes.select("node", *chunk_words), "q_"), F.col("b") == F.col("q_node"))
+        return both.where(total([_errors(j, "p_", "q_") for j in range(m)]) < 2 * m).select("a", "b")
 
     def prefixed(rows: DataFrame, p: str) -> DataFrame:
         return rows.select(*[F.col(c).alias(f"{p}{c}") for c in rows.columns])
@@ -228,7 +237,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, values
     def merged(component: DataFrame, pairs: DataFrame) -> DataFrame:
         return stored(connected(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(similar(pairs))), "components")
 
-    component = stored(connected(links), "components")
+    links = stored(links, "links")
+    component = links.select(F.col("a").alias("node"), F.col("b").alias("component")) if links.isEmpty() else stored(connected(links), "components")
     rest, tried = groups, None
     for r in range(LEADER_ROUNDS + 1):
         comp = component.select(F.col("node").alias("c"), "component")
@@ -246,7 +256,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, values
         pairs = stored(pairs, "led")
         tried = pairs if tried is None else tried.unionByName(pairs)
         near_pairs = pairs.join(prefixed(known, "p_"), F.col("a") == F.col("p_node")).join(prefixed(known, "q_"), F.col("b") == F.col("q_node")).where(near("p_", "q_"))
-        component = merged(component, near_pairs.select("a", "b"))
+        component = merged(component, within(near_pairs.select("a", "b")))
 
     # all pairs of different components that share a key, under the first chunk with one error at most: blocks against blocks
     rows = rest.join(known.withColumnRenamed("node", "k_node"), F.col("node") == F.col("k_node")).drop("k_node", "lead", "lead_comp")
@@ -254,19 +264,18 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, values
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")).withColumn("blocks", blocks)
     lower = prefixed(rows.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))), "p_")
     upper = prefixed(rows.withColumn("other", F.explode(F.sequence(F.lit(0), "block"))), "q_")
-    here = F.floor(F.col("p_place") / 8)
-    first = functools.reduce(lambda out, j: F.when(_errors(j, "p_", "q_") < 2, j).otherwise(out), range(m - 1, -1, -1), F.lit(-1))
-    equal = functools.reduce(lambda out, j: F.when(here == j, F.col(f"p_c{j}") == F.col(f"q_c{j}")).otherwise(out), range(m), F.lit(False))
-    once = (first == here) & (~equal | (F.col("p_place") % 8 == 0))
     met = lower.join(upper, (F.col("p_place") == F.col("q_place")) & (F.col("p_key") == F.col("q_key")) & (F.col("p_block") == F.col("q_other"))
                      & (F.col("p_other") == F.col("q_block")) & ((F.col("p_block") < F.col("q_block")) | (F.col("p_node") < F.col("q_node")))
-                     & (F.col("p_comp") != F.col("q_comp")) & near("p_", "q_") & once)
-    left = met.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b"))
-    left = stored(left.join(tried.select(F.col("a").alias("t_a"), F.col("b").alias("t_b")), (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti"), "met")
-    for r in range(THIN_ROUNDS + 1):
+                     & (F.col("p_comp") != F.col("q_comp")) & near("p_", "q_"))
+    left = stored(met.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).distinct(), "near")
+    if tried is not None:
+        left = left.join(tried.select(F.col("a").alias("t_a"), F.col("b").alias("t_b")), (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti")
+    left = stored(within(left), "met")
+    thin = THIN_ROUNDS if left.count() > PAIRS_PER_NODE * nodes.count() else 0  # a few pairs are compared at once
+    for r in range(thin + 1):
         if left.isEmpty():
             break
-        if r == THIN_ROUNDS:
+        if r == thin:
             component = merged(component, left)
             break
         some = stored(left.groupBy("a").agg(F.min_by("b", F.xxhash64("a", "b")).alias("b")), "some")
