@@ -60,11 +60,13 @@ def match_ids(ids: DataFrame, records: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- JN4
-def match_exact_names(names: DataFrame, records: DataFrame, exclude: DataFrame) -> DataFrame:
-    """JN4: exact combined name among records whose id was not matched in JN3."""
+def match_exact_names(names: DataFrame, records: DataFrame, exclude: DataFrame, collation: str | None = None) -> DataFrame:
+    """JN4: exact combined name among records whose id was not matched in JN3. With a ``collation`` names are equal as it has them:
+    ``UNICODE_CI_AI`` takes no account of accents."""
     eligible = records.join(exclude.select("student_id").distinct(), "student_id", "left_anti")
-    first = eligible.groupBy("full_name").agg(F.min(F.struct("row_ord", "student_id")).alias("_r"))
-    return (names.withColumn("full_name", _name_key("item")).join(first, "full_name", "inner")
+    key = (lambda c: c) if collation is None else (lambda c: F.collate(c, collation))
+    first = eligible.groupBy(key(F.col("full_name")).alias("full_name")).agg(F.min(F.struct("row_ord", "student_id")).alias("_r"))
+    return (names.withColumn("full_name", key(_name_key("item"))).join(first, "full_name", "inner")
             .select(F.col("_r.student_id").alias("student_id"), F.col("_r.row_ord").alias("row_ord"),
                     F.col("item").alias("input_value"), "input_order",
                     F.lit(1.0).alias("match_score"), F.lit(TYPE_NAME).alias("match_type")))

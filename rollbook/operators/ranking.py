@@ -196,13 +196,15 @@ def _reversed(df: DataFrame, name: str) -> Column:
 
 
 # ---------------------------------------------------------------- TK9
-def mixed_sort_keys(value, descending: bool = False) -> list[Column]:
-    """TK9: numbers first (numerically), then text; a total order unlike the UI comparator."""
+def mixed_sort_keys(value, descending: bool = False, collation: str | None = None) -> list[Column]:
+    """TK9: numbers first (numerically), then text; a total order unlike the UI comparator. Text goes by code points, or by a ``collation``
+    such as ``vi`` (Vietnamese letters in their own order) and then by code points."""
     v = as_col(value)
-    num = numeric_or_null(v)
+    num, text = numeric_or_null(v), v.cast("string")
+    keys = [text] if collation is None else [F.collate(text, collation), text]
     if descending:
-        return [num.isNull().asc(), num.desc(), v.cast("string").desc()]
-    return [num.isNull().asc(), num.asc(), v.cast("string").asc()]
+        return [num.isNull().asc(), num.desc(), *[k.desc() for k in keys]]
+    return [num.isNull().asc(), num.asc(), *[k.asc() for k in keys]]
 
 
 # ---------------------------------------------------------------- CS3

@@ -105,6 +105,35 @@ def tk9_mixed_sort(spark, sf):
     return _placed(m.orderBy(*R.mixed_sort_keys("mixed"), F.asc("p_partkey")))
 
 
+_VI_NAMES = ("an", "az", "\u0103n", "\u00e2n", "da", "\u0111a", "em", "\u00eam", "on", "\u00f4n", "\u01a1n", "um", "\u01b0m")
+#: Each Vietnamese letter sorts behind all words that begin with its plain letter.
+_VI_KEY = "replace(replace(replace(replace(replace(replace(replace(word, '\u0103', 'a~1'), '\u00e2', 'a~2'), '\u0111', 'd~'), '\u00ea', 'e~'), '\u00f4', 'o~1'), '\u01a1', 'o~2'), '\u01b0', 'u~')"
+
+
+@register("tk9_locale_sort", "TK9", f"""
+WITH m AS (SELECT p_partkey, [{", ".join(f"'{w}'" for w in _VI_NAMES)}][p_partkey % {len(_VI_NAMES)} + 1] || ' ' || p_name AS word FROM part)
+SELECT p_partkey, word, row_number() OVER (ORDER BY {_VI_KEY}, p_partkey) AS place FROM m""")
+def tk9_locale_sort(spark, sf):
+    """Names in Vietnamese order."""
+    p = read_table(spark, sf, "part")
+    word = F.concat(F.element_at(F.array(*map(F.lit, _VI_NAMES)), (F.col("p_partkey") % len(_VI_NAMES) + 1).cast("int")), F.lit(" "), "p_name")
+    m = p.select("p_partkey", word.alias("word"))
+    return _placed(m.orderBy(*R.mixed_sort_keys("word", collation="vi"), F.asc("p_partkey")))
+
+
+@register("pf2_skipping_search", "PF2 TK8", SQL_ROSTER + f"""
+SELECT {ROSTER_COLS} FROM roster
+WHERE contains(lower(ho_ten), 'red widget') OR contains(lower(lop), 'red widget') OR contains(lower(xep_loai), 'red widget')""")
+def pf2_skipping_search(spark, sf):
+    """The hits of a search on a table whose files are skipped by their bit maps of grams."""
+    from rollbook.session import scratch_path
+    from rollbook.sources import grams as G
+
+    path = scratch_path(spark, "pf2")
+    G.write_searchable(roster(spark, sf).repartitionByRange(16, "ho_ten"), path)
+    return rounded(G.search(spark, path, "red widget"))
+
+
 @register("pf2_text_search", "PF2 TK8", SQL_ROSTER + f"""
 SELECT {ROSTER_COLS} FROM roster
 WHERE contains(lower(ho_ten), 'red widget') OR contains(lower(lop), 'red widget') OR contains(lower(xep_loai), 'red widget')

@@ -60,6 +60,20 @@ def vw1_student_summary(spark, sf):
     return rounded(summary(spark, sf))
 
 
+@register("jn2_bucketed_summary", "JN2 SK3 VW1", SQL_SUMMARY + f"SELECT {SUMMARY_COLS_SQL} FROM summary")
+def jn2_bucketed_summary(spark, sf):
+    """VW1 over three tables that are written bucketed by the student key: nothing is shuffled to join them."""
+    import uuid
+
+    from rollbook.session import scratch_path
+    from rollbook.sources import sinks as SK
+
+    tag = uuid.uuid4().hex[:12]  # a name of its own in the session's catalog, a folder of its own in the shared one
+    put = lambda df, name: SK.write_bucketed(df, f"{name}_{tag}", V.KEY, scratch_path(spark, name), buckets=16)
+    return rounded(V.student_summary(put(B.students(spark, sf), "students"), put(B.semester(spark, sf), "semester"), put(B.cumulative(spark, sf), "cumulative"),
+                                     B.WARNING_PATTERN, B.WITHDRAWN_PATTERN))
+
+
 @register("vw2_high_gpa_class", "VW2 PF1 TK10", SQL_SUMMARY + f"""
 SELECT {SUMMARY_COLS_SQL} FROM summary WHERE lop ILIKE '%BUILD%' AND diem_4_tich_luy >= 3.4""")
 def vw2_high_gpa_class(spark, sf):

@@ -89,6 +89,13 @@ def write_tables(wide: DataFrame, root: str, cohort_width: int | None = 2) -> di
     return paths
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, path: str, buckets: int) -> DataFrame:
+    """JN2/SK3: write a table of the session's catalog bucketed and sorted by ``key``, and read it back. Tables written with equal buckets on
+    their join key join without a shuffle, as often as they are joined."""
+    df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def read_partitioned(spark, path: str, text_partitions: list[str]) -> DataFrame:
     """Read a partitioned table keeping the named partition columns as text (cohort ``05``
     must not come back as the number 5)."""
