@@ -1,14 +1,11 @@
 """License notices by conditional compression.
 
-``find_notices``: paragraphs (lines between blank ones) with a license trigger are searched for every
-notice, however its words are wrapped. A notice is confirmed on a span of the paragraph if nearly all
+Paragraphs (lines between blank ones) with a license trigger are the candidate blocks. Each is compressed alone and with
+every notice's wording as a raw zstandard dictionary, and the notices are ranked by the bytes that this saves. In that order they are
+confirmed by exact differences of words, however those are wrapped: a notice is confirmed on a span of the block if nearly all
 its words stand there in order, all its telling words (versions, and words that part one license from
-another) among them, with no other telling word and not more words than its own between. Of confirmed spans that
-overlap the one stays whose notice saves more bytes: the span is compressed alone and with the
-notice's wording as a raw zstandard dictionary.
-
-``find_licenses``: the narrow form for notices of a line each. Lines with a trigger, joined where they follow
-each other, are the blocks, and the notice that saves most of a block, of the best ``TRIED``, is its license.
+another) among them, with no other telling word and not more words than its own between. A winner takes its spans, and the next in rank may
+only take what is left, until no notice is. None is left out by its rank; those whose words the block lacks in any order are passed over.
 
 Defined results: NULL and empty texts have no findings; trigger lines that no confirmed notice touches are returned
 without a license, joined where they follow each other; repeated rows each have their findings; a line may be of
@@ -27,9 +24,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from rollbook.llm.common import keyed_text, ship
+from rollbook.llm.common import keyed_text, ship, stored
 
 TRIGGER = (r"(?i)licen[cs]e|copyright|all rights reserved|public domain|redistribut|permission (?:is hereby|to use)"
            r"|warrant(?:y|ies)|creative commons|\bcc[ -](?:by|0)|spdx|released under")
@@ -71,7 +67,6 @@ TELLING = frozenset("mit apache gnu gpl lgpl agpl lesser affero general mozilla
                     "attribution noncommercial noderivatives sharealike unencumbered reserved".split())
 MAX_MISSING = 0.15
 LEVEL = 3
-TRIED = 4
 
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _WRAPPED = re.compile(WRAPPED, re.ASCII)
@@ -120,19 +115,6 @@ class Notices:
         inside = range(same[0].b, same[-1].b + same[-1].size)
         return [w for i, w in enumerate(want) if i not in has], [block[i] for i in inside if i not in used]
 
-    def judge(self, block: str) -> tuple[str | None, float, str]:
-        """(license or None, saving of its or else of the best notice, its differences as -word and +word)."""
-        ranked, words = self.rank(block), words_of(block)
-        first = None
-        for saving, k in ranked[:TRIED]:
-            lacks, adds = self.differences(k, words)
-            text = " ".join([*(f"-{w}" for w in lacks), *(f"+{w}" for w in adds)])
-            first = first or (None, saving, text)
-            if len(lacks) <= MAX_MISSING * len(self.words[k]) and not any(map(telling, lacks)) and not any(map(telling, adds)) \
-                    and len(adds) <= len(self.words[k]):
-                return self.notices[k][0], saving, text
-        return first
-
     def fits(self, notice: int, has: Counter) -> bool:
         """Whether so many words can hold the notice, in whatever order."""
         spare = self.spare[notice]
@@ -188,13 +170,15 @@ class Notices:
         lacks, adds = [w for i, w in enumerate(want) if i not in has], [block[j] for j in range(end) if j not in used]
         return (lacks, adds, end) if len(lacks) <= self.spare[notice] and len(adds) <= n else None
 
-    def spans(self, notice: int, words: list[str], places: dict[str, list[int]]) -> list[tuple[int, int, str]]:
-        """(first word, word behind, differences) of the notice in the words; spans do not overlap, the closest stay."""
+    def spans(self, notice: int, words: list[str], places: dict[str, list[int]], taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+        """(first word, word behind, differences) of the notice in the words; spans do not overlap those taken nor each other, the closest stay."""
         want, found = self.words[notice], []
         for s in sorted({p for w in set(want[:self.spare[notice] + 1]) for p in places.get(w, ())}):
             window = words[s:s + 2 * len(want)]
             if self.fits(notice, Counter(window)) and (hit := self.align(notice, window)):
                 lacks, adds, length = hit
+                if any(a < s + length and s < b for a, b in taken):
+                    continue
                 found.append((len(lacks) + len(adds), s, s + length, " ".join([*(f"-{w}" for w in lacks), *(f"+{w}" for w in adds)])))
         return [f[1:] for f in apart(sorted(found), lambda f: f[1:3])]
 
@@ -206,15 +190,16 @@ class Notices:
         for p, w in enumerate(words):
             places.setdefault(w, []).append(p)
         has = Counter({w: len(p) for w, p in places.items()})
-        found = []
-        for k in range(len(self.notices)):
-            if self.fits(k, has):
-                for s, e, differences in self.spans(k, words, places):
-                    raw = fold(text[at[s][0]:at[e - 1][1]])
-                    alone, given = len(self.plain.compress(raw)), len(self.given[k].compress(raw))
-                    found.append((given - alone, k, s, e, 1 - given / alone, differences))
-        return [(at[s][0], at[e - 1][1] - 1, k, saving, differences)
-                for _, k, s, e, saving, differences in sorted(apart(sorted(found), lambda f: f[2:4]), key=lambda f: f[2])]
+        # the notices in the order of what their dictionaries save of the whole block; each takes the spans that the ones before left
+        found, taken = [], []
+        for _, k in self.rank(text):
+            if not self.fits(k, has):
+                continue
+            for s, e, differences in self.spans(k, words, places, taken):
+                raw = fold(text[at[s][0]:at[e - 1][1]])
+                taken.append((s, e))
+                found.append((s, e, k, 1 - len(self.given[k].compress(raw)) / len(self.plain.compress(raw)), differences))
+        return [(at[s][0], at[e - 1][1] - 1, k, saving, differences) for s, e, k, saving, differences in sorted(found)]
 
     def findings(self, text: str) -> list[tuple[int, int, str | None, float, str]]:
         """(first line, last line, license or None, saving, differences) of a whole text, lines counted from 0."""
@@ -276,7 +261,8 @@ def find_notices(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES
     """One row per notice and per run of trigger lines without one: doc_id, first_line, last_line, license (NULL for
     the latter), saving and differences."""
     ship(docs.sparkSession)
-    text = keyed_text(docs, id_col, text_col).where(F.col("text").rlike(WRAPPED)).withColumn("row", F.sha2("text", 256))
+    # the few texts with a trigger are kept, so that all texts are read once
+    text = stored(keyed_text(docs, id_col, text_col).where(F.col("text").rlike(WRAPPED)).withColumn("row", F.sha2("text", 256)), "triggers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from rollbook.llm.licenses import Notices
@@ -295,35 +281,3 @@ def find_notices(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES
         run, "of string, first_line int, last_line int, license string, saving double, differences string")
     return text.select("doc_id", "row").join(found, F.col("row") == F.col("of")).select(
         "doc_id", "first_line", "last_line", "license", "saving", "differences")
-
-
-def candidate_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, first_line, last_line, block): runs of trigger lines, lines counted from 0."""
-    text = keyed_text(docs, id_col, text_col).where(F.col("text").rlike(TRIGGER))
-    # rows that repeat an id are told apart by their text, and equal rows by nothing: they count as one, n times
-    rows = text.groupBy("doc_id", F.sha2("text", 256).alias("row")).agg(F.count("*").alias("n"), F.first("text").alias("text"))
-    lines = rows.select("doc_id", "row", "n", F.posexplode(F.split("text", "\n", -1)).alias("line", "t")).where(F.col("t").rlike(TRIGGER))
-    order = Window.partitionBy("row", "doc_id").orderBy("line")
-    runs = lines.withColumn("run", F.col("line") - F.row_number().over(order))
-    blocks = runs.groupBy("doc_id", "row", "n", "run").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda s: s["t"]), "\n").alias("block"))
-    return blocks.select("doc_id", F.explode(F.array_repeat("block", F.col("n").cast("int"))).alias("block"), "first_line", "last_line")
-
-
-def find_licenses(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per run of trigger lines: doc_id, first_line, last_line, license (NULL if none fits), saving and differences."""
-    ship(docs.sparkSession)
-    blocks = candidate_blocks(docs, id_col, text_col).withColumn("h", F.sha2("block", 256))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from rollbook.llm.licenses import Notices
-
-        judge = Notices(notices).judge
-        for batch in batches:
-            found = [judge(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array(
-                [f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.string())], ["of", "license", "saving", "differences"])
-
-    judged = blocks.groupBy("h").agg(F.first("block").alias("block")).mapInArrow(run, "of string, license string, saving double, differences string")
-    return blocks.select("doc_id", "first_line", "last_line", "h").join(judged, F.col("h") == F.col("of")).select(
-        "doc_id", "first_line", "last_line", "license", "saving", "differences")

@@ -3,7 +3,9 @@
 A line is described by a few yes/no features (its length, its share of capitals, symbols and
 digits, how it begins and ends, whether it repeats an earlier line, whether it repeats itself). The
 field's weights are fitted here by exact gradients (forward and backward sums) on a bounded
-sample of labelled documents, whose lines all take the document's label. Viterbi decoding then
+sample of labelled documents. Their labels are of documents, not of lines, so line labels are made known by splicing: into every second sample text a
+run of lines of a text of the other label is set, at its beginning, inside or at its end, and each line keeps the label of the text it
+comes from. So labels change inside sequences, and the chain learns where. Viterbi decoding then
 labels the lines of every whole text, all texts of a chunk in step; a document stays if at
 least half of its words are in content lines and it passes the base rules.
 
@@ -11,12 +13,14 @@ Base rules, on words between white space: fewer than 50 words fail, and so does
 whose words over half lie in three-word windows that occur twice or more.
 
 Defined results: NULL and empty texts have no words and fail; lines without a word are not labelled; without
-labelled documents every line is content. Rows that repeat get the same result; other columns
+labelled documents every line is content; a document that is labelled several times takes its lowest label. Rows that repeat get the same result; other columns
 of either table are ignored.
 """
 
 from __future__ import annotations
 
+import random
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +37,7 @@ SAMPLE_DOCS, PIECE = 3000, 4000
 ROUNDS, RATE, PENALTY = 80, 0.1, 1e-3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SEQUENCE = 64
+_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]")
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -177,15 +182,39 @@ class Field:
         return label
 
 
-def train(texts: list[str], labels: list[int]) -> Field | None:
-    """Maximum likelihood with a quadratic penalty, by Adam on exact gradients."""
+def lines_with_words(text: str) -> list[str]:
+    return [line for line in text.split("\n") if _WORD.search(line)]
+
+
+def splice(texts: list[str], labels: list[int], seed: int = 4) -> tuple[list[str], list[list[int]]]:
+    """The texts, and for each one more in which a run of lines of a text of the other label stands, with the labels of all lines that have a word."""
+    rng = random.Random(seed)
+    lines = [lines_with_words(t) for t in texts]
+    by = {k: [i for i, y in enumerate(labels) if y == k and lines[i]] for k in (CONTENT, BOILERPLATE)}
+    out, marks = list(texts), [[y] * len(n) for n, y in zip(lines, labels)]
+    for own, y in zip(lines, labels):
+        if not own or not by[1 - y]:
+            continue
+        other = lines[rng.choice(by[1 - y])]
+        first = rng.randrange(len(other))
+        run = other[first:first + rng.randint(1, max(1, min(len(other), 2 * len(own))))]
+        at = rng.choice([0, len(own), rng.randint(0, len(own))])
+        out.append("\n".join([*own[:at], *run, *own[at:]]))
+        marks.append([y] * at + [1 - y] * len(run) + [y] * (len(own) - at))
+    return out, marks
+
+
+def train(texts: list[str], labels: list[int] | list[list[int]]) -> Field | None:
+    """Maximum likelihood with a quadratic penalty, by Adam on exact gradients. Labels are of texts, or of each text's lines with a word."""
+    if labels and isinstance(labels[0], int):
+        labels = [[y] * len(lines_with_words(t)) for t, y in zip(texts, labels)]
     buf, offsets = text_bytes(pa.array(texts, pa.string()))
-    if not len(buf) or len(set(labels)) < 2:
+    y = np.array([v for of in labels for v in of], np.int64)
+    if not len(buf) or len(set(y.tolist())) < 2:
         return None
     seen = analyse(buf, offsets)
     x = seen.features.astype(np.float64)
     row = np.repeat(np.arange(len(texts)), np.diff(seen.line_first))
-    y = np.asarray(labels)[row]
     nth = np.arange(len(row)) - seen.line_first[row]
     begin = np.flatnonzero(nth % SEQUENCE == 0)  # longer texts give several sequences
     size = np.diff(np.append(begin, len(row)))
@@ -233,14 +262,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not total:
         return None
     lot = F.pmod(F.xxhash64("l_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    marks = marks.where(lot < min(1.0, sample_docs / total)).dropDuplicates(["l_id"])
+    marks = marks.where(lot < min(1.0, sample_docs / total)).groupBy("l_id").agg(F.min("q").alias("q"))
     text = keyed_text(docs, id_col, text_col)
     at = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.length("text") - piece, F.lit(1))).cast("int")
     # the sample is small by its bound, the documents are not
     rows = text.join(F.broadcast(marks), F.col("doc_id") == F.col("l_id")).where("text is not null").select(
         "doc_id", "q", F.substring("text", at + 1, F.lit(piece)).alias("t")).collect()
     rows = sorted((r["doc_id"], r["t"], r["q"]) for r in rows)
-    return train([t for _, t, _ in rows], [CONTENT if q else BOILERPLATE for _, _, q in rows])
+    return train(*splice([t for _, t, _ in rows], [CONTENT if q else BOILERPLATE for _, _, q in rows]))
 
 
 def quality(docs: DataFrame, field: Field | None, min_content: float = 0.5, id_col: str = "doc_id", text_col: str = "text",

@@ -17,11 +17,11 @@ from rollbook.llm.licenses import find_notices
 from rollbook.llm.neardup import near_duplicates
 from rollbook.llm.quality import fit as fit_field
 from rollbook.llm.quality import quality
-from rollbook.llm.secrets import BASE_RULES, VENDOR_RULES, find_secrets
+from rollbook.llm.secrets import BASE_RULES, VENDOR_RULES, find_secrets, update_ledger
 from rollbook.llm.sharding import shard
 from rollbook.llm.simple8b import token_files
 from rollbook.llm.warc import Tree, audit, heights, leaves, warc_records
-from rollbook.session import read_table
+from rollbook.session import read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -103,7 +103,11 @@ FROM d LEFT JOIN named USING (doc_id) GROUP BY doc_id"""
 
 @query("op5_secrets", OP5_SQL)
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    ledger = scratch_path(spark, "ledger")
+    # an earlier state of the corpus, scanned by the base rules alone: of its blobs, the second scan runs the other rules only
+    update_ledger(docs.where("lang = 'en'"), ledger, BASE_RULES)
+    found = find_secrets(docs, ledger)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))

@@ -100,7 +100,7 @@ def update_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, i
     """Scan what the ledger at ``path`` lacks of these versions and append it.
 
     A blob that was scanned has a row for every rule version, without positions where
-    nothing was found. Returns the ledger.
+    nothing was found. Returns the ledger. Two writers, or one that repeats its append, leave equal rows, which readers take as one.
     """
     spark = docs.sparkSession
     versions = keyed_text(docs, id_col, text_col)
@@ -142,7 +142,7 @@ def find_secrets(docs: DataFrame, ledger_path: str | None = None, rules: tuple[R
     rank = F.element_at(F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
     findings = ledger.where(mine & (F.size("start") > 0)).select("blob", F.zip_with(
         "start", "stop", lambda a, b: F.struct(a.alias("start"), rank.alias("rank"), F.col("kind").alias("kind"), b.alias("stop"))).alias("s")).groupBy(
-        "blob").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans"))
+        "blob").agg(F.array_sort(F.flatten(F.collect_set("s"))).alias("spans"))  # an append that was repeated says the same twice
     paths = keyed_text(docs, id_col, text_col).select("doc_id", blob_of(F.col("text")).alias("blob"))
     return paths.join(findings, "blob", "left").select("doc_id", "blob", F.coalesce(
         "spans", F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>")).alias("spans"))

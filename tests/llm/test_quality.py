@@ -75,3 +75,53 @@ def test_no_labels(spark, edge_docs):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert Q.fit(edge_docs, none) is None
     assert all(r["kept"] == (not r["base_failed"]) for r in Q.quality(edge_docs, None).collect())
+
+
+def mixed(texts, labels, seed):
+    """Held-out documents with a planted run of the other label: (text, label of each line)."""
+    out, marks = Q.splice(texts, labels, seed)
+    return list(zip(out, marks))[len(texts):]
+
+
+def test_lines_of_mixed_documents(spark):
+    """Texts that were not learned from, with boilerplate at their beginning, middle or end: lines are told apart inside a document."""
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_MID}/labels.parquet")
+    field = Q.fit(docs, labels.where("doc_id % 2 = 0"))
+    rows = docs.join(labels.where("doc_id % 2 = 1"), "doc_id").where("text is not null").select("text", "quality").collect()
+    made = [(t, m) for t, m in mixed([r["text"] for r in rows], [Q.CONTENT if r["quality"] else Q.BOILERPLATE for r in rows], 8) if len(set(m)) == 2]
+    right, wrong, both = 0, 0, 0
+    for text, want in made:
+        buf, offsets = text_bytes(pa.array([text]))
+        t = Q.analyse(buf, offsets)
+        got = field.decode(t.features, t.line_first).tolist()
+        assert len(got) == len(want)
+        right, wrong, both = right + sum(a == b for a, b in zip(got, want)), wrong + sum(a != b for a, b in zip(got, want)), both + (len(set(got)) == 2)
+    print("line accuracy", right / (right + wrong), "documents with both labels", both, "of", len(made))
+    assert right / (right + wrong) >= 0.85 and both >= 0.6 * len(made)
+
+
+def test_content_share_and_verdict_against_a_plain_version(spark):
+    rng = np.random.default_rng(3)
+    field = Q.Field(rng.normal(size=(19, 2)), rng.normal(size=(2, 2)))
+    rnd = random.Random(5)
+    line = lambda: " ".join(rnd.choice(["word", "BUY!!", "a|b|c", "123", "Nice", "day."]) + str(rnd.randrange(900)) for _ in range(rnd.randint(0, 12)))
+    rows = [(k, "\n".join(line() for _ in range(rnd.randint(0, 14)))) for k in range(60)] + [(90, None), (91, "")]
+    got = {r["doc_id"]: r for r in Q.quality(spark.createDataFrame(rows, "doc_id bigint, text string"), field, keep_labels=True).collect()}
+    shares = set()
+    for k, text in rows:
+        lines = Q.lines_with_words(text or "")
+        sizes, labels = [len(x.split()) for x in lines], got[k]["labels"]
+        assert len(labels) == len(lines)
+        share = sum(n for n, y in zip(sizes, labels) if y == Q.CONTENT) / max(sum(sizes), 1)
+        assert abs(got[k]["content_share"] - share) < 1e-12
+        assert got[k]["kept"] == (share >= 0.5 and not got[k]["base_failed"])
+        shares.add(round(share, 2))
+    assert len(shares) > 10
+
+
+def test_conflicting_labels_take_the_lowest(spark, edge_docs):
+    twice = spark.createDataFrame([(0, 1), (0, 0), (4, 1), (9, 0)], "doc_id bigint, quality int")
+    once = spark.createDataFrame([(0, 0), (4, 1), (9, 0)], "doc_id bigint, quality int")
+    a, b = Q.fit(edge_docs, twice), Q.fit(edge_docs, once)
+    assert (a is None) == (b is None) and (a is None or np.array_equal(a.weights, b.weights))

@@ -39,6 +39,16 @@ def test_ledger_scans_only_what_is_new(spark):
     assert found == {1: ["assign"], 2: ["assign"], 3: [], 4: ["access"]}
 
 
+def test_a_repeated_append_doubles_nothing(spark):
+    path = scratch_path(spark, "ledger")
+    docs = spark.createDataFrame([(1, "token=abcdef " + "a1" * 15), (2, "AKIA" + "B" * 18), (3, None)], "doc_id bigint, text string")
+    once = sorted(map(str, S.find_secrets(docs, path).collect()))
+    rows = spark.createDataFrame(S.read_ledger(spark, path).collect(), S.LEDGER_SCHEMA)
+    rows.write.mode("append").parquet(path)  # the retry of a writer that had already appended
+    assert sorted(map(str, S.find_secrets(docs, path).collect())) == once
+    assert sorted(map(str, S.redact_secrets(docs, path).collect())) == sorted(map(str, S.redact_secrets(docs).collect()))
+
+
 def test_redaction_keeps_everything_else(spark, no_docs):
     docs = spark.createDataFrame([(1, "a token=abcdef0123456789abcdef0123 b password: hunter22 c", "t"), (2, "clean", "u"), (3, None, None), (2, "clean", "u")],
                                  "doc_id bigint, text string, blob string")
