@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 from collections.abc import Callable, Iterator
 
@@ -26,6 +27,8 @@ from rollbook.llm.flat import U64, chunks, ranges, text_bytes
 
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
 TABLE_BITS = 21
+#: Bytes from which a word is merged by itself, rank by rank.
+LONG = 2048
 MAX_STORED_IDS = 6_000_000
 
 
@@ -158,8 +161,77 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], none).astype(np.int32)
 
+    def merge_long(self, data: np.ndarray) -> np.ndarray:
+        """Ids of one word. Rounds go by rank, lowest first, each over the pairs of its rank alone, so that a word of many letters
+        costs its merges and not a pass over it for every few of them. A merge makes only pairs of higher rank, as in the table every
+        pair follows those that made its symbols."""
+        none, n = len(self.made), len(data)
+        sym = self.first[data]
+        after, before = np.arange(1, n + 2), np.arange(-1, n)  # neighbours; place n is the end
+        rank, alive = np.full(n + 1, none, np.int32), np.ones(n, bool)
+        rank[:n - 1] = self.ranks(sym[:-1], sym[1:], none)
+        order = np.argsort(rank[:n], kind="stable")
+        present, first = np.unique(rank[order], return_index=True)
+        waiting: dict[int, list[np.ndarray]] = {int(r): [order[a:b]] for r, a, b in zip(present, first, np.append(first[1:], n)) if r < none}
+        ranks = list(waiting)
+        heapq.heapify(ranks)
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            clash = after[at[:-1]] == at[1:]
+            if clash.any():  # of a a a the first goes, the next not, and so on
+                head = np.concatenate([[True], ~clash])
+                nth = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+                at = at[nth % 2 == 0]
+            gone = after[at]
+            behind = after[gone]
+            sym[at] = self.made[r]
+            after[at], before[np.minimum(behind, n)] = behind, at
+            rank[gone], alive[gone] = none, False
+            ahead = before[at]
+            changed = np.unique(np.concatenate([at, ahead[ahead >= 0]]))
+            last = after[changed] >= n
+            rank[changed[last]] = none
+            changed = changed[~last]
+            rank[changed] = self.ranks(sym[changed], sym[after[changed]], none)
+            changed = changed[rank[changed] < none]
+            if len(changed):
+                by = changed[np.argsort(rank[changed], kind="stable")]
+                found, start = np.unique(rank[by], return_index=True)
+                for k, a, b in zip(found.tolist(), start.tolist(), [*start[1:].tolist(), len(by)]):
+                    if k not in waiting:
+                        waiting[k] = []
+                        heapq.heappush(ranks, k)
+                    waiting[k].append(by[a:b])
+        return sym[alive].astype(np.int64)
+
     def merge(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words whose bytes lie end to end in ``data``: (ids, count per word)."""
+        long = np.flatnonzero(lengths > LONG)
+        if len(long):
+            ends = np.cumsum(lengths)
+            own = {int(k): self.merge_long(data[ends[k] - lengths[k]:ends[k]]) for k in long}
+            short = np.ones(len(lengths), bool)
+            short[long] = False
+            ids, count = self._rounds(data[np.repeat(short, lengths)], lengths[short])
+            total = np.zeros(len(lengths), np.int64)
+            total[short] = count
+            at, parts = 0, []
+            for k in range(len(lengths)):
+                if k in own:
+                    parts.append(own[k])
+                    total[k] = len(own[k])
+                else:
+                    parts.append(ids[at:at + total[k]])
+                    at += int(total[k])
+            return np.concatenate(parts), total
+        return self._rounds(data, lengths)
+
+    def _rounds(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of short words, all of them in step."""
         none = len(self.made)
         total = np.zeros(len(lengths), np.int64)
         sym = self.first[data]

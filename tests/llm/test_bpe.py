@@ -78,3 +78,30 @@ def test_malformed_bytes_decode_like_the_library(library):
     words, _ = bpe.encoder(PATH)
     for ids in ([256 - 33, 100, 220, 130], [50256, 187, 222], [162, 245]):
         assert words.decode(np.array(ids)).tobytes().decode("utf-8", "replace") == library.decode(ids, skip_special_tokens=False)
+
+
+def test_long_words_are_merged_rank_by_rank(library):
+    """Unbroken words of any kind give the library's ids, at a cost near its own."""
+    import time
+
+    rnd = random.Random(12)
+    make = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
+    low = "abcdefghijklmnopqrstuvwxyz"
+    texts = [make(3000, low), make(2500, "ab"), "a" * 4001, "ab" * 3000, make(5000, "aé日"), "short " + make(2100, "aab") + " end", make(20_000, "etaoin")]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert encode(texts) == want
+    text = make(1_000_000, low)
+    start = time.perf_counter()
+    ids = library.encode(text, add_special_tokens=False).ids
+    theirs, start = time.perf_counter() - start, time.perf_counter()
+    assert encode([text])[0] == ids
+    ours = time.perf_counter() - start
+    print(f"1 MB of letters: library {theirs:.2f} s, here {ours:.2f} s")
+    assert ours < 10 * theirs + 1
+
+
+def test_pairs_follow_the_pairs_that_made_them():
+    words, _ = bpe.encoder(PATH)
+    maker = {int(m): r for r, m in reversed(list(enumerate(words.made.tolist())))}
+    for key, r in zip(words.keys.tolist(), words.rank.tolist()):
+        assert all(maker.get(x, -1) < r for x in (key >> 32, key & 0xFFFFFFFF))

@@ -23,6 +23,24 @@ def test_law_and_slots(spark):
     assert sorted(load) == list(range(40))
     assert max(load.values()) - min(load.values()) <= 0.01 * sum(load.values()) / 40
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    for measure in (lambda r: r["tokens"], lambda r: 1):  # the other two measures stay balanced
+        of = defaultdict(int)
+        for r in got:
+            of[r["shard"]] += measure(r)
+        assert max(of.values()) - min(of.values()) <= 0.25 * sum(of.values()) / 40
+
+
+def test_tokens_hold_for_any_script(spark):
+    rows = [(1, "plain words here"), (2, "日本語の文章です"), (3, "a" * 60), (4, "x=1234;"), (5, ""), (6, None)]
+    got = {r["doc_id"]: r["tokens"] for r in S.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()}
+    assert got == {1: 3, 2: 8, 3: 10, 4: 5, 5: 0, 6: 0}
+
+
+def test_a_group_that_fits_stays_whole(spark):
+    """Half a shard of rows with one text: not dealt out, whatever its size against the others."""
+    rows = [(k, "the very same text") for k in range(40)] + [(100 + k, f"another text {k:04d}!") for k in range(280)]
+    got = S.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), 4).collect()
+    assert len({r["shard"] for r in got if r["doc_id"] < 100}) == 1
 
 
 def test_equal_texts_stay_together_unless_very_many(spark):
@@ -52,10 +70,15 @@ def test_pack_follows_the_dot_product():
 
 def test_level_narrows_and_keeps_items():
     rng = np.random.default_rng(2)
-    size, shard = rng.integers(1, 1000, 500).astype(float), rng.integers(0, 10, 500)
-    out = S.level(size, shard, 10)
-    before, after = np.bincount(shard, size, 10), np.bincount(out, size, 10)
-    assert np.ptp(after) < 0.05 * np.ptp(before) and after.sum() == before.sum()
+    items, shard = rng.integers(1, 1000, (500, 3)).astype(float), rng.integers(0, 10, 500)
+    out = S.level(items, shard, 10)
+    spread = lambda at, k: np.ptp(np.bincount(at, items[:, k], 10))
+    assert spread(out, 0) < 0.05 * spread(shard, 0)
+    assert all(spread(out, k) < spread(shard, k) for k in (1, 2))
+    packed = S.pack(items, 10)
+    out = S.level(items, packed, 10)
+    aim = items.sum(axis=0) / 10
+    assert spread(out, 0) <= max(spread(packed, 0), 2e-3 * aim[0]) and all(spread(out, k) < 0.05 * aim[k] for k in (1, 2))
 
 
 def test_awkward_rows(spark, edge_docs, no_docs):
