@@ -15,7 +15,7 @@ bit map of the parities of hashed shingles, as two sets differ in at least as ma
 
 The work has a fixed number of rounds. In each of ``LEADER_ROUNDS`` the members of a key's group are compared with one of them;
 members that fall into one component need no more. Then all pairs of different components that share a key meet in
-a join that tests sizes and bit maps as it goes, so that only what passes becomes rows, each pair once; groups of more than ``BLOCK`` are cut into blocks
+a join that tests sizes and bit maps as it goes, so that only what passes becomes rows, each pair once after a distinct; groups of more than ``BLOCK`` are cut into blocks
 and their pairs of blocks dealt over tasks. What passes is compared in full: where it is much, one pair for each node first, for ``THIN_ROUNDS``, so that members
 of one component drop out, then all that is left. Nothing is sampled or capped, and no pair of different components goes unseen.
 
@@ -45,7 +45,9 @@ VALUES = 72
 MISS = 1e-6
 #: Bits of a MinHash value, and values that a 64-bit word holds.
 LANE, LANES = 10, 6
-LEADER_ROUNDS, THIN_ROUNDS = 2, 3
+LEADER_ROUNDS, THIN_ROUNDS = 1, 3
+#: Groups take their leaders by one of so many orders, so that one text that is unlike the others does not lead all groups of a cluster.
+LEADERS = 3
 #: Pairs are thinned out where more than so many are left for each node; the result is the same either way.
 PAIRS_PER_NODE = 4
 #: Members of a group that one task compares with each other.
@@ -239,22 +241,18 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, values
 
     links = stored(links, "links")
     component = links.select(F.col("a").alias("node"), F.col("b").alias("component")) if links.isEmpty() else stored(connected(links), "components")
-    rest, tried = groups, None
+    rest = groups
     for r in range(LEADER_ROUNDS + 1):
         comp = component.select(F.col("node").alias("c"), "component")
         rest = rest.select("place", "key", "node").join(comp, F.col("node") == F.col("c"), "left").select(
             "place", "key", "node", F.coalesce("component", "node").alias("comp"))
-        heads = rest.groupBy("place", "key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), "node", "comp")).alias("h"), F.count("*").alias("n"),
+        heads = rest.groupBy("place", "key").agg(F.min(F.struct(F.xxhash64("node", F.col("place") % LEADERS, F.lit(r)), "node", "comp")).alias("h"), F.count("*").alias("n"),
                                                  F.min("comp").alias("low"), F.max("comp").alias("high"))
         heads = heads.where("low < high").select(F.col("place").alias("g_place"), F.col("key").alias("g_key"), F.col("h.node").alias("lead"), F.col("h.comp").alias("lead_comp"), "n")
         rest = stored(rest.join(heads, (F.col("place") == F.col("g_place")) & (F.col("key") == F.col("g_key"))).drop("g_place", "g_key"), "open")
         if r == LEADER_ROUNDS:
             break
         pairs = rest.where("comp <> lead_comp").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select(F.col("a").alias("t_a"), F.col("b").alias("t_b")), (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti")
-        pairs = stored(pairs, "led")
-        tried = pairs if tried is None else tried.unionByName(pairs)
         near_pairs = pairs.join(prefixed(known, "p_"), F.col("a") == F.col("p_node")).join(prefixed(known, "q_"), F.col("b") == F.col("q_node")).where(near("p_", "q_"))
         component = merged(component, within(near_pairs.select("a", "b")))
 
@@ -268,8 +266,6 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, values
                      & (F.col("p_other") == F.col("q_block")) & ((F.col("p_block") < F.col("q_block")) | (F.col("p_node") < F.col("q_node")))
                      & (F.col("p_comp") != F.col("q_comp")) & near("p_", "q_"))
     left = stored(met.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).distinct(), "near")
-    if tried is not None:
-        left = left.join(tried.select(F.col("a").alias("t_a"), F.col("b").alias("t_b")), (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti")
     left = stored(within(left), "met")
     thin = THIN_ROUNDS if left.count() > PAIRS_PER_NODE * nodes.count() else 0  # a few pairs are compared at once
     for r in range(thin + 1):

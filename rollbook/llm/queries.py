@@ -178,25 +178,34 @@ leaf AS (
 l1 AS (SELECT file_no, idx // 16 AS up, sha256('node:' || string_agg(sha256(concat_ws(':', 'leaf', "offset", length, digest)), '' ORDER BY idx)) AS hash
        FROM leaf GROUP BY ALL),
 root AS (SELECT file_no, sha256('node:' || string_agg(hash, '' ORDER BY up)) AS file_root FROM l1 GROUP BY file_no)
+harm AS (
+  SELECT *, CASE WHEN md5('file' || file_no)[1] = '0' AND idx >= n - 3 THEN 'cut' WHEN md5(CAST(page_id AS VARCHAR))[1:2] = '05' THEN 'lost'
+                 WHEN md5(CAST(page_id AS VARCHAR))[1:2] = '06' THEN 'grown' WHEN md5(CAST(page_id AS VARCHAR))[1:2] IN ('00', '01', '02', '03', '04') THEN 'changed' ELSE '' END AS harm
+  FROM leaf),
+shift AS (
+  SELECT *, coalesce(sum(CASE harm WHEN 'lost' THEN -length WHEN 'grown' THEN 5 ELSE 0 END) OVER w, 0) AS bytes,
+         coalesce(sum(CASE harm WHEN 'lost' THEN -1 ELSE 0 END) OVER w, 0) AS places
+  FROM harm WINDOW w AS (PARTITION BY file_no ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT page_id, file_no, idx, "offset", length, digest, file_root,
-       CASE WHEN md5('file' || file_no)[1] = '0' AND idx >= n - 3 THEN 'missing'
-            WHEN md5(CAST(page_id AS VARCHAR))[1:2] IN ('00', '01', '02', '03', '04') THEN 'changed' ELSE 'intact' END AS verdict
-FROM leaf JOIN root USING (file_no)"""
+       CASE WHEN harm IN ('cut', 'lost') THEN 'missing' WHEN harm IN ('grown', 'changed') THEN 'changed'
+            WHEN bytes <> 0 OR places <> 0 THEN 'moved' ELSE 'intact' END AS verdict
+FROM shift JOIN root USING (file_no)"""
 
 
 @query("op7_warc_fixity", OP7_SQL)
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive of all pages audited against a replica with damage at places that hashes of ids choose: flipped
-    bytes, records overwritten by zeros, and files that lack their last three records."""
+    bytes, records overwritten by zeros, records lost or grown in mid-file, and files that lack their last three records."""
     records = warc_records(read_table(spark, sf_dir, "pages"))
     primary = stored(leaves(records), "leaves")
     lot = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
-    harmed = records.withColumn("record", F.when(lot.isin("00", "01", "02"), F.overlay("record", F.lit(b"\x7f"), F.lit(60), F.lit(1))).when(
-        lot.isin("03", "04"), F.unhex(F.repeat(F.lit("00"), F.octet_length("record")))).otherwise(F.col("record")))
     sizes = primary.groupBy("file_no").agg(F.count("*").alias("n")).select(F.col("file_no").alias("s"), "n")
     cut = F.substring(F.md5(F.concat(F.lit("file"), F.col("file_no").cast("string")).cast("binary")), 1, 1) == "0"
-    replica = leaves(harmed).join(sizes, F.col("file_no") == F.col("s")).where(~(cut & (F.col("idx") >= F.col("n") - 3))).drop("s", "n")
-    found = audit(primary, stored(replica, "replica")).select(F.col("file_no").alias("f"), F.col("idx").alias("i"), "verdict")
+    gone = primary.join(sizes, F.col("file_no") == F.col("s")).where(cut & (F.col("idx") >= F.col("n") - 3)).select(F.col("page_id").alias("gone"))
+    harmed = records.where(lot != "05").join(gone, F.col("page_id").eqNullSafe(F.col("gone")), "left_anti")
+    harmed = harmed.withColumn("record", F.when(lot.isin("00", "01", "02"), F.overlay("record", F.lit(b"\x7f"), F.lit(60), F.lit(1))).when(
+        lot.isin("03", "04"), F.unhex(F.repeat(F.lit("00"), F.octet_length("record")))).when(lot == "06", F.concat("record", F.lit(b"grown"))).otherwise(F.col("record")))
+    found = audit(primary, stored(leaves(harmed), "replica")).where("verdict <> 'extra'").select(F.col("file_no").alias("f"), F.col("idx").alias("i"), "verdict")
     roots = Tree(primary, heights(primary)[0], 0).file_roots().select(F.col("file_no").alias("r"), F.col("hash").alias("file_root"))
     return primary.join(found, (F.col("file_no") == F.col("f")) & (F.col("idx") == F.col("i")), "left").join(roots, F.col("file_no") == F.col("r")).select(
         "page_id", "file_no", "idx", "offset", "length", "digest", "file_root", F.coalesce("verdict", F.lit("intact")).alias("verdict"))

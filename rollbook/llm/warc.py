@@ -4,7 +4,8 @@ A WARC file is a run of records; a replica is described by its records' ranges a
 which are hashed in place: record bytes never leave the task that reads them. ``FANOUT`` neighbouring nodes,
 in the order of their offsets, make a node of the next level, up to one root per file and then over files to
 one root per replica. An audit compares the replicas' nodes level by level from the root, and
-descends only below nodes that differ, down to the records that are changed, missing or extra.
+descends only below nodes that differ, down to the leaves that differ. Below a file that differs, these are aligned by record and content and not by place
+alone, so that a record lost, inserted or changed in length in mid-file leaves those behind it what they are: ``moved``; the rest is changed, missing or extra.
 
 Defined results: records without page_id are put into files by a hash of their content; NULL url and html are
 empty; equal records are ordered alike in all replicas, so it does not matter which is which; an empty archive has no
@@ -108,8 +109,9 @@ def _below(nodes: DataFrame, marked: DataFrame, keys: list[str], index: str) ->
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """The records where the replica departs from the primary (both as ``leaves``): file_no, idx, page_id, offset, length,
-    verdict (changed, missing, extra), and the digests on both sides."""
+    """The records where the replica departs from the primary (both as ``leaves``): file_no, idx, page_id, offset, length, verdict, the digests on both sides
+    and the replica's offset. Verdicts: ``moved`` (the same record with the same content, elsewhere in the file), ``changed`` (the same record
+    or, of records without an id, the same place, with other content), ``missing`` and ``extra``. Equal records are told apart by their order."""
     high, wide = heights(primary, replica)
     a, b = Tree(primary, high, wide), Tree(replica, high, wide)
     marked = stored(_differ(a.outer[-1], b.outer[-1], ["file_no"]), "marked")
@@ -119,9 +121,28 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     for k in range(high - 1, -1, -1):
         marked = stored(_differ(_below(a.inner[k], marked, ["file_no"], "idx"), _below(b.inner[k], marked, ["file_no"], "idx"), ["file_no", "idx"]), "marked")
     m = marked.select(F.col("file_no").alias("f"), F.col("idx").alias("i"))
-    at = lambda t, s: m.join(t, (F.col("f") == F.col("file_no")) & (F.col("i") == F.col("idx")), "left").select(
-        F.col("f").alias(f"f{s}"), F.col("i").alias(f"i{s}"), *[F.col(c).alias(f"{c}{s}") for c in ("page_id", "offset", "length", "digest")])
-    both = at(primary, "_a").join(at(replica, "_b"), (F.col("f_a") == F.col("f_b")) & (F.col("i_a") == F.col("i_b")))
-    verdict = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").otherwise("changed")
-    return both.select(F.col("f_a").alias("file_no"), F.col("i_a").alias("idx"), *[F.coalesce(f"{c}_a", f"{c}_b").alias(c) for c in ("page_id", "offset", "length")],
-                       verdict.alias("verdict"), F.col("digest_a").alias("digest"), F.col("digest_b").alias("replica_digest"))
+    names = ("page_id", "idx", "offset", "length", "digest")
+
+    def side(t: DataFrame, c: str) -> DataFrame:
+        """Marked leaves of one replica, equal ones numbered."""
+        rows = m.join(t, (F.col("f") == F.col("file_no")) & (F.col("i") == F.col("idx"))).select("file_no", *names)
+        nth = F.row_number().over(Window.partitionBy("file_no", "page_id", "digest").orderBy("idx"))
+        return stored(rows.withColumn("nth", nth).select(*[F.col(x).alias(f"{x}_{c}") for x in ("file_no", *names, "nth")]), "marked")
+
+    one, two = side(primary, "a"), side(replica, "b")
+    same = ((F.col("file_no_a") == F.col("file_no_b")) & F.col("page_id_a").eqNullSafe(F.col("page_id_b")) & (F.col("digest_a") == F.col("digest_b"))
+            & (F.col("nth_a") == F.col("nth_b")))
+    moved = one.join(two, same).withColumn("verdict", F.lit("moved"))
+
+    def rest(t: DataFrame, c: str) -> DataFrame:
+        """What found no equal: numbered by record, those without an id by their place."""
+        key = F.coalesce(F.concat(F.lit("id:"), F.col(f"page_id_{c}").cast("string")), F.concat(F.lit("at:"), F.col(f"idx_{c}").cast("string")))
+        rows = t.withColumn(f"key_{c}", key)
+        return rows.withColumn(f"turn_{c}", F.row_number().over(Window.partitionBy(f"file_no_{c}", f"key_{c}").orderBy(f"idx_{c}")))
+
+    left = rest(one.join(two, same, "left_anti"), "a").join(
+        rest(two.join(one, same, "left_anti"), "b"), (F.col("file_no_a") == F.col("file_no_b")) & (F.col("key_a") == F.col("key_b")) & (F.col("turn_a") == F.col("turn_b")), "full")
+    left = left.withColumn("verdict", F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").otherwise("changed"))
+    out = [F.coalesce(f"{c}_a", f"{c}_b").alias(c) for c in ("file_no", "idx", "page_id", "offset", "length")]
+    out += ["verdict", F.col("digest_a").alias("digest"), F.col("digest_b").alias("replica_digest"), F.col("offset_b").alias("replica_offset")]
+    return moved.select(*out).unionByName(left.select(*out))

@@ -43,3 +43,23 @@ def test_empty_archives(spark):
     assert W.audit(none, none).collect() == []
     assert {r["verdict"] for r in W.audit(some, none).collect()} == {"missing"}
     assert W.audit(none, some).count() == some.count()
+
+
+def test_records_behind_a_loss_an_insertion_or_a_growth_are_moved(spark):
+    """One record lost, one inserted and one longer in mid-file: three findings, and the rest of the file is where it went."""
+    records = W.warc_records(pages(spark)).persist()
+    one = W.leaves(records).persist()
+    where = {r["page_id"]: (r["file_no"], r["idx"], r["offset"]) for r in one.where("file_no >= 0 and page_id <> 5").collect()}
+    files = {f: sum(1 for g, _, _ in where.values() if g == f) for f in (1, 2)}
+    lost = W.audit(one, W.leaves(records.where("page_id is null or page_id <> 266"))).collect()
+    assert sorted({(r["file_no"], r["verdict"]) for r in lost}) == [(1, "missing"), (1, "moved")]
+    assert [r["page_id"] for r in lost if r["verdict"] == "missing"] == [266] and len(lost) == files[1] - 10
+    assert all(r["offset"] - r["replica_offset"] == [x["length"] for x in lost if x["verdict"] == "missing"][0] for r in lost if r["verdict"] == "moved")
+    grown = records.withColumn("record", F.when(F.col("page_id") == 600, F.concat("record", F.lit(b"xyz"))).otherwise(F.col("record")))
+    got = W.audit(one, W.leaves(grown)).collect()
+    assert [(r["page_id"]) for r in got if r["verdict"] == "changed"] == [600]
+    assert {r["verdict"] for r in got} == {"changed", "moved"} and all(r["replica_offset"] - r["offset"] in (0, 3) for r in got)
+    more = records.unionByName(spark.createDataFrame([(300, 1, b"an inserted record")], "page_id bigint, file_no bigint, record binary"))
+    got = W.audit(one, W.leaves(more)).collect()
+    assert [(r["page_id"], r["digest"]) for r in got if r["verdict"] == "extra"] == [(300, None)]
+    assert {r["verdict"] for r in got} <= {"extra", "moved"}
