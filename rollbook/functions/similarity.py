@@ -88,7 +88,7 @@ def tagged(of: str) -> Column:
     is the multiset overlap of their grams. ``pos`` is the gram's place, or NULL if the string holds the gram more than once: then
     a tag says nothing about places."""
     c = F.col(of)
-    same = lambda part, g: F.size(F.filter(part, lambda h: h == g))
+    same = lambda part, g: F.size(part) - F.size(F.array_remove(part, g))
     entry = lambda g, nth, pos: F.struct(F.concat(g, F.lit("#"), nth.cast("string")).alias("token"), pos.alias("pos"))
     plain = F.transform(c, lambda g, i: entry(g, F.lit(1), i))
     return F.when(F.size(F.array_distinct(c)) == F.size(c), plain).otherwise(
