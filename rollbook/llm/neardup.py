@@ -15,7 +15,7 @@ bit map of the parities of hashed shingles, as two sets differ in at least as ma
 
 The work has a fixed number of rounds. In each of ``LEADER_ROUNDS`` the members of a key's group are compared with one of them;
 members that fall into one component need no more. Then all pairs of different components that share a key meet in
-a join that tests sizes and bit maps as it goes, so that only what passes becomes rows, each pair once after a distinct; groups of more than ``BLOCK`` are cut into blocks
+a join that tests sizes and bit maps as it goes, so that only what passes becomes rows, each pair once, under the first chunk it agrees in; groups of more than ``BLOCK`` are cut into blocks
 and their pairs of blocks dealt over tasks. What passes is compared in full: where it is much, one pair for each node first, for ``THIN_ROUNDS``, so that members
 of one component drop out, then all that is left. Nothing is sampled or capped, and no pair of different components goes unseen.
 
@@ -257,15 +257,20 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, width: int = 3, values
         component = merged(component, within(near_pairs.select("a", "b")))
 
     # all pairs of different components that share a key, under the first chunk with one error at most: blocks against blocks
-    rows = rest.join(known.withColumnRenamed("node", "k_node"), F.col("node") == F.col("k_node")).drop("k_node", "lead", "lead_comp")
+    rows = rest.join(nodes.select(F.col("node").alias("k_node"), *traits), F.col("node") == F.col("k_node")).drop("k_node", "lead", "lead_comp")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")).withColumn("blocks", blocks)
     lower = prefixed(rows.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))), "p_")
     upper = prefixed(rows.withColumn("other", F.explode(F.sequence(F.lit(0), "block"))), "q_")
+    # a pair shares several keys: it counts under the first chunk with one error at most, and if that has none, at its first value
+    here = F.floor(F.col("p_place") / 8)
+    first = functools.reduce(lambda out, j: F.when(_errors(j, "p_", "q_") < 2, j).otherwise(out), range(m - 1, -1, -1), F.lit(-1))
+    equal = functools.reduce(lambda out, j: F.when(here == j, F.col(f"p_c{j}") == F.col(f"q_c{j}")).otherwise(out), range(m), F.lit(False))
+    once = (first == here) & (~equal | (F.col("p_place") % 8 == 0))
     met = lower.join(upper, (F.col("p_place") == F.col("q_place")) & (F.col("p_key") == F.col("q_key")) & (F.col("p_block") == F.col("q_other"))
                      & (F.col("p_other") == F.col("q_block")) & ((F.col("p_block") < F.col("q_block")) | (F.col("p_node") < F.col("q_node")))
-                     & (F.col("p_comp") != F.col("q_comp")) & near("p_", "q_"))
-    left = stored(met.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).distinct(), "near")
+                     & (F.col("p_comp") != F.col("q_comp")) & near("p_", "q_") & once)
+    left = stored(met.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")), "near")
     left = stored(within(left), "met")
     thin = THIN_ROUNDS if left.count() > PAIRS_PER_NODE * nodes.count() else 0  # a few pairs are compared at once
     for r in range(thin + 1):
