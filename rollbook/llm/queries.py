@@ -177,7 +177,7 @@ leaf AS (
   FROM h WINDOW w AS (PARTITION BY file_no ORDER BY page_id)),
 l1 AS (SELECT file_no, idx // 16 AS up, sha256('node:' || string_agg(sha256(concat_ws(':', 'leaf', "offset", length, digest)), '' ORDER BY idx)) AS hash
        FROM leaf GROUP BY ALL),
-root AS (SELECT file_no, sha256('node:' || string_agg(hash, '' ORDER BY up)) AS file_root FROM l1 GROUP BY file_no)
+root AS (SELECT file_no, sha256('node:' || string_agg(hash, '' ORDER BY up)) AS file_root FROM l1 GROUP BY file_no),
 harm AS (
   SELECT *, CASE WHEN md5('file' || file_no)[1] = '0' AND idx >= n - 3 THEN 'cut' WHEN md5(CAST(page_id AS VARCHAR))[1:2] = '05' THEN 'lost'
                  WHEN md5(CAST(page_id AS VARCHAR))[1:2] = '06' THEN 'grown' WHEN md5(CAST(page_id AS VARCHAR))[1:2] IN ('00', '01', '02', '03', '04') THEN 'changed' ELSE '' END AS harm
