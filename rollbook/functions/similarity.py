@@ -82,12 +82,12 @@ def grams(s, q: int) -> Column:
     return F.filter(every, lambda g: F.length(g) == q)
 
 
-def tagged(of: str) -> Column:
-    """The grams of column ``of`` (an array that is materialised, as every one is compared with every other) as
+def tagged(of) -> Column:
+    """The grams ``of`` (a column or lambda variable that holds an array, as every one is compared with every other) as
     ``array<struct<token, pos>>``. A token is a gram and its occurrence number (``ab#1``, ``ab#2``), so that the set overlap of two token arrays
     is the multiset overlap of their grams. ``pos`` is the gram's place, or NULL if the string holds the gram more than once: then
     a tag says nothing about places."""
-    c = F.col(of)
+    c = as_col(of)
     same = lambda part, g: F.size(part) - F.size(F.array_remove(part, g))
     entry = lambda g, nth, pos: F.struct(F.concat(g, F.lit("#"), nth.cast("string")).alias("token"), pos.alias("pos"))
     plain = F.transform(c, lambda g, i: entry(g, F.lit(1), i))

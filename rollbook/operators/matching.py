@@ -13,12 +13,17 @@ first two shared ones are among its first ``n - o + 2`` (prefix filtering), so a
 shares a *pair* of prefix grams, and that pair is the join key. Long strings use three characters a gram, shorter ones two, the shortest
 single grams of two; which one depends on the input's length alone, and a target is indexed for all that inputs
 of its length band use. Candidates also pass the length band and a position bound: matched characters stand at most
-``max(la, lb) - t * (la + lb) / 2`` places apart. Keys that very many targets share are split over tasks. What is
+``max(la, lb) - t * (la + lb) / 2`` places apart, and bit maps of their grams of two, which differ in no more bits than the
+strings do in grams. All this is tested as keys meet, so that only pairs that pass it become rows. Keys that very many targets share are split over tasks. What is
 left is cut by the whole gram overlap, counted natively, before the ratio UDF runs, once per distinct pair of strings.
+
+The best target of an input is first looked for at half the allowed difference, where strings have few keys. An input that has one
+there needs nothing below; the others go on to the threshold itself.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -97,37 +102,62 @@ def _scheme(length, threshold: float) -> F.Column:
     return out
 
 
-def _keys(strings: DataFrame, freq: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(s, len, key, p1, p2): the keys of strings under SCHEMES[k], with the places of their grams."""
+#: Grams are ranked by the frequency of the bucket that they hash to; the ranks are two bytes each.
+BUCKETS = 1 << 14
+
+
+def _bucket(token) -> F.Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def _ranks(tokens: DataFrame) -> tuple[bytes, bytes]:
+    """The rank of each bucket of ``token``, rarest first, and the first rank that more than ``HOT_KEY`` tokens have. At most ``BUCKETS`` counts reach the driver."""
+    count = dict(tokens.groupBy(_bucket("token").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect())
+    order = sorted(range(BUCKETS), key=lambda k: (count.get(k, 0), k))
+    rank = {k: i for i, k in enumerate(order)}
+    rare = sum(count.get(k, 0) <= HOT_KEY for k in order)
+    return b"".join(rank[k].to_bytes(2, "big") for k in range(BUCKETS)), rare.to_bytes(2, "big")
+
+
+def _keys(strings: DataFrame, ranks: bytes, k: int, threshold: float) -> DataFrame:
+    """(id, len, m0, m1, key, p1, p2, rank): the keys of strings under SCHEMES[k], with the places of their grams and the rank of the rarer one."""
     q, ways = SCHEMES[k]
-    toks = strings.select("s", "len", F.explode(f"t{q}").alias("g")).select("s", "len", "g.token", "g.pos")
-    # all grams of a string, rarest first; their number is the string's length
-    ranked = (toks.join(freq, "token").groupBy("s", "len")
-              .agg(F.sort_array(F.collect_list(F.struct("freq", "token", "pos"))).alias("g")))
     o = F.greatest(_fewest(q, threshold, F.col("len")), F.lit(ways))
-    head = ranked.select("s", "len", F.slice("g", F.lit(1), F.greatest(F.size("g") - o + F.lit(ways), F.lit(0))).alias("g"))
+    # all grams of a string, rarest first; their number goes by the string's length
+    ranked = F.sort_array(F.transform(f"t{q}", lambda x: F.struct(
+        F.substring(F.lit(ranks), _bucket(x["token"]) * 2 + 1, F.lit(2)).alias("rank"), F.xxhash64(x["token"]).alias("h"), x["pos"].alias("pos"))))
+    head = F.slice(ranked, F.lit(1), F.greatest(F.size(f"t{q}") - o + F.lit(ways), F.lit(0)))
     if ways == 1:
-        return head.select("s", "len", F.explode("g").alias("x")).select("s", "len", F.xxhash64("x.token").alias("key"), F.col("x.pos").alias("p1"), F.lit(None).cast("int").alias("p2"))
-    pairs = F.flatten(F.transform("g", lambda x, i: F.transform(
-        F.slice("g", i + 2, F.size("g")), lambda y: F.struct(F.xxhash64(x["token"], y["token"]).alias("key"), x["pos"].alias("p1"), y["pos"].alias("p2")))))
-    return head.where(F.size("g") > 1).select("s", "len", F.explode(pairs).alias("x")).select("s", "len", "x.key", "x.p1", "x.p2")
+        rows = F.transform(head, lambda x: F.struct(x["h"].alias("key"), x["pos"].alias("p1"), F.lit(None).cast("int").alias("p2"), x["rank"].alias("rank")))
+    else:  # the head is bound to a variable, as it is read for each of its grams
+        pairs = lambda g: F.flatten(F.transform(g, lambda x, i: F.transform(F.slice(g, i + 2, F.size(g)), lambda y: F.struct(
+            F.xxhash64(x["h"], y["h"]).alias("key"), x["pos"].alias("p1"), y["pos"].alias("p2"), x["rank"].alias("rank")))))
+        rows = F.flatten(F.transform(F.array(head), pairs))
+    return strings.select("id", "len", "m0", "m1", F.explode(rows).alias("x")).select("id", "len", "m0", "m1", "x.key", "x.p1", "x.p2", "x.rank")
 
 
 def _with_tokens(strings: DataFrame) -> DataFrame:
-    """Strings with their tagged grams of two and three characters."""
-    plain = cut_lineage(strings.withColumn("g2", grams("s", 2)).withColumn("g3", grams("s", 3)))
-    return cut_lineage(plain.withColumn("t2", tagged("g2")).withColumn("t3", tagged("g3")).drop("g2", "g3"))
-
-
-def _split_hot(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Give both sides a part number: targets of a key that more than HOT_KEY of them have are dealt over parts, inputs of it go to each."""
-    hot = right.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KEY).select("key", F.ceil(F.col("n") / HOT_KEY).cast("int").alias("parts"))
-    hot = cut_lineage(hot)
+    """Strings with an id, their tagged grams of two and three characters and a bit map (m0, m1) of the parities of the hashed grams of two."""
+    tags = lambda q: F.flatten(F.transform(F.array(grams("s", q)), tagged))
+    # strings are small beside their keys: dealt out over all partitions, however few files held them
+    dealt = strings.repartition(int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("s"))
+    rows = cut_lineage(dealt.withColumn("id", F.monotonically_increasing_id()).withColumn("t2", tags(2)).withColumn("t3", tags(3)))
+    half = lambda odd: F.expr(f"""aggregate(transform(t2, x -> xxhash64(x.token)), 0L, (m, h) ->
+        CASE WHEN (shiftright(h, 6) & 1) = {odd} THEN m ^ shiftleft(1L, CAST(h & 63 AS INT)) ELSE m END)""")
+    return rows.withColumn("m0", half(0)).withColumn("m1", half(1))
+
+
+def _split_hot(left: DataFrame, right: DataFrame, often: bytes) -> tuple[DataFrame, DataFrame]:
+    """Give both sides a part number: targets of a key that more than HOT_KEY of them have are dealt over parts, inputs of it go to each.
+    Only keys of grams that are frequent themselves (rank ``often`` and above) are counted."""
+    hot = right.where(F.col("rank") >= F.lit(often)).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KEY)
+    hot = cut_lineage(hot.select("key", F.ceil(F.col("n") / HOT_KEY).cast("int").alias("parts")))
+    left, right = left.drop("rank"), right.drop("rank")
     if hot.isEmpty():
         return left.withColumn("part", F.lit(0)), right.withColumn("part", F.lit(0))
     count = F.coalesce("parts", F.lit(1))
     left = left.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), count - 1))).drop("parts")
-    return left, right.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("s"), count).cast("int")).drop("parts")
+    return left, right.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("id"), count).cast("int")).drop("parts")
 
 
 def fuzzy_candidates(inputs: DataFrame, targets: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
@@ -141,48 +171,62 @@ def fuzzy_candidates(inputs: DataFrame, targets: DataFrame, threshold: float = F
     t = float(threshold)
     low, high = t / (2 - t), (2 - t) / t
     length = F.length("s")
-    # each side's distinct strings and the gram vocabulary are read by several branches
-    # below, so they are materialised once (reliable checkpoints) instead of recomputed
+    # each side's distinct strings and their grams are read by several branches
+    # below, so they are materialised once instead of recomputed
     a = inputs.select("s").distinct().withColumn("len", length).where("len >= 2").withColumn("scheme", _scheme(F.col("len"), t))
     b = targets.select("s").distinct().withColumn("len", length).where("len >= 2")
     # inputs of the band go from the length whose scheme is the least selective to the longest
     b = b.withColumn("last", _scheme(F.ceil(F.col("len") * low - 1e-9).cast("int"), t)).withColumn("first", _scheme(F.floor(F.col("len") * high + 1e-9).cast("int"), t))
+    # lengths that no string of the other side can pair with
+    ends = lambda side: side.agg(F.min("len"), F.max("len")).first()
+    shortest, longest = ends(a)
+    b = b.where(F.col("len").between(math.ceil(shortest * low - 1e-9), math.floor(longest * high + 1e-9)) if shortest else F.lit(False))
     a, b = _with_tokens(a), _with_tokens(b)
+    slope, base = shared_bound(2, t)
+    need = lambda la, lb: F.ceil(F.lit(slope) * (la + lb) + F.lit(base) - F.lit(1e-9))
     found = []
     for k, (q, _) in enumerate(SCHEMES):
         mine, theirs = a.where(F.col("scheme") == k), b.where((F.col("first") <= k) & (F.col("last") >= k))
-        tokens = [side.select(F.explode(F.col(f"t{q}")["token"]).alias("token")) for side in (mine, theirs)]
-        # AQE sees the vocabulary's real size at run time and broadcasts it only when small
-        freq = cut_lineage(tokens[0].unionByName(tokens[1]).groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
         if mine.isEmpty() or theirs.isEmpty():
             continue
-        left, right = _split_hot(cut_lineage(_keys(mine, freq, k, t)), cut_lineage(_keys(theirs, freq, k, t)))
-        left = left.select("key", "part", F.col("s").alias("a"), F.col("len").alias("la"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
-        right = right.select("key", "part", F.col("s").alias("b"), F.col("len").alias("lb"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
-        reach = F.floor(F.greatest("la", "lb") - F.lit(t / 2) * (F.col("la") + F.col("lb")) + 1e-9)
-        near = lambda x, y: F.coalesce(F.abs(F.col(x) - F.col(y)) <= reach, F.lit(True))
-        found.append(left.join(right, ["key", "part"]).where(length_band("la", "lb", t) & near("a1", "b1") & near("a2", "b2")).select("a", "b"))
+        tokens = [side.select(F.explode(F.col(f"t{q}")["token"]).alias("token")) for side in (mine, theirs)]
+        ranks, often = _ranks(tokens[0].unionByName(tokens[1]))
+        left, right = _split_hot(_keys(mine, ranks, k, t), _keys(theirs, ranks, k, t), often)
+        side = lambda rows, x: rows.select("key", "part", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "len", "m0", "m1", "p1", "p2")])
+        la, lb = F.col("a_len"), F.col("b_len")
+        reach = F.floor(F.greatest(la, lb) - F.lit(t / 2) * (la + lb) + 1e-9)
+        near = lambda p: F.coalesce(F.abs(F.col(f"a_{p}") - F.col(f"b_{p}")) <= reach, F.lit(True))  # noqa: B023, E731
+        apart = F.bit_count(F.col("a_m0").bitwiseXOR(F.col("b_m0"))) + F.bit_count(F.col("a_m1").bitwiseXOR(F.col("b_m1")))
+        # sizes are estimated without the explosion into keys, so a broadcast would rest on a wrong figure
+        met = side(left, "a").hint("merge").join(side(right, "b"), ["key", "part"]).where(
+            length_band(la, lb, t) & near("p1") & near("p2") & (apart <= la + lb - 2 - 2 * need(la, lb)))
+        found.append(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
     if not found:
         return a.sparkSession.createDataFrame([], "a string, b string")
     pairs = cut_lineage(reduce(DataFrame.unionByName, found).distinct())
     # the whole bigram overlap that the ratio needs, counted natively, before any Python runs
-    tokens = lambda side, name: side.select(F.col("s").alias(name), F.col("t2")["token"].alias(f"t{name}"))
-    slope, base = shared_bound(2, t)
-    need = F.ceil(F.lit(slope) * (F.length("a") + F.length("b")) + F.lit(base) - F.lit(1e-9))
-    both = pairs.join(tokens(a, "a"), "a").join(tokens(b, "b"), "b")
-    return both.where(F.size(F.array_intersect("ta", "tb")) >= need).select("a", "b")
+    text = lambda side, x: side.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"), F.col("t2")["token"].alias(f"t{x}"))
+    both = pairs.join(text(a, "a"), "a").join(text(b, "b"), "b")
+    return both.where(F.size(F.array_intersect("ta", "tb")) >= need(F.length("sa"), F.length("sb"))).select(F.col("sa").alias("a"), F.col("sb").alias("b"))
 
 
 def best_fuzzy(inputs: DataFrame, targets: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """For each input string ``a``: the target string with the highest ratio >= threshold,
-    ties to the target with the earliest ``row_ord``. ``targets`` has ``(s, row_ord)``."""
-    first_row = targets.groupBy("s").agg(F.min("row_ord").alias("row_ord"))
-    cand = fuzzy_candidates(inputs, first_row, threshold)
-    scored = (cand.withColumn("score", similarity_ratio("a", "b")).where(F.col("score") >= threshold)
-              .join(first_row.withColumnRenamed("s", "b"), "b", "inner"))
+    ties to the target with the earliest ``row_ord``. ``targets`` has ``(s, row_ord)``.
+
+    Inputs with a target at half the allowed difference have their best one there; only the others are looked up at the threshold."""
     from rollbook.operators.ranking import first_by_key
 
-    return first_by_key(scored, ["a"], [("score", False), ("row_ord", True)]).select(*scored.columns)
+    first_row = cut_lineage(targets.groupBy("s").agg(F.min("row_ord").alias("row_ord")))
+    todo, found = cut_lineage(inputs.select("s").distinct()), []
+    for level in ((1 + threshold) / 2, threshold):
+        cand = fuzzy_candidates(todo, first_row, level)
+        scored = (cand.withColumn("score", similarity_ratio("a", "b")).where(F.col("score") >= level)
+                  .join(first_row.withColumnRenamed("s", "b"), "b", "inner"))
+        best = cut_lineage(first_by_key(scored, ["a"], [("score", False), ("row_ord", True)]).select("b", "a", "score", "row_ord"))
+        found.append(best)
+        todo = cut_lineage(todo.join(best.select(F.col("a").alias("s")), "s", "left_anti"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def match_fuzzy_names(names: DataFrame, records: DataFrame, exclude: DataFrame, exact: DataFrame,

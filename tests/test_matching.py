@@ -101,6 +101,32 @@ def test_candidates_are_lossless(spark):
     assert len(cand) < len(inputs) * len(targets)  # blocking prunes
 
 
+def test_keys_that_meet_become_rows_only_if_bit_maps_allow(spark, monkeypatch):
+    """Names that share a word, and so many keys, and little else: few rows behind the join on keys."""
+    rnd = random.Random(3)
+    make = lambda n: "".join(rnd.choice("aeiounhtrlsmkvbd") for _ in range(n))
+    targets = sorted({"nguyen " + make(6) + " " + make(8) for _ in range(300)})
+    inputs = [s[:-1] for s in targets[:100]] + ["nguyen " + make(6) + " " + make(8) for _ in range(100)]
+    frames, kept = [], M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df, *name: (frames.append(kept(df, *name)), frames[-1])[1])
+    found = M.fuzzy_candidates(spark.createDataFrame([(s,) for s in inputs], "s string"), spark.createDataFrame([(s,) for s in targets], "s string"))
+    met = {(r.a, r.b) for r in found.collect()}
+    assert {(x, y) for x in inputs for y in targets if ratio_py(x, y) >= 0.85} <= met
+    pairs = [f for f in frames if f.columns == ["a", "b"]]
+    assert len(pairs) == 1 and pairs[0].count() < len(inputs) * len(targets) / 4
+    assert not any("key" in f.columns and "len" in f.columns for f in frames)  # keys are not written out
+
+
+def test_inputs_with_a_close_target_are_not_looked_up_again(spark, monkeypatch):
+    asked, plain = [], M.fuzzy_candidates
+    monkeypatch.setattr(M, "fuzzy_candidates", lambda a, b, t: (asked.append((t, {r.s for r in a.select("s").collect()})), plain(a, b, t))[1])
+    targets = spark.createDataFrame([("hoang thi thu huong", 1), ("hoang thi thu hien", 2), ("tran van binh minh", 3)], "s string, row_ord long")
+    inputs = spark.createDataFrame([("hoang thi thu huon",), ("tran van binj mink",), ("le x",), (None,)], "s string")
+    got = {r.a: (r.b, r.row_ord) for r in M.best_fuzzy(inputs, targets, 0.85).collect()}
+    assert got == {"hoang thi thu huon": ("hoang thi thu huong", 1), "tran van binj mink": ("tran van binh minh", 3)}
+    assert [t for t, _ in asked] == [0.925, 0.85] and "hoang thi thu huon" not in asked[1][1] and "tran van binj mink" in asked[1][1]
+
+
 def test_best_fuzzy_matches_brute_force(spark):
     rnd = random.Random(5)
     targets = _names(rnd, 120)
