@@ -189,8 +189,8 @@ def multi_line_search(df: DataFrame, lines: Sequence[str], columns: Sequence[str
                         "match_field", "line_order")
 
 
-#: Lengths of the grams that lines and cells are indexed by; a line uses the longest that fits into one of its words.
-GRAM_LENGTHS = (6, 3, 2, 1)
+#: Lengths of the grams that lines and cells are indexed by; each word uses the longest that fits into it.
+GRAM_LENGTHS = (6, 5, 4, 3, 2, 1)
 
 
 def _words_of(text: Column) -> Column:
@@ -210,25 +210,27 @@ def _containing(small: DataFrame, large: DataFrame) -> DataFrame:
     """(s, l): texts of ``small`` with those of ``large`` that hold all their words; both have a column ``v`` of distinct texts.
 
     An inverted index: a text that holds every word of another holds any gram of it, so each small text is looked up under one gram only, the one
-    that the fewest large texts have. Work follows the rarest grams, not the product of the sides.
+    that the fewest large texts have, of all its words: the longest word may be the one that all large texts have. Words of one or two characters
+    are looked up only where there are no others. Work follows the rarest grams, not the product of the sides.
     """
-    longest = F.array_max(F.transform(_words_of(F.col("v")), F.length))
-    q = functools.reduce(lambda out, n: F.when(F.col("longest") >= n, n).otherwise(out), reversed(GRAM_LENGTHS), F.lit(1))
-    small = small.withColumn("longest", longest).where("longest > 0").withColumn("q", q).select("v", "q")
-    small = cut_lineage(small, "lines")
-    used = [r["q"] for r in small.select("q").distinct().collect()]  # of GRAM_LENGTHS
-    found = []
-    for n in used:
-        index = cut_lineage(large.select(F.col("v").alias("l"), F.explode(_grams_of(_words_of(F.col("v")), n)).alias("gram")), "grams")
-        often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-        mine = small.where(F.col("q") == n).select(F.col("v").alias("s"), F.explode(_grams_of(_words_of(F.col("v")), n)).alias("gram"))
-        # a gram that no large text has rules the small one out
-        rarest = (mine.join(often, "gram", "left").groupBy("s")
-                  .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("s", "r.gram"))
-        found.append(rarest.join(index, "gram").where(F.forall(_words_of(F.col("s")), lambda w: F.col("l").contains(w))).select("s", "l"))
-    if not found:
+    length_of = lambda w: functools.reduce(lambda out, n: F.when(F.length(w) >= n, n).otherwise(out), reversed(GRAM_LENGTHS), F.lit(0))
+    own = lambda w: _grams_of(F.array(w), length_of(w))
+    words = _words_of(F.col("v"))
+    telling = F.filter(words, lambda w: F.length(w) >= 3)
+    picked = F.when(F.size(telling) > 0, telling).otherwise(words)
+    mine = cut_lineage(small.where(F.size(words) > 0).select(F.col("v").alias("s"), F.explode(F.array_distinct(F.flatten(F.transform(picked, own)))).alias("gram")), "lines")
+    used = sorted(r["q"] for r in mine.select(F.length("gram").alias("q")).distinct().collect())  # of GRAM_LENGTHS
+    if not used:
         return small.select(F.col("v").alias("s"), F.col("v").alias("l")).limit(0)
-    return functools.reduce(DataFrame.unionByName, found)
+    held = F.flatten(F.transform(F.array(*[F.lit(n) for n in used]), lambda n: _grams_of(words, n)))
+    dealt = large.select("v").repartition(int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("v"))
+    index = dealt.select(F.col("v").alias("l"), F.explode(held).alias("gram"))
+    index = cut_lineage(index.join(mine.select("gram").distinct(), "gram", "left_semi"), "grams")
+    often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a gram that no large text has rules the small one out
+    rarest = (mine.join(often, "gram", "left").groupBy("s")
+              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0").select("s", "r.gram"))
+    return rarest.join(index, "gram").where(F.forall(_words_of(F.col("s")), lambda w: F.col("l").contains(w))).select("s", "l")
 
 
 def search_lines(df: DataFrame, lines: DataFrame, columns: Sequence[str], id_cols: Sequence[str], name_cols: Sequence[str], key: Column,

@@ -70,3 +70,19 @@ def test_lines_as_a_table_equal_lines_as_parameters(spark):
     see = lambda d: sorted(str(tuple(r[c] for c in cols)) for r in d.collect())
     assert see(joined) == see(walk) and joined.count() > 10
     assert SR.search_lines(df, table.limit(0), ["ten"], [], ["ten"], key, ["k"]).count() == 0
+
+
+def test_lines_with_a_common_long_word_go_by_their_rarest_word(spark, monkeypatch):
+    """Every cell holds the longest word of every line: each line meets the cells of its other word alone."""
+    cells = [f"customer#{k:09d}" for k in range(300)]
+    lines = [f"{k:05d} customer" for k in range(0, 300, 3)] + ["customer 12", "no such 000000003", "x"]
+    frames, kept = [], SR.cut_lineage
+    monkeypatch.setattr(SR, "cut_lineage", lambda df, *name: (frames.append((name, kept(df, *name))), frames[-1][1])[1])
+    pairs = SR._containing(spark.createDataFrame([(x,) for x in lines], "v string"), spark.createDataFrame([(x,) for x in cells], "v string"))
+    assert {(r.s, r.l) for r in pairs.collect()} == {(x, y) for x in lines for y in cells if all(w in y for w in x.split())}
+    index = next(f for name, f in frames if name == ("grams",))
+    often = {r["gram"]: r["count"] for r in index.groupBy("gram").count().collect()}
+    mine = {}
+    for r in next(f for name, f in frames if name == ("lines",)).collect():
+        mine.setdefault(r["s"], []).append(often.get(r["gram"], 0))
+    assert max(min(mine[x]) for x in lines if x.endswith(" customer") and x > "001") <= 1
