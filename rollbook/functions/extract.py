@@ -98,7 +98,7 @@ def is_class_line(line) -> Column:
     cond = F.lit(False)
     for p in CLASS_LINE_PATTERNS:
         cond = cond | ln.rlike("(?iU)" + p)
-    return cond
+    return has_digit(ln) & cond  # every shape has one
 
 
 def is_date_line(line) -> Column:
@@ -106,7 +106,7 @@ def is_date_line(line) -> Column:
     cond = F.lit(False)
     for p in DATE_LINE_PATTERNS:
         cond = cond | ln.rlike("(?U)" + p)
-    return cond
+    return has_digit(ln) & cond  # every shape has one
 
 
 def is_pure_id(line) -> Column:

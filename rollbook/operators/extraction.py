@@ -19,8 +19,8 @@ KIND_ID, KIND_NAME, KIND_CLASS, KIND_DATE = "mssv", "names", "classes", "dates"
 def text_to_lines(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """SC4/SC5: split a text column on newlines into trimmed, non-blank lines with their
     position. Whole texts are split; the position is the 0-based raw line index."""
-    return (df.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "raw"))
-            .select(*keys, "line_no", utrim("raw").alias("line"))
+    # trimmed before the explosion: a filter on a projected line would be pushed below it and trim every line twice
+    return (df.select(*keys, F.posexplode(F.transform(F.split(F.col(text), "\n"), utrim)).alias("line_no", "line"))
             .where(F.col("line") != ""))
 
 
@@ -29,9 +29,9 @@ def _tag(kind: str, arr: Column) -> Column:
 
 
 def mixed_items(line) -> Column:
-    """SF9: every id, capitalised name run, class and date found inside the line."""
-    return F.concat(_tag(KIND_ID, X.find_ids(line)), _tag(KIND_NAME, X.find_names(line)),
-                    _tag(KIND_CLASS, X.find_classes(line)), _tag(KIND_DATE, X.find_dates(line)))
+    """SF9: every id, capitalised name run, class and date found inside the line. All but the names hold a digit, so lines without one are searched for names alone."""
+    names = _tag(KIND_NAME, X.find_names(line))
+    return F.when(X.has_digit(line), F.concat(_tag(KIND_ID, X.find_ids(line)), names, _tag(KIND_CLASS, X.find_classes(line)), _tag(KIND_DATE, X.find_dates(line)))).otherwise(names)
 
 
 def extract_items(lines: DataFrame, line: str = "line") -> DataFrame:
